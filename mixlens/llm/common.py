@@ -9,10 +9,14 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word is a run of characters other than the ASCII white space of the contracts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -78,3 +82,30 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_python(df: DataFrame, inputs: list[str], keep: list[str], added: str, factory: Callable[[], Callable[..., list]], rows: int = 256) -> DataFrame:
+    """Add columns that Python makes from whole rows, a few rows at a time.
+
+    factory runs once in each task and gives the function from lists of inputs to lists of outputs. Of columns in keep,
+    those that added names again are replaced.
+    """
+    ship(df.sparkSession)
+    new = StructType.fromDDL(added)
+    keep = [c for c in keep if c not in new.names]
+    needed = list(dict.fromkeys([*keep, *inputs]))
+    source = df.select(*(f"`{c}`" for c in needed))
+    out = StructType([source.schema[c] for c in keep] + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = None
+        kinds = to_arrow_schema(new)
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows):
+                make = make or factory()
+                batch = whole.slice(k, rows)
+                made = make(*(batch.column(c).to_pylist() for c in inputs))
+                columns = [batch.column(c) for c in keep] + [pa.array(v, f.type) for v, f in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *new.names])
+
+    return source.mapInArrow(run, out)
