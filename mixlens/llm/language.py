@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -162,11 +163,11 @@ class Identifier:
         return [list(x) for x in zip(*map(self.one, texts), strict=True)]
 
 
-_BUILT: dict[int, Identifier] = {}
+_BUILT: dict[str, Identifier] = {}
 
 
 def _maker(texts) -> Callable[[], Identifier]:  # noqa: ANN001  a broadcast of the samples
-    key = texts.id
+    key = uuid.uuid4().hex  # a worker that runs several tasks builds the automata once
 
     def make() -> Identifier:
         if key not in _BUILT:
