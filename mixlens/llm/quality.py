@@ -30,8 +30,8 @@ MIN_CHARS_JUDGED = 200
 MIN_WORDS_JUDGED = 100
 #: Characters of a reference.
 MIN_REFERENCE = 20_000
-MAX_CHAR_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.5
+MAX_CHAR_DISTANCE = 0.28
+MAX_WORD_DISTANCE = 0.45
 
 #: Frequent function words of English, French, German and Spanish.
 COMMON_WORDS = """
