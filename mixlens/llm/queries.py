@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixlens.llm import decontaminate, language, mixing, quality, secrets, token_files, urls
+from mixlens.llm import decontaminate, jaccard, language, mixing, quality, secrets, token_files, urls
 from mixlens.llm.common import table
 
 
@@ -44,5 +44,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_source_mix, op4_url_filter, op5_language_id, op6_token_files, op8_decontamination, op9_secret_scan)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_source_mix, op4_url_filter, op5_language_id, op6_token_files, op8_decontamination, op9_secret_scan, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {"op3_source_mix": mixing.MIX_SQL, "op4_url_filter": urls.URLS_SQL}

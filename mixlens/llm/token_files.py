@@ -15,7 +15,6 @@ each get a document, by text. No documents give no parts. Further columns are no
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from array import array
@@ -32,13 +31,9 @@ from mixlens.llm.common import scratch, ship, stored
 
 END_ID = 2
 #: Units of text whose ids a worker keeps.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 500_000
 MANIFEST = "part long, path string, width int, n_docs long, n_ids long"
 
-#: A blank beside white space: there, a tokenizer that splits words off may join blanks.
-_JOINED = re.compile(r"\s | \s")
-
-
 class Encoder:
     """Ids of whole texts as bytes, through a cache of blank-separated units.
 
@@ -74,16 +69,29 @@ class Encoder:
         self.known.update((u, raw[i:j]) for u, i, j in zip(units, (at * w).tolist(), ends, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _JOINED.search(t) else t.split(" ") for t in texts]
-        units = {u for x in split if x for u in x[1:]}
+        split = [t.split(" ") for t in texts]
+        units = {u for x in split for u in x[1:]}
         new = units.difference(self.known)
+        joined = {u for u in new if not u or u[0].isspace() or u[-1].isspace()}
+        new -= joined
+        whole = [x[0][-1:].isspace() or not joined.isdisjoint(x[1:]) for x in split]
         if len(self.known) + len(new) > CACHE_UNITS:
-            self.known, new = {}, units
+            self.known = {u: self.known[u] for u in units.intersection(self.known)}
         if new:
             self.learn(list(new))
-        heads = self.packed([t if x is None else x[0] for t, x in zip(texts, split, strict=True)])
+        heads = self.packed([t if w else x[0] for t, x, w in zip(texts, split, whole, strict=True)])
         get = self.known.__getitem__
-        return [h if x is None else h + b"".join(map(get, x[1:])) for h, x in zip(heads, split, strict=True)]
+        return [h if w else h + b"".join(map(get, x[1:])) for h, x, w in zip(heads, split, whole, strict=True)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker, so that later tasks find its cache filled."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -102,7 +110,7 @@ def _writer(folder: str, tokenizer: str):
         stem = offsets = None
         for batch in _small(batches):
             if stem is None:
-                encode = Encoder(tokenizer)
+                encode = encoder(tokenizer)
                 end = np.array([END_ID], encode.kind).tobytes()
                 files, root = _open(folder)
                 files.create_dir(root, recursive=True)
