@@ -219,3 +219,29 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = linked.join(least, "root").select("doc_id", "n_shingles", "component_id")
     return found.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The rows of docs without near copies: of each component that of the smallest doc_id; rows without a word stay.
+
+    Rows of the same doc_id and set are copies, too. Where a component has no doc_id but null, one row of that stays.
+    """
+    sets = document_sets(docs, width, percent)
+    roots = similar_components(docs, sets, width, percent)
+    rows = sets.filter("n_shingles > 0").select("doc_id", "p", "q", "n_shingles").join(roots, ["p", "q", "n_shingles"])
+    # ties of the doc_id, that is other texts under it in one component, fall to the least fingerprint
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("p"), F.col("q"))).alias("first")
+    chosen = stored(rows.groupBy("root").agg(first).select("first.doc_id", "first.p", "first.q").withColumn("chosen", F.lit(True)), "chosen")
+    keyed = with_python(docs, ["text"], docs.columns, "_n long, _p long, _q long", lambda: _keys(width))
+    picked = keyed.join(chosen.select(F.col("doc_id").alias("_doc"), F.col("p").alias("_p1"), F.col("q").alias("_q1")), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_p") == F.col("_p1")) & (F.col("_q") == F.col("_q1")), "left_semi")
+    words = picked.dropDuplicates(["doc_id", "_p", "_q"]) if sets.count() > sets.select("doc_id", "p", "q").distinct().count() else picked
+    return words.select(*docs.columns).unionByName(keyed.filter("_n = 0").select(*docs.columns))
+
+
+def _keys(width: int) -> Callable:
+    def make(texts: list[str | None]) -> list[list]:
+        found = [shingles(t, width) for t in texts]
+        prints = [_fingerprints(f) if len(f) else [0, 0] for f in found]
+        return [[len(f) for f in found], [p for p, _ in prints], [q for _, q in prints]]
+
+    return make

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixlens.llm import decontaminate, jaccard, language, mixing, quality, secrets, substrings, token_files, urls
+from mixlens.llm import decontaminate, extraction, jaccard, language, mixing, quality, secrets, substrings, token_files, urls
 from mixlens.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_windows", "n_found", "coverage")
 
@@ -52,5 +56,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_source_mix, op4_url_filter, op5_language_id, op6_token_files, op8_decontamination, op9_secret_scan, op10_ngram_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_source_mix, op4_url_filter, op5_language_id, op6_token_files, op7_html_extraction, op8_decontamination, op9_secret_scan, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {"op3_source_mix": mixing.MIX_SQL, "op4_url_filter": urls.URLS_SQL}
