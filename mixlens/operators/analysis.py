@@ -42,7 +42,7 @@ def robustness(levels: DataFrame, details: DataFrame) -> DataFrame:
     """100 less the mean drop rate, 0 at least; 100 for a model without rates. Rises above 100 if scores rise."""
     means = details.groupBy("model").agg(F.avg("pdr").alias("mean_pdr"))
     models = levels.select("model").distinct()
-    return models.join(means, "model", "left").select("model", F.coalesce(F.greatest(F.lit(0.0), 100 - F.col("mean_pdr")), F.lit(100.0)).alias("robustness_score"))
+    return models.join(means, "model", "left").select("model", F.greatest(F.lit(0.0), 100 - F.coalesce("mean_pdr", F.lit(0.0))).alias("robustness_score"))
 
 
 def worst_and_mean(levels: DataFrame, metric: str = "combined_score") -> DataFrame:

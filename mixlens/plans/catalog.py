@@ -75,7 +75,7 @@ def pdr_by_level_composite(spark: SparkSession, d: str) -> DataFrame:
     return A.pdr_by_level(A.pdr_details(A.level_scores(P.numeric_rows(spark, d)), metric="combined_score")).withColumn("pdr", r6("pdr"))
 
 
-_ROBUST = f"rb AS (SELECT model, {s6('coalesce(greatest(0, 100 - avg(pdr)), 100)')} AS robustness_score FROM (SELECT DISTINCT model FROM lv) LEFT JOIN pd USING (model) GROUP BY model)"
+_ROBUST = f"rb AS (SELECT model, {s6('greatest(0, 100 - coalesce(avg(pdr), 0))')} AS robustness_score FROM (SELECT DISTINCT model FROM lv) LEFT JOIN pd USING (model) GROUP BY model)"
 
 
 @query(f"WITH {P.NUMERIC}, {_ROBUST} SELECT * FROM rb")
