@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixlens.llm.common import WORD, ship, stored, with_python
@@ -120,24 +120,27 @@ def references(measured: DataFrame) -> DataFrame:
     return whole.select(F.col("lang").alias("_lang"), F.slice("n", 1, len(CLASSES)).alias("ref_chars"), F.slice("n", len(CLASSES) + 1, N_WORDS).alias("ref_words"))
 
 
-def total(histogram: Column) -> Column:
-    return F.aggregate(histogram, F.lit(0).cast("long"), lambda a, x: a + x)
+def distances(rows: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance, from 0 to 1, of each row's histogram to the same row's reference; nan if either is empty."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, q = (x / x.sum(axis=1, keepdims=True) for x in (rows, references))
+        both = (p + q) / 2
+        parts = [np.where(x > 0, x * np.log2(x / both), 0.0) for x in (p, q)]
+        empty = (rows.sum(axis=1) == 0) | (references.sum(axis=1) == 0)
+        return np.where(empty, np.nan, np.sqrt(np.maximum(0.0, sum(parts).sum(axis=1) / 2)))
 
 
-def distance(one: Column, two: Column) -> Column:
-    """Jensen-Shannon distance of two histograms, from 0 to 1; null if either is empty."""
-
-    def part(p: Column, m: Column) -> Column:
-        return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-
-    p_total, q_total = total(one), total(two)
-
-    def term(x: Column, y: Column) -> Column:
-        p, q = x / p_total, y / q_total
-        return part(p, (p + q) / 2) + part(q, (p + q) / 2)
-
-    divergence = F.aggregate(F.zip_with(one, two, term), F.lit(0.0), lambda a, x: a + x) / 2
-    return F.when((p_total > 0) & (q_total > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
+def _judged(chars: list, words: list, ref_chars: list, ref_words: list) -> list[list]:
+    """Distances of a batch, null where a text or its reference is too short."""
+    none = ([0] * len(CLASSES), [0] * N_WORDS)
+    of = [np.array([x or none[k % 2] for x in column], float) for k, column in enumerate((chars, words, ref_chars, ref_words))]
+    able = of[2].sum(axis=1) >= MIN_REFERENCE
+    out = []
+    for rows, references, least in ((of[0], of[2], MIN_CHARS_JUDGED), (of[1], of[3], MIN_WORDS_JUDGED)):
+        found = distances(rows, references)
+        usable = able & (rows.sum(axis=1) >= least) & ~np.isnan(found)
+        out.append([float(x) if ok else None for x, ok in zip(found, usable, strict=True)])
+    return out
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -145,9 +148,8 @@ def judge(docs: DataFrame) -> DataFrame:
     measured = stored(measure(docs, ["doc_id", "lang"]), "quality-measured")
     refs = references(measured)
     joined = measured.join(refs, measured["lang"].cast("string").eqNullSafe(refs["_lang"]), "left")
-    able = F.coalesce(total(F.col("ref_chars")) >= MIN_REFERENCE, F.lit(False))
-    chars = F.when(able & (total(F.col("chars")) >= MIN_CHARS_JUDGED), distance(F.col("chars"), F.col("ref_chars")))
-    words = F.when(able & (total(F.col("words")) >= MIN_WORDS_JUDGED), distance(F.col("words"), F.col("ref_words")))
-    kept = ~F.col("base_failed") & F.coalesce(chars <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(words <= MAX_WORD_DISTANCE, F.lit(True))
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return joined.select("doc_id", "lang", *figures, chars.alias("char_distance"), words.alias("word_distance"), kept.alias("kept"))
+    inputs = ["chars", "words", "ref_chars", "ref_words"]
+    judged = with_python(joined, inputs, ["doc_id", "lang", *figures], "char_distance double, word_distance double", lambda: _judged, rows=2048)
+    near = [F.coalesce(F.col(c) <= most, F.lit(True)) for c, most in (("char_distance", MAX_CHAR_DISTANCE), ("word_distance", MAX_WORD_DISTANCE))]
+    return judged.withColumn("kept", ~F.col("base_failed") & near[0] & near[1])
