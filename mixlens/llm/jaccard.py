@@ -2,15 +2,17 @@
 
 A document's set holds the hashes of its distinct shingles. Documents with the same set are one. Shingles are ordered
 rare first, by a count sketch of fixed size over all documents; sets that reach the wanted similarity share a shingle in
-their prefixes. Sets with the same prefix and size form a group.
+their prefixes. Sets of one size with the same prefix, and the same shingles for a stretch behind it, form a group.
 
-1. Each prefix shingle links its groups to a pivot among those of about their size, and each group its sets to one of
-   them; the links are verified on the sets, and the verified ones give first components.
+1. Each group pairs its sets with one of them, and each prefix shingle its groups with a few pivots among those of about
+   their size. The pairs are verified on whole sets; verified ones make components. This repeats with other pivots for
+   shingles whose groups still lie in several components.
 2. Of the rest, only pairs of groups that share a prefix shingle, pass the size and position filters and lie in
-   different components can change the result. Those are expanded to their sets and verified.
+   different components can change the result. Those are expanded to their sets and all verified.
 
-So a group of near copies costs links in proportion to its size, and no link between components is lost. Sets of so few
-shingles that only an equal one is similar enough take no part in the join.
+So copies that link to a pivot cost pairs in proportion to their number, and no link between components is lost; what is
+just below the limit, and so in components of its own, is compared pair by pair. Sets of so few shingles that only an
+equal one is similar enough take no part in the join.
 
 Null text, and text without a word, has an empty set and is linked with nothing. Text with fewer words than a shingle is
 one shingle. Documents with the same doc_id are told apart by their sets; a null doc_id is never the smallest unless all
@@ -32,8 +34,18 @@ from mixlens.llm.hashing import mixed, window_hashes, word_hashes
 
 WIDTH = 3
 PERCENT = 90
-#: Counters of the sketch: 65,536, whatever the input.
-SKETCH_BITS = 16
+#: Rounds of pairs with pivots before all that is left is compared, and pivots of a shingle and size in a round.
+ROUNDS = 2
+PIVOTS = 4
+#: 64-bit words of a prefix's signature, in which each shingle sets a bit.
+SIGNATURE = 8
+MARKS = [f"s{k}" for k in range(SIGNATURE)]
+#: The signature covers this many times the prefix: what a pair does not share is rare, and so lies in front.
+STRETCH = 4
+#: What a posting knows of its group.
+GROUP = ["n", "far", *MARKS]
+#: Counters of the sketch: 262,144, whatever the input.
+SKETCH_BITS = 18
 _LOW = np.uint64((1 << (64 - SKETCH_BITS)) - 1)
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 
@@ -63,8 +75,9 @@ def _sketcher(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                counts += np.bincount((shingles(text.as_py(), width) >> _SHIFT).astype(np.int64), minlength=1 << SKETCH_BITS)
+            for low in range(0, batch.num_rows, 256):
+                found = [shingles(t, width) for t in batch.column(0).slice(low, 256).to_pylist()]
+                counts += np.bincount((np.concatenate(found) >> _SHIFT).astype(np.int64), minlength=1 << SKETCH_BITS)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
 
@@ -72,7 +85,7 @@ def _sketcher(width: int) -> Callable:
 
 
 def shingle_ranks(docs: DataFrame, width: int) -> np.ndarray:
-    """For each cell of the sketch its place when cells are ordered by count; the driver gets at most 65,536 rows."""
+    """For each cell of the sketch its place when cells are ordered by count; the driver gets at most 262,144 rows."""
     counts = docs.select("text").mapInArrow(_sketcher(width), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     order = np.zeros(1 << SKETCH_BITS, np.int64)
     for row in counts.collect():
@@ -83,7 +96,7 @@ def shingle_ranks(docs: DataFrame, width: int) -> np.ndarray:
 
 
 class _Sets:
-    """Size, two fingerprints of the set, two of the prefix, and the prefix, rare shingles first."""
+    """Size, two fingerprints of the set, two of the front part, the prefix, rare shingles first, its last one, the last of the front part and its signature."""
 
     def __init__(self, ranks: np.ndarray, width: int, percent: int) -> None:
         self.ranks, self.width, self.percent = ranks, width, percent
@@ -91,35 +104,50 @@ class _Sets:
     def one(self, text: str | None) -> tuple:
         found = shingles(text, self.width)
         n = len(found)
-        if not n:
-            return 0, 0, 0, 0, 0, []
         if n < smallest(self.percent):
-            return n, *_fingerprints(found), 0, 0, []
+            return n, *(_fingerprints(found) if n else (0, 0)), 0, 0, [], *[0] * (2 + SIGNATURE)
         size = n - _least(n, self.percent) + 1
         keys = (self.ranks[(found >> _SHIFT).astype(np.int64)] << _SHIFT) | (found & _LOW)
         prefix = np.sort(np.partition(keys, size - 1)[:size])
-        return n, *_fingerprints(found), *_fingerprints(prefix), prefix.view(np.int64).tolist()
+        front = np.partition(keys, min(n, STRETCH * size) - 1)[: STRETCH * size]
+        bits = mixed(front) % np.uint64(64 * SIGNATURE)
+        marks = np.zeros(SIGNATURE, np.uint64)
+        np.bitwise_or.at(marks, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
+        ends = np.array([prefix[-1], front.max()], np.uint64) ^ np.uint64(1 << 63)  # signed numbers in the order of the keys
+        return n, *_fingerprints(found), *_fingerprints(front), prefix.view(np.int64).tolist(), *ends.view(np.int64).tolist(), *marks.view(np.int64).tolist()
 
     def __call__(self, texts: list[str | None]) -> list[list]:
         return [list(x) for x in zip(*map(self.one, texts), strict=True)]
 
 
 def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprints p and q, those of the prefix, and the prefix itself; stored."""
+    """doc_id, n_shingles, the set's fingerprints p and q, those of the front part, and the prefix itself; stored."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(shingle_ranks(docs, width))
-    columns = "n_shingles long, p long, q long, prefix_p long, prefix_q long, prefix array<long>"
+    columns = "n_shingles long, p long, q long, front_p long, front_q long, prefix array<long>, last long, far long, " + ", ".join(f"{c} long" for c in MARKS)
     return stored(with_python(docs.select("doc_id", "text"), ["text"], ["doc_id"], columns, lambda: _Sets(shared.value, width, percent)), "sets")
 
 
-def _pair_filter(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -> Column:
-    """Whether two sets of these sizes can be similar enough if their first common shingle has these places.
+def _pair_filter(one: Callable[[str], Column], two: Callable[[str], Column], percent: int) -> Column:
+    """Whether two sets can be similar enough, from what their postings of a common shingle say.
 
-    The overlap must reach percent / (100 + percent) of both sizes together.
+    The overlap must reach percent / (100 + percent) of both sizes together. It is at most what follows the shingle in
+    either set, if that is their first in common. The front part that ends first is known to both: its shingles that the
+    other front part lacks are not in the other set, and bits that only its signature has count some of them.
     """
-    rest = F.least(n1 - at1, n2 - at2)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (rest * (100 + percent) >= percent * (n1 + n2))
+    n1, n2 = one("n"), two("n")
+    wanted = percent * (n1 + n2)
+    rest = F.least(n1 - one("at"), n2 - two("at"))
+
+    def alone(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+        total = F.lit(0)
+        for c in MARKS:
+            total = total + F.bit_count(x(c).bitwiseAND(F.bitwise_not(y(c))))
+        return total
+
+    most = F.when(one("far") <= two("far"), n1 - alone(one, two)).otherwise(n2 - alone(two, one))
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (rest * (100 + percent) >= wanted) & (most * (100 + percent) >= wanted)
 
 
 def _verifier(percent: int) -> Callable:
@@ -140,11 +168,47 @@ def _verifier(percent: int) -> Callable:
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of sets that are similar enough, counted on the whole sets."""
-    one = sets.select(F.col("id").alias("a"), F.col("members").alias("set_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("members").alias("set_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a long, b long")
+class WholeSets:
+    """Whole sets of the documents asked for so far, made again from their texts and kept as tables."""
+
+    def __init__(self, docs: DataFrame, members: DataFrame, prefixes: DataFrame, width: int, percent: int) -> None:
+        self.docs, self.members, self.prefixes, self.width, self.percent = docs.select("doc_id", "text"), members, prefixes, width, percent
+        self.known: DataFrame | None = None
+
+    def fetch(self, pairs: DataFrame) -> None:
+        asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        if self.known is not None:
+            asked = asked.join(self.known.select("id"), "id", "left_anti")
+        needed = stored(self.members.join(asked, "id").select("id", F.col("doc_id").alias("_doc"), "p", "q"), "needed")
+        count = needed.count()
+        if not count:
+            return
+        texts = self.docs.join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")))
+        width = self.width
+        made = stored(with_python(texts, ["text", "p", "q"], ["id"], "members binary", lambda: _own_set(width)).filter("members IS NOT NULL"), "whole-sets")
+        if made.count() > count:  # repeated rows
+            made = stored(made.groupBy("id").agg(F.first("members").alias("members")), "whole-sets")
+        self.known = made if self.known is None else self.known.unionByName(made)
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose whole prefixes have enough in common: the bound of _pair_filter, without its signatures."""
+        one, two = (self.prefixes.select(*(F.col(c).alias(f"{c}_{k}") for c in self.prefixes.columns)) for k in "ab")
+        both = pairs.select("a", "b").join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
+        common = F.size(F.array_intersect("prefix_a", "prefix_b"))
+        most = [F.col(f"n_{k}") - F.size(f"prefix_{k}") + common for k in "ab"]
+        bound = F.when(F.col("last_a") <= F.col("last_b"), most[0]).otherwise(most[1])
+        return both.filter(bound * (100 + self.percent) >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) of sets that are similar enough, counted on the whole sets; stored."""
+        pairs = stored(self.possible(pairs), "possible-pairs")
+        self.fetch(pairs)
+        if self.known is None:
+            return pairs.limit(0)
+        one = self.known.select(F.col("id").alias("a"), F.col("members").alias("set_a"))
+        two = self.known.select(F.col("id").alias("b"), F.col("members").alias("set_b"))
+        both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
+        return stored(both.mapInArrow(_verifier(self.percent), "a long, b long"), "links")
 
 
 def _fingerprints(found: np.ndarray) -> list[int]:
@@ -168,48 +232,66 @@ def _own_set(width: int) -> Callable:
 def similar_components(docs: DataFrame, sets: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """p, q, n_shingles of each distinct set, and root: one value for the sets of a component; stored."""
     # a third of all rows may be one set: summed before the shuffle
-    distinct = sets.filter("n_shingles > 0").groupBy("p", "q", "n_shingles").agg(F.first("prefix_p").alias("prefix_p"), F.first("prefix_q").alias("prefix_q"), F.min("doc_id").alias("doc_id"))
+    same = ["front_p", "front_q", "prefix", "last", "far", *MARKS]
+    distinct = sets.filter("n_shingles > 0").groupBy("p", "q", "n_shingles").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in same))
     ids = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "set-ids")
     large = ids.filter(F.col("n_shingles") >= smallest(percent))
-    key = ["prefix_p", "prefix_q", "n_shingles"]
+    key = ["front_p", "front_q", "n_shingles"]
     groups = large.groupBy(*key).agg(F.min("id").alias("group"), F.count("*").alias("size"))
-    one_each = sets.filter(F.col("n_shingles") >= smallest(percent)).groupBy(*key).agg(F.first("prefix").alias("prefix"))
-    postings = one_each.join(groups, key).select("group", "size", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "token"))
+    # the least set stands for its group
+    heads = large.join(groups.select(F.col("group").alias("id"), "group", "size"), "id")
+    postings = heads.select("group", "size", F.col("n_shingles").alias("n"), "far", *MARKS, F.posexplode("prefix").alias("at", "token"))
     postings = stored(postings, "postings")
     common = postings.groupBy("token").agg(F.sum("size").alias("k")).filter("k > 1").select("token")
     shared = stored(postings.join(common, "token").drop("size"), "shared-postings")
     members = stored(large.join(groups, key).select("id", "group", "doc_id", "p", "q"), "group-members")
 
-    # 1: sizes within one band are similar enough to be compared; pairs across bands are left to step 2
-    banded = shared.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))))
-    pivots = banded.groupBy("token", "band").agg(F.min(F.struct("group", "n", "at")).alias("pivot"))
-    near = _pair_filter(F.col("n"), F.col("at"), F.col("pivot.n"), F.col("pivot.at"), percent) & (F.col("group") != F.col("pivot.group"))
-    stars = banded.join(pivots, ["token", "band"]).filter(near).select(F.col("group").alias("a"), F.col("pivot.group").alias("b"))
-    inner = members.filter("id <> group").select(F.col("id").alias("a"), F.col("group").alias("b"))
-    first = stored(stars.unionByName(inner).distinct(), "first-pairs")
-    # whole sets are made again for those only that share a prefix shingle
-    needed = stored(members.join(shared.select("group").distinct(), "group").select("id", F.col("doc_id").alias("_doc"), "p", "q"), "needed")
-    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    whole = stored(with_python(texts, ["text", "p", "q"], ["id"], "members binary", lambda: _own_set(width)).filter("members IS NOT NULL"), "whole-sets")
-    if whole.count() > needed.count():  # repeated rows
-        whole = stored(whole.groupBy("id").agg(F.first("members").alias("members")), "whole-sets")
-    links = stored(verified(first, whole, percent), "first-links")
-    roots = components(links, "first-components")
-    rooted = stored(members.join(roots, members["id"] == roots["vertex"], "left").select("group", "id", F.coalesce("root", "id").alias("root")), "first-roots")
-
-    # 2: a group stands once for each component that its sets lie in
-    spread = shared.join(rooted.select("group", "root").distinct(), "group")
-    open_tokens = spread.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    left = stored(spread.join(open_tokens, "token"), "open-postings")
-    x, y = (left.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("group", "n", "at", "root"))) for k in (1, 2))
-    fits = (F.col("root1") < F.col("root2")) & _pair_filter(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent)
-    across = x.join(y, "token").filter(fits).select("group1", "root1", "group2", "root2").distinct()
-    a, b = (rooted.select(F.col("group").alias(f"group{k}"), F.col("root").alias(f"root{k}"), F.col("id").alias(c)) for k, c in ((1, "a"), (2, "b")))
-    second = across.join(a, ["group1", "root1"]).join(b, ["group2", "root2"]).select("a", "b")
-    final = components(links.unionByName(verified(second, whole, percent)), "components")
+    prefixes = large.select("id", F.col("n_shingles").alias("n"), "last", "prefix")
+    sets_of = WholeSets(docs, members, prefixes, width, percent)
+    rooted = members.select("id", "group", F.col("id").alias("root"))
+    links = members.filter("id <> group").select(F.col("id").alias("a"), F.col("group").alias("b"))
+    links = sets_of.linked(stored(links, "inner-pairs"))
+
+    # 1: pairs with pivots; what they leave apart comes again with other pivots
+    for turn in range(ROUNDS):
+        open_rows = _open_rows(shared, rooted)
+        links = links.unionByName(sets_of.linked(stored(_pivot_pairs(open_rows, percent, turn), "pivot-pairs")))
+        roots = components(links, "components")
+        rooted = stored(members.join(roots, members["id"] == roots["vertex"], "left").select("id", "group", F.coalesce("root", "id").alias("root")), "roots")
+
+    # 2: every pair that is left across components
+    left = stored(_open_rows(shared, rooted), "open-postings")
+    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "at", "root", *GROUP))) for k in (1, 2))
+    fits = (F.col("root_1") < F.col("root_2")) & _pair_filter(lambda c: F.col(f"{c}_1"), lambda c: F.col(f"{c}_2"), percent)
+    across = x.join(y, "token").filter(fits).select("group_1", "root_1", "group_2", "root_2").distinct()
+    a, b = (rooted.select(F.col("group").alias(f"group_{k}"), F.col("root").alias(f"root_{k}"), F.col("id").alias(c)) for k, c in ((1, "a"), (2, "b")))
+    second = stored(across.join(a, ["group_1", "root_1"]).join(b, ["group_2", "root_2"]).select("a", "b"), "pairs-across")
+    final = components(links.unionByName(sets_of.linked(second)), "components")
     return stored(ids.join(final, ids["id"] == final["vertex"], "left").select("p", "q", "n_shingles", F.coalesce("root", "id").alias("root")), "set-roots")
 
 
+def _open_rows(shared: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Postings of shingles whose groups lie in several components: a row for each component of a group, with one set."""
+    parts = rooted.groupBy("group", "root").agg(F.min("id").alias("id"))
+    spread = shared.join(parts, "group")
+    tokens = spread.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    return spread.join(tokens, "token")
+
+
+def _pivot_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of each set with a few pivots of each of its shingles, of about its size and in another component.
+
+    Pivots are least by hash functions, so sets with the same shingles share them, and each turn has others.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + turn / ROUNDS)
+    banded = rows.withColumn("band", band)
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * turn + k), F.col("group")).alias("h"), "id", "root", "at", *GROUP)).alias(f"v{k}") for k in range(PIVOTS)]
+    pivots = banded.groupBy("token", "band").agg(*drawn).select("token", "band", F.explode(F.array_distinct(F.array(*(f"v{k}" for k in range(PIVOTS))))).alias("v"))
+    near = _pair_filter(F.col, lambda c: F.col(f"v.{c}"), percent) & (F.col("root") != F.col("v.root"))
+    met = banded.join(pivots, ["token", "band"]).filter(near)
+    return met.select(F.greatest("id", "v.id").alias("a"), F.least("id", "v.id").alias("b")).distinct()
+
+
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
     sets = document_sets(docs, width, percent)
