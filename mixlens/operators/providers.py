@@ -129,3 +129,15 @@ def rewrite_levels(rows: DataFrame, text: str, key: str, seed: int = 42) -> Data
     swaps = [("unduh", "download"), ("unggah", "upload"), ("surel", "email"), ("daring", "online")]
     level_1 = R.lexicon_rewrite(F.col(text), None, swaps)
     return rows.withColumns(dict(zip(V.LEVELS, (F.col(text), level_1, R.level_2(F.col(text), F.col(key), seed), R.level_3(F.col(text), F.col(key), seed)), strict=True)))
+
+
+def probe(models: DataFrame, make: Callable[[str], Generator], prompt: str = "ping") -> DataFrame:
+    """name, model_id, ok, latency_ms and detail of one call to each model of a registry."""
+    ship(models.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [call(make(m), prompt, retries=1) for m in frame["model_id"]]
+            yield frame[["name", "model_id"]].assign(ok=[r[1] for r in rows], latency_ms=[r[3] for r in rows], detail=[r[4] for r in rows])
+
+    return models.select("name", "model_id").mapInPandas(run, "name string, model_id string, ok boolean, latency_ms long, detail string")
