@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import re
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from mixlens.shipping import ship
+
 #: A word is a run of characters other than the ASCII white space of the contracts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
@@ -53,6 +53,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    # shuffle files of finished stages go when the driver's JVM finds them unreachable, which else may take half an hour
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,22 +67,6 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, so that Python workers import it by name."""
-    context = spark.sparkContext
-    if getattr(context, "_mixlens_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="mixlens-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = os.path.join(folder, "mixlens.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(archive)
-    context._mixlens_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

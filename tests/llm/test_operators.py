@@ -421,6 +421,18 @@ def test_components_of_near_copies(spark):
     assert got == plain_components(rows, 3, 80)
 
 
+def test_components_where_only_common_shingles_differ(spark):
+    """Sets that share all rare shingles, and so their prefixes, but not their common ones."""
+    r = random.Random(13)
+    common = [f"c{k}" for k in range(12)]
+    rows = [(k, " ".join(r.choice(common) for _ in range(40))) for k in range(300)]
+    rare = " ".join(f"r{k}" for k in range(30))
+    rows += [(300 + k, rare + " " + " ".join(r.choice(common[:2]) for _ in range(r.choice([3, 5, 8])))) for k in range(80)]
+    for percent in (80, 90):
+        got = sorted(map(tuple, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).collect()), key=str)
+        assert got == plain_components(rows, 3, percent)
+
+
 def test_components_odd(spark, odd, none):
     rows = [(r[0], r[1]) for r in odd_rows()]
     got = sorted(map(tuple, jaccard.join(clashing(odd)).collect()), key=str)
