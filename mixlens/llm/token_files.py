@@ -31,7 +31,9 @@ from mixlens.llm.common import scratch, ship, stored
 
 END_ID = 2
 #: Units of text whose ids a worker keeps.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1_000_000
+#: Marks that a byte-level word splitter always cuts off behind a letter or digit, as one piece.
+MARKS = ".,;:!?%*$&#|)"
 MANIFEST = "part long, path string, width int, n_docs long, n_ids long"
 
 class Encoder:
@@ -48,6 +50,7 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
@@ -59,29 +62,52 @@ class Encoder:
 
     def learn(self, units: list[str]) -> None:
         """Encode units in one text. A token with a leading blank starts a unit, as no unit holds a blank."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids)
-        at = np.flatnonzero(self.opens[ids])
+        if not units:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, np.int64)
+        at = np.flatnonzero(self.opens[ids]) * self.width
         if len(at) != len(units):  # a tokenizer that joins or splits otherwise
             self.known.update(zip(units, self.packed([" " + u for u in units]), strict=True))
             return
-        raw, w = ids.astype(self.kind).tobytes(), self.width
-        ends = [*(at[1:] * w).tolist(), len(raw)]
-        self.known.update((u, raw[i:j]) for u, i, j in zip(units, (at * w).tolist(), ends, strict=True))
+        raw, starts = ids.astype(self.kind).tobytes(), at.tolist()
+        self.known.update(zip(units, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
+
+    def add(self, alone: set[str], others: set[str]) -> None:
+        """Learn units: words of letters alone, and others.
+
+        A letter or digit before closing marks ends a piece, so that stems and marks are learnt apart.
+        """
+        marked = []
+        for u in others:
+            stem = u.rstrip(MARKS)
+            if len(stem) < len(u) and stem and (stem[-1].isalpha() or stem[-1].isdecimal()):
+                marked.append((u, stem, u[len(stem) :]))
+                alone.add(stem)
+            else:
+                alone.add(u)
+        self.learn(list(alone.difference(self.known)))
+        fresh = list({m for _, _, m in marked}.difference(self.marks))
+        self.marks.update(zip(fresh, self.packed(fresh), strict=True))
+        self.known.update((u, self.known[stem] + self.marks[m]) for u, stem, m in marked)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        units = {u for x in split for u in x[1:]}
+        heads = [x.pop(0) for x in split]
+        units = set().union(*split)
         new = units.difference(self.known)
+        letters = set(filter(str.isalpha, new))
+        new -= letters
         joined = {u for u in new if not u or u[0].isspace() or u[-1].isspace()}
         new -= joined
-        whole = [x[0][-1:].isspace() or not joined.isdisjoint(x[1:]) for x in split]
-        if len(self.known) + len(new) > CACHE_UNITS:
+        whole = [h[-1:].isspace() or bool(joined) and not joined.isdisjoint(x) for h, x in zip(heads, split, strict=True)]
+        if len(self.known) + len(new) + len(letters) > CACHE_UNITS:
             self.known = {u: self.known[u] for u in units.intersection(self.known)}
-        if new:
-            self.learn(list(new))
-        heads = self.packed([t if w else x[0] for t, x, w in zip(texts, split, whole, strict=True)])
+            self.marks = {}
+        if new or letters:
+            self.add(letters, new)
+        first = self.packed([t if w else h for t, h, w in zip(texts, heads, whole, strict=True)])
         get = self.known.__getitem__
-        return [h if w else h + b"".join(map(get, x[1:])) for h, x, w in zip(heads, split, whole, strict=True)]
+        return [f if w else f + b"".join(map(get, x)) for f, x, w in zip(first, split, whole, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -98,7 +124,7 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
