@@ -42,8 +42,6 @@ SIGNATURE = 8
 MARKS = [f"s{k}" for k in range(SIGNATURE)]
 #: The signature covers this many times the prefix: what a pair does not share is rare, and so lies in front.
 STRETCH = 4
-#: What a posting knows of its group.
-GROUP = ["n", "far", *MARKS]
 #: Counters of the sketch: 262,144, whatever the input.
 SKETCH_BITS = 18
 _LOW = np.uint64((1 << (64 - SKETCH_BITS)) - 1)
@@ -130,15 +128,22 @@ def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
 
 
 def _pair_filter(one: Callable[[str], Column], two: Callable[[str], Column], percent: int) -> Column:
-    """Whether two sets can be similar enough, from what their postings of a common shingle say.
+    """Whether two sets can be similar enough, from the places of a common shingle and their sizes.
 
-    The overlap must reach percent / (100 + percent) of both sizes together. It is at most what follows the shingle in
-    either set, if that is their first in common. The front part that ends first is known to both: its shingles that the
-    other front part lacks are not in the other set, and bits that only its signature has count some of them.
+    The overlap must reach percent / (100 + percent) of both sizes together; it is at most what follows the shingle in
+    either set, if that is their first in common.
     """
     n1, n2 = one("n"), two("n")
-    wanted = percent * (n1 + n2)
     rest = F.least(n1 - one("at"), n2 - two("at"))
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (rest * (100 + percent) >= percent * (n1 + n2))
+
+
+def _signature_filter(one: Callable[[str], Column], two: Callable[[str], Column], percent: int) -> Column:
+    """Whether two sets can be similar enough, from their signatures.
+
+    The front part that ends first is known to both: its shingles that the other front part lacks are not in the other
+    set, and bits that only its signature has count some of them.
+    """
 
     def alone(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
         total = F.lit(0)
@@ -146,8 +151,8 @@ def _pair_filter(one: Callable[[str], Column], two: Callable[[str], Column], per
             total = total + F.bit_count(x(c).bitwiseAND(F.bitwise_not(y(c))))
         return total
 
-    most = F.when(one("far") <= two("far"), n1 - alone(one, two)).otherwise(n2 - alone(two, one))
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (rest * (100 + percent) >= wanted) & (most * (100 + percent) >= wanted)
+    most = F.when(one("far") <= two("far"), one("n") - alone(one, two)).otherwise(two("n") - alone(two, one))
+    return most * (100 + percent) >= percent * (one("n") + two("n"))
 
 
 def _verifier(percent: int) -> Callable:
@@ -240,7 +245,7 @@ def similar_components(docs: DataFrame, sets: DataFrame, width: int = WIDTH, per
     groups = large.groupBy(*key).agg(F.min("id").alias("group"), F.count("*").alias("size"))
     # the least set stands for its group
     heads = large.join(groups.select(F.col("group").alias("id"), "group", "size"), "id")
-    postings = heads.select("group", "size", F.col("n_shingles").alias("n"), "far", *MARKS, F.posexplode("prefix").alias("at", "token"))
+    postings = heads.select("group", "size", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "token"))
     postings = stored(postings, "postings")
     common = postings.groupBy("token").agg(F.sum("size").alias("k")).filter("k > 1").select("token")
     shared = stored(postings.join(common, "token").drop("size"), "shared-postings")
@@ -260,9 +265,11 @@ def similar_components(docs: DataFrame, sets: DataFrame, width: int = WIDTH, per
         rooted = stored(members.join(roots, members["id"] == roots["vertex"], "left").select("id", "group", F.coalesce("root", "id").alias("root")), "roots")
 
     # 2: every pair that is left across components
-    left = stored(_open_rows(shared, rooted), "open-postings")
-    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "at", "root", *GROUP))) for k in (1, 2))
-    fits = (F.col("root_1") < F.col("root_2")) & _pair_filter(lambda c: F.col(f"{c}_1"), lambda c: F.col(f"{c}_2"), percent)
+    signed = heads.select("group", "far", *MARKS)
+    left = stored(_open_rows(shared, rooted).join(signed, "group"), "open-postings")
+    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "n", "at", "root", "far", *MARKS))) for k in (1, 2))
+    of_1, of_2 = (lambda c: F.col(f"{c}_1")), (lambda c: F.col(f"{c}_2"))
+    fits = (F.col("root_1") < F.col("root_2")) & _pair_filter(of_1, of_2, percent) & _signature_filter(of_1, of_2, percent)
     across = x.join(y, "token").filter(fits).select("group_1", "root_1", "group_2", "root_2").distinct()
     a, b = (rooted.select(F.col("group").alias(f"group_{k}"), F.col("root").alias(f"root_{k}"), F.col("id").alias(c)) for k, c in ((1, "a"), (2, "b")))
     second = stored(across.join(a, ["group_1", "root_1"]).join(b, ["group_2", "root_2"]).select("a", "b"), "pairs-across")
@@ -285,7 +292,7 @@ def _pivot_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + turn / ROUNDS)
     banded = rows.withColumn("band", band)
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * turn + k), F.col("group")).alias("h"), "id", "root", "at", *GROUP)).alias(f"v{k}") for k in range(PIVOTS)]
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * turn + k), F.col("group")).alias("h"), "id", "root", "n", "at")).alias(f"v{k}") for k in range(PIVOTS)]
     pivots = banded.groupBy("token", "band").agg(*drawn).select("token", "band", F.explode(F.array_distinct(F.array(*(f"v{k}" for k in range(PIVOTS))))).alias("v"))
     near = _pair_filter(F.col, lambda c: F.col(f"v.{c}"), percent) & (F.col("root") != F.col("v.root"))
     met = banded.join(pivots, ["token", "band"]).filter(near)
