@@ -42,6 +42,8 @@ SIGNATURE = 8
 MARKS = [f"s{k}" for k in range(SIGNATURE)]
 #: The signature covers this many times the prefix: what a pair does not share is rare, and so lies in front.
 STRETCH = 4
+#: Bits of the bitmap of doc_ids whose texts are read again.
+FILTER_BITS = 22
 #: Counters of the sketch: 262,144, whatever the input.
 SKETCH_BITS = 18
 _LOW = np.uint64((1 << (64 - SKETCH_BITS)) - 1)
@@ -173,6 +175,18 @@ def _verifier(percent: int) -> Callable:
     return run
 
 
+def _passed(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """Documents that a bitmap over the needed doc_ids passes, so that few other texts are shuffled.
+
+    The bitmap is a table of 2**FILTER_BITS / 64 rows at most, 1 MB, and is broadcast for that bound.
+    """
+    cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), cell(c).bitwiseAND(F.lit(63)).cast("int"))
+    words = needed.groupBy(F.shiftright(cell("_doc"), 6).alias("_word")).agg(F.bit_or(bit("_doc")).alias("_bits"))
+    marked = docs.withColumn("_word", F.shiftright(cell("doc_id"), 6)).join(F.broadcast(words), "_word")
+    return marked.filter(F.col("_bits").bitwiseAND(bit("doc_id")) != 0).select(*docs.columns)
+
+
 class WholeSets:
     """Whole sets of the documents asked for so far, made again from their texts and kept as tables."""
 
@@ -188,7 +202,7 @@ class WholeSets:
         count = needed.count()
         if not count:
             return
-        texts = self.docs.join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")))
+        texts = _passed(self.docs, needed).join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")))
         width = self.width
         made = stored(with_python(texts, ["text", "p", "q"], ["id"], "members binary", lambda: _own_set(width)).filter("members IS NOT NULL"), "whole-sets")
         if made.count() > count:  # repeated rows
