@@ -96,3 +96,15 @@ def with_python(df: DataFrame, inputs: list[str], keep: list[str], added: str, f
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *new.names])
 
     return source.mapInArrow(run, out)
+
+
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What make returns, kept in this worker for later tasks; only the last one asked for stays, so memory is bounded."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -18,19 +18,20 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import with_python
+from mixlens.llm.common import held, with_python
 
 #: Bound of the sample: documents and characters for each language.
 DOCUMENTS = 48
-LETTERS = 60_000
+LETTERS = 40_000
 #: Words whose phrases a worker keeps.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 UNKNOWN = "und"
 #: Below this score, corpus_pipeline takes a document to be of no single language.
 MIN_SCORE = 0.02
@@ -112,12 +113,12 @@ class _Cache(dict):
 
     def __init__(self, automata: list[list[dict[str, int]]]) -> None:
         self.automata = automata
-        self.rows: list[list[int]] = []
+        self.flat = array("i")
 
     def __missing__(self, word: str) -> int:
-        self[word] = k = len(self.rows)
+        self[word] = k = len(self)
         marked = f" {word} "
-        self.rows.append([phrases(a, marked) for a in self.automata])
+        self.flat.extend([phrases(a, marked) for a in self.automata])
         return k
 
 
@@ -132,9 +133,9 @@ class Identifier:
         words = words_of(text or "")
         if not words or not self.names:
             return UNKNOWN, 0.0
-        if len(self.cache.rows) > CACHE_WORDS:
+        if len(self.cache) > CACHE_WORDS:
             self.cache = _Cache(self.automata)
-            self.table = np.empty((0, len(self.names)))
+            self.table = np.empty((0, len(self.names)), np.int32)
         at = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
         counts = self._table()[at].sum(axis=0) * self.factor
         best = int(counts.argmin())
@@ -146,14 +147,11 @@ class Identifier:
     table = np.empty((0, 0))
 
     def _table(self) -> np.ndarray:
-        known = len(self.cache.rows)
+        known = len(self.cache)
         if known > len(self.table):
-            size = max(4096, 2 * known)
-            grown = np.zeros((size, len(self.names)), np.int32)
-            grown[:known] = self.cache.rows
-            self.table, self.filled = grown, known
-        elif known > self.filled:
-            self.table[self.filled : known] = self.cache.rows[self.filled :]
+            self.table, self.filled = np.zeros((max(4096, 2 * known), len(self.names)), np.int32), 0
+        if known > self.filled:
+            self.table[self.filled : known] = np.array(self.cache.flat[self.filled * len(self.names) :], np.int32).reshape(-1, len(self.names))
             self.filled = known
         return self.table
 
@@ -163,19 +161,9 @@ class Identifier:
         return [list(x) for x in zip(*map(self.one, texts), strict=True)]
 
 
-_BUILT: dict[str, Identifier] = {}
-
-
 def _maker(texts) -> Callable[[], Identifier]:  # noqa: ANN001  a broadcast of the samples
     key = uuid.uuid4().hex  # a worker that runs several tasks builds the automata once
-
-    def make() -> Identifier:
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Identifier(texts.value)
-        return _BUILT[key]
-
-    return make
+    return lambda: held(key, lambda: Identifier(texts.value))
 
 
 def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = None) -> DataFrame:

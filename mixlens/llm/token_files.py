@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import scratch, ship, stored
+from mixlens.llm.common import held, scratch, ship, stored
 
 END_ID = 2
 #: Units of text whose ids a worker keeps.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 300_000
 #: Marks that a byte-level word splitter always cuts off behind a letter or digit, as one piece.
 MARKS = ".,;:!?%*$&#|)"
 MANIFEST = "part long, path string, width int, n_docs long, n_ids long"
@@ -110,14 +110,9 @@ class Encoder:
         return [f if w else f + b"".join(map(get, x)) for f, x, w in zip(first, split, whole, strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker, so that later tasks find its cache filled."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
