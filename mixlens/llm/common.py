@@ -89,7 +89,10 @@ def with_python(df: DataFrame, inputs: list[str], keep: list[str], added: str, f
         kinds = to_arrow_schema(new)
         for whole in batches:
             for k in range(0, whole.num_rows, rows):
-                make = make or factory()
+                if make is None:
+                    make = factory()
+                    if make not in _HELD.values():
+                        release()
                 batch = whole.slice(k, rows)
                 made = make(*(batch.column(c).to_pylist() for c in inputs))
                 columns = [batch.column(c) for c in keep] + [pa.array(v, f.type) for v, f in zip(made, kinds, strict=True)]
@@ -108,3 +111,10 @@ def held(key: object, make: Callable[[], object]) -> object:
         gc.collect()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def release() -> None:
+    """Drop what this worker holds of earlier tasks."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import WORD_BYTES, ship, stored, with_python
+from mixlens.llm.common import WORD_BYTES, release, ship, stored, with_python
 from mixlens.llm.components import components
 from mixlens.llm.hashing import mixed, window_hashes, word_hashes
 
@@ -73,6 +73,7 @@ def smallest(percent: int) -> int:
 
 def _sketcher(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
