@@ -3,7 +3,12 @@
 Each document gets a histogram of character classes and one of common words. The references are the sums of these over
 all documents of a language that pass the base rules. A document is dropped if its Jensen-Shannon distance (base 2) to
 its language's reference exceeds the limit for characters or for words. Short texts have ragged histograms, so each
-distance counts only from a minimum length on, and only against references of a minimum length.
+distance counts only from a minimum length on, and only against references of a minimum length; the limits fall with the
+square root of the text's length, as the distances of clean text do.
+
+Letters hide points and symbols in the histogram of classes, so these two, against all other characters, are judged once
+more with a limit of their own. Its reference is summed over the documents that the first two distances leave: junk of
+marks would otherwise move it.
 
 Null and empty text has 0 words and so fails the base rule. A null lang is a language like any other. Repeated rows are
 judged alike and each counts in its reference. No documents give no rows.
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixlens.llm.common import WORD, ship, stored, with_python
@@ -30,8 +35,10 @@ MIN_CHARS_JUDGED = 200
 MIN_WORDS_JUDGED = 100
 #: Characters of a reference.
 MIN_REFERENCE = 20_000
-MAX_CHAR_DISTANCE = 0.28
-MAX_WORD_DISTANCE = 0.45
+#: Limits as (floor, spread): floor + spread / sqrt(characters or words of the text). Measured on sf0.1, see README.
+CHAR_LIMIT = (0.15, 2.0)
+WORD_LIMIT = (0.15, 1.5)
+MAX_MARK_DISTANCE = 0.12
 
 #: Frequent function words of English, French, German and Spanish.
 COMMON_WORDS = """
@@ -143,13 +150,38 @@ def _judged(chars: list, words: list, ref_chars: list, ref_words: list) -> list[
     return out
 
 
+def _marks(measured: DataFrame) -> DataFrame:
+    """Add marks: points, symbols and all other characters of each text."""
+    point, symbol = (F.element_at("chars", CLASSES.index(c) + 1).cast("long") for c in ("point", "symbol"))
+    total = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
+    return measured.withColumn("marks", F.array(point, symbol, total - point - symbol))
+
+
+def _mark_distance() -> Column:
+    """Jensen-Shannon distance of marks to ref_marks, null where either is too short."""
+    sizes = [F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) for c in ("marks", "ref_marks")]
+    terms = []
+    for k in range(3):
+        p, q = (F.col(c)[k] / n for c, n in zip(("marks", "ref_marks"), sizes, strict=True))
+        terms += [F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(0.0) for x in (p, q)]
+    found = F.sqrt(F.greatest(F.lit(0.0), sum(terms[1:], terms[0]) / 2))
+    return F.when((sizes[0] >= MIN_CHARS_JUDGED) & (sizes[1] >= MIN_REFERENCE), found)
+
+
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base figures, base_failed, the two distances (null where not judged) and kept."""
-    measured = stored(measure(docs, ["doc_id", "lang"]), "quality-measured")
+    """doc_id, lang, the base figures, base_failed, the three distances (null where not judged) and kept."""
+    measured = stored(_marks(measure(docs, ["doc_id", "lang"])), "quality-measured")
     refs = references(measured)
     joined = measured.join(refs, measured["lang"].cast("string").eqNullSafe(refs["_lang"]), "left")
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     inputs = ["chars", "words", "ref_chars", "ref_words"]
-    judged = with_python(joined, inputs, ["doc_id", "lang", *figures], "char_distance double, word_distance double", lambda: _judged, rows=2048)
-    near = [F.coalesce(F.col(c) <= most, F.lit(True)) for c, most in (("char_distance", MAX_CHAR_DISTANCE), ("word_distance", MAX_WORD_DISTANCE))]
-    return judged.withColumn("kept", ~F.col("base_failed") & near[0] & near[1])
+    sized = joined.withColumns({f"{c}_size": F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) for c in ("chars", "words")})
+    both = with_python(sized, inputs, ["doc_id", "lang", *figures, "chars_size", "words_size", "marks"], "char_distance double, word_distance double", lambda: _judged, rows=2048)
+    limits = (("char_distance", "chars_size", CHAR_LIMIT), ("word_distance", "words_size", WORD_LIMIT))
+    near = [F.coalesce(F.col(c) <= floor + spread / F.sqrt(size), F.lit(True)) for c, size, (floor, spread) in limits]
+    judged = stored(both.withColumn("kept", ~F.col("base_failed") & near[0] & near[1]), "quality-judged")
+    sums = [F.sum(F.when(F.col("kept"), F.col("marks")[k]).otherwise(0)) for k in range(3)]
+    left = judged.groupBy(F.col("lang").cast("string").alias("_lang")).agg(F.array(*sums).alias("ref_marks"))
+    again = judged.join(left, judged["lang"].cast("string").eqNullSafe(left["_lang"]), "left").withColumn("mark_distance", _mark_distance())
+    close = F.coalesce(F.col("mark_distance") <= MAX_MARK_DISTANCE, F.lit(True))
+    return again.select("doc_id", "lang", *figures, "char_distance", "word_distance", "mark_distance", (F.col("kept") & close).alias("kept"))

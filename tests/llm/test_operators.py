@@ -86,6 +86,21 @@ def test_quality_verdicts(spark):
     assert all(got[k] for k in range(60)) and not got[60] and not got[61]
 
 
+def test_quality_drops_word_lists(spark):
+    r = random.Random(8)
+    content = [f"{a}{b}{c}ing" for a in "bcdfghlm" for b in ("la", "ro", "ti", "ne") for c in ("s", "m")]
+    prose = lambda n: " ".join(r.choice(quality.COMMON_WORDS[:16]) if r.random() < 0.45 else r.choice(content) for _ in range(n)) + "."
+    clean = [prose(n) for n in (*range(100, 400, 5), 60, 2000)]
+    plain = [" ".join(r.choice(content) for _ in range(n)) for n in (120, 300, 1000)]  # the word rule alone can tell
+    barred = [" | ".join(prose(1)[:-1] for _ in range(n)) for n in (60, 120, 400)]  # common words are there; the marks tell
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate([*clean, *plain, *barred])]
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    n = len(clean)
+    assert all(got[k].kept for k in range(n)) and not any(got[k].kept for k in range(n, len(rows)))
+    assert all(got[k].char_distance < 0.15 and got[k].mark_distance < quality.MAX_MARK_DISTANCE for k in range(n, n + 3))
+    assert all(got[k].mark_distance > quality.MAX_MARK_DISTANCE for k in range(n + 3, len(rows)))
+
+
 def test_distance():
     rows, refs = np.array([[1.0, 0], [1, 1], [0, 0]]), np.array([[0.0, 2], [3, 3], [1, 1]])
     assert quality.distances(rows, refs)[:2] == pytest.approx([1.0, 0.0]) and np.isnan(quality.distances(rows, refs)[2])
