@@ -7,15 +7,19 @@ diagonal (position in the text less position in the item) must map each value of
 text; a diagonal that does not is dropped. A text leaks an item when the hits left cover at least COVERAGE of the item's
 windows.
 
-Null and empty texts leak nothing. Items of fewer than WIDTH words have no window and are never found. Windows with more
-than MAX_SLOTS placeholders say too little and do not count. Rows with the same doc_id are told apart by their text;
+Windows of more than MAX_SLOTS placeholders say too little about a text. So windows of the literal words, in lower case
+and with the sign before a number, are a second stream; a third is the whole of an item of fewer than WIDTH words, again
+literal. Each stream is judged by itself, and the best one counts: other numbers or names are found by the template, and
+a copy of any item in any case, however many numbers and names it has, by its words.
+
+Null and empty texts leak nothing. Items without a letter or digit are never found. Rows with the same doc_id are told apart by their text;
 items with the same item_id count as one item of all their windows. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import xxhash
@@ -39,9 +43,13 @@ _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(rf"[-+]?\d+(?:[.,:/]\d+)*(?:{'|'.join(sorted(UNITS, key=len, reverse=True))}|st|nd|rd|th)?$")
 _UNITS = frozenset(UNITS)
 _ENDS = re.compile(r"[.!?:][\W_]*$")
+#: What stands between numbers; it is part of the literal number behind it.
+_SIGNS = frozenset("+-*/=<>^\u00d7\u00f7\u2212")
 PLAIN, NUMBER, UNIT, CAPITAL = range(4)
+#: Kinds of windows; that of a short item is its number of words, negative.
+TEMPLATE, LITERAL = range(2)
 _NUMBER_HASH, _NAME_HASH = (np.uint64(xxhash.xxh3_64_intdigest(b"\0" + kind)) for kind in (b"number", b"name"))
-HITS = "hits array<struct<window:bigint,at:int,slots:array<string>>>"
+HITS = "hits array<struct<stream:int,window:bigint,at:int,slots:array<string>>>"
 
 
 class _Words(dict):
@@ -51,6 +59,7 @@ class _Words(dict):
         self.hashes: list[int] = []
         self.kinds: list[int] = []
         self.ends: list[bool] = []
+        self.signs: list[int] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = k = len(self.hashes)
@@ -60,65 +69,90 @@ class _Words(dict):
         self.hashes.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) | 1 if bare or kind == UNIT else 0)
         self.kinds.append(kind)
         self.ends.append(bool(_ENDS.search(word)))
+        self.signs.append(xxhash.xxh3_64_intdigest(b"\0" + word.encode()) if not bare and _SIGNS.issuperset(word) else 0)
         return k
 
 
 class Templates:
     """Windows of texts as lists of (hash, position, slot values), those that the bitmap passes if there is one."""
 
-    def __init__(self, bitmap: np.ndarray | None = None, width: int = WIDTH) -> None:
-        self.bitmap, self.width, self.words = bitmap, width, _Words()
-        self.hashes = self.kinds = self.ends = np.empty(0)
+    def __init__(self, bitmap: np.ndarray | None = None, width: int = WIDTH, short: Iterable[int] = (), whole: bool = False) -> None:
+        """short: widths of the benchmark's short items; whole: make all windows of each stream, as for an item."""
+        self.bitmap, self.width, self.short, self.whole, self.words = bitmap, width, list(short), whole, _Words()
+        self.hashes = self.kinds = self.ends = self.signs = np.empty(0)
         self.filled = 0
 
-    def _features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _features(self, words: list[str]) -> tuple[np.ndarray, ...]:
         if len(self.words.hashes) > CACHE_WORDS:
             self.words, self.filled, self.hashes = _Words(), 0, np.empty(0)
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         known = len(self.words.hashes)
         if known > self.filled:
             if known > len(self.hashes):
-                old = (self.hashes, self.kinds, self.ends)
+                old = (self.hashes, self.kinds, self.ends, self.signs)
                 size = max(4096, 2 * known)
-                self.hashes, self.kinds, self.ends = np.zeros(size, np.uint64), np.zeros(size, np.int8), np.zeros(size, bool)
-                for new, was in zip((self.hashes, self.kinds, self.ends), old, strict=True):
+                self.hashes, self.kinds, self.ends, self.signs = np.zeros(size, np.uint64), np.zeros(size, np.int8), np.zeros(size, bool), np.zeros(size, np.uint64)
+                for new, was in zip((self.hashes, self.kinds, self.ends, self.signs), old, strict=True):
                     new[: self.filled] = was[: self.filled]
             here = slice(self.filled, known)
-            self.hashes[here], self.kinds[here], self.ends[here] = self.words.hashes[here], self.words.kinds[here], self.words.ends[here]
+            self.hashes[here], self.kinds[here], self.ends[here], self.signs[here] = self.words.hashes[here], self.words.kinds[here], self.words.ends[here], self.words.signs[here]
             self.filled = known
-        return self.hashes[at], self.kinds[at], self.ends[at]
+        return self.hashes[at], self.kinds[at], self.ends[at], self.signs[at]
 
     def windows(self, text: str | None) -> list[tuple[int, int, list[str]]]:
+        """The windows of the template alone."""
+        return [(w, k, s) for stream, w, k, s in self.streams(text) if stream == TEMPLATE]
+
+    def streams(self, text: str | None) -> list[tuple[int, int, int, list[str]]]:
+        """(stream, hash, position, slot values). Of literal windows only those that differ from the template's, unless all are asked for."""
         words = WORD.findall(text or "")
-        if len(words) < self.width:
+        if not words:
             return []
-        hashes, kinds, ends = self._features(words)
+        hashes, kinds, ends, signs = self._features(words)
         first = np.concatenate([[True], ends[:-1]])
         after_number = np.concatenate([[False], kinds[:-1] == NUMBER])
+        before = np.concatenate([np.zeros(1, np.uint64), signs[:-1]])
         keep = np.flatnonzero((hashes != 0) & ~((kinds == UNIT) & after_number))
-        kinds, hashes, first = kinds[keep], hashes[keep].copy(), first[keep]
+        kinds, literal, first, before = kinds[keep], hashes[keep], first[keep], before[keep]
         number, name = kinds == NUMBER, (kinds == CAPITAL) & ~first
+        hashes = literal.copy()
         hashes[number], hashes[name] = _NUMBER_HASH, _NAME_HASH
+        literal[number] ^= before[number]
         slots = number | name
         found = window_hashes(hashes, self.width)
-        if not len(found):
-            return []
+        count = self._slots(slots)
+        out = self._passed(TEMPLATE, found, count <= MAX_SLOTS, words, keep, slots)
+        verbatim = count > 0
+        if self.whole or verbatim.any():
+            out += self._passed(LITERAL, window_hashes(literal, self.width), verbatim | self.whole, words, keep)
+        for width in self.short if not self.whole else [len(keep)] if 0 < len(keep) < self.width else []:
+            found = window_hashes(literal, width)
+            out += self._passed(-width, found, np.ones(len(found), bool), words, keep)
+        return out
+
+    def _slots(self, slots: np.ndarray) -> np.ndarray:
+        """Slots in each window."""
         sums = np.concatenate([[0], np.cumsum(slots)])
-        passed = sums[self.width :] - sums[: len(found)] <= MAX_SLOTS
+        return sums[self.width :] - sums[: max(0, len(slots) - self.width + 1)]
+
+    def _passed(self, stream: int, found: np.ndarray, able: np.ndarray, words: list[str], keep: np.ndarray, slots: np.ndarray | None = None) -> list[tuple[int, int, int, list[str]]]:
+        at = np.flatnonzero(able)
+        found = found[at]
         if self.bitmap is not None:
             bits = found & np.uint64((1 << BITS) - 1)
-            passed &= (self.bitmap[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
-        signed = found.view(np.int64)
-        return [(int(signed[k]), int(k), [_OUTER.sub("", words[keep[i]]).lower() for i in range(k, k + self.width) if slots[i]]) for k in np.flatnonzero(passed)]
+            passed = (self.bitmap[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
+            at, found = at[passed], found[passed]
+        if slots is None:
+            return [(stream, w, k, []) for w, k in zip(found.view(np.int64).tolist(), at.tolist(), strict=True)]
+        return [(stream, w, k, [_OUTER.sub("", words[keep[i]]).lower() for i in range(k, k + self.width) if slots[i]]) for w, k in zip(found.view(np.int64).tolist(), at.tolist(), strict=True)]
 
     def __call__(self, texts: list[str | None]) -> list[list]:
-        found = [self.windows(t) for t in texts]
-        return [[[{"window": w, "at": k, "slots": s} for w, k, s in x] for x in found]]
+        return [[[{"stream": n, "window": w, "at": k, "slots": s} for n, w, k, s in self.streams(t)] for t in texts]]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    made = with_python(benchmark, ["text"], ["item_id"], HITS, Templates)
-    return made.select("item_id", F.explode("hits").alias("w")).select("item_id", "w.window", F.col("w.at").alias("item_at"), F.col("w.slots").alias("item_slots"))
+    made = with_python(benchmark, ["text"], ["item_id"], HITS, lambda: Templates(whole=True))
+    return made.select("item_id", F.explode("hits").alias("w")).select("item_id", "w.stream", "w.window", F.col("w.at").alias("item_at"), F.col("w.slots").alias("item_slots"))
 
 
 def bitmap(windows: DataFrame) -> np.ndarray:
@@ -132,8 +166,8 @@ def bitmap(windows: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
-def _maker(shared) -> Callable[[], Templates]:  # noqa: ANN001  a broadcast of the bitmap
-    return lambda: Templates(shared.value)
+def _maker(shared, short: list[int]) -> Callable[[], Templates]:  # noqa: ANN001  a broadcast of the bitmap
+    return lambda: Templates(shared.value, short=short)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -141,20 +175,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     spark = docs.sparkSession
     items = stored(benchmark_windows(benchmark), "benchmark-windows")
     shared = spark.sparkContext.broadcast(bitmap(items))
+    short = [-r.stream for r in items.filter("stream < 0").select("stream").distinct().collect()]  # at most WIDTH - 1 rows
     # the width of a window must not turn on the text's hash: rows of the same doc_id and text are one
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    possible = with_python(texts, ["text"], ["doc_id", "row"], HITS, _maker(shared)).select("doc_id", "row", F.explode("hits").alias("w"))
+    possible = with_python(texts, ["text"], ["doc_id", "row"], HITS, _maker(shared, short)).select("doc_id", "row", F.explode("hits").alias("w"))
+    # one hash means one window, so a text's windows need not be of the item's stream: without a slot both are the same
     hits = possible.select("doc_id", "row", "w.window", "w.at", "w.slots").distinct()
     met = hits.join(items, "window")
-    diagonal = met.groupBy("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
+    diagonal = met.groupBy("doc_id", "row", "item_id", "stream", (F.col("at") - F.col("item_at")).alias("diagonal"))
     pairs = F.flatten(F.collect_list(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("text"))))
     lines = diagonal.agg(F.collect_set("item_at").alias("ats"), F.array_distinct(pairs).alias("pairs"))
     steady = lines.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
-    found = steady.groupBy("doc_id", "row", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_found"))
-    sizes = items.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_windows"))
-    judged = found.join(sizes, found["item_id"].eqNullSafe(sizes["item_id"])).drop(sizes["item_id"])
-    share = F.col("n_found") / F.col("n_windows")
-    return judged.select("doc_id", "row", "item_id", "n_windows", "n_found", share.alias("coverage")).filter(F.col("coverage") >= coverage)
+    found = steady.groupBy("doc_id", "row", "item_id", "stream").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_found"))
+    sizes = items.groupBy("item_id", "stream").agg(F.count_distinct("item_at").alias("n_windows"))
+    judged = found.join(sizes, found["item_id"].eqNullSafe(sizes["item_id"]) & (found["stream"] == sizes["stream"])).drop(sizes["item_id"], sizes["stream"])
+    share = judged.withColumn("coverage", F.col("n_found") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
+    best = share.groupBy("doc_id", "row", "item_id").agg(F.max(F.struct("coverage", "n_windows", "n_found")).alias("best"))
+    return best.select("doc_id", "row", "item_id", "best.n_windows", "best.n_found", "best.coverage")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

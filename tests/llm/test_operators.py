@@ -338,6 +338,18 @@ def test_slots_must_map_one_value_to_one():
     assert item.keys() == text.keys()  # the template is the same; the values are not
 
 
+def leaked(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
+
+
+def test_leaks_of_items_full_of_slots_and_of_short_items(spark):
+    items = ["What is 12 + 7 * 3?", "Compute 12 + 45 - 7 * 3 + 18 / 2.", "Did Anna, Ben, Carl and Dora meet Emil or Fritz?", "Define latent heat.", "???", "What is 3 + 4?"]
+    filler = " ".join(f"other{k}" for k in range(30))
+    docs = [f"{filler}. {x} {filler}" for x in items] + [filler, "What is 12 - 7 * 5?", "Compute 12 + 46 - 8 * 2 + 19 / 3.", "define LATENT heat", "latent heat", "What is 3 - 4?", None]
+    assert leaked(spark, items, docs) == {(k, k) for k in (0, 1, 2, 3, 5)} | {(9, 3)}
+
+
 def test_leaks_in_tables(spark, data, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     whole = {(d, i) for d, t in texts.items() for i, b in items.items() if b in t}
