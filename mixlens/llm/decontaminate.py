@@ -12,6 +12,9 @@ and with the sign before a number, are a second stream; a third is the whole of
 literal. Each stream is judged by itself, and the best one counts: other numbers or names are found by the template, and
 a copy of any item in any case, however many numbers and names it has, by its words.
 
+A capitalised word that starts a sentence may be a name or not. It is a plain word in the template, and a placeholder in
+a second one, whose windows must hold at least COVERAGE of the item's words.
+
 Null and empty texts leak nothing. Items without a letter or digit are never found. Rows with the same doc_id are told apart by their text;
 items with the same item_id count as one item of all their windows. Empty tables give no rows.
 """
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixlens.llm.common import WORD, stored, with_python
-from mixlens.llm.hashing import window_hashes
+from mixlens.llm.hashing import BASE, mixed, window_hashes
 
 WIDTH = 5
 MAX_SLOTS = 2
@@ -46,8 +49,10 @@ _ENDS = re.compile(r"[.!?:][\W_]*$")
 #: What stands between numbers; it is part of the literal number behind it.
 _SIGNS = frozenset("+-*/=<>^\u00d7\u00f7\u2212")
 PLAIN, NUMBER, UNIT, CAPITAL = range(4)
+ENDS, SIGN = 4, 8
+_POWERS = [np.uint64(pow(int(BASE), k, 1 << 64)) for k in range(WIDTH)]
 #: Kinds of windows; that of a short item is its number of words, negative.
-TEMPLATE, LITERAL = range(2)
+TEMPLATE, OPENED, LITERAL = range(3)
 _NUMBER_HASH, _NAME_HASH = (np.uint64(xxhash.xxh3_64_intdigest(b"\0" + kind)) for kind in (b"number", b"name"))
 HITS = "hits array<struct<stream:int,window:bigint,at:int,slots:array<string>>>"
 
@@ -57,19 +62,27 @@ class _Words(dict):
 
     def __init__(self) -> None:
         self.hashes: list[int] = []
-        self.kinds: list[int] = []
-        self.ends: list[bool] = []
-        self.signs: list[int] = []
+        self.marks: list[int] = []  # kind, plus ENDS and SIGN
+        self.signs: dict[int, int] = {}
 
     def __missing__(self, word: str) -> int:
         self[word] = k = len(self.hashes)
-        bare = _OUTER.sub("", word)
+        mark, bare = 0, word
+        if not word.isalpha():  # else there is nothing to strip, no digit and no end
+            bare = _OUTER.sub("", word)
+            mark = ENDS if _ENDS.search(word) else 0
+            if not bare and _SIGNS.issuperset(word):
+                mark += SIGN
+                self.signs[k] = xxhash.xxh3_64_intdigest(b"\0" + word.encode())
         low = bare.lower()
-        kind = NUMBER if _NUMBER.match(low) else UNIT if low in _UNITS or word in ("%", "€", "$") else CAPITAL if bare[:1].isupper() and any(map(str.islower, bare)) else PLAIN
+        if bare[:1].isdecimal() and _NUMBER.match(low):
+            kind = NUMBER
+        elif low in _UNITS or word in ("%", "€", "$"):
+            kind = UNIT
+        else:
+            kind = CAPITAL if bare[:1].isupper() and any(map(str.islower, bare)) else PLAIN
         self.hashes.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) | 1 if bare or kind == UNIT else 0)
-        self.kinds.append(kind)
-        self.ends.append(bool(_ENDS.search(word)))
-        self.signs.append(xxhash.xxh3_64_intdigest(b"\0" + word.encode()) if not bare and _SIGNS.issuperset(word) else 0)
+        self.marks.append(kind + mark)
         return k
 
 
@@ -79,55 +92,75 @@ class Templates:
     def __init__(self, bitmap: np.ndarray | None = None, width: int = WIDTH, short: Iterable[int] = (), whole: bool = False) -> None:
         """short: widths of the benchmark's short items; whole: make all windows of each stream, as for an item."""
         self.bitmap, self.width, self.short, self.whole, self.words = bitmap, width, list(short), whole, _Words()
-        self.hashes = self.kinds = self.ends = self.signs = np.empty(0)
+        self.hashes = self.marks = np.empty(0)
         self.filled = 0
 
-    def _features(self, words: list[str]) -> tuple[np.ndarray, ...]:
+    def _features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self.words.hashes) > CACHE_WORDS:
             self.words, self.filled, self.hashes = _Words(), 0, np.empty(0)
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         known = len(self.words.hashes)
         if known > self.filled:
             if known > len(self.hashes):
-                old = (self.hashes, self.kinds, self.ends, self.signs)
+                old = (self.hashes, self.marks)
                 size = max(4096, 2 * known)
-                self.hashes, self.kinds, self.ends, self.signs = np.zeros(size, np.uint64), np.zeros(size, np.int8), np.zeros(size, bool), np.zeros(size, np.uint64)
-                for new, was in zip((self.hashes, self.kinds, self.ends, self.signs), old, strict=True):
+                self.hashes, self.marks = np.zeros(size, np.uint64), np.zeros(size, np.int8)
+                for new, was in zip((self.hashes, self.marks), old, strict=True):
                     new[: self.filled] = was[: self.filled]
             here = slice(self.filled, known)
-            self.hashes[here], self.kinds[here], self.ends[here], self.signs[here] = self.words.hashes[here], self.words.kinds[here], self.words.ends[here], self.words.signs[here]
+            self.hashes[here], self.marks[here] = self.words.hashes[here], self.words.marks[here]
             self.filled = known
-        return self.hashes[at], self.kinds[at], self.ends[at], self.signs[at]
+        return at, self.hashes[at], self.marks[at]
 
     def windows(self, text: str | None) -> list[tuple[int, int, list[str]]]:
         """The windows of the template alone."""
         return [(w, k, s) for stream, w, k, s in self.streams(text) if stream == TEMPLATE]
 
     def streams(self, text: str | None) -> list[tuple[int, int, int, list[str]]]:
-        """(stream, hash, position, slot values). Of literal windows only those that differ from the template's, unless all are asked for."""
+        """(stream, hash, position, slot values). Windows equal to those of the template are left out of the other streams, unless all are asked for."""
         words = WORD.findall(text or "")
         if not words:
             return []
-        hashes, kinds, ends, signs = self._features(words)
-        first = np.concatenate([[True], ends[:-1]])
-        after_number = np.concatenate([[False], kinds[:-1] == NUMBER])
-        before = np.concatenate([np.zeros(1, np.uint64), signs[:-1]])
-        keep = np.flatnonzero((hashes != 0) & ~((kinds == UNIT) & after_number))
-        kinds, literal, first, before = kinds[keep], hashes[keep], first[keep], before[keep]
-        number, name = kinds == NUMBER, (kinds == CAPITAL) & ~first
+        ids, hashes, marks = self._features(words)
+        kinds = marks & 3
+        unit = np.flatnonzero(kinds == UNIT)
+        able = hashes != 0
+        able[unit[(unit > 0) & (kinds[unit - 1] == NUMBER)]] = False
+        keep = np.flatnonzero(able)
+        kinds, literal = kinds[keep], hashes[keep]
+        first = (marks[keep - 1] & ENDS) > 0
+        if len(keep) and keep[0] == 0:
+            first[0] = True
+        number = kinds == NUMBER
+        capital = kinds == CAPITAL
+        name = capital & ~first
         hashes = literal.copy()
         hashes[number], hashes[name] = _NUMBER_HASH, _NAME_HASH
-        literal[number] ^= before[number]
+        for k in np.flatnonzero(number).tolist() if self.words.signs else ():
+            if keep[k] and marks[keep[k] - 1] & SIGN:
+                literal[k] ^= np.uint64(self.words.signs[int(ids[keep[k] - 1])])
         slots = number | name
         found = window_hashes(hashes, self.width)
         count = self._slots(slots)
-        out = self._passed(TEMPLATE, found, count <= MAX_SLOTS, words, keep, slots)
-        verbatim = count > 0
-        if self.whole or verbatim.any():
-            out += self._passed(LITERAL, window_hashes(literal, self.width), verbatim | self.whole, words, keep)
+        at = np.flatnonzero(count <= MAX_SLOTS)
+        out = self._passed(TEMPLATE, found[at], at, words, keep, slots)
+        opening = capital & first
+        if self.whole or opening.any():
+            slots = slots | opening
+            opened = self._slots(slots)
+            able = (opened <= MAX_SLOTS) & (self.whole | (opened > count))
+            if self.whole and not self._covers(able, len(keep)):
+                able[:] = False
+            if able.any():
+                hashes[opening] = _NAME_HASH
+                at = np.flatnonzero(able)
+                out += self._passed(OPENED, self._hashes(hashes, at), at, words, keep, slots)
+        at = np.flatnonzero((count > 0) | self.whole)
+        if len(at):
+            out += self._passed(LITERAL, self._hashes(literal, at), at, words, keep)
         for width in self.short if not self.whole else [len(keep)] if 0 < len(keep) < self.width else []:
             found = window_hashes(literal, width)
-            out += self._passed(-width, found, np.ones(len(found), bool), words, keep)
+            out += self._passed(-width, found, np.arange(len(found)), words, keep)
         return out
 
     def _slots(self, slots: np.ndarray) -> np.ndarray:
@@ -135,9 +168,19 @@ class Templates:
         sums = np.concatenate([[0], np.cumsum(slots)])
         return sums[self.width :] - sums[: max(0, len(slots) - self.width + 1)]
 
-    def _passed(self, stream: int, found: np.ndarray, able: np.ndarray, words: list[str], keep: np.ndarray, slots: np.ndarray | None = None) -> list[tuple[int, int, int, list[str]]]:
-        at = np.flatnonzero(able)
-        found = found[at]
+    def _hashes(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What window_hashes gives at these positions, without the others."""
+        with np.errstate(over="ignore"):
+            return mixed(sum((hashes[at + k] * _POWERS[k] for k in range(1, self.width)), hashes[at]))
+
+    def _covers(self, able: np.ndarray, n: int) -> bool:
+        """Whether the windows hold at least COVERAGE of the n words; an item must not be known by one odd window."""
+        held = np.zeros(n, bool)
+        for k in np.flatnonzero(able):
+            held[k : k + self.width] = True
+        return n > 0 and held.mean() >= COVERAGE
+
+    def _passed(self, stream: int, found: np.ndarray, at: np.ndarray, words: list[str], keep: np.ndarray, slots: np.ndarray | None = None) -> list[tuple[int, int, int, list[str]]]:
         if self.bitmap is not None:
             bits = found & np.uint64((1 << BITS) - 1)
             passed = (self.bitmap[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
@@ -179,9 +222,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     # the width of a window must not turn on the text's hash: rows of the same doc_id and text are one
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
     possible = with_python(texts, ["text"], ["doc_id", "row"], HITS, _maker(shared, short)).select("doc_id", "row", F.explode("hits").alias("w"))
-    # one hash means one window, so a text's windows need not be of the item's stream: without a slot both are the same
-    hits = possible.select("doc_id", "row", "w.window", "w.at", "w.slots").distinct()
-    met = hits.join(items, "window")
+    # a text's window need not be of the item's stream, as equal ones are made once; but the text's second template adds
+    # no slots to the item's first, where they could only contradict what else is found
+    hits = possible.select("doc_id", "row", F.col("w.stream").alias("_stream"), "w.window", "w.at", "w.slots").distinct()
+    met = hits.join(items, "window").filter((F.col("_stream") != OPENED) | (F.col("stream") == OPENED))
     diagonal = met.groupBy("doc_id", "row", "item_id", "stream", (F.col("at") - F.col("item_at")).alias("diagonal"))
     pairs = F.flatten(F.collect_list(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("text"))))
     lines = diagonal.agg(F.collect_set("item_at").alias("ats"), F.array_distinct(pairs).alias("pairs"))

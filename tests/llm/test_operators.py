@@ -350,6 +350,15 @@ def test_leaks_of_items_full_of_slots_and_of_short_items(spark):
     assert leaked(spark, items, docs) == {(k, k) for k in (0, 1, 2, 3, 5)} | {(9, 3)}
 
 
+def test_leaks_with_names_that_start_sentences_and_in_other_case(spark):
+    items = ["Tom has 3 cats. Tom buys 4 cats. Tom sells 2 cats. How many cats does Tom have now?", "Who wrote Pride and Prejudice, Jane Austen or Emily Bronte?"]
+    filler = " ".join(f"other{k}" for k in range(30))
+    renamed = items[0].replace("Tom", "Anna").replace("3", "8")
+    docs = [renamed, f"{filler}. {renamed} {filler}", items[0].upper(), items[1].lower(), f"{filler} {items[1].upper()}", items[1], filler]
+    mixed = items[0].replace("Tom buys", "Anna buys").replace("Tom sells", "Carl sells").replace("does Tom", "does Dora")  # one name, four values
+    assert leaked(spark, items, [*docs, mixed, "Tom has 3 cats. Eva likes the sea and all that swims in it."]) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1)}
+
+
 def test_leaks_in_tables(spark, data, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     whole = {(d, i) for d, t in texts.items() for i, b in items.items() if b in t}
