@@ -12,7 +12,10 @@ _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*
 _ATTRIBUTES = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style template noscript iframe svg math head title textarea object canvas audio video".split())
+SKIPPED = frozenset("script style template noscript iframe svg math title textarea object canvas audio video".split())
+#: Those of them that hold no elements; without an end tag they go on to the end of the page.
+RAW = frozenset("script style textarea title".split())
+_META = frozenset("base basefont bgsound link meta".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -73,6 +76,20 @@ def _token_bits(attributes: str) -> int:
     return bits
 
 
+def _closed(text: str, name: str) -> dict[int, int]:
+    """Ends of the elements of that name by the ends of their start tags; what has no end tag of its own is not in it."""
+    token = re.compile(rf"""<(?:!--.*?(?:-->|\Z)|({'|'.join(RAW)})\b.*?(?:</\1|\Z)|(/?){name}(?![\w:-])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>?)""", re.S | re.I)
+    found, starts = {}, []
+    for m in token.finditer(text):
+        if m[2] is None or m[2] == "" and m[3].endswith("/"):
+            continue
+        if not m[2]:
+            starts.append(m.end())
+        elif starts:
+            found[starts.pop()] = m.end()
+    return found
+
+
 def parse(source: str | None) -> Page:
     """Read a page. Markup errors never fail: what does not match is closed or passed over as browsers do in common cases."""
     text = source or ""
@@ -80,6 +97,8 @@ def parse(source: str | None) -> Page:
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements; node -1 for inline ones
     owner, links, linked = 0, 0, 0
     pieces: list[str] = []
+    closed: dict[str, dict[int, int]] = {}
+    in_head = False
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -119,6 +138,7 @@ def parse(source: str | None) -> Page:
             continue
         name = name.lower()
         if closing:
+            in_head &= name != "head"
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == name:
                     close(depth)
@@ -126,16 +146,24 @@ def parse(source: str | None) -> Page:
             continue
         if name in SKIPPED:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(text, at)
-                at = end.end() if end else size
-            if name != "head":
-                pieces.append(" ")
+                if name in RAW:
+                    end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(text, at)
+                    at = end.end() if end else size
+                else:
+                    if name not in closed:
+                        closed[name] = _closed(text, name)
+                    at = closed[name].get(at, at)
+            pieces.append(" ")
             continue
         if name == "br":
             pieces.append(" ")
             continue
-        if name in ("html", "body"):
+        if name in ("html", "head", "body"):
+            in_head = name == "head"
+            continue
+        if in_head and name in _META:
             continue
+        in_head = False  # </head> may be left out
         if name not in BLOCKS:
             page.inline[owner] += 1
             if name not in VOID and not attributes.endswith("/"):

@@ -313,6 +313,20 @@ def test_extraction(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_with_end_tags_left_out():
+    plain = lambda page: " ".join(t for _, t in dom.parse(page).blocks)
+    body = "<body><article><p>One two.</p><p>Three.</p></article>"
+    assert plain(f"<html><head><meta charset=utf-8><title>No</title><link href=x>{body}") == "One two. Three."
+    whole, cut = (dom.parse(f"<html><head><meta charset=utf-8><title>No</title><link href=x>{end}{body}") for end in ("</head>", ""))
+    assert whole == cut
+    for name in ("noscript", "svg", "object", "video", "iframe", "template", "canvas"):
+        assert plain(f"<p>A</p><{name} id=q>{body}") == "A One two. Three."
+        assert plain(f"<p>A</p><{name}>{body}<{name}>gone</{name}><p>Z</p>") == "A One two. Three. Z"
+        assert plain(f"<p>A</p><{name}>x<{name}>y</{name}><!-- </{name}> -->z</{name}>{body}") == "A One two. Three."
+    for name in ("script", "style", "title", "textarea"):
+        assert plain(f"<p>A</p><{name}>x</{name}>{body}<{name}><p>no") == "A One two. Three."
+
+
 # ------------------------------------------------------------------ op 8
 
 
