@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and values in credential context that are costly to guess.
 
 The cost of a value, in bits, is that of its cheapest segmentation into dictionary words, dates, repeats, keyboard
-walks and brute-force spans, found by dynamic programming over the whole value. A value after a credential name that
+walks and brute-force spans, found by dynamic programming over the whole value. A brute-force span of letters in both
+cases is charged for both, 52 symbols or, with digits, 62. A value after a credential name that
 costs MIN_BITS or more is added as a span of kind ``guess`` unless it overlaps a span of the patterns.
 
 Null and empty text has no spans. Repeated rows are scanned alike. No documents give no rows.
@@ -58,6 +59,15 @@ def _char_bits(c: str) -> float:
     return math.log2(1000)
 
 
+def _span_bits(c: str) -> tuple[float, ...]:
+    """Bits of a character in brute-force spans of one case, lower or upper, of both, and of both with digits."""
+    bits = _char_bits(c)
+    if not (c.isascii() and c.isalnum()):
+        return bits, bits, bits, bits
+    both = math.inf if c.isdigit() else math.log2(52)
+    return math.inf if c.isupper() else bits, math.inf if c.islower() else bits, both, math.log2(62)
+
+
 def guess_bits(value: str) -> float:
     """Bits of the cheapest segmentation; linear in the value's length but for the bounded word and repeat widths."""
     n, low = len(value), value.lower()
@@ -83,15 +93,15 @@ def guess_bits(value: str) -> float:
         times = (found.end() - found.start()) // len(found[1])
         if found.end() - found.start() >= 3:
             ends[found.start()].append((found.end(), sum(map(_char_bits, found[1])) + math.log2(times)))
-    closed, brute = [math.inf] * (n + 1), [math.inf] * (n + 1)  # best cost up to i, in a whole segment or inside a brute-force one
+    closed, brute = [math.inf] * (n + 1), [math.inf] * 4  # best cost up to i, in a whole segment or inside a brute-force one of each kind
     closed[0] = 0.0
     for i in range(n):
-        here = min(closed[i], brute[i])
+        here = min(closed[i], *brute)
         start = here + (SEGMENT_BITS if i else 0.0)
         for end, bits in ends[i]:
             closed[end] = min(closed[end], start + bits)
-        brute[i + 1] = min(brute[i], closed[i] + (SEGMENT_BITS if i else 0.0)) + _char_bits(value[i])
-    return min(closed[n], brute[n])
+        brute = [min(was, start) + bits for was, bits in zip(brute, _span_bits(value[i]), strict=True)]
+    return min(closed[n], *brute)
 
 
 def _hex_spans(text: str) -> list[tuple[int, int]]:

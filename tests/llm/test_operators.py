@@ -423,6 +423,12 @@ def test_guess_cost_is_the_least():
     assert secrets.guess_bits("ab" * 5000) < 40
 
 
+def test_random_values_of_both_cases():
+    for text in ("pwd: aZkQ9mXpR2", "login = tR7vKx2QmZ"):
+        assert [k for _, k, _ in secrets.guessed_spans(text, [])] == [3]
+    assert not secrets.guessed_spans("login: Johnsmith7 pwd: Welcome2024 pin: johnsmith7", [])
+
+
 # ------------------------------------------------------------------ op 10
 
 
