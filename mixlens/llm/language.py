@@ -6,8 +6,9 @@ the sum of the phrases over its words, times the binary logarithm of the length
 document's letters: the cross-parsing estimate of entropy. The lowest figure wins; on a tie, the language that sorts
 first. The score is the relative distance to the second.
 
-The automata learn from a bounded sample: for each language, whole documents in the order of a hash of their doc_id,
-until LETTERS characters are reached. Everything else covers whole texts.
+The automata learn from a bounded sample: for each language, the first DOCUMENTS documents in the order of a hash of
+their doc_id, of each as many characters from its start as make LETTERS in all, so that no long one takes the place of
+others. Everything else covers whole texts.
 
 Null text, and text without a letter, is ``und`` with score 0. With no labelled document every text is ``und``; with one
 language the score is 1. Repeated rows are judged alike. No documents give no rows.
@@ -100,12 +101,22 @@ def samples(docs: DataFrame, documents: int = DOCUMENTS, letters: int = LETTERS)
     learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     rows = learn.select("lang", "doc_id", "text").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= documents).select("lang", "_k", "text").collect()
-    found: dict[str, str] = {}
+    found: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r._k)):
-        text = found.get(row.lang, " ")
-        if len(text) < letters:
-            found[row.lang] = (text + " ".join(words_of(row.text)) + " ")[:letters]
-    return {k: v for k, v in sorted(found.items()) if v.strip()}
+        found.setdefault(row.lang, []).append(" ".join(words_of(row.text)))
+    return {k: v for k, v in sorted((k, shares(texts, letters)) for k, texts in found.items()) if v.strip()}
+
+
+def shares(texts: list[str], letters: int) -> str:
+    """The texts with blanks around, those longer than a limit cut to it, the largest limit that gives at most that many characters."""
+    left, most = letters - 1, 0
+    sizes = sorted(len(t) + 1 for t in texts)
+    for k, size in enumerate(sizes):
+        most = left // (len(sizes) - k)
+        if size > most:
+            break
+        left, most = left - size, size
+    return " " + "".join(t[: most - 1] + " " for t in texts if t and most > 1)
 
 
 class _Cache(dict):

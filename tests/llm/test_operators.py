@@ -244,6 +244,14 @@ def test_language_of_held_out(spark, data):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in found)
 
 
+def test_no_text_fills_the_sample(spark):
+    rows = [(k, f"mark{chr(97 + k)} " + "long " * 20_000, "en", "s", 0) for k in range(26)]
+    got = language.samples(spark.createDataFrame(rows, DOCS), letters=3000)["en"]
+    learnt = [r[1].split()[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(learnt) > 9 and all(w in got for w in learnt) and 2900 < len(got) <= 3000
+    assert language.shares(["abc", "de", "x" * 90], 40) == " abc de " + "x" * 31 + " " and language.shares(["", "ab"], 40) == " ab "
+
+
 def test_language_odd(odd, none):
     samples = language.samples(odd)
     got = language.identify(clashing(odd), samples, ["doc_id", "text"]).collect()
