@@ -17,9 +17,10 @@ SIMILAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language: without a letter, or as near to the second language as to the first."""
+    """Drop documents of no language: without a letter, or as near to the second language as to the first if not short."""
     found = language.identify(docs, language.samples(docs))
-    return found.filter((found.lang_pred != language.UNKNOWN) & (found.score >= language.MIN_SCORE)).select(*docs.columns)
+    clear = (found.score >= language.MIN_SCORE) | (language.letters(found.text) < language.MIN_LETTERS)
+    return found.filter((found.lang_pred != language.UNKNOWN) & clear).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

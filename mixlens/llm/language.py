@@ -36,10 +36,16 @@ CACHE_WORDS = 120_000
 UNKNOWN = "und"
 #: Below this score, corpus_pipeline takes a document to be of no single language.
 MIN_SCORE = 0.02
+#: Letters from which on a document is rejected by its score; shorter ones may tie by chance.
+MIN_LETTERS = 200
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+def letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\P{L}+", ""))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 

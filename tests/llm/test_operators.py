@@ -510,6 +510,15 @@ def test_components_odd(spark, odd, none):
 # ------------------------------------------------------------------ pipeline
 
 
+def test_short_texts_stay_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    learn = [(k, t, n, "s", 0) for k in range(16) for t, n in (("this was the house of a friend and de", "en"), ("this war das haus de un amigo und", "de"))]
+    odd = [(100, "This.", None, "s", 0), (101, "De.", None, "s", 0), (102, "1 2 3 !", None, "s", 0), (103, "", None, "s", 0), (104, "this " * 200, None, "s", 0)]
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, spark.createDataFrame([*learn, *odd], DOCS), "").collect()}
+    assert kept >= {100, 101, *range(16)} and not kept & {102, 103, 104}
+
+
 def test_pipeline(spark, data, texts):
     import corpus_pipeline
 
