@@ -15,6 +15,7 @@ each get a document, by text. No documents give no parts. Further columns are no
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from array import array
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,84 +32,166 @@ from pyspark.sql import functions as F
 from mixlens.llm.common import held, scratch, ship, stored
 
 END_ID = 2
-#: Units of text whose ids a worker keeps.
-CACHE_UNITS = 300_000
+#: Units of text whose ids a worker keeps: about 30 bytes each.
+CACHE_UNITS = 400_000
+#: Bounds of what is encoded at once, in documents and bytes; one document may have more bytes.
+BATCH_DOCS = 1024
+BATCH_BYTES = 4_000_000
+#: Units in one text for the tokenizer.
+LEARN_UNITS = 256
 #: Marks that a byte-level word splitter always cuts off behind a letter or digit, as one piece.
 MARKS = ".,;:!?%*$&#|)"
 MANIFEST = "part long, path string, width int, n_docs long, n_ids long"
 
+
+class Ragged:
+    """Runs of ids end to end."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids, self.sizes = ids, sizes.astype(np.int64)
+
+    def take(self, at: np.ndarray) -> Ragged:
+        starts, sizes = (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        shift = np.repeat((starts - ends + sizes).astype(np.int32 if max(total, len(self.ids)) < 1 << 31 else np.int64), sizes)
+        shift += np.arange(total, dtype=shift.dtype)
+        return Ragged(self.ids[shift], sizes)
+
+    @staticmethod
+    def joined(parts: list[Ragged]) -> Ragged:
+        return Ragged(np.concatenate([p.ids for p in parts]), np.concatenate([p.sizes for p in parts]))
+
+
 class Encoder:
-    """Ids of whole texts as bytes, through a cache of blank-separated units.
+    """Ids of whole texts, through a table of blank-separated units.
 
     A byte-level tokenizer with the usual word splitter always cuts before a single blank between two other
-    characters, so a text's ids are those of its units. Texts where blanks meet other white space go in whole.
+    characters, so a text's ids are those of its units. Texts where blanks meet other white space go in whole. Arrow
+    splits a batch and numbers its distinct units; the tokenizer meets those that the table lacks, each once, and the
+    ids of the batch are one gather over the table. No step runs for each word in Python.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and threads keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
-        self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.kind = np.dtype(f"<u{self.width}")
         blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.opens[k] = len(blank) == 1 and token.startswith(blank[0])
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
-
-    def learn(self, units: list[str]) -> None:
-        """Encode units in one text. A token with a leading blank starts a unit, as no unit holds a blank."""
-        if not units:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, np.int64)
-        at = np.flatnonzero(self.opens[ids]) * self.width
-        if len(at) != len(units):  # a tokenizer that joins or splits otherwise
-            self.known.update(zip(units, self.packed([" " + u for u in units]), strict=True))
-            return
-        raw, starts = ids.astype(self.kind).tobytes(), at.tolist()
-        self.known.update(zip(units, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
-
-    def add(self, alone: set[str], others: set[str]) -> None:
-        """Learn units: words of letters alone, and others.
-
-        A letter or digit before closing marks ends a piece, so that stems and marks are learnt apart.
-        """
-        marked = []
-        for u in others:
-            stem = u.rstrip(MARKS)
-            if len(stem) < len(u) and stem and (stem[-1].isalpha() or stem[-1].isdecimal()):
-                marked.append((u, stem, u[len(stem) :]))
-                alone.add(stem)
-            else:
-                alone.add(u)
-        self.learn(list(alone.difference(self.known)))
-        fresh = list({m for _, _, m in marked}.difference(self.marks))
-        self.marks.update(zip(fresh, self.packed(fresh), strict=True))
-        self.known.update((u, self.known[stem] + self.marks[m]) for u, stem, m in marked)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        heads = [x.pop(0) for x in split]
-        units = set().union(*split)
-        new = units.difference(self.known)
-        letters = set(filter(str.isalpha, new))
-        new -= letters
-        joined = {u for u in new if not u or u[0].isspace() or u[-1].isspace()}
-        new -= joined
-        whole = [h[-1:].isspace() or bool(joined) and not joined.isdisjoint(x) for h, x in zip(heads, split, strict=True)]
-        if len(self.known) + len(new) + len(letters) > CACHE_UNITS:
-            self.known = {u: self.known[u] for u in units.intersection(self.known)}
-            self.marks = {}
-        if new or letters:
-            self.add(letters, new)
-        first = self.packed([t if w else h for t, h, w in zip(texts, heads, whole, strict=True)])
-        get = self.known.__getitem__
-        return [f if w else f + b"".join(map(get, x)) for f, x, w in zip(first, split, whole, strict=True)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.units, self.ids, self.met = pa.array([], pa.string()), Ragged(np.empty(0, self.kind), np.empty(0)), np.empty(0, np.int32)
+
+    def packed(self, texts: list[str]) -> Ragged:
+        found = []
+        for low in range(0, len(texts), LEARN_UNITS):
+            found += [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts[low : low + LEARN_UNITS], add_special_tokens=False)]
+        return Ragged(np.concatenate([np.empty(0, self.kind), *found]), np.array([len(x) for x in found]))
+
+    def learn(self, units: list[str]) -> Ragged:
+        """Ids of units, many in one text. A token with a leading blank starts a unit, as no unit holds a blank."""
+        parts = []
+        for low in range(0, len(units), LEARN_UNITS):
+            chunk = units[low : low + LEARN_UNITS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(chunk)], add_special_tokens=False)[0].ids, np.int64)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(chunk):
+                parts.append(Ragged(ids.astype(self.kind), np.diff(np.append(at, len(ids)))))
+            else:  # a tokenizer that joins or splits otherwise
+                parts.append(self.packed([" " + u for u in chunk]))
+        return Ragged.joined(parts)
+
+    def places(self, units: pa.Array) -> np.ndarray:
+        """Place of each of these distinct units in the table, which learns those that it lacks; the table is searched once."""
+        # a letter or digit before closing marks ends a piece, so stems and marks are learnt apart
+        stems = pc.ascii_rtrim(units, MARKS)
+        last = pc.utf8_slice_codeunits(stems, -1)
+        cut = pc.and_(pc.not_equal(stems, units), pc.or_(pc.utf8_is_alpha(last), pc.utf8_is_decimal(last)))
+        stems, cut = stems.filter(cut), cut.to_numpy(zero_copy_only=False)
+        n = len(units)
+        found = pc.index_in(pa.concat_arrays([units, stems]), value_set=self.units).fill_null(-1).to_numpy().astype(np.int64)
+        at, of_stem = found[:n], found[n:]
+        marked, plain = (at < 0) & cut, (at < 0) & ~cut
+        stems, of_stem = stems.filter(pa.array(marked[cut])), of_stem[marked[cut]]
+        fresh = pa.concat_arrays([units.filter(pa.array(plain)), stems.filter(pa.array(of_stem < 0))]).dictionary_encode()
+        new = fresh.indices.to_numpy().astype(np.int64) + len(self.units)
+        split = int(plain.sum())
+        if len(new):
+            self.add(fresh.dictionary, self.learn(fresh.dictionary.to_pylist()))
+        at[plain] = new[:split]
+        of_stem[of_stem < 0] = new[split:]
+        if len(of_stem):
+            whole = units.filter(pa.array(marked))
+            ends = [m[len(s) :] for m, s in zip(whole.to_pylist(), stems.to_pylist(), strict=True)]
+            at[marked] = len(self.units) + np.arange(len(of_stem))  # a unit that ends in marks is no stem
+            self.add(whole, self.with_ends(self.ids.take(of_stem), ends))
+        return at
+
+    def with_ends(self, stems: Ragged, ends: list[str]) -> Ragged:
+        """The ids of stems, each with those of its marks behind."""
+        kinds = {m: k for k, m in enumerate(dict.fromkeys(ends))}
+        tails = self.packed(list(kinds)).take(np.fromiter(map(kinds.__getitem__, ends), np.int64, len(ends)))
+        both = Ragged.joined([stems, tails])
+        n = len(ends)
+        pairs = both.take(np.arange(2 * n).reshape(2, n).T.ravel())
+        return Ragged(pairs.ids, pairs.sizes.reshape(n, 2).sum(axis=1))
+
+    def add(self, units: pa.Array, ids: Ragged) -> None:
+        self.units = pa.concat_arrays([self.units, units])
+        self.ids = Ragged.joined([self.ids, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(units), np.int32)])
+
+    def shrink(self) -> None:
+        """Keep the half of the table that most batches met."""
+        if len(self.units) > CACHE_UNITS:
+            keep = np.sort(np.argsort(-self.met, kind="stable")[: CACHE_UNITS // 2])
+            self.units, self.ids, self.met = self.units.take(pa.array(keep)), self.ids.take(keep), self.met[keep] // 2
+
+    def __call__(self, texts: pa.Array) -> Ragged:
+        """Ids of each text, null being empty, with the end id behind."""
+        n = len(texts)
+        split = pc.split_pattern(texts.fill_null(""), " ")
+        first = split.offsets.to_numpy()
+        numbered = split.flatten().dictionary_encode()
+        units, at = numbered.dictionary, numbered.indices.to_numpy()
+        first, at = first[:-1] - first[0], at.astype(np.int64)
+        sizes = np.diff(np.append(first, len(at)))
+        # units with white space at either side do not stand alone, nor do heads with white space behind
+        odd = pc.or_(pc.equal(pc.binary_length(units), 0), pc.not_equal(pc.utf8_trim_whitespace(units), units)).to_numpy(zero_copy_only=False)
+        odd_at = odd[at]
+        heads = units.take(pa.array(at[first]))
+        odd_at[first] = pc.not_equal(pc.utf8_rtrim_whitespace(heads), heads).to_numpy(zero_copy_only=False)
+        whole = np.logical_or.reduceat(odd_at, first) if n else np.empty(0, bool)
+        inner = np.repeat(~whole, sizes)
+        inner[first] = False
+        used = np.zeros(len(units), bool)
+        used[at[inner]] = True
+        self.shrink()
+        places = np.zeros(len(units), np.int64)
+        places[used] = self.places(units.filter(pa.array(used)))
+        self.met[places[used]] += 1
+        opening = self.packed([t if w else h for t, h, w in zip(texts.fill_null("").to_pylist(), heads.to_pylist(), whole.tolist(), strict=True)])
+        table = Ragged.joined([self.ids, opening, Ragged(np.array([END_ID], self.kind), np.array([1]))])
+        # of each text: its head, or all of it, its other units, and the end
+        told = np.where(inner, places[at], 0)
+        told[first] = len(self.ids.sizes) + np.arange(n)
+        shown = inner
+        shown[first] = True
+        counts = np.add.reduceat(shown, first) if n else np.empty(0, np.int64)
+        sequence = np.full(int(counts.sum()) + n, len(self.ids.sizes) + n)
+        body = np.ones(len(sequence), bool)
+        ends = np.cumsum(counts + 1) - 1
+        body[ends] = False
+        sequence[body] = told[shown]
+        made = table.take(sequence)
+        totals = np.cumsum(made.sizes)[ends]
+        return Ragged(made.ids, np.diff(totals, prepend=0))
 
 
 def encoder(path: str) -> Encoder:
@@ -119,10 +203,16 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices within the bounds of a batch."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            before = int(sizes[low - 1]) if low else 0
+            high = min(low + BATCH_DOCS, max(low + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, "right"))), batch.num_rows)
+            yield batch.slice(low, high - low)
+            low = high
 
 
 def _writer(folder: str, tokenizer: str):
@@ -132,17 +222,16 @@ def _writer(folder: str, tokenizer: str):
         for batch in _small(batches):
             if stem is None:
                 encode = encoder(tokenizer)
-                end = np.array([END_ID], encode.kind).tobytes()
                 files, root = _open(folder)
                 files.create_dir(root, recursive=True)
                 stem = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
                 out = files.open_output_stream(f"{stem}.ids")
                 offsets, docs, nulls = array("q", [0]), array("q"), bytearray()
-            for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                out.write(ids + end)
-                offsets.append(offsets[-1] + len(ids) // encode.width + 1)
-                docs.append(doc or 0)
-                nulls.append(doc is None)
+            made = encode(batch.column(1))
+            out.write(made.ids.tobytes())
+            offsets.extend((np.cumsum(made.sizes) + offsets[-1]).tolist())
+            docs.extend(batch.column(0).fill_null(0).to_pylist())
+            nulls.extend(batch.column(0).is_null().to_pylist())
         if stem is None:
             return
         out.close()
@@ -216,5 +305,6 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the checksum of the ids of each document, read from the files."""
     spark = manifest.sparkSession
     ship(spark)
-    rows = manifest.select("part", "path", "width", "base").repartition("part")
+    parts = manifest.count()  # a number given keeps the partitions apart, where adaptive execution would join them
+    rows = manifest.select("part", "path", "width", "base").repartitionByRange(max(1, parts), "part")
     return rows.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
