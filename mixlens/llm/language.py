@@ -1,10 +1,14 @@
 """Language identification by cross-parsing.
 
-For each language a suffix automaton of labelled text is built. A word, with a blank on either side, is parsed into the
-fewest phrases that each occur in that text, by always taking the longest match. A language's figure for a document is
-the sum of the phrases over its words, times the binary logarithm of the length of the language's text, over the
-document's letters: the cross-parsing estimate of entropy. The lowest figure wins; on a tie, the language that sorts
-first. The score is the relative distance to the second.
+For each language a suffix automaton of labelled text is built. A document, lower-cased and with one blank for whatever
+is not a letter, is parsed into the fewest phrases that each occur in that text, by always taking the longest match;
+phrases run on over words. A language's figure for a document is the number of phrases, times the binary logarithm of the
+length of the language's text, over the document's letters: the cross-parsing estimate of entropy. The lowest figure
+wins; on a tie, the language that sorts first. The score is the relative distance to the second.
+
+The automata are flat tables, a row for each state, and pieces of PIECE characters of many documents take their steps
+side by side; a phrase ends where a piece ends. A table has a column for each of the KINDS most frequent letters; rarer
+ones share these columns. A letter that no sample holds is a phrase.
 
 The automata learn from a bounded sample: for each language, the first DOCUMENTS documents in the order of a hash of
 their doc_id, of each as many characters from its start as make LETTERS in all, so that no long one takes the place of
@@ -17,9 +21,8 @@ language the score is 1. Repeated rows are judged alike. No documents give no ro
 from __future__ import annotations
 
 import math
-import re
 import uuid
-from array import array
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -30,18 +33,20 @@ from mixlens.llm.common import held, with_python
 
 #: Bound of the sample: documents and characters for each language.
 DOCUMENTS = 48
-LETTERS = 40_000
-#: Words whose phrases a worker keeps.
-CACHE_WORDS = 120_000
+LETTERS = 60_000
+#: Characters of a piece, and pieces that take their steps at once.
+PIECE = 1024
+PIECES = 4096
+#: Letters with a column of their own.
+KINDS = 96
+#: Characters of the documents that are parsed together.
+BATCH = 2_000_000
 UNKNOWN = "und"
 #: Below this score, corpus_pipeline takes a document to be of no single language.
 MIN_SCORE = 0.02
 #: Letters from which on a document is rejected by its score; shorter ones may tie by chance.
 MIN_LETTERS = 200
 
-_WORDS = re.compile(r"[^\W\d_]+")
-
-
 def letters(text: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\P{L}+", ""))
 
@@ -50,10 +55,6 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
-
-
 def automaton(text: str) -> list[dict[str, int]]:
     """Transitions of the suffix automaton of text: from state 0, exactly its substrings can be read."""
     moves: list[dict[str, int]] = [{}]
@@ -85,13 +86,13 @@ def automaton(text: str) -> list[dict[str, int]]:
     return moves
 
 
-def phrases(moves: list[dict[str, int]], word: str) -> int:
-    """Longest matches, one after another; a character that the text lacks is a phrase."""
-    count, at, end = 0, 0, len(word)
+def phrases(moves: list[dict[str, int]], text: str) -> int:
+    """Longest matches, one after another; a character that the automaton's text lacks is a phrase. The plain form of Parser."""
+    count, at, end = 0, 0, len(text)
     while at < end:
         state, start = 0, at
         while at < end:
-            found = moves[state].get(word[at])
+            found = moves[state].get(text[at])
             if found is None:
                 break
             state = found
@@ -106,10 +107,12 @@ def samples(docs: DataFrame, documents: int = DOCUMENTS, letters: int = LETTERS)
     """Sample text of each language. Each task sends at most that many documents for a language."""
     learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = learn.select("lang", "doc_id", "text").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= documents).select("lang", "_k", "text").collect()
+    first = learn.select("lang", "doc_id", "text").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= documents)
+    plain = F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " "))
+    rows = first.select("lang", "_k", F.substring(plain, 1, letters).alias("text")).collect()
     found: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r._k)):
-        found.setdefault(row.lang, []).append(" ".join(words_of(row.text)))
+        found.setdefault(row.lang, []).append(row.text)
     return {k: v for k, v in sorted((k, shares(texts, letters)) for k, texts in found.items()) if v.strip()}
 
 
@@ -125,57 +128,124 @@ def shares(texts: list[str], letters: int) -> str:
     return " " + "".join(t[: most - 1] + " " for t in texts if t and most > 1)
 
 
-class _Cache(dict):
-    """Word to its row in a growing table of phrase counts, one column for each language."""
-
-    def __init__(self, automata: list[list[dict[str, int]]]) -> None:
-        self.automata = automata
-        self.flat = array("i")
-
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self)
-        marked = f" {word} "
-        self.flat.extend([phrases(a, marked) for a in self.automata])
-        return k
+class Alphabet:
+    """Codes of letters: 0 for all that is no letter, then a number for each letter of the samples; one more for others."""
+
+    def __init__(self, texts: list[str]) -> None:
+        times = Counter("".join(texts))
+        times.pop(" ", None)
+        ranked = sorted(times, key=lambda c: (-times[c], c))
+        self.size = min(len(ranked), KINDS) + 2
+        every = "".join(map(chr, range(0x110000)))
+        self.codes = np.fromiter(map(str.isalpha, every), np.uint8, len(every)) * np.uint8(self.size - 1)
+        for k, c in enumerate(ranked):
+            self.codes[ord(c)] = 1 + k % KINDS
+
+    def of(self, text: str) -> np.ndarray:
+        return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+
+
+class Parser:
+    """Phrases of many texts at once, in the automaton of one language.
+
+    moves[state + code] is 4 * next state + the phrases that end there, with states numbered by their rows' places: a
+    character that cannot follow ends a phrase and starts the next one, if the automaton's text holds it.
+    """
+
+    def __init__(self, text: np.ndarray, size: int) -> None:
+        automat = automaton("".join(map(chr, text)))
+        n = len(automat)
+        rows = np.repeat(np.arange(n), [len(m) for m in automat])
+        letters = np.fromiter((ord(c) for m in automat for c in m), np.int64, len(rows))
+        targets = np.fromiter((t for m in automat for t in m.values()), np.int64, len(rows)) * size
+        first = np.full(size, -1, np.int64)
+        first[letters[rows == 0]] = targets[rows == 0]
+        table = np.empty((n, size), np.int32)
+        table[:] = np.where(first >= 0, 4 * first + 1, 2)
+        table[0] = np.where(first >= 0, 4 * first, 1)
+        table[rows, letters] = 4 * targets
+        self.moves = table.ravel()
+
+    def start(self, n: int) -> None:
+        self.state, self.count = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.at, self.move, self.ended = np.empty(n, np.int64), np.empty(n, np.int32), np.empty(n, np.int32)
+
+    def step(self, letters: np.ndarray) -> None:
+        m = len(letters)
+        move, ended, state = self.move[:m], self.ended[:m], self.state[:m]
+        np.add(state, letters, out=self.at[:m])
+        self.moves.take(self.at[:m], out=move, mode="clip")
+        np.bitwise_and(move, 3, out=ended)
+        self.count[:m] += ended
+        np.right_shift(move, 2, out=state)
+
+    def found(self) -> np.ndarray:
+        return self.count + (self.state > 0)
 
 
 class Identifier:
     def __init__(self, texts: dict[str, str]) -> None:
         self.names = list(texts)
-        self.automata = [automaton(t) for t in texts.values()]
+        self.alphabet = Alphabet(list(texts.values()))
+        self.parsers = [Parser(self.alphabet.of(t), self.alphabet.size) for t in texts.values()]
         self.factor = np.array([math.log2(len(t) + 1) for t in texts.values()])
-        self.cache = _Cache(self.automata)
-
-    def one(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not words or not self.names:
-            return UNKNOWN, 0.0
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = _Cache(self.automata)
-            self.table = np.empty((0, len(self.names)), np.int32)
-        at = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
-        counts = self._table()[at].sum(axis=0) * self.factor
-        best = int(counts.argmin())
-        if len(counts) == 1:
-            return self.names[0], 1.0
-        second = float(np.partition(counts, 1)[1])
-        return self.names[best], float(min(1.0, max(0.0, 1 - counts[best] / second)))
-
-    table = np.empty((0, 0))
-
-    def _table(self) -> np.ndarray:
-        known = len(self.cache)
-        if known > len(self.table):
-            self.table, self.filled = np.zeros((max(4096, 2 * known), len(self.names)), np.int32), 0
-        if known > self.filled:
-            self.table[self.filled : known] = np.array(self.cache.flat[self.filled * len(self.names) :], np.int32).reshape(-1, len(self.names))
-            self.filled = known
-        return self.table
-
-    filled = 0
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of each text, and its phrases in each language's automaton."""
+        low = [(t or "").lower() for t in texts]
+        ends = np.cumsum([len(t) + 1 for t in low])
+        codes = self.alphabet.of("\n" + "\n".join(low) + "\n")
+        keep = codes > 0
+        letters = np.concatenate([[0], np.cumsum(keep)])
+        begins = ends - [len(t) for t in low]
+        total = letters[ends] - letters[begins]
+        keep[1:] |= keep[:-1]
+        keep[0] = True
+        codes, kept = codes[keep], np.cumsum(keep)
+        # each text with the blank before it and the one behind it; the start of each piece, those of long pieces first
+        sizes = np.where(total > 0, kept[ends] - kept[begins - 1] + 1, 0)
+        pieces = -(-sizes // PIECE)
+        owner = np.repeat(np.arange(len(low)), pieces)
+        place = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        length = np.minimum(PIECE, sizes[owner] - place)
+        order = np.argsort(-length, kind="stable")
+        found = np.zeros((len(self.names), len(low)), np.int64)
+        for at in range(0, len(order), PIECES):
+            some = order[at : at + PIECES]
+            starts = (kept[begins - 1] - 1)[owner[some]] + place[some]
+            active = np.searchsorted(-length[some], -np.arange(int(length[some[0]])), "left")
+            for p in self.parsers:
+                p.start(len(some))
+            for k, m in enumerate(active.tolist()):
+                letters_here = codes.take(starts[:m] + k)
+                for p in self.parsers:
+                    p.step(letters_here)
+            for k, p in enumerate(self.parsers):
+                found[k] += np.bincount(owner[some], p.found(), len(low)).astype(np.int64)
+        return total, found.T
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        total, found = self.counts(texts)
+        figures = found * self.factor
+        best = figures.argmin(axis=1)
+        if len(self.names) == 1:
+            score = np.ones(len(texts))
+        else:
+            low = np.partition(figures, 1, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.clip(1 - low[:, 0] / low[:, 1], 0, 1)
+        return [self.names[b] if n else UNKNOWN for b, n in zip(best, total, strict=True)], [float(x) if n else 0.0 for x, n in zip(score, total, strict=True)]
 
     def __call__(self, texts: list[str | None]) -> list[list]:
-        return [list(x) for x in zip(*map(self.one, texts), strict=True)]
+        out: list[list] = [[], []]
+        if not self.names:
+            return [[UNKNOWN] * len(texts), [0.0] * len(texts)]
+        sizes = np.cumsum([len(t or "") for t in texts])
+        groups = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // BATCH)) + 1)
+        for group in groups:
+            for column, more in zip(out, self.judged([texts[k] for k in group]), strict=True):
+                column += more
+        return out
 
 
 def _maker(texts) -> Callable[[], Identifier]:  # noqa: ANN001  a broadcast of the samples
@@ -186,4 +256,4 @@ def _maker(texts) -> Callable[[], Identifier]:  # noqa: ANN001  a broadcast of t
 def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = None) -> DataFrame:
     """Add lang_pred and score to docs; texts, from samples(), are bounded by LETTERS for each language."""
     shared = docs.sparkSession.sparkContext.broadcast(texts)
-    return with_python(docs, ["text"], docs.columns if keep is None else keep, "lang_pred string, score double", _maker(shared))
+    return with_python(docs, ["text"], docs.columns if keep is None else keep, "lang_pred string, score double", _maker(shared), rows=1024)
