@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import json
 import shutil
 import tempfile
@@ -26,20 +27,47 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a local session, as in tests; on a cluster each executor would write to
+    a disk of its own, so it raises there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="mixlens-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{scratch_root(spark)}/mixlens/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back: a lost executor then costs its own tasks only."""
-    path = f"{scratch_root(df.sparkSession)}/mixlens/{name}-{uuid.uuid4().hex}"
+    """Write df as a table in the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs the tasks it ran, not what came before.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # shuffle files of finished stages go when the driver's JVM finds them unreachable, which else may take half an hour
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables of stored() that no later step reads, through the file system that holds them."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for part in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(part)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_lines(spark: SparkSession, path: str, schema: str, mode: str = "strict") -> DataFrame:
