@@ -61,6 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         made = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
         if k:
-            drop_stored(spark, docs)
+            drop_stored(docs)
         docs = made
     return docs
