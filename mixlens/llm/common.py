@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from mixlens.shipping import ship
+from mixlens.sources.tables import drop_stored, scratch, stored, table
+
+__all__ = ["WORD", "WORD_BYTES", "WORD_PATTERN", "drop_stored", "held", "release", "scratch", "ship", "stored", "table", "unused", "with_python", "word_count"]
 
 #: A word is a run of characters other than the ASCII white space of the contracts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -30,45 +29,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="mixlens-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{scratch_root(spark)}/mixlens/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, not what came before.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    # shuffle files of finished stages go when the driver's JVM finds them unreachable, which else may take half an hour
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table of stored() that no later step reads, through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    for part in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(part)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df has no column of, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def with_python(df: DataFrame, inputs: list[str], keep: list[str], added: str, factory: Callable[[], Callable[..., list]], rows: int = 256) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import stored
+from mixlens.llm.common import drop_stored, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if mark == before or mark[0] == 0:
             return now.select(F.col("a").alias("vertex"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("vertex"), F.col("b").alias("root"))).distinct()
         before = mark
-        now = stored(_small_star(_large_star(now)), name)
+        old, now = now, stored(_small_star(_large_star(now)), name)
+        drop_stored(old)

@@ -1,18 +1,21 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document's set holds the hashes of its distinct shingles. Documents with the same set are one. Shingles are ordered
-rare first, by a count sketch of fixed size over all documents; sets that reach the wanted similarity share a shingle in
-their prefixes. Sets of one size with the same prefix, and the same shingles for a stretch behind it, form a group.
+rare first, by a count-min sketch over all documents; sets that reach the wanted similarity share a shingle in their
+prefixes. Sets of one size with the same prefix, and the same shingles for a stretch behind it, form a group.
 
 1. Each group pairs its sets with one of them, and each prefix shingle its groups with a few pivots among those of about
    their size. The pairs are verified on whole sets; verified ones make components. This repeats with other pivots for
    shingles whose groups still lie in several components.
-2. Of the rest, only pairs of groups that share a prefix shingle, pass the size and position filters and lie in
-   different components can change the result. Those are expanded to their sets and all verified.
+2. A set that a pivot is near to, linked or not, belongs to the family of one such pivot. Sets of a family are indexed by
+   their differences from the pivot alone: two sets with differences of sizes c and d link only if they share at least
+   (c + d - t) / 2 of these, t being the largest difference of two linked sets. So the rare differences in front find
+   all links in a family without pairing it.
+3. Of the rest, only pairs of groups of different families that share a prefix shingle, pass the size, position and
+   signature filters and lie in different components can change the result. Those are expanded to their sets.
 
-So copies that link to a pivot cost pairs in proportion to their number, and no link between components is lost; what is
-just below the limit, and so in components of its own, is compared pair by pair. Sets of so few shingles that only an
-equal one is similar enough take no part in the join.
+So copies that link to a pivot, and families that lie just below the limit, cost pairs in proportion to their number, and
+no link between components is lost. Sets of so few shingles that only an equal one is similar enough take no part.
 
 Null text, and text without a word, has an empty set and is linked with nothing. Text with fewer words than a shingle is
 one shingle. Documents with the same doc_id are told apart by their sets; a null doc_id is never the smallest unless all
@@ -21,16 +24,17 @@ are null. No documents give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import WORD_BYTES, release, ship, stored, with_python
+from mixlens.llm.common import drop_stored, release, ship, stored, unused
 from mixlens.llm.components import components
-from mixlens.llm.hashing import mixed, window_hashes, word_hashes
+from mixlens.llm.hashing import batches_of, hashed_words, mixed, window_hashes
 
 WIDTH = 3
 PERCENT = 90
@@ -42,92 +46,166 @@ SIGNATURE = 8
 MARKS = [f"s{k}" for k in range(SIGNATURE)]
 #: The signature covers this many times the prefix: what a pair does not share is rare, and so lies in front.
 STRETCH = 4
-#: Bits of the bitmap of doc_ids whose texts are read again.
-FILTER_BITS = 22
-#: Counters of the sketch: 262,144, whatever the input.
-SKETCH_BITS = 18
-_LOW = np.uint64((1 << (64 - SKETCH_BITS)) - 1)
-_SHIFT = np.uint64(64 - SKETCH_BITS)
+#: A set is of a pivot's family if it differs from it by at most so many times the difference of a link.
+FAMILY = 3
+#: Rows of the sketch, and bounds of the binary logarithm of a row's cells, which grow with the input's bytes.
+ROWS = 2
+LEAST_BITS, MOST_BITS, BYTES_A_CELL = 18, 22, 512
+_CHUNK = 1 << 14
+#: A token is the logarithm of its count in this many bits, then a part of its hash.
+_RANK = 56
+_LOW = np.uint64((1 << _RANK) - 1)
+_SIGN = np.uint64(1 << 63)
+#: Bounds of the binary logarithm of the bits of a bitmap that filters rows.
+FILTER_BITS = (16, 26)
+
+
+def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the shingles of each text, in order, end to end, and the place of each text's first one."""
+    hashes, first = hashed_words(texts, lower=True)
+    words = np.diff(first)
+    windows = window_hashes(hashes, width)
+    sizes = np.where(words >= width, words - width + 1, words > 0)
+    ends = np.cumsum(sizes)
+    found = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    for a, n, w, b in zip(first.tolist(), sizes.tolist(), words.tolist(), (ends - sizes).tolist(), strict=False):
+        if w >= width:
+            found[b : b + n] = np.sort(windows[a : a + n])
+        elif w:
+            found[b] = mixed(window_hashes(hashes[a : a + w], w) + np.uint64(w))[0]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    return found[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(sizes)))])
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of each run, modulo 2**64; of an empty one 0."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, dtype=np.uint64, out=sums[1:])
+    return sums[first[1:]] - sums[first[:-1]]
+
+
+def _fingerprints(found: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        return [_sums(mixed(found + np.uint64(k)), first).view(np.int64) for k in (1, 2)]
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text."""
-    words = WORD_BYTES.findall((text or "").encode("utf-8", "surrogatepass").lower())  # of bytes, lower() changes A-Z alone
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = word_hashes(words)
-    if len(words) < width:
-        return mixed(window_hashes(hashes, len(words)) + np.uint64(len(words)))
-    return np.unique(window_hashes(hashes, width))
+def smallest(percent: int) -> int:
+    """Size of the smallest set that can be similar enough to another one: percent of one shingle more."""
+    return -(-percent // (100 - percent))
 
 
-def _least(n: int, percent: int) -> int:
-    """Shingles that a set of n shares at least with a similar one."""
-    return -(-n * percent // 100)
+def sketch_bits(docs: DataFrame) -> int:
+    """Binary logarithm of a row's cells, from the bytes that Spark takes the input to have."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / BYTES_A_CELL)))))
 
 
-def smallest(percent: int) -> int:
-    """Size of the smallest set that can be similar enough to another one: percent of one shingle more."""
-    return -(-percent // (100 - percent))
+def _cell(found: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return ((found >> np.uint64(64 - bits * (row + 1))) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _sketcher(width: int) -> Callable:
+def _sketcher(width: int, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                found = [shingles(t, width) for t in batch.column(0).slice(low, 256).to_pylist()]
-                counts += np.bincount((np.concatenate(found) >> _SHIFT).astype(np.int64), minlength=1 << SKETCH_BITS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
+        counts = np.zeros((ROWS, 1 << bits), np.int32)
+        for batch in batches_of(batches, "text"):
+            found, _ = shingles(batch.column(0), width)
+            for row in range(ROWS):
+                at, times = np.unique(_cell(found, row, bits), return_counts=True)
+                counts[row, at] += times.astype(np.int32)
+        pieces = counts.reshape(-1, _CHUNK)
+        used = np.flatnonzero(pieces.any(axis=1))
+        for k in used:
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pieces[k].astype("<i8").tobytes()])], ["place", "counts"])
 
     return run
 
 
-def shingle_ranks(docs: DataFrame, width: int) -> np.ndarray:
-    """For each cell of the sketch its place when cells are ordered by count; the driver gets at most 262,144 rows."""
-    counts = docs.select("text").mapInArrow(_sketcher(width), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    order = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in counts.collect():
-        order[row.cell] = row.n
-    ranks = np.empty(1 << SKETCH_BITS, np.uint64)
-    ranks[np.argsort(order, kind="stable")] = np.arange(1 << SKETCH_BITS, dtype=np.uint64)
-    return ranks
+def _ranker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of each place, as logarithms: eight steps for each doubling."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for place, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            more = np.frombuffer(counts.as_buffer(), "<i8")
+            sums[place] = sums[place] + more if place in sums else more
+    for place, counts in sums.items():
+        ranks = np.minimum(255, np.floor(8 * np.log2(counts + 1.0))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([ranks.tobytes()]), pa.array([int(counts.sum())])], ["place", "ranks", "n"])
+
+
+def shingle_ranks(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """For each cell of each row the logarithm of its count, and the largest rank of a rare shingle.
+
+    The driver gets a byte for each cell, 8 MB at most. A rare shingle has at most 4,096 or 16 times as many documents as
+    a mean cell has entries: this bounds the rows of its key.
+    """
+    bits = sketch_bits(docs)
+    parts = docs.select("text").mapInArrow(_sketcher(width, bits), "place long, counts binary")
+    rows = parts.repartition("place").mapInArrow(_ranker, "place long, ranks binary, n long").collect()
+    ranks = np.zeros((ROWS << bits) // _CHUNK * _CHUNK, np.uint8)
+    for row in rows:
+        ranks[row.place * _CHUNK : (row.place + 1) * _CHUNK] = np.frombuffer(row.ranks, np.uint8)
+    mean = sum(r.n for r in rows) / (ROWS << bits)
+    return ranks.reshape(ROWS, 1 << bits), min(255, int(8 * math.log2(max(4096, 16 * mean))))
+
+
+SETS = "doc_id {id}, row long, n_shingles long, p long, q long, front_p long, front_q long, prefix array<long>, last long, far long, " + ", ".join(f"{c} long" for c in MARKS)
 
 
-class _Sets:
+def _setter(shared, width: int, percent: int) -> Callable:  # noqa: ANN001  a broadcast of the ranks
     """Size, two fingerprints of the set, two of the front part, the prefix, rare shingles first, its last one, the last of the front part and its signature."""
 
-    def __init__(self, ranks: np.ndarray, width: int, percent: int) -> None:
-        self.ranks, self.width, self.percent = ranks, width, percent
-
-    def one(self, text: str | None) -> tuple:
-        found = shingles(text, self.width)
-        n = len(found)
-        if n < smallest(self.percent):
-            return n, *(_fingerprints(found) if n else (0, 0)), 0, 0, [], *[0] * (2 + SIGNATURE)
-        size = n - _least(n, self.percent) + 1
-        keys = (self.ranks[(found >> _SHIFT).astype(np.int64)] << _SHIFT) | (found & _LOW)
-        prefix = np.sort(np.partition(keys, size - 1)[:size])
-        front = np.partition(keys, min(n, STRETCH * size) - 1)[: STRETCH * size]
-        bits = mixed(front) % np.uint64(64 * SIGNATURE)
-        marks = np.zeros(SIGNATURE, np.uint64)
-        np.bitwise_or.at(marks, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
-        ends = np.array([prefix[-1], front.max()], np.uint64) ^ np.uint64(1 << 63)  # signed numbers in the order of the keys
-        return n, *_fingerprints(found), *_fingerprints(front), prefix.view(np.int64).tolist(), *ends.view(np.int64).tolist(), *marks.view(np.int64).tolist()
-
-    def __call__(self, texts: list[str | None]) -> list[list]:
-        return [list(x) for x in zip(*map(self.one, texts), strict=True)]
-
-
-def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprints p and q, those of the front part, and the prefix itself; stored."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        ranks = shared.value
+        bits = ranks.shape[1].bit_length() - 1
+        for batch in batches_of(batches, "text"):
+            found, first = shingles(batch.column("text"), width)
+            n = np.diff(first)
+            rank = np.minimum.reduce([ranks[row][_cell(found, row, bits)] for row in range(ROWS)])
+            keys = (rank.astype(np.uint64) << np.uint64(_RANK)) | (found & _LOW)
+            large = n >= smallest(percent)
+            size = np.where(large, n + (-n * percent) // 100 + 1, 0)
+            front = np.minimum(n, STRETCH * size)
+            picked = []
+            for a, m, k in zip(first.tolist(), n.tolist(), front.tolist(), strict=False):
+                if k:
+                    part = keys[a : a + m]
+                    picked.append(np.sort(np.partition(part, k - 1)[:k] if k < m else part))
+            fronts = np.concatenate([np.empty(0, np.uint64), *picked])
+            at = np.concatenate([[0], np.cumsum(front)])
+            owner = np.repeat(np.arange(len(n)), front)
+            inside = np.arange(len(fronts)) - at[owner] < size[owner]
+            bit = mixed(fronts) % np.uint64(64 * SIGNATURE)
+            marks = np.zeros(len(n) * SIGNATURE, np.uint64)
+            np.bitwise_or.at(marks, owner * SIGNATURE + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            ends = []
+            for behind in (size, front):  # signed numbers in the order of the keys
+                value = np.zeros(len(n), np.uint64)
+                value[large] = fronts[(at[:-1] + behind - 1)[large]] ^ _SIGN
+                ends.append(value.view(np.int64))
+            prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(fronts[inside].view(np.int64)))
+            columns = [n, *_fingerprints(found, first), *_fingerprints(fronts, at), prefixes, *ends, *marks.reshape(-1, SIGNATURE).T.copy().view(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *map(pa.array, columns)], [c.split()[0] for c in SETS.split(", ")])
+
+    return run
+
+
+def row_of(text: Column) -> Column:
+    """What tells texts under one doc_id apart."""
+    return F.xxhash64(text)
+
+
+def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, int]:
+    """For each document its doc_id, row, set size, fingerprints, prefix and signature; stored. With it the largest rank of a rare shingle."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(shingle_ranks(docs, width))
-    columns = "n_shingles long, p long, q long, front_p long, front_q long, prefix array<long>, last long, far long, " + ", ".join(f"{c} long" for c in MARKS)
-    return stored(with_python(docs.select("doc_id", "text"), ["text"], ["doc_id"], columns, lambda: _Sets(shared.value, width, percent)), "sets")
+    ranks, rare = shingle_ranks(docs, width)
+    shared = spark.sparkContext.broadcast(ranks)
+    texts = docs.select("doc_id", row_of(F.col("text")).alias("row"), "text")
+    return stored(texts.mapInArrow(_setter(shared, width, percent), SETS.format(id=docs.schema["doc_id"].dataType.simpleString())), "sets"), rare
 
 
 def _pair_filter(one: Callable[[str], Column], two: Callable[[str], Column], percent: int) -> Column:
@@ -158,194 +236,305 @@ def _signature_filter(one: Callable[[str], Column], two: Callable[[str], Column]
     return most * (100 + percent) >= percent * (one("n") + two("n"))
 
 
+CHECKED = "a long, b long, linked boolean, differ long, n long, differences array<long>"
+
+
 def _verifier(percent: int) -> Callable:
+    """Whether a and b link, how many shingles only one of them has, and which these are if few."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = batch.column("set_a"), batch.column("set_b")
-            good = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                x, y = np.frombuffer(one[k].as_buffer(), "<u8"), np.frombuffer(two[k].as_buffer(), "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                good[k] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
+            linked, differ, size, listed = [], [], [], []
+            for one, two in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = np.frombuffer(one.as_buffer(), "<u8"), np.frombuffer(two.as_buffer(), "<u8")
+                mine = ~np.isin(x, y, assume_unique=True, kind="sort")
+                both = len(x) - int(mine.sum())
+                d = len(x) + len(y) - 2 * both
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                differ.append(d)
+                size.append(len(x))
+                near = d * (100 + percent) <= FAMILY * (100 - percent) * (len(x) + len(y))
+                listed.append(np.concatenate([x[mine], y[~np.isin(y, x, assume_unique=True, kind="sort")]]).view(np.int64).tolist() if near else None)
+            columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(differ, pa.int64()), pa.array(size, pa.int64()), pa.array(listed, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CHECKED.split(", ")])
 
     return run
 
 
-def _passed(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """Documents that a bitmap over the needed doc_ids passes, so that few other texts are shuffled.
+class Bitmap:
+    """Rows of a table by a hash of some columns: what it does not pass is not in the table.
 
-    The bitmap is a table of 2**FILTER_BITS / 64 rows at most, 1 MB, and is broadcast for that bound.
+    It holds 8 bits for each row, within bounds, so it is a table of 2**26 / 64 rows, 16 MB, at most, and is broadcast
+    for that bound.
     """
-    cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), cell(c).bitwiseAND(F.lit(63)).cast("int"))
-    words = needed.groupBy(F.shiftright(cell("_doc"), 6).alias("_word")).agg(F.bit_or(bit("_doc")).alias("_bits"))
-    marked = docs.withColumn("_word", F.shiftright(cell("doc_id"), 6)).join(F.broadcast(words), "_word")
-    return marked.filter(F.col("_bits").bitwiseAND(bit("doc_id")) != 0).select(*docs.columns)
+
+    def __init__(self, rows: DataFrame, columns: list[str], count: int) -> None:
+        self.bits = min(FILTER_BITS[1], max(FILTER_BITS[0], count.bit_length() + 3))
+        cell = self._cell(columns)
+        self.words = rows.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(self._bit(cell)).alias("bits"))
+
+    def _cell(self, columns: list[str]) -> Column:
+        return F.xxhash64(*columns).bitwiseAND(F.lit((1 << self.bits) - 1))
+
+    @staticmethod
+    def _bit(cell: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int"))
+
+    def marked(self, df: DataFrame, columns: list[str], name: str) -> DataFrame:
+        """df with a boolean column of that name: false where a row is in no case in the table."""
+        word, bits = unused(df, "word", "bits")
+        cell = self._cell(columns)
+        both = df.withColumn(word, F.shiftright(cell, 6)).join(F.broadcast(self.words.toDF(word, bits)), word, "left")
+        return both.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(self._bit(cell)) != 0, F.lit(False))).drop(word, bits)
 
 
 class WholeSets:
     """Whole sets of the documents asked for so far, made again from their texts and kept as tables."""
 
-    def __init__(self, docs: DataFrame, members: DataFrame, prefixes: DataFrame, width: int, percent: int) -> None:
-        self.docs, self.members, self.prefixes, self.width, self.percent = docs.select("doc_id", "text"), members, prefixes, width, percent
-        self.known: DataFrame | None = None
+    def __init__(self, docs: DataFrame, members: DataFrame, width: int, percent: int) -> None:
+        self.docs = docs.select("doc_id", row_of(F.col("text")).alias("row"), "text")
+        self.members, self.width, self.percent = members, width, percent
+        self.known: list[DataFrame] = []
+
+    def _all(self) -> DataFrame | None:
+        every = None
+        for k in self.known:
+            every = k if every is None else every.unionByName(k)
+        return every
 
     def fetch(self, pairs: DataFrame) -> None:
         asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        if self.known is not None:
-            asked = asked.join(self.known.select("id"), "id", "left_anti")
-        needed = stored(self.members.join(asked, "id").select("id", F.col("doc_id").alias("_doc"), "p", "q"), "needed")
-        count = needed.count()
-        if not count:
-            return
-        texts = _passed(self.docs, needed).join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")))
-        width = self.width
-        made = stored(with_python(texts, ["text", "p", "q"], ["id"], "members binary", lambda: _own_set(width)).filter("members IS NOT NULL"), "whole-sets")
-        if made.count() > count:  # repeated rows
-            made = stored(made.groupBy("id").agg(F.first("members").alias("members")), "whole-sets")
-        self.known = made if self.known is None else self.known.unionByName(made)
-
-    def possible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose whole prefixes have enough in common: the bound of _pair_filter, without its signatures."""
-        one, two = (self.prefixes.select(*(F.col(c).alias(f"{c}_{k}") for c in self.prefixes.columns)) for k in "ab")
-        both = pairs.select("a", "b").join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
-        common = F.size(F.array_intersect("prefix_a", "prefix_b"))
-        most = [F.col(f"n_{k}") - F.size(f"prefix_{k}") + common for k in "ab"]
-        bound = F.when(F.col("last_a") <= F.col("last_b"), most[0]).otherwise(most[1])
-        return both.filter(bound * (100 + self.percent) >= self.percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) of sets that are similar enough, counted on the whole sets; stored."""
-        pairs = stored(self.possible(pairs), "possible-pairs")
+        if self.known:
+            asked = asked.join(self._all().select("id"), "id", "left_anti")
+        needed = stored(self.members.join(asked, "id").select("id", F.col("doc_id").alias("_doc"), F.col("row").alias("_row")), "needed")
+        if count := needed.count():
+            possible = Bitmap(needed, ["_row"], count).marked(self.docs, ["row"], "_maybe").filter("_maybe")
+            texts = possible.join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))).select("id", "text")
+            made = stored(texts.mapInArrow(_whole(self.width), "id long, members binary"), "whole-sets")
+            if made.count() > count:  # repeated rows
+                every, made = made, stored(made.groupBy("id").agg(F.first("members").alias("members")), "whole-sets")
+                drop_stored(every)
+            self.known.append(made)
+        drop_stored(needed)
+
+    def checked(self, pairs: DataFrame) -> DataFrame:
+        """What _verifier tells of pairs (a, b) of sets, from the whole sets; stored."""
+        pairs = stored(pairs, "pairs")
         self.fetch(pairs)
-        if self.known is None:
-            return pairs.limit(0)
-        one = self.known.select(F.col("id").alias("a"), F.col("members").alias("set_a"))
-        two = self.known.select(F.col("id").alias("b"), F.col("members").alias("set_b"))
-        both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
-        return stored(both.mapInArrow(_verifier(self.percent), "a long, b long"), "links")
-
-
-def _fingerprints(found: np.ndarray) -> list[int]:
-    with np.errstate(over="ignore"):
-        return [int(mixed(found + np.uint64(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (1, 2)]
-
+        if not self.known:
+            return pairs.sparkSession.createDataFrame([], CHECKED)
+        one = self._all().select(F.col("id").alias("a"), F.col("members").alias("set_a"))
+        two = self._all().select(F.col("id").alias("b"), F.col("members").alias("set_b"))
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
+        found = stored(both.mapInArrow(_verifier(self.percent), CHECKED), "checked-pairs")
+        drop_stored(pairs)
+        return found
 
-def _own_set(width: int) -> Callable:
-    """The set of a text as bytes; null unless it has the fingerprints asked for, as rows of a doc_id may differ."""
 
-    def make(texts: list[str | None], p: list[int], q: list[int]) -> list[list]:
-        out = []
-        for text, *prints in zip(texts, p, q, strict=True):
-            found = shingles(text, width)
-            out.append(found.astype("<u8").tobytes() if _fingerprints(found) == prints else None)
-        return [out]
+def _whole(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches_of(batches, "text"):
+            found, first = shingles(batch.column("text"), width)
+            raw = [found[a:b].astype("<u8").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], ["id", "members"])
 
-    return make
+    return run
 
 
-def similar_components(docs: DataFrame, sets: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose token another row has; rows come in order of the token."""
+    held: pa.RecordBatch | None = None
+    last = False  # whether the held row's token has come before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if held is not None else batch
+        tokens = whole.column("token").to_numpy()
+        same = tokens[1:] == tokens[:-1]
+        keep = np.zeros(len(tokens), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= last
+        last = bool(keep[-1])
+        held = whole.slice(len(tokens) - 1)
+        yield whole.slice(0, len(tokens) - 1).filter(pa.array(keep[:-1]))
+    if held is not None and last:
+        yield held
+
+
+def similar_components(docs: DataFrame, sets: DataFrame, rare: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """p, q, n_shingles of each distinct set, and root: one value for the sets of a component; stored."""
     # a third of all rows may be one set: summed before the shuffle
     same = ["front_p", "front_q", "prefix", "last", "far", *MARKS]
-    distinct = sets.filter("n_shingles > 0").groupBy("p", "q", "n_shingles").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in same))
-    ids = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "set-ids")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("one")
+    distinct = sets.filter("n_shingles > 0").groupBy("p", "q", "n_shingles").agg(one, *(F.first(c).alias(c) for c in same))
+    ids = stored(distinct.select("p", "q", "n_shingles", "one.doc_id", "one.row", *same, F.monotonically_increasing_id().alias("id")), "set-ids")
     large = ids.filter(F.col("n_shingles") >= smallest(percent))
     key = ["front_p", "front_q", "n_shingles"]
     groups = large.groupBy(*key).agg(F.min("id").alias("group"), F.count("*").alias("size"))
+    members = stored(large.select("id", "doc_id", "row", *key).join(groups, key).select("id", "group", "size", "doc_id", "row"), "group-members")
     # the least set stands for its group
-    heads = large.join(groups.select(F.col("group").alias("id"), "group", "size"), "id")
-    postings = heads.select("group", "size", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "token"))
-    postings = stored(postings, "postings")
-    common = postings.groupBy("token").agg(F.sum("size").alias("k")).filter("k > 1").select("token")
-    shared = stored(postings.join(common, "token").drop("size"), "shared-postings")
-    members = stored(large.join(groups, key).select("id", "group", "doc_id", "p", "q"), "group-members")
-
-    prefixes = large.select("id", F.col("n_shingles").alias("n"), "last", "prefix")
-    sets_of = WholeSets(docs, members, prefixes, width, percent)
-    rooted = members.select("id", "group", F.col("id").alias("root"))
-    links = members.filter("id <> group").select(F.col("id").alias("a"), F.col("group").alias("b"))
-    links = sets_of.linked(stored(links, "inner-pairs"))
+    heads = large.join(members.filter("id <> group").select("id"), "id", "left_anti").withColumnsRenamed({"id": "group", "n_shingles": "n"})
+    postings = heads.select("group", "n", F.posexplode("prefix").alias("at", "token"))
+    rank = F.shiftrightunsigned("token", _RANK)
+    few = postings.filter(rank <= rare).repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, postings.schema)
+    shared = stored(few.unionByName(postings.filter(rank > rare)), "shared-postings")
+
+    sets_of = WholeSets(docs, members, width, percent)
+    inner = members.filter("id <> group").select(F.col("id").alias("a"), F.col("group").alias("b"))
+    checked = [sets_of.checked(inner.unionByName(_pivot_pairs(shared.withColumns({"id": F.col("group"), "root": F.col("group")}), percent, 0)))]
 
     # 1: pairs with pivots; what they leave apart comes again with other pivots
-    for turn in range(ROUNDS):
-        open_rows = _open_rows(shared, rooted)
-        links = links.unionByName(sets_of.linked(stored(_pivot_pairs(open_rows, percent, turn), "pivot-pairs")))
-        roots = components(links, "components")
-        rooted = stored(members.join(roots, members["id"] == roots["vertex"], "left").select("id", "group", F.coalesce("root", "id").alias("root")), "roots")
+    star = components(_links(checked[0]), "components")
+    rooted = _rooted(members, star)
+    for turn in range(1, ROUNDS):
+        checked.append(sets_of.checked(_pivot_pairs(_open_rows(shared, rooted), percent, turn)))
+        star, old = components(_links(checked[-1]).unionByName(_edges(star)), "components"), star
+        drop_stored(old, rooted)
+        rooted = _rooted(members, star)
+
+    # 2 and 3: what is left across components, in families and between them
+    family = stored(_families(checked, members), "families")
+    near = stored(_family_rows(family, rooted, percent), "family-rows")
+    x, y = (near.select("pivot", "token", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "n", "d", "at"))) for k in (1, 2))
+    needed = (100 + percent) * (F.col("d_1") + F.col("d_2")) - (100 - percent) * (F.col("n_1") + F.col("n_2"))
+    rest = F.least(F.col("d_1") - F.col("at_1"), F.col("d_2") - F.col("at_2"))
+    alike = 100 * F.least("n_1", "n_2") >= percent * F.greatest("n_1", "n_2")
+    within = x.join(y, ["pivot", "token"]).filter((F.col("root_1") < F.col("root_2")) & alike & (2 * (100 + percent) * rest >= needed))
+    within = within.select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).distinct()
 
-    # 2: every pair that is left across components
     signed = heads.select("group", "far", *MARKS)
-    left = stored(_open_rows(shared, rooted).join(signed, "group"), "open-postings")
-    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "n", "at", "root", "far", *MARKS))) for k in (1, 2))
+    opened = _open_rows(shared, rooted, family.select("id", "pivot"))
+    left = stored(opened.join(signed, "group"), "open-postings")
+    drop_stored(shared)
+    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "n", "at", "root", "pivot", "far", *MARKS))) for k in (1, 2))
     of_1, of_2 = (lambda c: F.col(f"{c}_1")), (lambda c: F.col(f"{c}_2"))
-    fits = (F.col("root_1") < F.col("root_2")) & _pair_filter(of_1, of_2, percent) & _signature_filter(of_1, of_2, percent)
+    fits = (F.col("root_1") < F.col("root_2")) & (F.col("pivot_1") != F.col("pivot_2")) & _pair_filter(of_1, of_2, percent) & _signature_filter(of_1, of_2, percent)
     across = x.join(y, "token").filter(fits).select("group_1", "root_1", "group_2", "root_2").distinct()
     a, b = (rooted.select(F.col("group").alias(f"group_{k}"), F.col("root").alias(f"root_{k}"), F.col("id").alias(c)) for k, c in ((1, "a"), (2, "b")))
-    second = stored(across.join(a, ["group_1", "root_1"]).join(b, ["group_2", "root_2"]).select("a", "b"), "pairs-across")
-    final = components(links.unionByName(sets_of.linked(second)), "components")
-    return stored(ids.join(final, ids["id"] == final["vertex"], "left").select("p", "q", "n_shingles", F.coalesce("root", "id").alias("root")), "set-roots")
+    second = across.join(a, ["group_1", "root_1"]).join(b, ["group_2", "root_2"]).select("a", "b")
+    checked.append(sets_of.checked(within.unionByName(second)))
+    final = components(_links(checked[-1]).unionByName(_edges(star)), "components")
+    roots = stored(ids.select("p", "q", "n_shingles", "id").join(final, ids["id"] == final["vertex"], "left").select("p", "q", "n_shingles", F.coalesce("root", "id").alias("root")), "set-roots")
+    drop_stored(ids, members, rooted, star, final, family, near, left, *checked, *sets_of.known)
+    return roots
+
+
+def _links(checked: DataFrame) -> DataFrame:
+    return checked.filter("linked").select("a", "b")
 
 
-def _open_rows(shared: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Postings of shingles whose groups lie in several components: a row for each component of a group, with one set."""
+def _edges(star: DataFrame) -> DataFrame:
+    return star.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
+
+
+def _rooted(members: DataFrame, star: DataFrame) -> DataFrame:
+    return stored(members.join(star, members["id"] == star["vertex"], "left").select("id", "group", "size", F.coalesce("root", "id").alias("root")), "roots")
+
+
+def _open_rows(shared: DataFrame, rooted: DataFrame, family: DataFrame | None = None) -> DataFrame:
+    """Postings of shingles whose groups lie in several components: a row for each component of a group, with one set.
+
+    With families, the groups must lie in several families, too; a set without one is a family by itself.
+    """
     parts = rooted.groupBy("group", "root").agg(F.min("id").alias("id"))
+    apart = F.min("root") < F.max("root")
+    if family is not None:
+        parts = parts.join(family, "id", "left").withColumn("pivot", F.coalesce("pivot", "id"))
+        apart = apart & (F.min("pivot") < F.max("pivot"))
     spread = shared.join(parts, "group")
-    tokens = spread.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    tokens = spread.groupBy("token").agg(apart.alias("open")).filter("open").select("token")
     return spread.join(tokens, "token")
 
 
+def _hash_of(group: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), group)
+
+
 def _pivot_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs of each set with a few pivots of each of its shingles, of about its size and in another component.
+    """Pairs (set, pivot) of each set with a few pivots of each of its shingles, of about its size and in another component.
 
     Pivots are least by hash functions, so sets with the same shingles share them, and each turn has others.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + turn / ROUNDS)
     banded = rows.withColumn("band", band)
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * turn + k), F.col("group")).alias("h"), "id", "root", "n", "at")).alias(f"v{k}") for k in range(PIVOTS)]
-    pivots = banded.groupBy("token", "band").agg(*drawn).select("token", "band", F.explode(F.array_distinct(F.array(*(f"v{k}" for k in range(PIVOTS))))).alias("v"))
+    drawn = [F.min(F.struct(_hash_of(F.col("group"), PIVOTS * turn + k).alias("h"), "id", "root", "n", "at")).alias(f"v{k}") for k in range(PIVOTS)]
+    pivots = banded.groupBy("token", "band").agg(F.count("*").alias("k"), *drawn).filter("k > 1").select("token", "band", F.explode(F.array_distinct(F.array(*(f"v{k}" for k in range(PIVOTS))))).alias("v"))
     near = _pair_filter(F.col, lambda c: F.col(f"v.{c}"), percent) & (F.col("root") != F.col("v.root"))
     met = banded.join(pivots, ["token", "band"]).filter(near)
-    return met.select(F.greatest("id", "v.id").alias("a"), F.least("id", "v.id").alias("b")).distinct()
+    return met.select(F.col("id").alias("a"), F.col("v.id").alias("b")).distinct()
+
+
+def _families(checked: list[DataFrame], members: DataFrame) -> DataFrame:
+    """id, pivot, d, n and differences of sets near to a pivot: that of the least hash, so that near sets share it.
+
+    Only groups of one set take part, so that what their families do not hold is compared by groups. A pivot that is not
+    of another's family is of its own, without differences.
+    """
+    alone = members.filter("size = 1").select("id")
+    near = None
+    for c in checked:
+        some = c.filter("differences IS NOT NULL").select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("differ").alias("d"), "n", "differences")
+        near = some if near is None else near.unionByName(some)
+    near = near.join(alone, "id").join(alone.select(F.col("id").alias("pivot")), "pivot").withColumn("h", F.xxhash64("pivot"))
+    own = near.select("pivot", "h").distinct().select(F.col("pivot").alias("id"), "pivot", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("differences"), "h")
+    best = F.min(F.struct("h", "pivot", "d", "n", "differences")).alias("best")
+    return near.unionByName(own, allowMissingColumns=True).select("id", "pivot", "d", "n", "differences", "h").groupBy("id").agg(best).select("id", "best.pivot", "best.d", "best.n", "best.differences")
+
+
+def _family_rows(family: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
+    """A row for each difference in a set's front part that another set of the family shares, of families in several components.
+
+    Two sets with differences of sizes c and d link only if they share (c + d - t) / 2 of them, t being the greatest
+    difference of two linked sets. Differences that few sets of the family have come first.
+    """
+    placed = family.filter("pivot <> id").join(rooted.select("id", "root"), "id")
+    several = placed.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("d").alias("least")).filter("lo < hi").select("pivot", "least")
+    # of a partner, at most 100 / percent times as large, t is at most this and its differences at least d less that
+    most = F.col("n") * (100 - percent) / percent
+    share = F.greatest(F.lit(1), F.ceil((F.col("d") + F.greatest(F.col("least").cast("double"), F.col("d") - most) - most) / 2 - 1e-6))
+    every = placed.join(several, "pivot").select("pivot", "id", "root", "n", "d", (F.col("d") - share + 1).alias("front"), F.explode("differences").alias("token"))
+    counts = every.groupBy("pivot", "token").agg(F.count("*").alias("k"))
+    order = Window.partitionBy("pivot", "id").orderBy("k", "token")
+    ranked = every.join(counts, ["pivot", "token"]).withColumn("at", F.row_number().over(order) - 1)
+    return ranked.filter((F.col("at") < F.col("front")) & (F.col("k") > 1)).drop("front", "k")
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
-    sets = document_sets(docs, width, percent)
-    roots = similar_components(docs, sets, width, percent)
+    sets, rare = document_sets(docs, width, percent)
+    roots = similar_components(docs, sets, rare, width, percent)
     rows = sets.select("doc_id", "n_shingles", "p", "q")
     linked = rows.filter("n_shingles > 0").join(roots, ["p", "q", "n_shingles"])
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = linked.join(least, "root").select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    result = stored(found.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "near-copies")
+    drop_stored(sets, roots)
+    return result
 
 
 def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The rows of docs without near copies: of each component that of the smallest doc_id; rows without a word stay.
 
-    Rows of the same doc_id and set are copies, too. Where a component has no doc_id but null, one row of that stays.
+    Rows of the same doc_id and text are copies, too. Where a component has no doc_id but null, one row of that stays.
     """
-    sets = document_sets(docs, width, percent)
-    roots = similar_components(docs, sets, width, percent)
-    rows = sets.filter("n_shingles > 0").select("doc_id", "p", "q", "n_shingles").join(roots, ["p", "q", "n_shingles"])
-    # ties of the doc_id, that is other texts under it in one component, fall to the least fingerprint
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("p"), F.col("q"))).alias("first")
-    chosen = stored(rows.groupBy("root").agg(first).select("first.doc_id", "first.p", "first.q").withColumn("chosen", F.lit(True)), "chosen")
-    keyed = with_python(docs, ["text"], docs.columns, "_n long, _p long, _q long", lambda: _keys(width))
-    picked = keyed.join(chosen.select(F.col("doc_id").alias("_doc"), F.col("p").alias("_p1"), F.col("q").alias("_q1")), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_p") == F.col("_p1")) & (F.col("_q") == F.col("_q1")), "left_semi")
-    words = picked.dropDuplicates(["doc_id", "_p", "_q"]) if sets.count() > sets.select("doc_id", "p", "q").distinct().count() else picked
-    return words.select(*docs.columns).unionByName(keyed.filter("_n = 0").select(*docs.columns))
-
-
-def _keys(width: int) -> Callable:
-    def make(texts: list[str | None]) -> list[list]:
-        found = [shingles(t, width) for t in texts]
-        prints = [_fingerprints(f) if len(f) else [0, 0] for f in found]
-        return [[len(f) for f in found], [p for p, _ in prints], [q for _, q in prints]]
-
-    return make
+    sets, rare = document_sets(docs, width, percent)
+    roots = similar_components(docs, sets, rare, width, percent)
+    rows = sets.filter("n_shingles > 0").select("doc_id", "row", "p", "q", "n_shingles").join(roots, ["p", "q", "n_shingles"]).withColumn("null", F.col("doc_id").isNull())
+    # ties of the doc_id, that is other texts under it in one component, fall to the least hash of the text
+    first = F.min(F.struct("null", "doc_id", "row")).alias("first")
+    kept = rows.groupBy("root").agg(first).select("root", "first.null", "first.doc_id", "first.row", F.lit(True).alias("kept"))
+    judged = rows.join(kept, (rows["root"] == kept["root"]) & rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["row"] == kept["row"]), "left").select(rows["doc_id"], rows["row"], "kept")
+    # of a doc_id and text: gone, or kept once though it comes more often
+    keys = judged.groupBy("doc_id", "row").agg(F.count("*").alias("times"), F.first("kept").alias("kept")).filter("kept IS NULL OR times > 1")
+    found = stored(keys.select("doc_id", "row", F.col("kept").isNull().alias("gone")), "copies")
+    drop_stored(sets, roots)
+    row, maybe, doc, other, gone = unused(docs, "row", "maybe", "doc", "other", "gone")
+    keyed = Bitmap(found, ["row"], found.count()).marked(docs.withColumn(row, row_of(F.col("text"))), [row], maybe)
+    named = found.toDF(doc, other, gone)
+    met = keyed.filter(maybe).join(named, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(row) == F.col(other)), "left")
+    clear = keyed.filter(~F.col(maybe)).select(*docs.columns)
+    single = met.filter(F.col(gone).isNull()).select(*docs.columns)
+    several = met.filter(~F.col(gone)).dropDuplicates(["doc_id", row]).select(*docs.columns)
+    return clear.unionByName(single).unionByName(several)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixlens.llm.common import WORD_BYTES, drop_stored, ship, stored, with_python
-from mixlens.llm.hashing import span_hash, window_hashes, word_hashes
+from mixlens.llm.hashing import batches_of, hashed_words, span_hash, window_hashes
 
 WINDOW = 35
 ANCHOR = 12
@@ -48,12 +48,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - size : width - size + n])
 
 
-def paths_of(text: str | None, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Minimiser, hash of all words, first edge, number of edges, and whether an edge comes twice, of each path."""
-    words = _words(text)
-    if len(words) < window:
+def paths_of(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """Minimiser, hash of all words, first edge, number of edges, and whether an edge comes twice, of each path of a text's word hashes."""
+    if len(hashes) < window:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, bool))
-    hashes = word_hashes(words)
     least = sliding_min(window_hashes(hashes, anchor), window - anchor + 1)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     ends = np.append(first[1:], len(least))
@@ -68,12 +66,11 @@ def paths_of(text: str | None, window: int = WINDOW, anchor: int = ANCHOR) -> tu
 
 def _cut(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                found = [paths_of(t, window, anchor) for t in part.column(2).to_pylist()]
-                times = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(times), part.column(1).take(times), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], [c.split()[0] for c in PATH.split(", ")])
+        for part in batches_of(batches, "text"):
+            hashes, first = hashed_words(part.column("text"))
+            found = [paths_of(hashes[a:b], window, anchor) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            times = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(times), part.column(1).take(times), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], [c.split()[0] for c in PATH.split(", ")])
 
     return run
 
@@ -83,9 +80,10 @@ def _edges_at(window: int):
 
     def make(texts: list[str | None], asked: list[list[dict]]) -> list[list]:
         out = []
-        for text, paths in zip(texts, asked, strict=True):
-            edges = window_hashes(word_hashes(_words(text)), window).view(np.int64)
-            out.append([{"anchor": p["anchor"], "edge": int(e), "at": p["first"] + k, "single": p["single"]} for p in paths for k, e in enumerate(edges[p["first"] : p["first"] + p["edges"]])])
+        hashes, first = hashed_words(pa.array(texts, pa.string()))
+        for k, paths in enumerate(asked):
+            edges = window_hashes(hashes[first[k] : first[k + 1]], window).view(np.int64)
+            out.append([{"anchor": p["anchor"], "edge": int(e), "at": p["first"] + j, "single": p["single"]} for p in paths for j, e in enumerate(edges[p["first"] : p["first"] + p["edges"]])])
         return [out]
 
     return make
@@ -115,7 +113,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     paths = stored(docs.select("doc_id", "row", "text").mapInArrow(_cut(window, anchor), PATH), "paths")
     often = paths.groupBy("anchor").agg(F.count("*").alias("n"), F.bool_or("loops").alias("loops")).filter("n > 1 OR loops").select("anchor")
     shared = stored(paths.join(often, "anchor"), "shared-paths")
-    drop_stored(docs.sparkSession, paths)
+    drop_stored(paths)
     source = F.min(F.struct("doc_id", "row", "first")).alias("source")
     compact = stored(shared.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.max("edges").alias("edges"), F.bool_or("loops").alias("loops"), source), "compact-paths")
     whole = shared.join(compact.filter("n > 1").select("anchor", "span"), ["anchor", "span"])
