@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import textwrap
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,3 +100,12 @@ def chart_cell(text: Column, most: int = 260) -> Column:
     latin = F.regexp_replace(shown, "[^\\x{00}-\\x{24F}\\x{2010}-\\x{2027}\\x{2030}-\\x{205E}\\x{20A0}-\\x{20CF}]+", " […] ")
     flat = strip(F.regexp_replace(latin, rf"{SPACE}+", " "))
     return F.when(F.length(flat) > most, F.concat(rstrip(F.substring(flat, 1, most - 1)), F.lit("…"))).otherwise(flat)
+
+
+def wrapped(text: Column, width: int = 50) -> Column:
+    """Lines of at most width characters, as textwrap.fill breaks them; nothing becomes a mark. For the few cells of a chart."""
+
+    def fill(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda t: textwrap.fill(t or "", width=width) or "N/A")
+
+    return F.pandas_udf(fill, "string")(text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import pkgutil
+
 # Levels of rewriting and their field names.
 LEVELS = ("level_0_clean", "level_1_mild", "level_2_jaksel", "level_3_adversarial")
 
@@ -66,21 +69,8 @@ really literally basically actually finally generally specifically clearly simpl
 strongly properly likely only nearly closely
 """.split()
 
-# Formal word and its colloquial form, in the order they are applied. Equal pairs are left out.
-LEXICON = [
-    tuple(pair.split(":"))
-    for pair in """
-sudah:udh tidak:ga dengan:sama saya:gue kamu:lo apa:apaan bagaimana:gimana mengapa:kenapa ini:nih itu:tuh
-yang:yg juga:jg kalau:kalo sekarang:skrg memang:emang begitu:gitu begini:gini seperti:kaya tetapi:tapi
-hanya:cuma sangat:banget sedikit:dikit benar:bener baik:baek besar:gede akan:bakal atau:ato dapat:dpt dari:dr
-dalam:dlm harus:kudu ingin:pengen jadi:jd karena:soalnya lagi:lg lebih:lbh mau:mw mereka:mrk punya:py
-sampai:sampe sedang:lg semua:smua tahu:tau telah:udh untuk:utk waktu:wkt boleh:blh cukup:ckp dengar:denger
-datang:dtg depan:dpn dulu:dlu hari:hr ingat:inget jangan:jgn jawab:jwb kali:x kapan:kpn kasih:ksh kemarin:kmrn
-kenapa:knp lihat:liat malam:mlm makan:mkn malas:males minum:mnum nanti:ntr orang:org pagi:pg pergi:prgi
-perlu:prlu pikir:pkr pulang:plg rumah:rmh saja:aja salah:slh sama:sm satu:1 sebelum:sblm sebagai:sbg
-segera:sgra sering:srg siapa:sp suka:sk tempat:tmpt terus:trs tidur:tdr tunggu:tggu uang:duit
-""".split()
-]
+# Formal word and its colloquial form, in the order they are applied: the file beside this module by default.
+LEXICON = [(k, v) for k, v in json.loads(pkgutil.get_data(__package__, "lexicon.json")).items() if k != v]
 
 # How lines and phrases that state a constraint begin.
 CONSTRAINT_LINE = r"^(?:pastikan\s+jawaban\s+mengandung|jawab\s+\S+\s+\d|jawab\s+\S+\s+format|gunakan\s+format|tampilkan\s+jawaban)"

@@ -22,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     archive = os.path.join(folder, "mixlens.zip")
     with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
+        for file in sorted([*package.rglob("*.py"), *package.rglob("*.json")]):
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(archive)
     context._mixlens_shipped = True
