@@ -1,0 +1,5 @@
+"""Reading and writing relations."""
+
+from mixlens.sources.tables import environment_value, load_config, load_lexicon, load_split, load_templates, read_checkpoint, read_lines, read_strict, rewrite, write_lines, write_report
+
+__all__ = ["environment_value", "load_config", "load_lexicon", "load_split", "load_templates", "read_checkpoint", "read_lines", "read_strict", "rewrite", "write_lines", "write_report"]

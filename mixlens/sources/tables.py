@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -71,14 +71,15 @@ def drop_stored(*tables: DataFrame) -> None:
 
 
 def read_lines(spark: SparkSession, path: str, schema: str, mode: str = "strict") -> DataFrame:
-    """JSON lines. strict raises at a bad line; lenient drops bad lines; marked keeps them in _corrupt_record.
+    """JSON lines. strict raises at a bad line; resume does, too, but takes a missing path for empty; lenient drops bad
+    lines; marked keeps them in _corrupt_record.
 
     A missing path is an empty relation, but for the strict mode.
     """
     wanted = StructType.fromDDL(schema)
-    if mode != "strict" and not _exists(spark, path):
+    if mode != "strict" and not exists(spark, path):
         return spark.createDataFrame([], wanted)
-    if mode == "strict":
+    if mode in ("strict", "resume"):
         return spark.read.schema(wanted).json(path, mode="FAILFAST")
     if mode == "lenient":
         return spark.read.schema(wanted).json(path, mode="DROPMALFORMED")
@@ -86,19 +87,104 @@ def read_lines(spark: SparkSession, path: str, schema: str, mode: str = "strict"
     return spark.read.schema(marked).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file and line, from 1, of each line that is no record of the schema; blank lines are skipped."""
+    text = spark.read.text(path).withColumns({"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "id": F.monotonically_increasing_id()})
+    parsed = F.from_json("value", StructType.fromDDL(schema).add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    told = text.withColumn("bad", (F.trim("value") != "") & (parsed.isNull() | parsed["_bad"].isNotNull() | F.get_json_object("value", "$").isNull()))
+    # lines of a file are numbered in one window, for files that have a bad line alone
+    wrong = told.filter("bad").select("file").distinct()
+    place = F.row_number().over(Window.partitionBy("file").orderBy("block", "id"))
+    return told.join(wrong, "file", "left_semi").withColumn("line", place).filter("bad").select("file", "line")
+
+
+def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of JSON lines; a bad line raises ValueError with its file and number, the first of up to ten."""
+    if found := bad_lines(spark, path, schema).orderBy("file", "line").limit(10).collect():
+        raise ValueError("malformed JSON at " + ", ".join(f"{r.file}:{r.line}" for r in found))
+    return read_lines(spark, path, schema)
+
+
+def read_checkpoint(spark: SparkSession, path: str, schema: str, key: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Good records, their distinct keys, and how many lines were bad; a missing path has none of these."""
+    rows = read_lines(spark, path, schema, "marked")
+    if "_corrupt_record" not in rows.columns:
+        return rows, rows.select(*key), 0
+    kept = stored(rows, "checkpoint")
+    good = kept.filter("_corrupt_record IS NULL").drop("_corrupt_record")
+    return good, good.select(*key).distinct(), kept.filter("_corrupt_record IS NOT NULL").count()
+
+
+def with_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """Add where a row of files read as they are stands: its file, its block, and its place there."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("place"))
+    return df.select("*", place.alias(name))
+
+
+def load_split(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
+    """One split of a data set exported to a folder: parquet below path/split, else JSON lines, else the whole path as parquet."""
+    for at, kind in ((f"{path}/{split}", "parquet"), (f"{path}/{split}.parquet", "parquet"), (f"{path}/{split}.jsonl", "json"), (path, "parquet")):
+        if exists(spark, at):
+            return spark.read.format(kind).load(at)
+    raise FileNotFoundError(path)
+
+
+def load_lexicon(path: str) -> list[tuple[str, str]]:
+    """Pairs of a JSON object in its order, without those that map a word to itself; a missing file has none."""
+    if not Path(path).exists():
+        return []
+    return [(k, v) for k, v in json.loads(Path(path).read_text(encoding="utf-8")).items() if k != v]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines, raw UTF-8; the committer makes a rewrite visible as a whole."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """JSON lines, raw UTF-8. A rewrite goes through rewrite(); other modes write in place."""
+    if mode == "overwrite":
+        rewrite(df, path)
+    else:
+        df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_report(df: DataFrame, path: str) -> None:
+def rewrite(df: DataFrame, path: str, kind: str = "json") -> None:
+    """Replace path as a whole: write beside it, move the old one away, move the new one in, then delete the old one.
+
+    A crash leaves the old or the new data, under path or under a name beside it, never a part.
+    """
+    spark = df.sparkSession
+    aside, old = (f"{path.rstrip('/')}.{word}-{uuid.uuid4().hex}" for word in ("new", "old"))
+    writer = df.write.option("ignoreNullFields", "false") if kind == "json" else df.write
+    writer.format(kind).save(aside)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = files.exists(place(path))
+    if had and not files.rename(place(path), place(old)):
+        raise OSError(f"{path} cannot be moved")
+    if not files.rename(place(aside), place(path)):
+        raise OSError(f"{aside} cannot be moved to {path}")
+    if had:
+        files.delete(place(old), True)
+
+
+def write_failures(failures: DataFrame, path: str) -> dict[str, int]:
+    """Failed rows as JSON lines; returns how many there are of each error_type. No failures leave no file."""
+    counts = {r.error_type or "unknown": r["count"] for r in failures.groupBy("error_type").count().collect()}
+    if counts:
+        write_lines(failures, path)
+    return counts
+
+
+def write_stats(spark: SparkSession, stats: dict, path: str) -> None:
+    """Figures of a run as one JSON object."""
+    write_report(spark.createDataFrame([(json.dumps(stats, ensure_ascii=False),)], "value string"), path, "text")
+
+
+def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
     """A small report as one file."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.coalesce(1).write.mode("overwrite").format(kind).save(path)
 
 
 def export_split(df: DataFrame, path: str, split: str = "split") -> None:
@@ -170,9 +256,12 @@ def demo_rows(spark: SparkSession) -> DataFrame:
 
 
 def demo_dataset(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """n rows drawn from the demo rows by a hash, with a number that makes each instruction unique."""
+    """n rows drawn from the demo rows by a hash, numbered so that each instruction is unique, with constraints and levels."""
+    from mixlens.operators.build import finished
+
     listed = [r.asDict() for r in demo_rows(spark).collect()]
     every = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in listed))
     picked = spark.range(n).withColumn("_r", F.element_at(every, (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(len(listed))) + 1).cast("int")))
     numbered = F.concat(F.col("_r.instruction"), F.lit(" (Variasi "), (F.col("id") + 1).cast("string"), F.lit(")"))
-    return picked.select("id", numbered.alias("original_instruction"), F.col("_r.category").alias("category"), F.col("_r.output").alias("gold_response"))
+    rows = picked.select(numbered.alias("instruction"), F.lit("").alias("input"), F.col("_r.output").alias("output"), F.col("_r.category").alias("category"))
+    return finished(rows, seed)
