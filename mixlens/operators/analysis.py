@@ -122,3 +122,17 @@ def summary(rows: DataFrame) -> DataFrame:
     """One row: number of records, and the models in the order in which they first appear."""
     models = first_seen(rows).agg(F.transform(F.array_sort(F.collect_list(F.struct("first_ord", "model"))), lambda x: x["model"]).alias("models"))
     return rows.agg(F.count("*").alias("total_samples")).join(models).select("total_samples", F.array_join("models", ",").alias("models_evaluated"))
+
+
+def robustness_chart(ranking: DataFrame, by_level: DataFrame) -> DataFrame:
+    """Rows of the headline chart: each model's rank, worst level and mean level, with its drop by level as an array."""
+    drops = by_level.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("level", "pdr"))).alias("drops"))
+    return ranking.join(drops, "model", "left").select("rank", "model", "worst_level_robustness", "mean_level_score", "drops")
+
+
+def example_cells(rows: DataFrame, levels: tuple[str, ...], n: int = 3, key: str = "id", seed: int = 42) -> DataFrame:
+    """The example table: n rows by a hash, their levels as cells of wrapped lines."""
+    from mixlens.functions import text as T
+    from mixlens.operators.selection import sample_rows
+
+    return sample_rows(rows, n, key, seed).select(key, *(T.wrapped(T.chart_cell(F.col(c))).alias(c) for c in levels))

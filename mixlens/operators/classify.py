@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,13 @@ def with_custom(custom: dict[str, dict] | None = None, base: Categories | None =
     return found
 
 
-def score(text: Column, keywords: list[str]) -> Column:
-    """How many of the keywords occur as words in the lower-cased text."""
-    total = F.lit(0)
+def score(text: Column, tokens: Column, keywords: list[str]) -> Column:
+    """How many of the keywords occur as words in the lower-cased text; tokens are its runs of word characters."""
+    plain = [k for k in keywords if re.fullmatch(r"\w+", k)]
+    total = F.size(F.array_intersect(tokens, F.array(*map(F.lit, plain)))) if plain else F.lit(0)
     for k in keywords:
-        total = total + T.has_word(text, k).cast("int")
+        if k not in plain:
+            total = total + T.has_word(text, k).cast("int")
     return total
 
 
@@ -38,9 +42,14 @@ def classify(instruction: Column, extra: Column | None = None, categories: Categ
     """The category of the best score, the first one on a tie; by pattern if all scores are 0."""
     categories = categories or V.CATEGORIES
     text = F.lower(F.concat(F.coalesce(instruction, F.lit("")), F.lit(" "), F.coalesce(extra, F.lit("")) if extra is not None else F.lit("")))
-    ranked = [F.struct(score(text, keywords).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name")) for k, (name, (_, keywords)) in enumerate(categories.items())]
-    best = F.array_max(F.array(*ranked))
-    return F.when(best["score"] > 0, best["name"]).otherwise(by_pattern(text))
+
+    def best(tokens: Column) -> Column:
+        ranked = [F.struct(score(text, tokens, keywords).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name")) for k, (name, (_, keywords)) in enumerate(categories.items())]
+        return F.array_max(F.array(*ranked))
+
+    # the text is cut into words once, and the scores are made once
+    chosen = T.let(F.split(text, r"(?U)\W+"), best)
+    return T.let(chosen, lambda b: F.when(b["score"] > 0, b["name"]).otherwise(by_pattern(text)))
 
 
 def targets(total: int, categories: Categories | None = None) -> dict[str, int]:

@@ -111,6 +111,14 @@ def check_keywords(response: Column, terms: Column) -> Column:
     return F.forall(terms, lambda w: F.contains(low, F.lower(w)))
 
 
+def check_keyword(response: Column, terms: Column, regex: Column) -> Column:
+    """By the pattern, whatever the case and over lines; one that only asks for the terms, or none, by the terms themselves."""
+    given = F.coalesce(regex, F.lit(""))
+    by_terms = F.coalesce(check_keywords(response, terms), given == "")
+    own = (given == "") | F.coalesce(given == keyword_regex(terms), F.lit(False))
+    return F.when(own, by_terms).otherwise(F.rlike(response, F.concat(F.lit("(?isuU)"), given)))
+
+
 def check_length(response: Column, least: Column, most: Column) -> Column:
     return T.word_count(response).between(least, most)
 
@@ -129,8 +137,10 @@ def check(response: Column, constraint: Column) -> Column:
     """type, passed and details of one constraint; an unknown type fails."""
     kind = constraint["constraint_type"]
     n = T.word_count(response)
+    terms = F.coalesce(constraint["keywords"], F.array().cast("array<string>"))
+    worded = check_keyword(response, constraint["keywords"], constraint["verification_regex"])
     known = {
-        "keyword": (check_keywords(response, constraint["keywords"]), F.when(check_keywords(response, constraint["keywords"]), "All keywords found").otherwise(F.concat(F.lit("Missing: "), F.array_join(F.array_except(constraint["keywords"], keywords_found(response, constraint["keywords"])), ", ")))),
+        "keyword": (worded, F.when(worded, "All keywords found").otherwise(F.concat(F.lit("Missing: "), F.array_join(F.array_except(terms, keywords_found(response, terms)), ", ")))),
         "length": (n.between(constraint["min_words"], constraint["max_words"]), F.format_string("%d words (range %d-%d)", n, constraint["min_words"], constraint["max_words"])),
         "format": (check_format(response, constraint["format_id"], constraint["verification_regex"]), F.concat(F.lit("Format '"), constraint["format_id"], F.lit("': "), F.when(check_format(response, constraint["format_id"], constraint["verification_regex"]), "pass").otherwise("fail"))),
     }

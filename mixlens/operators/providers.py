@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -28,6 +29,16 @@ class Embedder(Protocol):
         """One row of unit length for each token, special tokens included."""
 
 
+class Rewriter(Protocol):
+    def rewrite(self, level: int, instruction: str, prompt: str) -> str:
+        """The instruction at a level; prompt is what a model is asked. Raises on failure."""
+
+
+class GoldWriter(Protocol):
+    def answer(self, instruction: str) -> str:
+        """An answer that meets the instruction's constraints, at temperature 0; raises on failure."""
+
+
 class EchoGenerator:
     """Offline stand-in: the prompt, unchanged."""
 
@@ -66,13 +77,19 @@ def error_kind(message: str) -> str:
     return "rate_limit" if "429" in message or "rate_limit" in low else "api_error"
 
 
-def wait_seconds(kind: str, attempt: int) -> float:
-    """Seconds before the next attempt, without jitter."""
-    return {"timeout": 10.0 * attempt, "rate_limit": 5.0 * 2 ** (attempt - 1), "empty_completion": 2.0}.get(kind, 2.0 * attempt)
+def wait_seconds(kind: str, attempt: int, jitter: float = 0.0) -> float:
+    """Seconds before the next attempt; jitter, from 0 to 1, spreads calls that failed together."""
+    wait = {"timeout": 10.0 * attempt, "rate_limit": 5.0 * 2 ** (attempt - 1), "empty_completion": 2.0}.get(kind, 2.0 * attempt)
+    return wait + jitter * {"timeout": 3.0, "empty_completion": 0.0}.get(kind, 2.0)
+
+
+def jitter_of(prompt: str, attempt: int) -> float:
+    """A number from 0 to 1 that hangs on the prompt and the attempt, so that a rerun waits alike."""
+    return int.from_bytes(hashlib.sha256(f"{attempt}:{prompt}".encode("utf-8", "surrogatepass")).digest()[:4], "little") / 2**32
 
 
-def call(generator: Generator, prompt: str, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple:
-    """One result row; failures become typed rows, never exceptions."""
+def call(generator: Generator, prompt: str, retries: int = 3, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[str, int], float] | None = None) -> tuple:
+    """One result row; failures become typed rows, never exceptions. jitter gives a number from 0 to 1 to a prompt and an attempt."""
     began, last = time.perf_counter(), ""
     for attempt in range(1, retries + 1):
         try:
@@ -83,7 +100,7 @@ def call(generator: Generator, prompt: str, retries: int = 3, sleep: Callable[[f
         except Exception as e:  # noqa: BLE001  whatever a provider raises is a failed call
             last = str(e)
         if attempt < retries:
-            sleep(wait_seconds(error_kind(last), attempt))
+            sleep(wait_seconds(error_kind(last), attempt, jitter(prompt, attempt) if jitter else 0.0))
     return "", False, 0, round((time.perf_counter() - began) * 1000), last, error_kind(last)
 
 
@@ -100,7 +117,7 @@ def infer(prompts: DataFrame, make: Callable[[], Generator], column: str = "prom
             rows = []
             for prompt in frame[column]:
                 began = time.perf_counter()
-                rows.append(call(generator, prompt, retries))
+                rows.append(call(generator, prompt, retries, jitter=jitter_of))
                 time.sleep(max(0.0, gap - (time.perf_counter() - began)) if gap else 0.0)
             yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype=object)], axis=1)
 
@@ -122,22 +139,182 @@ def embedding_f1(pairs: DataFrame, make: Callable[[], Embedder], reference: str,
     return pairs.mapInPandas(run, schema)
 
 
-def rewrite_levels(rows: DataFrame, text: str, key: str, seed: int = 42) -> DataFrame:
-    """The four levels without a model: identity, one borrowed noun, a particle, then lexicon, particle and case."""
+def vectors_f1(pairs: DataFrame, reference: str, response: str, name: str = "f1") -> DataFrame:
+    """Add the greedy match F1 of two columns of one token's vector each, whatever their length."""
+    ship(pairs.sparkSession)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        size = np.linalg.norm(x)
+        return (x / size if size else x)[None, :]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(**{name: [greedy_f1(unit(np.asarray(a, float)), unit(np.asarray(b, float))) for a, b in zip(frame[reference], frame[response], strict=True)]})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + f", {name} double"
+    return pairs.mapInPandas(run, schema)
+
+
+def attempt(ask: Callable[[], str], label: str, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> str:
+    """The stripped and unquoted text of the first call that gives one; RuntimeError when all have failed."""
+    last = ""
+    for k in range(1, retries + 1):
+        try:
+            text = ask().strip()
+            if len(text) >= 2 and text[0] == text[-1] and text[0] in "\"'":
+                text = text[1:-1].strip()
+            if text:
+                return text
+            last = "empty completion"
+        except Exception as e:  # noqa: BLE001  whatever a provider raises is a failed call
+            last = str(e)
+        if k < retries:
+            sleep(wait_seconds(error_kind(last), k, jitter_of(label, k)))
+    raise RuntimeError(f"{label} failed after {retries} attempts: {last}")
+
+
+def filled(templates: dict | None, level: int, instruction: str) -> str:
+    """What a model is asked: the level's template around the instruction, the shared rules before and after."""
+    if templates is None:
+        return instruction.strip()
+    shared = templates.get("shared", {})
+    user = templates[f"level_{level}"]["user"].format(instruction=instruction.strip())
+    return "\n\n".join(x for x in (str(shared.get("system", "")).strip(), user, str(shared.get("output_format", "")).strip()) if x)
+
+
+class RuleRewriter:
+    """Offline stand-in for a model that meets what each level asks for, by fixed swaps.
+
+    Level 1 borrows one noun; level 2 puts an affix to an English verb and adds a connector; level 3 adds a respelled
+    word, an English clause and a root with an English suffix. Constraint lines stay as they are, at the end.
+    """
+
+    #: Words of an instruction and what stands for them, in the order they are tried.
+    NOUNS = (("unduh", "download"), ("unggah", "upload"), ("surel", "email"), ("daring", "online"), ("berkas", "file"), ("peladen", "server"), ("luring", "offline"), ("pranala", "link"))
+    VERBS = (("periksa", "direview"), ("unggah", "diupload"), ("tampilkan", "didisplay"), ("bagikan", "dishare"), ("hitung", "dicalculate"), ("tuliskan", "diwrite"), ("tulis", "diwrite"), ("jelaskan", "diexplain"), ("sebutkan", "dilist"), ("rangkum", "disummarize"), ("buat", "dicreate"))
+    OPENERS = ("Cek", "Apdet", "Rili", "Litereli", "Oke", "Nais", "Rait", "Greit", "Meik sure")
+    ROOTS = ("cepatly", "jelasly", "jujurly", "rapily", "lengkaply")
+    CONNECTOR = "basically"
+    CLAUSE = "so please make sure the answer is clear"
+
+    @staticmethod
+    def _swapped(text: str, pairs: tuple) -> str | None:
+        for word, other in pairs:
+            made, n = re.subn(rf"\b{word}\b", other, text, count=1, flags=re.IGNORECASE)
+            if n:
+                return made
+        return None
+
+    def rewrite(self, level: int, instruction: str, prompt: str) -> str:
+        lines = instruction.strip().splitlines()
+        tail = [x for x in lines if re.match(V.CONSTRAINT_LINE, x.strip(), re.IGNORECASE)]
+        body = " ".join(x.strip() for x in lines if x.strip() and x not in tail)
+        if level == 0:
+            return "\n".join([body, *tail])
+        if level == 1:
+            return "\n".join([self._swapped(body, self.NOUNS) or body, *tail])
+        fused = self._swapped(body, self.VERBS) or f"Tolong direview: {body}"
+        head, comma, rest = fused.partition(", ")
+        fused = f"{head}, {self.CONNECTOR} {rest}" if comma else f"{fused.rstrip('.')}, {self.CONNECTOR}."
+        if level == 2:
+            return "\n".join([fused, *tail])
+        pick = int.from_bytes(hashlib.sha256(body.encode("utf-8", "surrogatepass")).digest()[:4], "little")
+        spoken = f"{self.OPENERS[pick % len(self.OPENERS)]}, {fused[:1].lower()}{fused[1:]}".rstrip(".!?")
+        return "\n".join([f"{spoken}, {self.ROOTS[pick // 16 % len(self.ROOTS)]}, {self.CLAUSE}.", *tail])
+
+
+class KeywordGold:
+    """Offline stand-in: the instruction's own words, with the keywords and the number of words that its constraints ask for."""
+
+    def answer(self, instruction: str) -> str:
+        lines = instruction.strip().splitlines()
+        asked = [x for x in lines if re.match(V.CONSTRAINT_LINE, x.strip(), re.IGNORECASE)]
+        words = [w for x in lines if x not in asked for w in x.split()] or ["jawaban"]
+        terms, least = [], 1
+        for x in asked:
+            if found := re.search(V.KEYWORD_TERMS, x, re.IGNORECASE):
+                terms = [t.strip() for t in found[1].split(",") if t.strip()]
+            elif found := re.search(V.LENGTH_RANGE, x):
+                least = int(found[1])
+        body = [*terms, *words]
+        return " ".join((body * (least // len(body) + 1))[: max(least, len(terms))])
+
+
+def rewrite_with(rows: DataFrame, make: Callable[[], Rewriter], text: str, templates: dict | None = None, retries: int = 3, partitions: int | None = None, per_minute: float | None = None) -> DataFrame:
+    """Add the four levels, error and error_type. Level 0 falls back to the input; another level that fails leaves the row failed."""
+    ship(rows.sparkSession)
+    dealt = rows.repartition(partitions) if partitions else rows
+    gap = 60.0 / per_minute * (partitions or 1) if per_minute else 0.0
+
+    def one(rewriter: Rewriter, given: str) -> list[str | None]:
+        levels: list[str | None] = []
+        try:
+            for level in range(len(V.LEVELS)):
+                began = time.perf_counter()
+                try:
+                    levels.append(attempt(lambda level=level: rewriter.rewrite(level, given, filled(templates, level, given)), f"level {level}", retries))
+                except RuntimeError:
+                    if level:
+                        raise
+                    levels.append(given.strip())
+                time.sleep(max(0.0, gap - (time.perf_counter() - began)) if gap else 0.0)
+        except RuntimeError as e:
+            return [*levels, *[None] * (len(V.LEVELS) - len(levels)), str(e), error_kind(str(e))]
+        return [*levels, None, None]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rewriter = make()
+        for frame in frames:
+            made = pd.DataFrame([one(rewriter, t or "") for t in frame[text]], columns=[*V.LEVELS, "error", "error_type"], dtype=object)
+            yield pd.concat([frame.reset_index(drop=True), made], axis=1)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", " + ", ".join(f"{c} string" for c in [*V.LEVELS, "error", "error_type"])
+    return dealt.mapInPandas(run, schema)
+
+
+def gold_with(rows: DataFrame, make: Callable[[], GoldWriter], text: str, name: str = "gold_response", retries: int = 3) -> DataFrame:
+    """Add an answer to each constrained instruction, with error and error_type, null where it succeeded."""
+    ship(rows.sparkSession)
+
+    def one(writer: GoldWriter, given: str) -> list[str | None]:
+        try:
+            return [attempt(lambda: writer.answer(given), "gold answer", retries), None, None]
+        except RuntimeError as e:
+            return [None, str(e), error_kind(str(e))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        writer = make()
+        for frame in frames:
+            made = pd.DataFrame([one(writer, t or "") for t in frame[text]], columns=[name, "error", "error_type"], dtype=object)
+            yield pd.concat([frame.reset_index(drop=True), made], axis=1)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {name} string, error string, error_type string"
+    return rows.mapInPandas(run, schema)
+
+
+def rewrite_levels(rows: DataFrame, text: str, key: str, seed: int = 42, make: Callable[[], Rewriter] = RuleRewriter, templates: dict | None = None, **limits: float) -> DataFrame:
+    """The four levels of each row: as the rewriter gives them, then particles, lexicon and sentence case on the last two."""
     from mixlens.operators import rewrite as R
 
-    swaps = [("unduh", "download"), ("unggah", "upload"), ("surel", "email"), ("daring", "online")]
-    level_1 = R.lexicon_rewrite(F.col(text), None, swaps)
-    return rows.withColumns(dict(zip(V.LEVELS, (F.col(text), level_1, R.level_2(F.col(text), F.col(key), seed), R.level_3(F.col(text), F.col(key), seed)), strict=True)))
+    made = rewrite_with(rows, make, text, templates, **limits)
+    return made.withColumns({V.LEVELS[2]: R.level_2(F.col(V.LEVELS[2]), F.col(key), seed), V.LEVELS[3]: R.level_3(F.col(V.LEVELS[3]), F.col(key), seed)})
 
 
-def probe(models: DataFrame, make: Callable[[str], Generator], prompt: str = "ping") -> DataFrame:
-    """name, model_id, ok, latency_ms and detail of one call to each model of a registry."""
+def probe(models: DataFrame, make: Callable[[str], Generator], prompt: str = "ping", others: dict[str, Callable[[str], Generator]] | None = None) -> DataFrame:
+    """name, model_id, api_format, ok, latency_ms and detail of one call to each model of a registry.
+
+    A model whose api_format is in others is asked through that kind of endpoint, and through the first if that fails.
+    """
     ship(models.sparkSession)
+    kinds = dict(others or {})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [call(make(m), prompt, retries=1) for m in frame["model_id"]]
-            yield frame[["name", "model_id"]].assign(ok=[r[1] for r in rows], latency_ms=[r[3] for r in rows], detail=[r[4] for r in rows])
+            rows = []
+            for model, kind in zip(frame["model_id"], frame["api_format"], strict=True):
+                found = call(kinds[kind](model), prompt, retries=1) if kind in kinds else None
+                rows.append(found if found and found[1] else call(make(model), prompt, retries=1))
+            yield frame.assign(ok=[r[1] for r in rows], latency_ms=[r[3] for r in rows], detail=[r[4] for r in rows])
 
-    return models.select("name", "model_id").mapInPandas(run, "name string, model_id string, ok boolean, latency_ms long, detail string")
+    kind = F.col("api_format") if "api_format" in models.columns else F.lit("chat")
+    return models.select("name", "model_id", F.coalesce(kind, F.lit("chat")).alias("api_format")).mapInPandas(run, "name string, model_id string, api_format string, ok boolean, latency_ms long, detail string")

@@ -17,20 +17,42 @@ def long_enough(text: Column, least: int = 20) -> Column:
     return F.coalesce(F.length(T.strip(text)) >= least, F.lit(False))
 
 
+def _of_category(numbers: dict[str, int]) -> Column:
+    """The number of a row's category; 0 for other categories. A join would work out the category twice."""
+    found = F.lit(0)
+    for name, n in numbers.items():
+        found = F.when(F.col("category") == name, n).otherwise(found)
+    return found
+
+
+def with_place(rows: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
+    """Add the place of a row in its category, from 1."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy("category").orderBy(*order)))
+
+
 def quota_sample(rows: DataFrame, targets: DataFrame, order: list[Column | str]) -> DataFrame:
-    """The first rows of each category up to its target; other categories go."""
-    place = Window.partitionBy("category").orderBy(*order)
-    most = rows.join(targets, "category")
-    return most.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= F.col("target")).drop("target")
+    """The first rows of each category up to its target; other categories go. targets has a row for each category."""
+    listed = {r.category: r.target for r in targets.select("category", "target").collect()}
+    return with_place(rows, order).filter(F.col("place") <= _of_category(listed))
 
 
 def round_slice(rows: DataFrame, order: list[Column | str], needed: int, cursor: int = 0, first: bool = True) -> DataFrame:
     """The next candidates of each category: a quarter more than needed in the first round, exact afterwards."""
     take = int(needed * 1.25) if first else needed
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
+    placed = with_place(rows, order)
     return placed.filter((F.col("place") > cursor) & (F.col("place") <= cursor + take))
 
 
+def between_places(placed: DataFrame, low: dict[str, int], high: dict[str, int]) -> DataFrame:
+    """Rows with a place above low and up to high of their category."""
+    return placed.filter((F.col("place") > _of_category(low)) & (F.col("place") <= _of_category(high)))
+
+
+def sample_rows(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows by a hash of the key, as a small report shows them; all if there are fewer."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
 def global_places(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
     """Add the place from 0 in the total order, without one task that holds all rows.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixlens.functions import text as T
@@ -27,13 +27,12 @@ def _when(test: Column, severity: str, said: Column | str) -> Column:
     return F.when(F.coalesce(test, F.lit(True)), F.struct(F.lit(severity).alias("severity"), said.alias("rule")))
 
 
-def _wrong_counts(level: str, text: Column, more: bool) -> Column:
+def _wrong_counts(level: str, text: Column) -> Column:
     """A violation for each requirement that the level's text lacks, or has more than once."""
     asked = F.filter("constraints", lambda c: c["requirement"] != "")
+    said = lambda what: F.struct(F.lit("error").alias("severity"), F.lit(f"{level} requirement {what}").alias("rule"))
     times = F.transform(asked, lambda c: T.occurrences(text, c["requirement"]))
-    wrong = F.filter(times, lambda n: n > 1 if more else n == 0)
-    said = F.struct(F.lit("error").alias("severity"), F.lit(f"{level} requirement {'repeated' if more else 'not found'}").alias("rule"))
-    return F.transform(wrong, lambda n: said)
+    return F.transform(times, lambda n: F.when(n == 0, said("not found")).when(n > 1, said("repeated")))
 
 
 def violations(rows: DataFrame, categories: tuple[str, ...] = tuple(V.CATEGORIES), levels: tuple[str, ...] = V.LEVELS) -> DataFrame:
@@ -44,7 +43,7 @@ def violations(rows: DataFrame, categories: tuple[str, ...] = tuple(V.CATEGORIES
     for level in levels:
         text = F.coalesce(F.col(level), F.lit(""))
         found.append(_when(T.strip(text) == "", "error", f"{level} empty"))
-        checks += [_wrong_counts(level, text, more) for more in (False, True)]
+        checks.append(_wrong_counts(level, text))
 
     def of_one(c: Column) -> Column:
         low, high = length_bounds(c["min_words"], c["max_words"], c["requirement"])
@@ -116,6 +115,40 @@ def average_words(rows: DataFrame, levels: tuple[str, ...] = V.LEVELS) -> DataFr
     return rows.agg(*(F.coalesce(F.avg(T.word_count(F.col(c))), F.lit(0.0)).alias(c) for c in levels))
 
 
+#: Bands of the identity rate, in percent.
+IDENTITY_BANDS = (10.0, 30.0)
+
+
+def identity_band(percent: Column) -> Column:
+    return F.when(percent < IDENTITY_BANDS[0], "ok").when(percent < IDENTITY_BANDS[1], "high").otherwise("too high")
+
+
+def full_report(rows: DataFrame, prefix: str = "item_") -> DataFrame:
+    """id, severity and rule of everything that is wrong: row by row, and of the dataset as a whole, there with a null id."""
+    of_all = lambda df, severity, rule: df.select(F.lit(None).cast("string").alias("id"), F.lit(severity).alias("severity"), rule.alias("rule"))
+    shaped = rows.filter(~F.coalesce(id_format(F.col("id"), prefix), F.lit(False))).select("id", F.lit("error").alias("severity"), F.lit("malformed id").alias("rule"))
+    ids = duplicates(rows, "id").select(F.col("value").alias("id"), F.lit("error").alias("severity"), F.lit("duplicate id").alias("rule"))
+    gaps = of_all(contiguous(rows, "id", prefix).filter("NOT contiguous"), "error", F.lit("ids are not contiguous"))
+    twice = duplicates(rows, "original_instruction").agg(F.count("*").alias("n")).filter("n > 0")
+    same = identity_rate(rows, V.LEVELS[0], V.LEVELS[1]).filter(F.col("percent") >= IDENTITY_BANDS[1])
+    found = [shaped, ids, gaps, of_all(twice, "error", F.concat(F.col("n").cast("string"), F.lit(" duplicate original_instruction"))), of_all(same, "warning", F.format_string("levels 0 and 1 are equal in %.1f%%", "percent")), violations(rows)]
+    every = found[0]
+    for other in found[1:]:
+        every = every.unionByName(other)
+    return every
+
+
+#: How many violations of each severity a report shows.
+SHOWN = {"error": 60, "warning": 40}
+
+
+def shown(report: DataFrame) -> DataFrame:
+    """The first violations of each severity, by id and rule."""
+    place = Window.partitionBy("severity").orderBy("id", "rule")
+    most = F.when(F.col("severity") == "error", SHOWN["error"]).otherwise(SHOWN["warning"])
+    return report.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= most).drop("_n")
+
+
 def identity_rate(rows: DataFrame, level_0: str, level_1: str) -> DataFrame:
     same = T.strip(F.col(level_0)) == T.strip(F.col(level_1))
     return rows.agg(F.count_if(same).alias("same"), F.count("*").alias("n")).withColumn("percent", F.when(F.col("n") > 0, F.col("same") / F.col("n") * 100).otherwise(0.0))
