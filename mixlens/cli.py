@@ -1,4 +1,4 @@
-"""Command line: build, infer, evaluate, analyze, validate, report and export, each from and to folders."""
+"""Command line: build, infer, evaluate, analyze, validate, report, export and demo, each from and to folders, and all in one run."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixlens.functions import vocabulary as V
-from mixlens.operators import analysis, build, evaluate, providers, selection, validation
+from mixlens.logs import get_logger, setup_logger
+from mixlens.operators import analysis, build, classify, evaluate, providers, selection, validation
 from mixlens.sources import tables as S
 
 
@@ -19,26 +20,42 @@ def analysis_rows(evaluated: DataFrame) -> DataFrame:
 
 
 def run_build(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Fill the quotas in rounds; failed rows and the figures of the run are written beside the dataset."""
     done = spark.read.parquet(a.done) if a.done else None
-    build.build(S.read_lines(spark, a.source, S.SOURCE), a.samples, a.seed, done=done, prefix=a.prefix).write.mode("overwrite").parquet(a.out)
+    templates = S.load_templates(a.prompts) if a.prompts else None
+    rows, failures, figures = build.build_report(S.read_lines(spark, a.source, S.SOURCE), a.samples, a.seed, done=done, prefix=a.prefix, max_rounds=a.max_rounds, templates=templates)
+    rows.write.mode("overwrite").parquet(a.out)
+    counts = S.write_failures(failures, f"{a.out}_failures")
+    S.write_stats(spark, figures | {"failures_by_type": counts, "source": a.source}, f"{a.out}_stats")
+    get_logger().info("%d rows in %d rounds, %d failures", figures["total_samples"], figures["rounds"], figures["failures"])
 
 
-def run_infer(spark: SparkSession, a: argparse.Namespace) -> None:
+def _registry(path: str) -> list[dict]:
+    found = S.load_config(path)
+    return found.get("models") or found.get("inference", {}).get("models", [])
+
+
+def chosen_models(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    listed = [(m["name"], m["model_id"]) for m in _registry(a.models)]
+    return selection.select_models(spark.createDataFrame(listed, "name string, model_id string"), a.include, a.exclude, a.add)
+
+
+def run_infer(spark: SparkSession, a: argparse.Namespace, models: DataFrame | None = None) -> None:
     """Ask every selected model every prompt that has no record yet, with the offline generator."""
-    registry = S.load_config(a.models)["models"]
-    models = selection.select_models(spark.createDataFrame([(m["name"], m["model_id"]) for m in registry], "name string, model_id string"), a.include, a.exclude, a.add)
+    models = chosen_models(spark, a) if models is None else models
     data = spark.read.parquet(a.dataset)
     limited = evaluate.first_rows(data, a.limit, "id") if a.limit else data
     prompts = evaluate.unpivot_levels(limited, V.LEVELS).withColumnsRenamed({"id": "sample_id", "text": "prompt"})
     asked = evaluate.model_prompts(models, prompts)
-    done = S.read_lines(spark, a.out, S.INFERENCE, "lenient")
-    todo = asked.join(done.select(*evaluate.KEY).distinct(), evaluate.KEY, "left_anti")
+    done = S.stored(S.read_lines(spark, a.out, S.INFERENCE, "resume").select(*evaluate.KEY).distinct(), "done")
+    todo = asked.join(done, evaluate.KEY, "left_anti")
     S.write_lines(providers.infer(todo, providers.EchoGenerator, partitions=a.partitions, per_minute=a.per_minute), a.out, "append")
 
 
 def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    records = S.read_lines(spark, a.records, S.INFERENCE)
-    data = evaluate.last_wins(spark.read.parquet(a.dataset).withColumn("_o", F.col("id")), ["id"], "_o")
+    """Score records that have no score yet; of dataset rows with one id the last in the files counts."""
+    records = S.read_strict(spark, a.records, S.INFERENCE)
+    data = evaluate.last_wins(S.with_position(spark.read.parquet(a.dataset), "_o"), ["id"], "_o").drop("_o")
     done = spark.read.parquet(a.done) if a.done else None
     evaluate.evaluate(records, data, done).write.mode("append").parquet(a.out)
 
@@ -54,6 +71,7 @@ def run_analyze(spark: SparkSession, a: argparse.Namespace) -> None:
         "pdr_details": details,
         "pdr_by_level": analysis.pdr_by_level(details),
         "robustness": analysis.robustness(levels, details),
+        "robustness_chart": analysis.robustness_chart(analysis.wlr_ranking(rows, a.exclude), analysis.pdr_by_level(details)),
         "compliance_by_level": by_type,
         "compliance": analysis.compliance_overall(by_type),
         "profile_category": analysis.category_profile(rows),
@@ -68,9 +86,13 @@ def run_analyze(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_validate(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Write all violations; 1 if one is an error."""
-    found = S.stored(validation.violations(spark.read.parquet(a.dataset)), "violations")
+    """Write everything that is wrong, and the categories beside their targets; 1 if something is an error."""
+    data = spark.read.parquet(a.dataset)
+    found = S.stored(validation.full_report(data, a.prefix), "violations")
     S.write_report(found, a.out)
+    S.write_report(validation.category_distribution(data, classify.targets_table(spark, a.samples)), f"{a.out}_categories")
+    for r in validation.shown(found).orderBy("severity", "id", "rule").collect():  # 100 rows at most
+        get_logger().info("%s %s %s", r.severity.upper(), r.id or "-", r.rule)
     return int(not found.filter("severity = 'error'").isEmpty())
 
 
@@ -78,24 +100,78 @@ def run_report(spark: SparkSession, a: argparse.Namespace) -> None:
     data = spark.read.parquet(a.dataset)
     S.write_report(validation.marker_coverage(data, V.LEVELS[2], V.LEVELS[3]), f"{a.out}/markers")
     S.write_report(validation.average_words(data), f"{a.out}/words")
-    S.write_report(validation.identity_rate(data, V.LEVELS[0], V.LEVELS[1]), f"{a.out}/identity")
+    S.write_report(validation.identity_rate(data, V.LEVELS[0], V.LEVELS[1]).withColumn("band", validation.identity_band(F.col("percent"))), f"{a.out}/identity")
+    S.write_report(analysis.example_cells(data, V.LEVELS), f"{a.out}/examples")
     S.write_report(data.groupBy("category").count(), f"{a.out}/categories")
 
 
 def run_export(spark: SparkSession, a: argparse.Namespace) -> None:
-    data = spark.read.parquet(a.dataset)
-    flat = data.withColumn("constraints", F.to_json("constraints"))
-    S.export_split(selection.train_test(flat, ["id"]), a.out)
-
-
+    S.export_split(selection.train_test(build.flatten_sample(spark.read.parquet(a.dataset)), ["id"]), a.out)
+
+
+def run_demo(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A dataset made from literal rows, to try the other commands."""
+    S.demo_dataset(spark, a.samples, a.seed).write.mode("overwrite").parquet(a.out)
+    for r in spark.read.parquet(a.out).groupBy("category").count().orderBy("category").collect():
+        get_logger().info("%s %d", r.category, r["count"])
+
+
+def picked_models(models: DataFrame, answer: str) -> DataFrame:
+    """All models for an empty answer or yes, those of the numbers given, from 1; none to stop."""
+    said = answer.strip().lower()
+    if said in ("", "y", "yes"):
+        return models
+    if said in ("q", "n", "no"):
+        return models.limit(0)
+    listed = models.select("name", "model_id").collect()
+    try:
+        numbers = sorted({int(x) for x in said.replace(" ", "").split(",")})
+    except ValueError as e:
+        raise ValueError(f"no numbers of models: {answer!r}") from e
+    names = [listed[k - 1].model_id for k in numbers if 1 <= k <= len(listed)]
+    if not names:
+        raise ValueError(f"no models have the numbers {answer!r}")
+    return models.filter(F.col("model_id").isin(*names))
+
+
+def run_all(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Infer, evaluate and analyze below one folder; a dataset that is missing is built first. A step that fails ends the run."""
+    smoke = {"samples": 10, "limit": 2} if a.smoke else {}
+    at = lambda name: f"{a.out}/{name}"
+    step = argparse.Namespace(**{**vars(a), **smoke})
+    models = chosen_models(spark, step)
+    if not a.yes:
+        for k, m in enumerate(models.collect(), 1):
+            print(f"{k:>3}. {m.name}  ({m.model_id})")
+        models = picked_models(models, input("Proceed with all models? [Enter, numbers such as 1,3, or q] "))
+        if models.isEmpty():
+            return 0
+    dataset = a.dataset or at("dataset")
+    if not S.exists(spark, dataset):
+        get_logger().info("%s is missing and is built", dataset)
+        if a.source:
+            run_build(spark, argparse.Namespace(**{**vars(step), "out": dataset, "done": None}))
+        else:
+            run_demo(spark, argparse.Namespace(samples=step.samples, seed=a.seed, out=dataset))
+    run_infer(spark, argparse.Namespace(**{**vars(step), "dataset": dataset, "out": at("records")}), models)
+    done = at("scores") if S.exists(spark, at("scores")) else None
+    run_evaluate(spark, argparse.Namespace(records=at("records"), dataset=dataset, out=at("scores"), done=done))
+    run_analyze(spark, argparse.Namespace(evaluated=at("scores"), out=at("reports"), exclude=None))
+    return 0
+
+
+_MODELS = {"--include": {"nargs": "*"}, "--exclude": {"nargs": "*"}, "--add": {"nargs": "*"}, "--limit": {"type": int}, "--partitions": {"type": int, "default": 8}, "--per-minute": {"type": float}}
+_BUILD = {"--samples": {"type": int, "default": 750}, "--seed": {"type": int, "default": 42}, "--prefix": {"default": "item_"}, "--prompts": {}, "--max-rounds": {"type": int, "default": build.MAX_ROUNDS}}
 COMMANDS = {
-    "build": (run_build, {"source": {}, "out": {}, "--samples": {"type": int, "default": 750}, "--seed": {"type": int, "default": 42}, "--done": {}, "--prefix": {"default": "item_"}}),
-    "infer": (run_infer, {"dataset": {}, "models": {}, "out": {}, "--include": {"nargs": "*"}, "--exclude": {"nargs": "*"}, "--add": {"nargs": "*"}, "--limit": {"type": int}, "--partitions": {"type": int, "default": 8}, "--per-minute": {"type": float}}),
+    "build": (run_build, {"source": {}, "out": {}, "--done": {}, **_BUILD}),
+    "infer": (run_infer, {"dataset": {}, "models": {}, "out": {}, **_MODELS}),
     "evaluate": (run_evaluate, {"records": {}, "dataset": {}, "out": {}, "--done": {}}),
     "analyze": (run_analyze, {"evaluated": {}, "out": {}, "--exclude": {"nargs": "*"}}),
-    "validate": (run_validate, {"dataset": {}, "out": {}}),
+    "validate": (run_validate, {"dataset": {}, "out": {}, "--prefix": {"default": "item_"}, "--samples": {"type": int, "default": 750}}),
     "report": (run_report, {"dataset": {}, "out": {}}),
     "export": (run_export, {"dataset": {}, "out": {}}),
+    "demo": (run_demo, {"out": {}, "--samples": {"type": int, "default": 100}, "--seed": {"type": int, "default": 42}}),
+    "all": (run_all, {"models": {}, "out": {}, "--dataset": {}, "--source": {}, "--smoke": {"action": "store_true"}, "--yes": {"action": "store_true"}, **_MODELS, **_BUILD}),
 }
 
 
@@ -107,5 +183,6 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         for option, how in options.items():
             one.add_argument(option, **how)
     given = parser.parse_args(arguments)
+    setup_logger()
     session = spark or SparkSession.builder.appName("mixlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     return COMMANDS[given.command][0](session, given) or 0

@@ -11,7 +11,7 @@ from mixlens.functions import text as T
 from mixlens.functions import vocabulary as V
 from mixlens.functions.rouge import rouge_l
 from mixlens.operators import analysis as A
-from mixlens.operators import classify, providers, rewrite, selection, validation
+from mixlens.operators import build, classify, providers, rewrite, selection, validation
 from mixlens.operators import constraints as C
 from mixlens.operators import evaluate as E
 from mixlens.plans import adapters as P
@@ -106,6 +106,17 @@ def constraint_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return by_type.select("model", "type", F.round(F.col("v") * 100, 2).alias("percent"))
 
 
+@query(f"""WITH {P.NUMERIC}, w AS (SELECT model, {s4("min(combined_score)")} AS worst_level_robustness, {s4("avg(combined_score)")} AS mean_level_score FROM lv GROUP BY model),
+k AS (SELECT row_number() OVER (ORDER BY worst_level_robustness DESC, first_ord) AS rank, model, worst_level_robustness, mean_level_score FROM w JOIN first USING (model)),
+b AS (SELECT model, level, printf('%.4f', {s4("avg(pdr)")}) AS drop_ FROM pd GROUP BY ALL)
+SELECT rank, model, worst_level_robustness, mean_level_score, string_agg(level || ':' || drop_, ',' ORDER BY level) AS drops FROM k JOIN b USING (model) GROUP BY ALL""")
+def robustness_chart(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.numeric_rows(spark, d)
+    found = A.robustness_chart(A.wlr_ranking(rows), A.pdr_by_level(A.pdr_details(A.level_scores(rows))))
+    told = F.transform("drops", lambda x: F.concat(x["level"].cast("string"), F.lit(":"), F.format_string("%.4f", F.round(x["pdr"], 4))))
+    return found.withColumn("drops", F.array_join(told, ","))
+
+
 _EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -223,6 +234,26 @@ def lookup_join(spark: SparkSession, d: str) -> DataFrame:
     return E.lookup(rows, index).select("doc_id", "model", "level", F.length("gold_response").cast("long").alias("gold_chars"), F.length("response").cast("long").alias("response_chars"))
 
 
+@query(f"""WITH {P.TEXT} SELECT doc_id, CASE WHEN sample_id % 3 = 0 THEN 0 ELSE length(gold) END::BIGINT AS gold_chars, CASE WHEN sample_id % 3 = 0 THEN 0 ELSE 1 END AS n_constraints,
+  CASE WHEN sample_id % 3 = 0 THEN 1.0 ELSE contains(lower(response), 'the')::INT END::DOUBLE AS cpr FROM e""")
+def lookup_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Responses whose sample may be missing: those have an empty answer, no constraint and so a pass rate of 1."""
+    rows = P.text_rows(spark, d)
+    word = F.struct(F.lit("keyword"), F.lit("").alias("r"), F.lit(None).cast("string").alias("x"), F.array(F.lit("the")), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("string").alias("f"))
+    data = rows.filter("sample_id % 3 <> 0").select(F.col("sample_id").alias("id"), F.col("gold").alias("gold_response"), F.array(word).cast(f"array<{C.CONSTRAINT}>").alias("constraints"))
+    found = E.lookup(rows.select("doc_id", "sample_id", "response"), E.last_wins(data.withColumn("ord", F.lit(1)), ["id"], "ord"))
+    cpr = C.pass_rate(C.check_all(F.col("response"), F.col("constraints")))
+    return found.select("doc_id", F.length("gold_response").cast("long").alias("gold_chars"), F.size("constraints").alias("n_constraints"), cpr.alias("cpr"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '(?is)(the|der).*(and|und)') AS by_regex, contains(lower(text), 'that') AND contains(lower(text), 'this') AS by_words FROM documents")
+def keyword_regex_check(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword constraints of a pattern without words, and of words whose pattern only asks for them."""
+    text = F.col("text")
+    terms = F.array(F.lit("that"), F.lit("this"))
+    return table(spark, d, "documents").select("doc_id", C.check_keyword(text, F.lit(None).cast("array<string>"), F.lit("(the|der).*(and|und)")).alias("by_regex"), C.check_keyword(text, terms, C.keyword_regex(terms)).alias("by_words"))
+
+
 @query()
 def rouge_l_full(spark: SparkSession, d: str) -> DataFrame:
     return P.text_rows(spark, d).select("doc_id", F.round(rouge_l(F.col("gold"), F.col("response")), 4).alias("rouge_l"))
@@ -245,6 +276,15 @@ def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
     return both.select("vec_id", F.round(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")), 4).alias("cosine"))
 
 
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), w AS (SELECT a.vec_id, a.e AS a, b.e AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, {s4("greatest(0, list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)))")} AS f1 FROM w""")
+def greedy_f1_single(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy match of texts of one token each, with the table's embeddings: their cosine, if positive."""
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return providers.vectors_f1(both, "a", "b").select("vec_id", F.round("f1", 4).alias("f1"))
+
+
 @query()
 def greedy_f1_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """Greedy token match of benchmark texts with hash embeddings against the next item."""
@@ -323,6 +363,17 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "text", classify.classify(F.col("text"), None, P.LANGUAGE_CATEGORIES).alias("category"))
 
 
+_CUSTOM = classify.with_custom({"german": {"weight": 0.1, "keywords": ["und", "von"]}, "marks": {"keywords": ["de", "la"]}}, P.LANGUAGE_CATEGORIES)
+_CUSTOM_SCORES = ", ".join(f"{' + '.join(_sql_has('t', w) for w in words)} AS {name}" for name, (_, words) in _CUSTOM.items())
+_CUSTOM_BEST = f"CASE greatest({', '.join(_CUSTOM)}) WHEN 0 THEN {_HEURISTIC} " + " ".join(f"WHEN {name} THEN '{name}'" for name in _CUSTOM) + " END"
+
+
+@query(f"WITH k0 AS (SELECT doc_id, lower(text) || ' ' AS t FROM documents), k1 AS (SELECT doc_id, t, {_CUSTOM_SCORES} FROM k0) SELECT doc_id, {_CUSTOM_BEST} AS category FROM k1")
+def custom_categories(spark: SparkSession, d: str) -> DataFrame:
+    """A category replaced whole, another added behind the others."""
+    return table(spark, d, "documents").select("doc_id", classify.classify(F.col("text"), None, _CUSTOM).alias("category"))
+
+
 @query(f"WITH {_CLASSIFIED} SELECT * FROM k")
 def classify_keywords(spark: SparkSession, d: str) -> DataFrame:
     return _classified(spark, d).select("doc_id", "category")
@@ -355,6 +406,14 @@ def round_slice(spark: SparkSession, d: str) -> DataFrame:
     return selection.round_slice(_classified(spark, d).select("doc_id", "category"), ["doc_id"], 40, cursor=10)
 
 
+@query(f"WITH {_CLASSIFIED}, o AS (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY doc_id) AS nth FROM k WHERE doc_id % 3 <> 0) SELECT doc_id, category FROM o JOIN {_SQL_QUOTA} USING (category) WHERE nth <= target")
+def filled_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Quotas filled in rounds where a third of the candidates fails."""
+    placed = selection.with_place(_classified(spark, d).select("doc_id", "category"), ["doc_id"])
+    fails = lambda batch: batch.withColumns({"error": F.when(F.col("doc_id") % 3 == 0, "failed"), "error_type": F.when(F.col("doc_id") % 3 == 0, "api_error")})
+    return build.fill(placed, _QUOTA, fails, max_rounds=20).rows.select("doc_id", "category")
+
+
 @query(f"WITH {_CLASSIFIED}, g AS (SELECT category, count(*) AS got FROM k GROUP BY ALL) SELECT category, target, coalesce(got, 0) AS got, coalesce(got, 0) - target AS delta FROM {_SQL_QUOTA} LEFT JOIN g USING (category)")
 def category_distribution(spark: SparkSession, d: str) -> DataFrame:
     return validation.category_distribution(_classified(spark, d), classify.targets_table(spark, 200, P.LANGUAGE_CATEGORIES))
@@ -403,10 +462,15 @@ def unpivot_levels(spark: SparkSession, d: str) -> DataFrame:
     return E.unpivot_levels(P.level_rows(spark, d), V.LEVELS).withColumn("text", F.md5("text"))
 
 
-@query(f"WITH {P.LEVELS_SQL} SELECT id, category, md5(l0) AS level_0_clean, md5(l3) AS level_3_adversarial, '[\"' || word || '\",\"' || length || '\",\"' || layout || '\"]' AS constraints FROM p")
+_SQL_JSON = " || ',' || ".join(
+    f"'{{\"constraint_type\":\"{kind}\",\"requirement\":\"' || {part} || '\"{extra}}}'" for kind, part, extra in (("keyword", "word", ""), ("length", "length", ""), ("format", "layout", ',\"format_id\":\"table\"'))
+)
+
+
+@query(f"WITH {P.LEVELS_SQL} SELECT id, category, md5(text) AS original_instruction, '' AS original_input, md5(gold_response) AS gold_response, md5(l0) AS level_0_clean, md5(l1) AS level_1_mild, md5(l2) AS level_2_jaksel, md5(l3) AS level_3_adversarial, '[' || {_SQL_JSON} || ']' AS constraints FROM p")
 def flatten_export(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.level_rows(spark, d)
-    return rows.select("id", "category", F.md5("level_0_clean").alias("level_0_clean"), F.md5("level_3_adversarial").alias("level_3_adversarial"), F.to_json(F.array("word", "length", "layout")).alias("constraints"))
+    flat = build.flatten_sample(_typed(P.level_rows(spark, d)))
+    return flat.withColumns({c: F.md5(c) for c in ("original_instruction", "gold_response", *V.LEVELS)})
 
 
 @query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= trunc(0.9::DOUBLE * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM documents")
@@ -516,6 +580,16 @@ def validation_report(spark: SparkSession, d: str) -> DataFrame:
     return validation.violations(_typed(P.level_rows(spark, d))).groupBy("severity", "rule").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {P.LEVELS_SQL}, v AS ({_RULES} UNION ALL SELECT id, 'warning', 'keyword not in gold answer' FROM p WHERE NOT (contains(lower(gold_response), 'the') AND contains(lower(gold_response), 'that'))
+  UNION ALL SELECT NULL, 'error', k || ' duplicate original_instruction' FROM (SELECT count(*) AS k FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)) WHERE k > 0
+  UNION ALL SELECT NULL, 'error', 'ids are not contiguous' FROM (SELECT count(*) AS n, min(doc_id) AS a, max(doc_id) AS b FROM documents) WHERE a <> 0 OR b <> n - 1
+  UNION ALL SELECT NULL, 'warning', printf('levels 0 and 1 are equal in %.1f%%', r) FROM (SELECT 100.0::DOUBLE * count(*) FILTER (l0 = l1) / count(*) AS r FROM p) WHERE r >= 30)
+SELECT severity, rule, count(*) AS n FROM v GROUP BY ALL""")
+def validation_full(spark: SparkSession, d: str) -> DataFrame:
+    """Everything that is wrong with a dataset, row by row and as a whole, counted by rule."""
+    return validation.full_report(_typed(P.level_rows(spark, d))).groupBy("severity", "rule").agg(F.count("*").alias("n"))
+
+
 @query("SELECT md5(text) AS value, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_instructions(spark: SparkSession, d: str) -> DataFrame:
     return validation.duplicates(table(spark, d, "documents"), "text").withColumn("value", F.md5("value"))
@@ -609,7 +683,5 @@ def resume_stream(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def built_dataset(spark: SparkSession, d: str) -> DataFrame:
     """The dataset build over all documents as instructions, with categories by function words."""
-    from mixlens.operators.build import build
-
     docs = table(spark, d, "documents").select(F.col("text").alias("instruction"), F.lit("").alias("input"), F.col("text").alias("output"))
-    return build(docs, 200, categories=P.LANGUAGE_CATEGORIES).select("id", "category", *(F.md5(c).alias(c) for c in V.LEVELS))
+    return build.build(docs, 200, categories=P.LANGUAGE_CATEGORIES).select("id", "category", *(F.md5(c).alias(c) for c in V.LEVELS))

@@ -16,6 +16,7 @@ def test_from_source_to_reports(spark, tmp_path):
     assert run("build", at["source"], at["data"], "--samples", "10") == 0
     n = spark.read.parquet(at["data"]).count()
     assert run("validate", at["data"], at["violations"]) == 0
+    assert json.loads(spark.read.text(at["data"] + "_stats").first().value)["total_samples"] == n
     for _ in range(2):  # the second run finds everything done
         assert run("infer", at["data"], str(models), at["records"], "--add", "c") == 0
     assert spark.read.json(at["records"]).count() == n * 4 * 3
@@ -27,7 +28,21 @@ def test_from_source_to_reports(spark, tmp_path):
     assert spark.read.parquet(at["export"] + "/train").count() == int(0.9 * n)
 
 
+def test_all_in_one(spark, tmp_path, monkeypatch):
+    models = tmp_path / "models.json"
+    models.write_text(json.dumps({"inference": {"models": [{"name": "a", "model_id": "x/a"}, {"name": "b", "model_id": "x/b"}]}}))
+    out = str(tmp_path / "run")
+    assert main(["all", str(models), out, "--smoke", "--yes", "--exclude", "b"], spark) == 0
+    assert spark.read.parquet(out + "/scores").count() == 2 * 4  # two samples, four levels, one model
+    monkeypatch.setattr("builtins.input", lambda _: "2")
+    assert main(["all", str(models), out, "--smoke"], spark) == 0
+    assert {r.model for r in spark.read.json(out + "/reports/ranking").collect()} == {"x/a", "x/b"}
+    monkeypatch.setattr("builtins.input", lambda _: "q")
+    assert main(["all", str(models), str(tmp_path / "none"), "--smoke"], spark) == 0 and not (tmp_path / "none").exists()
+
+
 def test_probe(spark):
     models = spark.createDataFrame([("a", "x/a")], "name string, model_id string")
     assert providers.probe(models, lambda m: providers.EchoGenerator()).first().ok
-    assert S.demo_dataset(spark, 25).select("original_instruction").distinct().count() == 25
+    demo = S.demo_dataset(spark, 25)
+    assert demo.select("original_instruction").distinct().count() == 25 and demo.filter("size(constraints) = 3 AND level_3_adversarial <> ''").count() == 25
