@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from mixlens.shipping import ship
 from mixlens.sources.tables import drop_stored, scratch, stored, table
 
-__all__ = ["WORD", "WORD_BYTES", "WORD_PATTERN", "drop_stored", "held", "release", "scratch", "ship", "stored", "table", "unused", "with_python", "word_count"]
+__all__ = ["BROADCAST_ROWS", "WORD", "WORD_BYTES", "WORD_PATTERN", "drop_stored", "held", "release", "scratch", "ship", "small", "stored", "table", "unused", "with_python", "word_count"]
 
 #: A word is a run of characters other than the ASCII white space of the contracts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -40,6 +40,15 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of a few numbers each that may be broadcast, 16 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, count: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df as the side of a join to broadcast, if its rows, counted before, are few; else the join is left to Spark."""
+    return F.broadcast(df) if count <= most else df
+
+
 def with_python(df: DataFrame, inputs: list[str], keep: list[str], added: str, factory: Callable[[], Callable[..., list]], rows: int = 256) -> DataFrame:
     """Add columns that Python makes from whole rows, a few rows at a time.
 
