@@ -1,12 +1,14 @@
 """URL filters: host and path rules, then a list of canonical URLs behind a blocked Bloom filter.
 
-A listed entry is a canonical URL: host and path without scheme, ``www.``, query, fragment and closing slash. It blocks
-that page; an entry without a path blocks its host and all hosts below it. Each URL is looked up under its own canonical
-form and under each domain it lies in. The Bloom filter has a fixed number of 64-bit blocks, whatever the list's length:
-one block per key, four bits in it. Keys that it passes meet the list in an exact hash join, so false positives go.
+A URL's canonical form is its host without user, port, ``www.`` and closing dot, and its path with escapes decoded,
+repeated slashes as one, and without a default file name and closing slashes; scheme, query and fragment are left out. A
+listed entry is a URL in any form, with or without a scheme: one with a path blocks that page, one without blocks its host
+and all hosts below it. Each URL is looked up under its own canonical form and under each domain it lies in, as far as
+the list's hosts have labels. The Bloom filter has KEY_BITS for each entry, in 64-bit blocks, up to MOST_BLOCKS: one block
+per key, four bits in it. Keys that it passes meet the list in an exact hash join, so false positives go.
 
 Only DataFrame functions run here. A null url, and one without ``://``, has an empty host and path, no rule, and is
-allowed. Repeated rows each get their verdict. No pages give no rows.
+allowed. Repeated rows each get their verdict. Null and empty entries list nothing. No pages give no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +20,18 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path): fixed values of the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Listed canonical URLs by default: hosts that serve spam.
-LISTED = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
-#: 64-bit blocks of the filter: 32 KB.
-BLOCKS = 4096
+#: Listed URLs by default: hosts that serve spam, and pages that were copied from elsewhere.
+LISTED = (
+    *(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")),
+    "blog.tionsh.example.com/en/4476",
+    "https://www.ththst.example.com/en/1837/",
+    "https://m.therou.example.org/en/5718?page=2",
+    "ththan.example.com/es/5795.html",
+    "http://www.thering.example.org/en/5404#top",
+)
+#: Bits of the filter for each entry, and bounds of its number of 64-bit blocks: 1 MB at most.
+KEY_BITS = 16
+LEAST_BLOCKS, MOST_BLOCKS = 64, 1 << 17
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,15 +53,33 @@ def by_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return name, verdict
 
 
-def canonical(host: Column, path: Column) -> Column:
-    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"/+$", ""))
+def canonical_host(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@|:\d*$", ""), r"^www\.|\.$", "")
+
+
+def canonical_path(path: Column) -> Column:
+    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(decoded, r"/{2,}", "/"), r"/(index|default)\.(html?|php|aspx?)$", "/"), r"/+$", "")
+
+
+def canonical_list(listed: DataFrame) -> DataFrame:
+    """entry, in canonical form, and labels, how many its host has if it is a host alone."""
+    url = F.col("entry")
+    host, path = host_and_path(F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("://"), url)))
+    parts = listed.select(canonical_host(host).alias("host"), canonical_path(path).alias("path")).filter("host <> ''")
+    return parts.select(F.concat("host", "path").alias("entry"), F.when(F.col("path") == "", _labels(F.col("host"))).alias("labels")).distinct()
+
 
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
-def lookup_keys(host: Column, path: Column) -> Column:
-    """The canonical URL and each domain that the host lies in, itself included."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_union(F.array(canonical(host, path)), domains))
+
+def lookup_keys(host: Column, path: Column, most: int) -> Column:
+    """The canonical URL and each domain of at most so many labels that the host lies in, itself included."""
+    name = canonical_host(host)
+    domains = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), _labels(name))), lambda k: F.call_function("substring_index", name, F.lit("."), -k))
+    page = F.array(F.concat(name, canonical_path(path)))
+    return F.when(name == "", F.array().cast("array<string>")).otherwise(F.array_union(page, domains) if most else page)
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -64,29 +92,36 @@ def _mask(key: Column) -> Column:
     return one[0].bitwiseOR(one[1]).bitwiseOR(one[2]).bitwiseOR(one[3])
 
 
-def bloom_filter(listed: DataFrame, blocks: int = BLOCKS) -> Column:
-    """The filter as a constant array of blocks; its size is fixed, so collecting it is bounded."""
+def filter_blocks(entries: int) -> int:
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (entries * KEY_BITS // 64).bit_length()))
+
+
+def bloom_filter(listed: DataFrame, blocks: int) -> Column:
+    """The filter as a constant array of blocks; their number is bounded, and so is what is collected."""
     rows = listed.groupBy(_block(F.col("entry"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("entry"))).alias("word")).collect()
     words = dict.fromkeys(range(blocks), 0) | {r.block: r.word for r in rows}
     return F.split(F.lit(",".join(map(str, words.values()))), ",").cast("array<bigint>")
 
 
-def maybe_listed(key: Column, words: Column, blocks: int = BLOCKS) -> Column:
+def maybe_listed(key: Column, words: Column, blocks: int) -> Column:
     mask = _mask(key)
     return F.element_at(words, (_block(key, blocks) + 1).cast("int")).bitwiseAND(mask) == mask
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame | Sequence[str] = LISTED, rules: Sequence[tuple[str, str, str]] = RULES, blocks: int = BLOCKS) -> DataFrame:
-    """page_id, host, path, rule and verdict of each row of pages."""
+def filter_urls(pages: DataFrame, listed: DataFrame | Sequence[str] = LISTED, rules: Sequence[tuple[str, str, str]] = RULES, blocks: int | None = None) -> DataFrame:
+    """page_id, host, path, rule and verdict of each row of pages. A table of listed URLs has them in a column entry."""
     spark = pages.sparkSession
     if not isinstance(listed, DataFrame):
         listed = spark.createDataFrame([(x,) for x in listed], "entry string")
-    listed = listed.select("entry").distinct()
+    listed = canonical_list(listed)
+    size = listed.agg(F.count("*").alias("n"), F.coalesce(F.max("labels"), F.lit(0)).alias("labels")).first()
+    blocks = blocks or filter_blocks(size.n)
     words = bloom_filter(listed, blocks)
+    listed = listed.select("entry")
     host, path = host_and_path(F.col("url"))
     name, verdict = by_rule(F.col("host"), F.col("path"), rules)
     seen = pages.select("page_id", host.alias("host"), path.alias("path")).fillna("", ["host", "path"]).withColumns({"rule": name, "verdict": verdict})
-    keyed = seen.withColumn("keys", F.when(F.col("rule").isNull(), F.filter(lookup_keys(F.col("host"), F.col("path")), lambda k: maybe_listed(k, words, blocks))))
+    keyed = seen.withColumn("keys", F.when(F.col("rule").isNull(), F.filter(lookup_keys(F.col("host"), F.col("path"), size.labels), lambda k: maybe_listed(k, words, blocks))))
     passed = F.size(F.coalesce("keys", F.array().cast("array<string>"))) > 0
     columns = ["page_id", "host", "path", "rule", "verdict"]
     clear = keyed.filter(~passed).select(*columns)
@@ -97,6 +132,12 @@ def filter_urls(pages: DataFrame, listed: DataFrame | Sequence[str] = LISTED, ru
     return clear.unionByName(judged).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
 
 
+def _sql_page(entry: str) -> str | None:
+    """The canonical page of a listed URL, for URLS_SQL; none for a host."""
+    rest = entry.rpartition("://")[2].split("?")[0].split("#")[0].rstrip("/").removeprefix("www.")
+    return rest if "/" in rest else None
+
+
 URLS_SQL = f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -112,6 +153,8 @@ WITH cut AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
-  WHEN {" OR ".join(f"host = '{x}' OR suffix(host, '.{x}')" for x in LISTED)} THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled
+  WHEN {" OR ".join(f"name = '{x}' OR suffix(name, '.{x}')" for x in LISTED if _sql_page(x) is None)} THEN 'block'
+  WHEN name || regexp_replace(regexp_replace(regexp_replace(path, '/{{2,}}', '/', 'g'), '/(index|default)\\.(html?|php|aspx?)$', '/'), '/+$', '')
+    IN ({", ".join(f"'{_sql_page(x)}'" for x in LISTED if _sql_page(x))}) THEN 'block' ELSE 'allow' END AS verdict
+FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@|:\\d*$', '', 'g'), '^www\\.|\\.$', '', 'g') AS name FROM ruled)
 """
