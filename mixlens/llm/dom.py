@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,8 +12,8 @@ import numpy as np
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>?)""", re.S)
 _ATTRIBUTES = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PARTS = re.compile(r"[a-z]+")
-#: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style template noscript iframe svg math title textarea object canvas audio video".split())
+#: Elements whose content is no text of the page; what object, noscript, math and the like hold is.
+SKIPPED = frozenset("script style template iframe title textarea".split())
 #: Those of them that hold no elements; without an end tag they go on to the end of the page.
 RAW = frozenset("script style textarea title".split())
 _META = frozenset("base basefont bgsound link meta".split())
@@ -95,7 +96,9 @@ def parse(source: str | None) -> Page:
     text = source or ""
     page = Page(["html"], [-1], [0], [], [], [0])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements; node -1 for inline ones
-    owner, links, linked = 0, 0, 0
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name in the stack
+    owners = [0]  # open nodes
+    owner, linked = 0, 0
     pieces: list[str] = []
     closed: dict[str, dict[int, int]] = {}
     in_head = False
@@ -115,12 +118,19 @@ def parse(source: str | None) -> Page:
 
     def close(depth: int) -> None:
         """Close the open elements from that place on."""
-        nonlocal owner, links
+        nonlocal owner
         if any(node >= 0 for _, node in stack[depth:]):
             flush()
-        links -= sum(name == "a" for name, _ in stack[depth:])
+        for name, node in stack[depth:]:
+            places[name].pop()
+            if node >= 0:
+                owners.pop()
         del stack[depth:]
-        owner = next(node for _, node in reversed(stack) if node >= 0)
+        owner = owners[-1]
+
+    def nearest(names: set[str]) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((places[name][-1] for name in names if places[name]), default=0)
 
     at, size = 0, len(text)
     while at < size:
@@ -128,7 +138,7 @@ def parse(source: str | None) -> Page:
         chunk = text[at : found.start()] if found else text[at:]
         if chunk:
             pieces.append(chunk)
-            if links:
+            if places["a"]:
                 linked += len(chunk.strip())
         if not found:
             break
@@ -139,10 +149,8 @@ def parse(source: str | None) -> Page:
         name = name.lower()
         if closing:
             in_head &= name != "head"
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    close(depth)
-                    break
+            if places[name]:
+                close(places[name][-1])
             continue
         if name in SKIPPED:
             if not attributes.endswith("/"):
@@ -167,18 +175,14 @@ def parse(source: str | None) -> Page:
         if name not in BLOCKS:
             page.inline[owner] += 1
             if name not in VOID and not attributes.endswith("/"):
+                places[name].append(len(stack))
                 stack.append((name, -1))
-                links += name == "a"
             continue
         closes, limits = _CLOSES.get(name, (set(), set()))
         if name not in _FREE_IN_P:
             closes, limits = closes | {"p"}, limits | _P_LIMITS
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in closes:
-                close(depth)
-                break
-            if stack[depth][0] in limits:
-                break
+        if (depth := nearest(closes)) and depth >= nearest(limits):
+            close(depth)
         flush()
         if name == "hr":
             continue
@@ -188,6 +192,8 @@ def parse(source: str | None) -> Page:
         page.inline.append(0)
         if not attributes.endswith("/"):
             owner = len(page.tags) - 1
+            owners.append(owner)
+            places[name].append(len(stack))
             stack.append((name, owner))
     flush()
     return page
