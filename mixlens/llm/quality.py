@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import WORD, ship, stored, with_python
+from mixlens.llm.common import WORD, drop_stored, ship, small, stored, with_python
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -35,6 +35,8 @@ MIN_CHARS_JUDGED = 200
 MIN_WORDS_JUDGED = 100
 #: Characters of a reference.
 MIN_REFERENCE = 20_000
+#: Languages whose references, 1 KB each, are broadcast; with more, documents meet them in a shuffled join.
+MOST_REFERENCES = 10_000
 #: Limits as (floor, spread): floor + spread / sqrt(characters or words of the text). Measured on sf0.1, see README.
 CHAR_LIMIT = (0.15, 2.0)
 WORD_LIMIT = (0.15, 1.5)
@@ -171,7 +173,8 @@ def _mark_distance() -> Column:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base figures, base_failed, the three distances (null where not judged) and kept."""
     measured = stored(_marks(measure(docs, ["doc_id", "lang"])), "quality-measured")
-    refs = references(measured)
+    refs = stored(references(measured), "quality-references")
+    refs = small(refs, refs.count(), MOST_REFERENCES)
     joined = measured.join(refs, measured["lang"].cast("string").eqNullSafe(refs["_lang"]), "left")
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     inputs = ["chars", "words", "ref_chars", "ref_words"]
@@ -181,7 +184,9 @@ def judge(docs: DataFrame) -> DataFrame:
     near = [F.coalesce(F.col(c) <= floor + spread / F.sqrt(size), F.lit(True)) for c, size, (floor, spread) in limits]
     judged = stored(both.withColumn("kept", ~F.col("base_failed") & near[0] & near[1]), "quality-judged")
     sums = [F.sum(F.when(F.col("kept"), F.col("marks")[k]).otherwise(0)) for k in range(3)]
-    left = judged.groupBy(F.col("lang").cast("string").alias("_lang")).agg(F.array(*sums).alias("ref_marks"))
+    drop_stored(measured, refs)
+    left = stored(judged.groupBy(F.col("lang").cast("string").alias("_lang")).agg(F.array(*sums).alias("ref_marks")), "quality-marks")
+    left = small(left, left.count(), MOST_REFERENCES)
     again = judged.join(left, judged["lang"].cast("string").eqNullSafe(left["_lang"]), "left").withColumn("mark_distance", _mark_distance())
     close = F.coalesce(F.col("mark_distance") <= MAX_MARK_DISTANCE, F.lit(True))
     return again.select("doc_id", "lang", *figures, "char_distance", "word_distance", "mark_distance", (F.col("kept") & close).alias("kept"))
