@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import WORD_BYTES, drop_stored, ship, stored, with_python
+from mixlens.llm.common import BROADCAST_ROWS, WORD_BYTES, drop_stored, ship, small, stored, with_python
 from mixlens.llm.hashing import batches_of, hashed_words, span_hash, window_hashes
 
 WINDOW = 35
 ANCHOR = 12
+#: Texts with one path from which on it is hot; the list of hot paths is broadcast if it is short.
+HOT = 1000
 PATH = "doc_id long, row long, anchor long, span long, first int, edges int, loops boolean"
 
 
@@ -116,7 +118,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     drop_stored(paths)
     source = F.min(F.struct("doc_id", "row", "first")).alias("source")
     compact = stored(shared.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.max("edges").alias("edges"), F.bool_or("loops").alias("loops"), source), "compact-paths")
-    whole = shared.join(compact.filter("n > 1").select("anchor", "span"), ["anchor", "span"])
+    whole = repeated_paths(shared, compact)
     spans = whole.select("doc_id", "row", F.col("first").alias("start"), (F.col("first") + F.col("edges") + window - 1).alias("end"))
     # branches: minimisers with a path that occurs once beside another path, or beside itself
     branching = compact.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.bool_or(F.col("loops") & (F.col("n") == 1)).alias("own"))
@@ -129,7 +131,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     places = edges.select("anchor", "edge", "doc_id", "row", "at").distinct() if _has_repeats(docs) else edges
     again = places.groupBy("anchor", "edge").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "edge")
     single = edges.filter("single").join(again, ["anchor", "edge"]).select("doc_id", "row", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
-    return spans.unionByName(single).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = stored(spans.unionByName(single).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeated-spans")
+    drop_stored(shared, compact, edges)
+    return found
+
+
+def repeated_paths(shared: DataFrame, compact: DataFrame) -> DataFrame:
+    """The paths whose words occur twice or more. Those of a path that very many texts have are found without a shuffle."""
+    hot = compact.filter(F.col("n") > HOT).select("anchor", "span", F.lit(True).alias("hot"))
+    if (count := hot.count()) > BROADCAST_ROWS:
+        return shared.join(compact.filter("n > 1").select("anchor", "span"), ["anchor", "span"])
+    told = shared.join(small(hot, count), ["anchor", "span"], "left")
+    rest = told.filter("hot IS NULL").join(compact.filter(F.col("n").between(2, HOT)).select("anchor", "span"), ["anchor", "span"])
+    return told.filter("hot").unionByName(rest).drop("hot")
 
 
 def _has_repeats(docs: DataFrame) -> bool:
