@@ -4,9 +4,9 @@ A document's set holds the hashes of its distinct shingles. Documents with the s
 rare first, by a count-min sketch over all documents; sets that reach the wanted similarity share a shingle in their
 prefixes. Sets of one size with the same prefix, and the same shingles for a stretch behind it, form a group.
 
-1. Each group pairs its sets with one of them, and each prefix shingle its groups with a few pivots among those of about
-   their size. The pairs are verified on whole sets; verified ones make components. This repeats with other pivots for
-   shingles whose groups still lie in several components.
+1. Each group pairs its sets with one of them. Each prefix shingle names two pivots among its groups of about one size:
+   that whose prefix has the most frequent shingles, as a text in the middle of many copies has, and one by a hash. A
+   group pairs with the pivot that most of its shingles name. Pairs are verified on whole sets; links make components.
 2. A set that a pivot is near to, linked or not, belongs to the family of one such pivot. Sets of a family are indexed by
    their differences from the pivot alone: two sets with differences of sizes c and d link only if they share at least
    (c + d - t) / 2 of these, t being the largest difference of two linked sets. So the rare differences in front find
@@ -32,15 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import drop_stored, release, ship, stored, unused
+from mixlens.llm.common import drop_stored, release, ship, small, stored, unused
 from mixlens.llm.components import components
 from mixlens.llm.hashing import batches_of, hashed_words, mixed, window_hashes
 
 WIDTH = 3
 PERCENT = 90
-#: Rounds of pairs with pivots before all that is left is compared, and pivots of a shingle and size in a round.
-ROUNDS = 2
-PIVOTS = 4
 #: 64-bit words of a prefix's signature, in which each shingle sets a bit.
 SIGNATURE = 8
 MARKS = [f"s{k}" for k in range(SIGNATURE)]
@@ -50,7 +47,7 @@ STRETCH = 4
 FAMILY = 3
 #: Rows of the sketch, and bounds of the binary logarithm of a row's cells, which grow with the input's bytes.
 ROWS = 2
-LEAST_BITS, MOST_BITS, BYTES_A_CELL = 18, 22, 512
+LEAST_BITS, MOST_BITS, BYTES_A_CELL = 18, 22, 2048
 _CHUNK = 1 << 14
 #: A token is the logarithm of its count in this many bits, then a part of its hash.
 _RANK = 56
@@ -118,7 +115,8 @@ def _sketcher(width: int, bits: int) -> Callable:
         pieces = counts.reshape(-1, _CHUNK)
         used = np.flatnonzero(pieces.any(axis=1))
         for k in used:
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pieces[k].astype("<i8").tobytes()])], ["place", "counts"])
+            kind = "<u1" if pieces[k].max() < 256 else "<i8"  # told apart by their length
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pieces[k].astype(kind).tobytes()])], ["place", "counts"])
 
     return run
 
@@ -128,7 +126,7 @@ def _ranker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for place, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            more = np.frombuffer(counts.as_buffer(), "<i8")
+            more = np.frombuffer(counts.as_buffer(), "<u1" if len(counts.as_buffer()) == _CHUNK else "<i8").astype(np.int64)
             sums[place] = sums[place] + more if place in sums else more
     for place, counts in sums.items():
         ranks = np.minimum(255, np.floor(8 * np.log2(counts + 1.0))).astype(np.uint8)
@@ -151,11 +149,11 @@ def shingle_ranks(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
     return ranks.reshape(ROWS, 1 << bits), min(255, int(8 * math.log2(max(4096, 16 * mean))))
 
 
-SETS = "doc_id {id}, row long, n_shingles long, p long, q long, front_p long, front_q long, prefix array<long>, last long, far long, " + ", ".join(f"{c} long" for c in MARKS)
+SETS = "doc_id {id}, row long, n_shingles long, weight int, p long, q long, front_p long, front_q long, prefix array<long>, last long, far long, " + ", ".join(f"{c} long" for c in MARKS)
 
 
 def _setter(shared, width: int, percent: int) -> Callable:  # noqa: ANN001  a broadcast of the ranks
-    """Size, two fingerprints of the set, two of the front part, the prefix, rare shingles first, its last one, the last of the front part and its signature."""
+    """Size, weight, two fingerprints of the set, two of the front part, the prefix, rare shingles first, its last one, the last of the front part and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -186,8 +184,10 @@ def _setter(shared, width: int, percent: int) -> Callable:  # noqa: ANN001  a br
                 value = np.zeros(len(n), np.uint64)
                 value[large] = fronts[(at[:-1] + behind - 1)[large]] ^ _SIGN
                 ends.append(value.view(np.int64))
+            # mean rank of the prefix
+            weight = (_sums((fronts >> np.uint64(_RANK)) * inside, at) // np.maximum(size, 1).astype(np.uint64)).astype(np.int32)
             prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(fronts[inside].view(np.int64)))
-            columns = [n, *_fingerprints(found, first), *_fingerprints(fronts, at), prefixes, *ends, *marks.reshape(-1, SIGNATURE).T.copy().view(np.int64)]
+            columns = [n, weight, *_fingerprints(found, first), *_fingerprints(fronts, at), prefixes, *ends, *marks.reshape(-1, SIGNATURE).T.copy().view(np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *map(pa.array, columns)], [c.split()[0] for c in SETS.split(", ")])
 
     return run
@@ -208,6 +208,11 @@ def document_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     return stored(texts.mapInArrow(_setter(shared, width, percent), SETS.format(id=docs.schema["doc_id"].dataType.simpleString())), "sets"), rare
 
 
+def _unpacked(place: Column) -> tuple[Column, Column]:
+    """Size of a set, and the place of a shingle in its prefix, which a posting holds in one number."""
+    return F.shiftright(place, 32), place.bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def _pair_filter(one: Callable[[str], Column], two: Callable[[str], Column], percent: int) -> Column:
     """Whether two sets can be similar enough, from the places of a common shingle and their sizes.
 
@@ -219,8 +224,8 @@ def _pair_filter(one: Callable[[str], Column], two: Callable[[str], Column], per
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (rest * (100 + percent) >= percent * (n1 + n2))
 
 
-def _signature_filter(one: Callable[[str], Column], two: Callable[[str], Column], percent: int) -> Column:
-    """Whether two sets can be similar enough, from their signatures.
+def _signature_filter(one: Callable[[str], Column], two: Callable[[str], Column], percent: int, times: int = 1) -> Column:
+    """Whether two sets can differ by at most so many times the difference of a link, from their signatures.
 
     The front part that ends first is known to both: its shingles that the other front part lacks are not in the other
     set, and bits that only its signature has count some of them.
@@ -232,21 +237,24 @@ def _signature_filter(one: Callable[[str], Column], two: Callable[[str], Column]
             total = total + F.bit_count(x(c).bitwiseAND(F.bitwise_not(y(c))))
         return total
 
+    both = one("n") + two("n")
     most = F.when(one("far") <= two("far"), one("n") - alone(one, two)).otherwise(two("n") - alone(two, one))
-    return most * (100 + percent) >= percent * (one("n") + two("n"))
+    return (both - 2 * most) * (100 + percent) <= times * (100 - percent) * both
 
 
 CHECKED = "a long, b long, linked boolean, differ long, n long, differences array<long>"
 
 
-def _verifier(percent: int) -> Callable:
-    """Whether a and b link, how many shingles only one of them has, and which these are if few."""
+def _verifier(width: int, percent: int) -> Callable:
+    """Whether a and b link, how many shingles only one of them has, and which these are if few; from whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in batches_of(batches, "text_a", rows=256):
             linked, differ, size, listed = [], [], [], []
-            for one, two in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(one.as_buffer(), "<u8"), np.frombuffer(two.as_buffer(), "<u8")
+            (one, at), (two, to) = (shingles(batch.column(c), width) for c in ("text_a", "text_b"))
+            for k in range(batch.num_rows):
+                x, y = one[at[k] : at[k + 1]], two[to[k] : to[k + 1]]
                 mine = ~np.isin(x, y, assume_unique=True, kind="sort")
                 both = len(x) - int(mine.sum())
                 d = len(x) + len(y) - 2 * both
@@ -288,18 +296,18 @@ class Bitmap:
         return both.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(self._bit(cell)) != 0, F.lit(False))).drop(word, bits)
 
 
-class WholeSets:
-    """Whole sets of the documents asked for so far, made again from their texts and kept as tables."""
+class WholeTexts:
+    """Texts of the sets asked for so far, kept as tables; shuffled text takes half the bytes of the set's hashes."""
 
     def __init__(self, docs: DataFrame, members: DataFrame, width: int, percent: int) -> None:
         self.docs = docs.select("doc_id", row_of(F.col("text")).alias("row"), "text")
         self.members, self.width, self.percent = members, width, percent
         self.known: list[DataFrame] = []
 
-    def _all(self) -> DataFrame | None:
-        every = None
-        for k in self.known:
-            every = k if every is None else every.unionByName(k)
+    def _all(self) -> DataFrame:
+        every = self.known[0]
+        for k in self.known[1:]:
+            every = every.unionByName(k)
         return every
 
     def fetch(self, pairs: DataFrame) -> None:
@@ -309,93 +317,94 @@ class WholeSets:
         needed = stored(self.members.join(asked, "id").select("id", F.col("doc_id").alias("_doc"), F.col("row").alias("_row")), "needed")
         if count := needed.count():
             possible = Bitmap(needed, ["_row"], count).marked(self.docs, ["row"], "_maybe").filter("_maybe")
-            texts = possible.join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))).select("id", "text")
-            made = stored(texts.mapInArrow(_whole(self.width), "id long, members binary"), "whole-sets")
+            made = stored(possible.join(small(needed, count), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))).select("id", "text"), "whole-texts")
             if made.count() > count:  # repeated rows
-                every, made = made, stored(made.groupBy("id").agg(F.first("members").alias("members")), "whole-sets")
+                every, made = made, stored(made.dropDuplicates(["id"]), "whole-texts")
                 drop_stored(every)
             self.known.append(made)
         drop_stored(needed)
 
     def checked(self, pairs: DataFrame) -> DataFrame:
-        """What _verifier tells of pairs (a, b) of sets, from the whole sets; stored."""
+        """What _verifier tells of pairs (a, b) of sets; stored."""
         pairs = stored(pairs, "pairs")
         self.fetch(pairs)
         if not self.known:
             return pairs.sparkSession.createDataFrame([], CHECKED)
-        one = self._all().select(F.col("id").alias("a"), F.col("members").alias("set_a"))
-        two = self._all().select(F.col("id").alias("b"), F.col("members").alias("set_b"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
-        found = stored(both.mapInArrow(_verifier(self.percent), CHECKED), "checked-pairs")
+        count = pairs.count()
+        one = self._all().select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+        two = Bitmap(pairs, ["b"], count).marked(self._all(), ["id"], "asked").filter("asked").select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+        both = one.join(small(pairs, count), "a").join(two, "b").select("a", "b", "text_a", "text_b")
+        found = stored(both.mapInArrow(_verifier(self.width, self.percent), CHECKED), "checked-pairs")
         drop_stored(pairs)
         return found
 
 
-def _whole(width: int) -> Callable:
+def _repeated(percent: int) -> Callable:
+    """The rows whose token another row of about the same size has; rows come in order of the token, then of the size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches_of(batches, "text"):
-            found, first = shingles(batch.column("text"), width)
-            raw = [found[a:b].astype("<u8").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], ["id", "members"])
+        held: pa.RecordBatch | None = None
+        last = False  # whether the held row is kept for one before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if held is not None else batch
+            tokens, sizes = whole.column("token").to_numpy(), whole.column("place").to_numpy() >> 32
+            near = (tokens[1:] == tokens[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:])
+            keep = np.zeros(len(tokens), bool)
+            keep[1:] |= near
+            keep[:-1] |= near
+            keep[0] |= last
+            last = bool(keep[-1])
+            held = whole.slice(len(tokens) - 1)
+            yield whole.slice(0, len(tokens) - 1).filter(pa.array(keep[:-1]))
+        if held is not None and last:
+            yield held
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose token another row has; rows come in order of the token."""
-    held: pa.RecordBatch | None = None
-    last = False  # whether the held row's token has come before
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        whole = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if held is not None else batch
-        tokens = whole.column("token").to_numpy()
-        same = tokens[1:] == tokens[:-1]
-        keep = np.zeros(len(tokens), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= last
-        last = bool(keep[-1])
-        held = whole.slice(len(tokens) - 1)
-        yield whole.slice(0, len(tokens) - 1).filter(pa.array(keep[:-1]))
-    if held is not None and last:
-        yield held
-
-
-def similar_components(docs: DataFrame, sets: DataFrame, rare: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """p, q, n_shingles of each distinct set, and root: one value for the sets of a component; stored."""
+def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """doc_id, row and set (p, q, n_shingles) of each document; and of each distinct set its root, one value for a component. Both stored."""
+    sets, rare = document_sets(docs, width, percent)
     # a third of all rows may be one set: summed before the shuffle
     same = ["front_p", "front_q", "prefix", "last", "far", *MARKS]
+    # the least id has the largest weight; of the number there are 55 bits, which serve 4 million tasks
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 55) - 1)).bitwiseOR(F.call_function("shiftleft", (F.lit(255) - F.col("weight")).cast("long"), F.lit(55)))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("one")
-    distinct = sets.filter("n_shingles > 0").groupBy("p", "q", "n_shingles").agg(one, *(F.first(c).alias(c) for c in same))
-    ids = stored(distinct.select("p", "q", "n_shingles", "one.doc_id", "one.row", *same, F.monotonically_increasing_id().alias("id")), "set-ids")
+    distinct = sets.filter("n_shingles > 0").groupBy("p", "q", "n_shingles").agg(one, F.first("weight").alias("weight"), *(F.first(c).alias(c) for c in same))
+    ids = stored(distinct.select("p", "q", "n_shingles", "one.doc_id", "one.row", *same, number.alias("id")), "set-ids")
+    wide, sets = sets, stored(sets.select("doc_id", "row", "n_shingles", "p", "q"), "document-sets")
+    drop_stored(wide)
     large = ids.filter(F.col("n_shingles") >= smallest(percent))
     key = ["front_p", "front_q", "n_shingles"]
     groups = large.groupBy(*key).agg(F.min("id").alias("group"), F.count("*").alias("size"))
     members = stored(large.select("id", "doc_id", "row", *key).join(groups, key).select("id", "group", "size", "doc_id", "row"), "group-members")
     # the least set stands for its group
     heads = large.join(members.filter("id <> group").select("id"), "id", "left_anti").withColumnsRenamed({"id": "group", "n_shingles": "n"})
-    postings = heads.select("group", "n", F.posexplode("prefix").alias("at", "token"))
+    size = F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32))
+    postings = heads.select("group", size.alias("size"), F.posexplode("prefix").alias("at", "token")).select("group", F.col("size").bitwiseOR(F.col("at").cast("long")).alias("place"), "token")
     rank = F.shiftrightunsigned("token", _RANK)
-    few = postings.filter(rank <= rare).repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, postings.schema)
+    few = postings.filter(rank <= rare).repartition("token").sortWithinPartitions("token", "place").mapInArrow(_repeated(percent), postings.schema)
     shared = stored(few.unionByName(postings.filter(rank > rare)), "shared-postings")
 
-    sets_of = WholeSets(docs, members, width, percent)
-    inner = members.filter("id <> group").select(F.col("id").alias("a"), F.col("group").alias("b"))
-    checked = [sets_of.checked(inner.unionByName(_pivot_pairs(shared.withColumns({"id": F.col("group"), "root": F.col("group")}), percent, 0)))]
+    signed = stored(heads.select("group", "n", "far", *MARKS), "signatures")
+    wide, ids = ids, stored(ids.select("p", "q", "n_shingles", "id"), "set-ids")
+    drop_stored(wide)
 
-    # 1: pairs with pivots; what they leave apart comes again with other pivots
-    star = components(_links(checked[0]), "components")
-    rooted = _rooted(members, star)
-    for turn in range(1, ROUNDS):
-        checked.append(sets_of.checked(_pivot_pairs(_open_rows(shared, rooted), percent, turn)))
-        star, old = components(_links(checked[-1]).unionByName(_edges(star)), "components"), star
-        drop_stored(old, rooted)
-        rooted = _rooted(members, star)
+    texts = WholeTexts(docs, members, width, percent)
+    inner = members.filter("id <> group").select(F.col("id").alias("a"), F.col("group").alias("b"))
+    # 1: pairs with pivots
+    x, y = (signed.toDF(*(f"{c}_{k}" for c in signed.columns)) for k in (1, 2))
+    of_1, of_2 = (lambda c: F.col(f"{c}_1")), (lambda c: F.col(f"{c}_2"))
+    named = _pivot_pairs(shared, percent)
+    named = named.join(x, named["a"] == x["group_1"]).join(y, named["b"] == y["group_2"]).filter(_signature_filter(of_1, of_2, percent, FAMILY)).select("a", "b")
+    first = texts.checked(inner.unionByName(named))
+    star = components(_links(first), "components")
+    rooted = stored(members.join(star, members["id"] == star["vertex"], "left").select("id", "group", "size", F.coalesce("root", "id").alias("root")), "roots")
 
     # 2 and 3: what is left across components, in families and between them
-    family = stored(_families(checked, members), "families")
+    family = stored(_families(first, members), "families")
     near = stored(_family_rows(family, rooted, percent), "family-rows")
     x, y = (near.select("pivot", "token", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "n", "d", "at"))) for k in (1, 2))
     needed = (100 + percent) * (F.col("d_1") + F.col("d_2")) - (100 - percent) * (F.col("n_1") + F.col("n_2"))
@@ -404,79 +413,62 @@ def similar_components(docs: DataFrame, sets: DataFrame, rare: int, width: int =
     within = x.join(y, ["pivot", "token"]).filter((F.col("root_1") < F.col("root_2")) & alike & (2 * (100 + percent) * rest >= needed))
     within = within.select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).distinct()
 
-    signed = heads.select("group", "far", *MARKS)
-    opened = _open_rows(shared, rooted, family.select("id", "pivot"))
-    left = stored(opened.join(signed, "group"), "open-postings")
+    left = stored(_open_rows(shared, rooted, family).join(signed.drop("n"), "group"), "open-postings")
     drop_stored(shared)
-    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "n", "at", "root", "pivot", "far", *MARKS))) for k in (1, 2))
-    of_1, of_2 = (lambda c: F.col(f"{c}_1")), (lambda c: F.col(f"{c}_2"))
+    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "place", "root", "pivot", "far", *MARKS))) for k in (1, 2))
+    sizes = [_unpacked(F.col(f"place_{k}")) for k in (1, 2)]
+    of_1, of_2 = ((lambda c, k=k: sizes[k - 1][("n", "at").index(c)] if c in ("n", "at") else F.col(f"{c}_{k}")) for k in (1, 2))
     fits = (F.col("root_1") < F.col("root_2")) & (F.col("pivot_1") != F.col("pivot_2")) & _pair_filter(of_1, of_2, percent) & _signature_filter(of_1, of_2, percent)
     across = x.join(y, "token").filter(fits).select("group_1", "root_1", "group_2", "root_2").distinct()
     a, b = (rooted.select(F.col("group").alias(f"group_{k}"), F.col("root").alias(f"root_{k}"), F.col("id").alias(c)) for k, c in ((1, "a"), (2, "b")))
     second = across.join(a, ["group_1", "root_1"]).join(b, ["group_2", "root_2"]).select("a", "b")
-    checked.append(sets_of.checked(within.unionByName(second)))
-    final = components(_links(checked[-1]).unionByName(_edges(star)), "components")
+    last = texts.checked(within.unionByName(second))
+    final = components(_links(last).unionByName(star.select(F.col("vertex").alias("a"), F.col("root").alias("b"))), "components")
     roots = stored(ids.select("p", "q", "n_shingles", "id").join(final, ids["id"] == final["vertex"], "left").select("p", "q", "n_shingles", F.coalesce("root", "id").alias("root")), "set-roots")
-    drop_stored(ids, members, rooted, star, final, family, near, left, *checked, *sets_of.known)
-    return roots
+    drop_stored(ids, members, signed, rooted, star, final, family, near, left, first, last, *texts.known)
+    return sets, roots
 
 
 def _links(checked: DataFrame) -> DataFrame:
     return checked.filter("linked").select("a", "b")
 
 
-def _edges(star: DataFrame) -> DataFrame:
-    return star.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
-
-
-def _rooted(members: DataFrame, star: DataFrame) -> DataFrame:
-    return stored(members.join(star, members["id"] == star["vertex"], "left").select("id", "group", "size", F.coalesce("root", "id").alias("root")), "roots")
-
-
-def _open_rows(shared: DataFrame, rooted: DataFrame, family: DataFrame | None = None) -> DataFrame:
-    """Postings of shingles whose groups lie in several components: a row for each component of a group, with one set.
+def _open_rows(shared: DataFrame, rooted: DataFrame, family: DataFrame) -> DataFrame:
+    """Postings of shingles whose groups lie in several components and families: a row for each component of a group.
 
-    With families, the groups must lie in several families, too; a set without one is a family by itself.
+    A set without a family is one by itself, and so are the sets of a component and group of several.
     """
-    parts = rooted.groupBy("group", "root").agg(F.min("id").alias("id"))
-    apart = F.min("root") < F.max("root")
-    if family is not None:
-        parts = parts.join(family, "id", "left").withColumn("pivot", F.coalesce("pivot", "id"))
-        apart = apart & (F.min("pivot") < F.max("pivot"))
-    spread = shared.join(parts, "group")
+    parts = rooted.groupBy("group", "root").agg(F.min("id").alias("id"), F.max("size").alias("size"))
+    # most groups are a set that links with nothing, for which there is nothing to look up
+    known = parts.join(family.select("id", "pivot"), "id", "left").filter("size > 1 OR root <> group OR pivot IS NOT NULL")
+    known = stored(known.select("group", "root", F.coalesce("pivot", "id").alias("pivot")), "parts")
+    spread = shared.join(small(known, known.count()), "group", "left").withColumns({c: F.coalesce(c, F.col("group")) for c in ("root", "pivot")})
+    apart = (F.min("root") < F.max("root")) & (F.min("pivot") < F.max("pivot"))
     tokens = spread.groupBy("token").agg(apart.alias("open")).filter("open").select("token")
     return spread.join(tokens, "token")
 
 
-def _hash_of(group: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), group)
+def _pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (group, pivot) of each group with one pivot of its shingles, of about its size: that which most of them name."""
+    size = _unpacked(F.col("place"))[0]
+    banded = rows.withColumn("band", F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / percent))))
+    drawn = [F.min(F.struct(h.alias("h"), "group", "place")) for h in (F.lit(0).cast("long"), F.xxhash64("group"))]
+    pivots = banded.groupBy("token", "band").agg(F.count("*").alias("k"), F.array(*drawn).alias("drawn")).filter("k > 1").select("token", "band", F.explode("drawn").alias("v"))
+    one, two = (dict(zip(("n", "at"), _unpacked(F.col(c)), strict=True)) for c in ("place", "v.place"))
+    near = _pair_filter(one.get, two.get, percent) & (F.col("group") != F.col("v.group"))
+    met = banded.join(pivots, ["token", "band"]).filter(near).groupBy("group", F.col("v.group").alias("pivot")).agg(F.count("*").alias("k"))
+    best = met.groupBy("group").agg(F.min(F.struct((-F.col("k")).alias("k"), "pivot")).alias("best"))
+    return best.select(F.col("group").alias("a"), F.col("best.pivot").alias("b"))
 
 
-def _pivot_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (set, pivot) of each set with a few pivots of each of its shingles, of about its size and in another component.
-
-    Pivots are least by hash functions, so sets with the same shingles share them, and each turn has others.
-    """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + turn / ROUNDS)
-    banded = rows.withColumn("band", band)
-    drawn = [F.min(F.struct(_hash_of(F.col("group"), PIVOTS * turn + k).alias("h"), "id", "root", "n", "at")).alias(f"v{k}") for k in range(PIVOTS)]
-    pivots = banded.groupBy("token", "band").agg(F.count("*").alias("k"), *drawn).filter("k > 1").select("token", "band", F.explode(F.array_distinct(F.array(*(f"v{k}" for k in range(PIVOTS))))).alias("v"))
-    near = _pair_filter(F.col, lambda c: F.col(f"v.{c}"), percent) & (F.col("root") != F.col("v.root"))
-    met = banded.join(pivots, ["token", "band"]).filter(near)
-    return met.select(F.col("id").alias("a"), F.col("v.id").alias("b")).distinct()
-
-
-def _families(checked: list[DataFrame], members: DataFrame) -> DataFrame:
+def _families(checked: DataFrame, members: DataFrame) -> DataFrame:
     """id, pivot, d, n and differences of sets near to a pivot: that of the least hash, so that near sets share it.
 
     Only groups of one set take part, so that what their families do not hold is compared by groups. A pivot that is not
     of another's family is of its own, without differences.
     """
     alone = members.filter("size = 1").select("id")
-    near = None
-    for c in checked:
-        some = c.filter("differences IS NOT NULL").select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("differ").alias("d"), "n", "differences")
-        near = some if near is None else near.unionByName(some)
+    near = checked.filter("differences IS NOT NULL").select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("differ").alias("d"), "n", "differences")
     near = near.join(alone, "id").join(alone.select(F.col("id").alias("pivot")), "pivot").withColumn("h", F.xxhash64("pivot"))
     own = near.select("pivot", "h").distinct().select(F.col("pivot").alias("id"), "pivot", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("differences"), "h")
     best = F.min(F.struct("h", "pivot", "d", "n", "differences")).alias("best")
@@ -503,8 +495,7 @@ def _family_rows(family: DataFrame, rooted: DataFrame, percent: int) -> DataFram
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
-    sets, rare = document_sets(docs, width, percent)
-    roots = similar_components(docs, sets, rare, width, percent)
+    sets, roots = similar_sets(docs, width, percent)
     rows = sets.select("doc_id", "n_shingles", "p", "q")
     linked = rows.filter("n_shingles > 0").join(roots, ["p", "q", "n_shingles"])
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -519,8 +510,7 @@ def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     Rows of the same doc_id and text are copies, too. Where a component has no doc_id but null, one row of that stays.
     """
-    sets, rare = document_sets(docs, width, percent)
-    roots = similar_components(docs, sets, rare, width, percent)
+    sets, roots = similar_sets(docs, width, percent)
     rows = sets.filter("n_shingles > 0").select("doc_id", "row", "p", "q", "n_shingles").join(roots, ["p", "q", "n_shingles"]).withColumn("null", F.col("doc_id").isNull())
     # ties of the doc_id, that is other texts under it in one component, fall to the least hash of the text
     first = F.min(F.struct("null", "doc_id", "row")).alias("first")
