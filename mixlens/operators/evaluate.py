@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixlens.functions.rouge import rouge_l
 from mixlens.operators import constraints as C
+from mixlens.operators.providers import Embedder, embedding_f1
 
 KEY = ["model_id", "sample_id", "level"]
 CPR_WEIGHT, SEMANTIC_WEIGHT = 0.6, 0.4
@@ -40,11 +43,18 @@ def composite(cpr: Column, semantic: Column) -> Column:
     return CPR_WEIGHT * cpr + SEMANTIC_WEIGHT * semantic
 
 
-def evaluate(records: DataFrame, dataset: DataFrame, done: DataFrame | None = None, embedding_f1: Column | None = None) -> DataFrame:
+def score_batch(pairs: DataFrame, reference: str, response: str, embedder: Callable[[], Embedder] | None = None) -> DataFrame:
+    """Add rouge_l, bert_f1 and their mean, semantic, to rows with two texts; without an embedder its half is 0."""
+    scored = pairs if embedder is None else embedding_f1(pairs, embedder, reference, response)
+    both = scored.withColumns({"rouge_l": rouge_l(F.col(reference), F.col(response))} | ({} if embedder else {"bert_f1": F.lit(0.0)}))
+    return both.withColumn("semantic", (F.col("rouge_l") + F.col("bert_f1")) / 2)
+
+
+def evaluate(records: DataFrame, dataset: DataFrame, done: DataFrame | None = None, bert_f1: Column | None = None) -> DataFrame:
     """One row per pending record with scores to 4 places; without embeddings their half of the semantic score is 0."""
     rows = lookup(pending(records, done), dataset)
     scored = rows.withColumn("constraint_results", C.check_all(F.col("response"), F.col("constraints"))).withColumn("_r", rouge_l(F.col("gold_response"), F.col("response")))
-    bert = F.lit(0.0) if embedding_f1 is None else embedding_f1
+    bert = F.lit(0.0) if bert_f1 is None else bert_f1
     cpr, semantic = C.pass_rate(F.col("constraint_results")), (F.col("_r") + bert) / 2
     return scored.select(
         *KEY, "category", F.round(cpr, 4).alias("cpr"), "constraint_results", F.round("_r", 4).alias("rouge_l"), F.round(bert, 4).alias("bert_f1"),

@@ -105,10 +105,18 @@ def has_clause_switch(text: Column) -> Column:
 
 def marker_coverage(rows: DataFrame, level_2: str, level_3: str) -> DataFrame:
     """One row: how many texts have each marker, and how many level-3 texts all three mechanisms."""
+    listed = lambda words: F.array(*map(F.lit, words))
+
+    def marks(words: Column) -> Column:
+        """What the words of a text hold, from one pass over it."""
+        clause = F.size(F.filter(words, lambda w: F.array_contains(listed(V.CLAUSE_WORDS), w))) >= 3
+        return F.struct(F.arrays_overlap(words, listed(V.RESPELLED)).alias("respelled"), clause.alias("clause"), F.arrays_overlap(words, listed(V.PARTICLES)).alias("particle"))
+
     two, three = F.col(level_2), F.col(level_3)
-    respelled, suffix, clause = has_respelling(three), F.size(suffixed(three)) > 0, has_clause_switch(three)
-    figures = {"l2_connector": has_connector(two), "l2_particle": has_particle(two), "l3_respelling": respelled, "l3_suffix": suffix, "l3_clause": clause, "l3_particle": has_particle(three), "l3_all": respelled & suffix & clause}
-    return rows.agg(F.count("*").alias("n"), *(F.count_if(test).alias(name) for name, test in figures.items()))
+    told = rows.select(has_connector(two).alias("connector"), has_particle(two).alias("particle"), T.let(T.stripped_words(three), marks).alias("m"), (F.size(suffixed(three)) > 0).alias("suffix"))
+    every = F.col("m.respelled") & F.col("suffix") & F.col("m.clause")
+    figures = {"l2_connector": F.col("connector"), "l2_particle": F.col("particle"), "l3_respelling": F.col("m.respelled"), "l3_suffix": F.col("suffix"), "l3_clause": F.col("m.clause"), "l3_particle": F.col("m.particle"), "l3_all": every}
+    return told.agg(F.count("*").alias("n"), *(F.count_if(test).alias(name) for name, test in figures.items()))
 
 
 def average_words(rows: DataFrame, levels: tuple[str, ...] = V.LEVELS) -> DataFrame:

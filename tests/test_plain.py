@@ -81,6 +81,15 @@ def test_greedy_f1(spark, data):
         assert r.bert_f1 == pytest.approx(max(0.0, 2 * p * q / (p + q)), abs=1e-4)
 
 
+def test_scores_of_pairs(spark):
+    pairs = spark.createDataFrame([("a b c", "a c d"), ("a", ""), ("x y", "x y")], "gold string, said string")
+    embed = providers.HashEmbedder().embed
+    for r in E.score_batch(pairs, "gold", "said", providers.HashEmbedder).collect():
+        f1 = providers.greedy_f1(embed(r.gold), embed(r.said))
+        assert (r.rouge_l, r.bert_f1, r.semantic) == pytest.approx((plain_rouge(r.gold, r.said), f1, (plain_rouge(r.gold, r.said) + f1) / 2))
+    assert [r.semantic for r in E.score_batch(pairs, "gold", "said").collect()] == pytest.approx([1 / 3, 0, 0.5])
+
+
 def test_inference_records(spark, data):
     turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{data}/conversations.parquet").filter("role = 'user'").collect()}
     got = catalog.QUERIES["infer_echo"](spark, data).collect()
