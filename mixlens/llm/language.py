@@ -253,7 +253,7 @@ def _maker(texts) -> Callable[[], Identifier]:  # noqa: ANN001  a broadcast of t
     return lambda: held(key, lambda: Identifier(texts.value))
 
 
-def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score to docs; texts, from samples(), are bounded by LETTERS for each language."""
+def identify(docs: DataFrame, texts: dict[str, str], keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the predicted language and its score, under these names, in place of columns that have them; texts, from samples(), are bounded by LETTERS for each language."""
     shared = docs.sparkSession.sparkContext.broadcast(texts)
-    return with_python(docs, ["text"], docs.columns if keep is None else keep, "lang_pred string, score double", _maker(shared), rows=1024)
+    return with_python(docs, ["text"], docs.columns if keep is None else keep, f"{names[0]} string, {names[1]} double", _maker(shared), rows=1024)
