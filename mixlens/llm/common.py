@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql.types import StructType
 from mixlens.shipping import ship
 from mixlens.sources.tables import drop_stored, scratch, stored, table
 
-__all__ = ["BROADCAST_ROWS", "WORD", "WORD_BYTES", "WORD_PATTERN", "drop_stored", "held", "release", "scratch", "ship", "small", "stored", "table", "unused", "with_python", "word_count"]
+__all__ = ["BROADCAST_ROWS", "WORD", "WORD_BYTES", "WORD_PATTERN", "drop_stored", "held", "release", "scratch", "ship", "small", "stored", "table", "trim", "unused", "with_python", "word_count"]
 
 #: A word is a run of characters other than the ASCII white space of the contracts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -75,6 +76,7 @@ def with_python(df: DataFrame, inputs: list[str], keep: list[str], added: str, f
                 made = make(*(batch.column(c).to_pylist() for c in inputs))
                 columns = [batch.column(c) for c in keep] + [pa.array(v, f.type) for v, f in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *new.names])
+        trim()
 
     return source.mapInArrow(run, out)
 
@@ -95,4 +97,14 @@ def release() -> None:
     """Drop what this worker holds of earlier tasks."""
     if _HELD:
         _HELD.clear()
-        gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker waits for further tasks, and its executor has other uses for it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

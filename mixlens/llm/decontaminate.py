@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import drop_stored, release, ship, stored, unused, with_python
+from mixlens.llm.common import drop_stored, release, ship, stored, trim, unused, with_python
 from mixlens.llm.hashing import BASE, batches_of, hashed_words, mixed, window_hashes
 
 WIDTH = 5
@@ -239,6 +239,7 @@ def _finder(keys: list[str], make: Callable[[], Templates]) -> Callable:
                 kept = [batch.column(k).take(pa.array(at, pa.int64())) for k in keys]
                 made = [pa.array(stream, pa.int32()), pa.array(window, pa.int64()), pa.array(place, pa.int32()), pa.array(slots, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*kept, *made], [*keys, *(c.split()[0] for c in HITS.split(", "))])
+        trim()
 
     return run
 

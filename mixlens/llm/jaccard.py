@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import drop_stored, release, ship, small, stored, unused
+from mixlens.llm.common import drop_stored, release, ship, small, stored, trim, unused
 from mixlens.llm.components import components
 from mixlens.llm.hashing import batches_of, hashed_words, mixed, window_hashes
 
@@ -189,6 +189,7 @@ def _setter(shared, width: int, percent: int) -> Callable:  # noqa: ANN001  a br
             prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(fronts[inside].view(np.int64)))
             columns = [n, weight, *_fingerprints(found, first), *_fingerprints(fronts, at), prefixes, *ends, *marks.reshape(-1, SIGNATURE).T.copy().view(np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *map(pa.array, columns)], [c.split()[0] for c in SETS.split(", ")])
+        trim()
 
     return run
 
@@ -265,6 +266,7 @@ def _verifier(width: int, percent: int) -> Callable:
                 listed.append(np.concatenate([x[mine], y[~np.isin(y, x, assume_unique=True, kind="sort")]]).view(np.int64).tolist() if near else None)
             columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(differ, pa.int64()), pa.array(size, pa.int64()), pa.array(listed, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CHECKED.split(", ")])
+        trim()
 
     return run
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import BROADCAST_ROWS, WORD_BYTES, drop_stored, ship, small, stored, with_python
+from mixlens.llm.common import BROADCAST_ROWS, WORD_BYTES, drop_stored, ship, small, stored, trim, with_python
 from mixlens.llm.hashing import batches_of, hashed_words, span_hash, window_hashes
 
 WINDOW = 35
@@ -73,6 +73,7 @@ def _cut(window: int, anchor: int):
             found = [paths_of(hashes[a:b], window, anchor) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             times = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
             yield pa.RecordBatch.from_arrays([part.column(0).take(times), part.column(1).take(times), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], [c.split()[0] for c in PATH.split(", ")])
+        trim()
 
     return run
 

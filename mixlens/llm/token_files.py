@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import held, scratch, ship, stored
+from mixlens.llm.common import held, scratch, ship, stored, trim
 
 END_ID = 2
 #: Units of text whose ids a worker keeps: about 30 bytes each.
@@ -241,6 +241,7 @@ def _writer(folder: str, tokenizer: str):
             f.write(np.array(docs, "<i8").tobytes() + bytes(nulls))
         name = stem.rsplit("/", 1)[1]
         row = [[part], [f"{folder}/{name}"], [encode.width], [len(docs)], [offsets[-1]]]
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["part", "path", "width", "n_docs", "n_ids"])
 
     return write
