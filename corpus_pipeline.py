@@ -1,15 +1,20 @@
 """From documents to training data: five stages, each over all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents, whatever further columns these have.
+
+Documents without text or without a letter go in the first stage, as they are of no language. Repeated rows are near
+copies of each other, of which one stays; a null doc_id, lang or source is a value like any other. Empty tables give empty
+tables, and no token files.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mixlens.llm import decontaminate, jaccard, language, mixing, token_files
-from mixlens.llm.common import drop_stored, stored, table
+from mixlens.llm.common import drop_stored, stored, table, unused
 
 #: Near copies, on word shingles: five words, a similarity of 0.8.
 SHINGLE_WORDS = 5
@@ -18,9 +23,10 @@ SIMILAR_PERCENT = 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no language: without a letter, or as near to the second language as to the first if not short."""
-    found = language.identify(docs, language.samples(docs))
-    clear = (found.score >= language.MIN_SCORE) | (language.letters(found.text) < language.MIN_LETTERS)
-    return found.filter((found.lang_pred != language.UNKNOWN) & clear).select(*docs.columns)
+    lang, score = unused(docs, "predicted", "clearness")
+    found = language.identify(docs, language.samples(docs), names=(lang, score))
+    clear = (F.col(score) >= language.MIN_SCORE) | (language.letters(F.col("text")) < language.MIN_LETTERS)
+    return found.filter((F.col(lang) != language.UNKNOWN) & clear).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
