@@ -1,4 +1,4 @@
-"""Command line: build, infer, evaluate, analyze, validate, report, export and demo, each from and to folders, and all in one run."""
+"""Command line: build, infer, evaluate, analyze, validate, report, export, probe and demo, each from and to folders, and all in one run."""
 
 from __future__ import annotations
 
@@ -116,6 +116,15 @@ def run_demo(spark: SparkSession, a: argparse.Namespace) -> None:
         get_logger().info("%s %d", r.category, r["count"])
 
 
+def run_probe(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Ask each model of the registry once, with the offline generator, and write who answers; 1 if one does not."""
+    listed = [(m["name"], m["model_id"], m.get("api_format")) for m in _registry(a.models)]
+    rows = spark.createDataFrame(listed, "name string, model_id string, api_format string").repartition(a.partitions)
+    found = S.stored(providers.probe(rows, lambda model: providers.EchoGenerator()), "probe")
+    S.write_report(found, a.out)
+    return int(not found.filter("NOT ok").isEmpty())
+
+
 def picked_models(models: DataFrame, answer: str) -> DataFrame:
     """All models for an empty answer or yes, those of the numbers given, from 1; none to stop."""
     said = answer.strip().lower()
@@ -170,6 +179,7 @@ COMMANDS = {
     "validate": (run_validate, {"dataset": {}, "out": {}, "--prefix": {"default": "item_"}, "--samples": {"type": int, "default": 750}}),
     "report": (run_report, {"dataset": {}, "out": {}}),
     "export": (run_export, {"dataset": {}, "out": {}}),
+    "probe": (run_probe, {"models": {}, "out": {}, "--partitions": {"type": int, "default": 8}}),
     "demo": (run_demo, {"out": {}, "--samples": {"type": int, "default": 100}, "--seed": {"type": int, "default": 42}}),
     "all": (run_all, {"models": {}, "out": {}, "--dataset": {}, "--source": {}, "--smoke": {"action": "store_true"}, "--yes": {"action": "store_true"}, **_MODELS, **_BUILD}),
 }

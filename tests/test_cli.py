@@ -25,6 +25,7 @@ def test_from_source_to_reports(spark, tmp_path):
     assert {r.model for r in spark.read.json(at["reports"] + "/ranking").collect()} == {"x/a", "c"}
     assert run("report", at["data"], at["quality"]) == 0
     assert run("export", at["data"], at["export"]) == 0
+    assert run("probe", str(models), at["quality"] + "-probe") == 0 and spark.read.json(at["quality"] + "-probe").filter("ok").count() == 2
     assert spark.read.parquet(at["export"] + "/train").count() == int(0.9 * n)
 
 
