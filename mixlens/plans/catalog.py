@@ -353,7 +353,7 @@ def _sql_has(text: str, word: str) -> str:
 
 
 _SCORES = ", ".join(f"{' + '.join(_sql_has('t', w) for w in words)} AS {name}" for name, (_, words) in P.LANGUAGE_CATEGORIES.items())
-_HEURISTIC = "CASE WHEN regexp_matches(t, '\\p{Nd}+\\s*[-+*/=]') THEN 'mathematical_reasoning' WHEN regexp_matches(t, 'def |function |class |import |print\\(') THEN 'coding' WHEN regexp_matches(t, 'ceritakan|tuliskan|buatkan cerita') THEN 'creative_writing' WHEN regexp_matches(t, 'jelaskan|apa itu|mengapa') THEN 'information_extraction' ELSE 'logical_reasoning' END"
+_HEURISTIC = "CASE " + " ".join("WHEN regexp_matches(t, '" + pattern.replace(r"\d", r"\p{Nd}") + f"') THEN '{name}'" for pattern, name in V.HEURISTICS) + f" ELSE '{V.DEFAULT_CATEGORY}' END"
 _BEST = "CASE greatest(english, german, french, spanish) WHEN 0 THEN " + _HEURISTIC + " WHEN english THEN 'english' WHEN german THEN 'german' WHEN french THEN 'french' ELSE 'spanish' END"
 _CLASSIFIED = f"k0 AS (SELECT doc_id, lower(text) || ' ' AS t FROM documents), k1 AS (SELECT doc_id, t, {_SCORES} FROM k0), k AS (SELECT doc_id, {_BEST} AS category FROM k1)"
 
