@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from mixlens.shipping import ship
 from mixlens.sources.tables import drop_stored, scratch, stored, table
 
-__all__ = ["BROADCAST_ROWS", "WORD", "WORD_BYTES", "WORD_PATTERN", "drop_stored", "held", "release", "scratch", "ship", "small", "stored", "table", "trim", "unused", "with_python", "word_count"]
+__all__ = ["BROADCAST_ROWS", "Bitmap", "WORD", "WORD_BYTES", "WORD_PATTERN", "drop_stored", "held", "release", "scratch", "ship", "small", "stored", "table", "trim", "unused", "with_python", "word_count"]
 
 #: A word is a run of characters other than the ASCII white space of the contracts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -50,6 +50,37 @@ def small(df: DataFrame, count: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if count <= most else df
 
 
+#: Bounds of the binary logarithm of the bits of a bitmap that filters rows.
+FILTER_BITS = (16, 26)
+
+
+class Bitmap:
+    """Rows of a table by a hash of some columns: what it does not pass is not in the table.
+
+    It holds 8 bits for each row, within bounds, so it is a table of 2**26 / 64 rows, 16 MB, at most, and is broadcast
+    for that bound.
+    """
+
+    def __init__(self, rows: DataFrame, columns: list[str], count: int) -> None:
+        self.bits = min(FILTER_BITS[1], max(FILTER_BITS[0], count.bit_length() + 3))
+        cell = self._cell(columns)
+        self.words = rows.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(self._bit(cell)).alias("bits"))
+
+    def _cell(self, columns: list[str]) -> Column:
+        return F.xxhash64(*columns).bitwiseAND(F.lit((1 << self.bits) - 1))
+
+    @staticmethod
+    def _bit(cell: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int"))
+
+    def marked(self, df: DataFrame, columns: list[str], name: str) -> DataFrame:
+        """df with a boolean column of that name: false where a row is in no case in the table."""
+        word, bits = unused(df, "word", "bits")
+        cell = self._cell(columns)
+        both = df.withColumn(word, F.shiftright(cell, 6)).join(F.broadcast(self.words.toDF(word, bits)), word, "left")
+        return both.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(self._bit(cell)) != 0, F.lit(False))).drop(word, bits)
+
+
 def with_python(df: DataFrame, inputs: list[str], keep: list[str], added: str, factory: Callable[[], Callable[..., list]], rows: int = 256) -> DataFrame:
     """Add columns that Python makes from whole rows, a few rows at a time.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import drop_stored, release, ship, small, stored, trim, unused
+from mixlens.llm.common import Bitmap, drop_stored, release, ship, small, stored, trim, unused
 from mixlens.llm.components import components
 from mixlens.llm.hashing import batches_of, hashed_words, mixed, window_hashes
 
@@ -53,8 +53,6 @@ _CHUNK = 1 << 14
 _RANK = 56
 _LOW = np.uint64((1 << _RANK) - 1)
 _SIGN = np.uint64(1 << 63)
-#: Bounds of the binary logarithm of the bits of a bitmap that filters rows.
-FILTER_BITS = (16, 26)
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,33 +269,6 @@ def _verifier(width: int, percent: int) -> Callable:
     return run
 
 
-class Bitmap:
-    """Rows of a table by a hash of some columns: what it does not pass is not in the table.
-
-    It holds 8 bits for each row, within bounds, so it is a table of 2**26 / 64 rows, 16 MB, at most, and is broadcast
-    for that bound.
-    """
-
-    def __init__(self, rows: DataFrame, columns: list[str], count: int) -> None:
-        self.bits = min(FILTER_BITS[1], max(FILTER_BITS[0], count.bit_length() + 3))
-        cell = self._cell(columns)
-        self.words = rows.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(self._bit(cell)).alias("bits"))
-
-    def _cell(self, columns: list[str]) -> Column:
-        return F.xxhash64(*columns).bitwiseAND(F.lit((1 << self.bits) - 1))
-
-    @staticmethod
-    def _bit(cell: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int"))
-
-    def marked(self, df: DataFrame, columns: list[str], name: str) -> DataFrame:
-        """df with a boolean column of that name: false where a row is in no case in the table."""
-        word, bits = unused(df, "word", "bits")
-        cell = self._cell(columns)
-        both = df.withColumn(word, F.shiftright(cell, 6)).join(F.broadcast(self.words.toDF(word, bits)), word, "left")
-        return both.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(self._bit(cell)) != 0, F.lit(False))).drop(word, bits)
-
-
 class WholeTexts:
     """Texts of the sets asked for so far, kept as tables; shuffled text takes half the bytes of the set's hashes."""
 

@@ -5,9 +5,11 @@ minimiser of the edge (the least hash of its runs of ANCHOR words) changes, so t
 minimisers wherever they occur: the partition of the published compaction algorithms. Then
 
 1. a join on the minimiser drops paths whose minimiser occurs once: none of their edges is repeated;
-2. paths compact: those with the same words are one, with a count and the coordinates of one source. All edges of a path
-   that occurs twice are repeated, and paths that follow each other in a document merge into long spans;
-3. at branches, where paths with one minimiser differ, the texts at the source coordinates are read again and their
+2. paths with the same words are one, with a count, what follows them, and the coordinates of one source. All edges of a
+   path that occurs twice are repeated;
+3. nonbranching paths compact: a join on what follows tells the paths that one path alone follows, as often, so that
+   no walk enters or leaves between them. In a document such paths make one long repeated span;
+4. at branches, where paths with one minimiser differ, the texts at the source coordinates are read again and their
    edges compared one by one.
 
 Every word that a repeated edge covers is removed, the first occurrence included. Paths and edges are compared only
@@ -24,17 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import BROADCAST_ROWS, WORD_BYTES, drop_stored, ship, small, stored, trim, with_python
+from mixlens.llm.common import BROADCAST_ROWS, WORD_BYTES, Bitmap, drop_stored, ship, small, stored, trim, with_python
 from mixlens.llm.hashing import batches_of, hashed_words, span_hash, window_hashes
 
 WINDOW = 35
 ANCHOR = 12
 #: Texts with one path from which on it is hot; the list of hot paths is broadcast if it is short.
 HOT = 1000
-PATH = "doc_id long, row long, anchor long, span long, first int, edges int, loops boolean"
+PATH = "doc_id long, row long, anchor long, span long, first int, edges int, loops boolean, following long"
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -51,9 +53,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def paths_of(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Minimiser, hash of all words, first edge, number of edges, and whether an edge comes twice, of each path of a text's word hashes."""
+    """Minimiser, hash of all words, first edge, number of edges, whether an edge comes twice, and the hash of the next path, of each path of a text's word hashes."""
     if len(hashes) < window:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, bool))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, bool, np.int64))
     least = sliding_min(window_hashes(hashes, anchor), window - anchor + 1)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     ends = np.append(first[1:], len(least))
@@ -63,7 +65,8 @@ def paths_of(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) ->
     if len(np.unique(edges)) < len(edges):
         for k, (a, b) in enumerate(zip(first, ends, strict=True)):
             loops[k] = len(np.unique(edges[a:b])) < b - a
-    return least[first].view(np.int64), spans.view(np.int64), first.astype(np.int32), (ends - first).astype(np.int32), loops
+    spans = spans.view(np.int64)
+    return least[first].view(np.int64), spans, first.astype(np.int32), (ends - first).astype(np.int32), loops, np.append(spans[1:], 0)
 
 
 def _cut(window: int, anchor: int):
@@ -118,14 +121,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     shared = stored(paths.join(often, "anchor"), "shared-paths")
     drop_stored(paths)
     source = F.min(F.struct("doc_id", "row", "first")).alias("source")
-    compact = stored(shared.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.max("edges").alias("edges"), F.bool_or("loops").alias("loops"), source), "compact-paths")
-    whole = repeated_paths(shared, compact)
-    spans = whole.select("doc_id", "row", F.col("first").alias("start"), (F.col("first") + F.col("edges") + window - 1).alias("end"))
+    compact = stored(shared.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.max("edges").alias("edges"), F.bool_or("loops").alias("loops"), source, F.min("following").alias("next"), F.max("following").alias("last")), "compact-paths")
+    spans = long_spans(repeated_paths(shared, compact), window)
     # branches: minimisers with a path that occurs once beside another path, or beside itself
     branching = compact.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.bool_or(F.col("loops") & (F.col("n") == 1)).alias("own"))
     asked = compact.join(branching.filter("least = 1 AND (k > 1 OR own)").select("anchor"), "anchor")
     asked = asked.groupBy("source.doc_id", "source.row").agg(F.collect_list(F.struct("anchor", F.col("source.first").alias("first"), "edges", (F.col("n") == 1).alias("single"))).alias("asked"))
-    texts = at_rows(docs, asked, "inner")
+    asked = stored(asked, "asked-paths")
+    marked = Bitmap(asked, ["row"], asked.count()).marked(docs, ["row"], "maybe")
+    texts = at_rows(marked.filter("maybe").drop("maybe"), asked, "inner")
     made = with_python(texts, ["text", "asked"], ["doc_id", "row"], "made array<struct<anchor:bigint,edge:bigint,at:int,single:boolean>>", lambda: _edges_at(window))
     # repeated rows ask for the same coordinates twice: told apart, they would repeat every edge of theirs
     edges = stored(made.select("doc_id", "row", F.explode("made").alias("e")).select("doc_id", "row", "e.*"), "branch-edges")
@@ -133,18 +137,35 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     again = places.groupBy("anchor", "edge").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "edge")
     single = edges.filter("single").join(again, ["anchor", "edge"]).select("doc_id", "row", F.col("at").alias("start"), (F.col("at") + window).alias("end"))
     found = stored(spans.unionByName(single).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeated-spans")
-    drop_stored(shared, compact, edges)
+    drop_stored(shared, compact, asked, edges)
     return found
 
 
 def repeated_paths(shared: DataFrame, compact: DataFrame) -> DataFrame:
-    """The paths whose words occur twice or more. Those of a path that very many texts have are found without a shuffle."""
-    hot = compact.filter(F.col("n") > HOT).select("anchor", "span", F.lit(True).alias("hot"))
+    """The paths whose words occur twice or more, with joined: whether the next path belongs to the same long span.
+
+    It does if it follows wherever the path occurs, and occurs as often. Paths that very many texts have meet what is
+    known of them without a shuffle.
+    """
+    often = compact.filter("n > 1").select("anchor", "span", "n", F.when(F.col("next") == F.col("last"), F.col("next")).alias("next"))
+    after = often.select(F.col("span").alias("next"), F.col("n").alias("times")).distinct()
+    known = stored(often.join(after, "next", "left").select("anchor", "span", "n", F.coalesce(F.col("times") == F.col("n"), F.lit(False)).alias("joined")), "repeated-paths")
+    hot = known.filter(F.col("n") > HOT).select("anchor", "span", F.col("joined").alias("hot"))
     if (count := hot.count()) > BROADCAST_ROWS:
-        return shared.join(compact.filter("n > 1").select("anchor", "span"), ["anchor", "span"])
+        return shared.join(known.drop("n"), ["anchor", "span"])
     told = shared.join(small(hot, count), ["anchor", "span"], "left")
-    rest = told.filter("hot IS NULL").join(compact.filter(F.col("n").between(2, HOT)).select("anchor", "span"), ["anchor", "span"])
-    return told.filter("hot").unionByName(rest).drop("hot")
+    rest = told.filter("hot IS NULL").drop("hot").join(known.filter(F.col("n") <= HOT).drop("n"), ["anchor", "span"])
+    return told.filter("hot IS NOT NULL").withColumnRenamed("hot", "joined").unionByName(rest)
+
+
+def long_spans(paths: DataFrame, window: int) -> DataFrame:
+    """doc_id, row, start and end of runs of paths that belong together; a window has the paths of one text."""
+    of_text = Window.partitionBy("doc_id", "row").orderBy("first")
+    before = F.lag(F.when(F.col("joined"), F.col("first") + F.col("edges"))).over(of_text)
+    opened = paths.withColumn("opens", F.coalesce((before != F.col("first")).cast("int"), F.lit(1)))
+    numbered = opened.withColumn("run", F.sum("opens").over(of_text))
+    runs = numbered.groupBy("doc_id", "row", "run").agg(F.min("first").alias("start"), (F.max(F.col("first") + F.col("edges")) + window - 1).alias("end"))
+    return runs.select("doc_id", "row", "start", "end")
 
 
 def _has_repeats(docs: DataFrame) -> bool:
