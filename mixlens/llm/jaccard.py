@@ -455,11 +455,14 @@ def _family_rows(family: DataFrame, rooted: DataFrame, percent: int) -> DataFram
     difference of two linked sets. Differences that few sets of the family have come first.
     """
     placed = family.filter("pivot <> id").join(rooted.select("id", "root"), "id")
-    several = placed.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("d").alias("least")).filter("lo < hi").select("pivot", "least")
+    several = placed.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("d").alias("least")).filter("lo < hi")
+    # a pivot may have a third of all sets: its family is not gathered for this
+    several = stored(several.select("pivot", "least"), "several-families")
+    known = small(several, several.count())
     # of a partner, at most 100 / percent times as large, t is at most this and its differences at least d less that
     most = F.col("n") * (100 - percent) / percent
     share = F.greatest(F.lit(1), F.ceil((F.col("d") + F.greatest(F.col("least").cast("double"), F.col("d") - most) - most) / 2 - 1e-6))
-    every = placed.join(several, "pivot").select("pivot", "id", "root", "n", "d", (F.col("d") - share + 1).alias("front"), F.explode("differences").alias("token"))
+    every = placed.join(known, "pivot").select("pivot", "id", "root", "n", "d", (F.col("d") - share + 1).alias("front"), F.explode("differences").alias("token"))
     counts = every.groupBy("pivot", "token").agg(F.count("*").alias("k"))
     order = Window.partitionBy("pivot", "id").orderBy("k", "token")
     ranked = every.join(counts, ["pivot", "token"]).withColumn("at", F.row_number().over(order) - 1)
