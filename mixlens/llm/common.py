@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from mixlens.shipping import ship
 from mixlens.sources.tables import drop_stored, scratch, stored, table
 
-__all__ = ["BROADCAST_ROWS", "Bitmap", "WORD", "WORD_BYTES", "WORD_PATTERN", "drop_stored", "held", "release", "scratch", "ship", "small", "stored", "table", "trim", "unused", "with_python", "word_count"]
+__all__ = ["BROADCAST_ROWS", "Bitmap", "WORD", "WORD_BYTES", "WORD_PATTERN", "drop_stored", "held", "hot_join", "release", "scratch", "ship", "small", "stored", "table", "trim", "unused", "with_python", "word_count"]
 
 #: A word is a run of characters other than the ASCII white space of the contracts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -50,6 +50,32 @@ def small(df: DataFrame, count: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if count <= most else df
 
 
+#: Rows of a key from which hot_join broadcasts it, and the most keys that it broadcasts.
+HOT_ROWS = 5_000
+HOT_KEYS = 100_000
+
+
+def hot_join(df: DataFrame, side: DataFrame, key: str, rows: str) -> DataFrame:
+    """df with the columns of side, which has each value of key once, null included, and how many rows of df it has.
+
+    Keys of many rows are broadcast and their rows stay where they are; the others meet by a shuffle. No more than total
+    rows / HOT_ROWS keys can be hot, and the limit rises with the rows so that at most HOT_KEYS are. side is read twice.
+    """
+    total = side.agg(F.sum(rows)).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    added = [c for c in side.columns if c not in (key, rows)]
+    left, hot_, cold_ = unused(df, "left", "hot", "cold")
+    part = lambda some, name: some.select(F.struct(F.col(key).alias("k")).alias("k"), F.struct(*(F.col(c) for c in added)).alias("v")).toDF(f"{name}_k", name)
+    own = df.withColumn(left, F.struct(F.col(key).alias("k")))
+    hot = own.join(F.broadcast(part(side.filter(F.col(rows) > limit), hot_)), F.col(left) == F.col(f"{hot_}_k"), "left")
+    # a row that has its values already takes a key of its own, so hot keys do not meet in the shuffle
+    spread = F.when(F.col(hot_).isNull(), F.col(left))
+    seed = F.when(F.col(hot_).isNotNull(), F.xxhash64(F.monotonically_increasing_id()))
+    cold = part(side.filter(F.col(rows) <= limit), cold_).withColumn(f"{cold_}_s", F.lit(None).cast("long"))
+    joined = hot.withColumns({left: spread, f"{left}_s": seed}).join(cold, F.col(left).eqNullSafe(F.col(f"{cold_}_k")) & F.col(f"{left}_s").eqNullSafe(F.col(f"{cold_}_s")), "left")
+    return joined.select(*df.columns, *(F.coalesce(F.col(hot_)[c], F.col(cold_)[c]).alias(c) for c in added))
+
+
 #: Bounds of the binary logarithm of the bits of a bitmap that filters rows.
 FILTER_BITS = (16, 26)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixlens.llm import decontaminate, extraction, jaccard, language, mixing, quality, secrets, substrings, token_files, urls
+from mixlens.llm import decontaminate, extraction, jaccard, language, mixing, quality, secrets, substrings, token_counts, token_files, tries, urls, vector_codes
 from mixlens.llm.common import table
 
 
@@ -58,5 +58,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_source_mix, op4_url_filter, op5_language_id, op6_token_files, op7_html_extraction, op8_decontamination, op9_secret_scan, op10_ngram_jaccard)}
-ORACLES: dict[str, str] = {"op3_source_mix": mixing.MIX_SQL, "op4_url_filter": urls.URLS_SQL}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_source_mix, op4_url_filter, op5_language_id, op6_token_files, op7_html_extraction, op8_decontamination, op9_secret_scan, op10_ngram_jaccard, op11_conversation_trie, op12_token_counts, op13_vector_codes)}
+ORACLES: dict[str, str] = {"op3_source_mix": mixing.MIX_SQL, "op4_url_filter": urls.URLS_SQL, "op11_conversation_trie": tries.TRIE_SQL, "op13_vector_codes": vector_codes.COMPRESS_SQL}
