@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixlens.functions import vocabulary as V
 from mixlens.logs import get_logger, setup_logger
-from mixlens.operators import analysis, build, classify, evaluate, providers, selection, validation
+from mixlens.operators import analysis, build, calls, classify, evaluate, providers, selection, validation
 from mixlens.sources import tables as S
 
 
@@ -19,11 +21,25 @@ def analysis_rows(evaluated: DataFrame) -> DataFrame:
     return evaluated.select(F.col("model_id").alias("model"), "level", "category", "cpr", "semantic", "composite", F.col("constraint_results").alias("results"), order.alias("ord"))
 
 
+def writers(a: argparse.Namespace) -> dict:
+    """The model that rewrites and answers, if one is named; else the offline writers."""
+    if not a.writer:
+        return {}
+    if not a.url:
+        raise ValueError("a writer needs a url")
+    model, url = a.writer, a.url
+    key = os.environ.get(a.key_env, "") or (selection.PLACEHOLDER_KEY if selection.is_local(url) else "")
+    if not key:
+        raise ValueError(f"no key for {model}: {a.key_env} is not set")
+    return {"make": lambda: providers.EndpointRewriter(calls.ChatEndpoint(model, url, key, temperature=0.7)), "gold": lambda: providers.EndpointGold(calls.ChatEndpoint(model, url, key))}
+
+
 def run_build(spark: SparkSession, a: argparse.Namespace) -> None:
     """Fill the quotas in rounds; failed rows and the figures of the run are written beside the dataset."""
     done = spark.read.parquet(a.done) if a.done else None
     templates = S.load_templates(a.prompts) if a.prompts else None
-    rows, failures, figures = build.build_report(S.read_lines(spark, a.source, S.SOURCE), a.samples, a.seed, done=done, prefix=a.prefix, max_rounds=a.max_rounds, templates=templates)
+    limits = {"partitions": a.partitions, "per_minute": a.per_minute, "concurrency": a.concurrency}
+    rows, failures, figures = build.build_report(S.read_lines(spark, a.source, S.SOURCE), a.samples, a.seed, done=done, prefix=a.prefix, max_rounds=a.max_rounds, templates=templates, **writers(a), **limits)
     rows.write.mode("overwrite").parquet(a.out)
     counts = S.write_failures(failures, f"{a.out}_failures")
     S.write_stats(spark, figures | {"failures_by_type": counts, "source": a.source}, f"{a.out}_stats")
@@ -40,8 +56,32 @@ def chosen_models(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return selection.select_models(spark.createDataFrame(listed, "name string, model_id string"), a.include, a.exclude, a.add)
 
 
+def endpoints(listed: list[dict], url: str | None, key_env: str | None, environment: dict[str, str], kind: str | None = None) -> Callable[[str], providers.Generator]:
+    """The connector of a model_id: an endpoint of the kind its registry entry names, or the one given.
+
+    A model of an entry with base_url is asked there, others at url; without either the offline generator answers. A key
+    that is needed and unset raises before the first call.
+    """
+    known = {}
+    for m in listed:
+        if url or m.get("base_url"):
+            at, key, source = selection.resolve_credentials(m, url or m["base_url"], environment.get(key_env or "", ""), environment)
+            if not key:
+                raise ValueError(f"no key for {m['name']}: {key_env if source == 'default' else source} is not set")
+            known[m["model_id"]] = (at, key, m.get("api_format") or "chat")
+
+    def make(model: str) -> providers.Generator:
+        if model not in known and not url:
+            return providers.EchoGenerator()
+        at, key, own = known.get(model) or (url, environment_key, "chat")
+        return calls.ENDPOINTS.get(kind or own, calls.ChatEndpoint)(model, at, key)
+
+    environment_key = environment.get(key_env or "", "") if url and not selection.is_local(url) else selection.PLACEHOLDER_KEY
+    return make
+
+
 def run_infer(spark: SparkSession, a: argparse.Namespace, models: DataFrame | None = None) -> None:
-    """Ask every selected model every prompt that has no record yet, with the offline generator."""
+    """Ask every selected model every prompt that has no record yet; answers are in place task by task."""
     models = chosen_models(spark, a) if models is None else models
     data = spark.read.parquet(a.dataset)
     limited = evaluate.first_rows(data, a.limit, "id") if a.limit else data
@@ -49,7 +89,10 @@ def run_infer(spark: SparkSession, a: argparse.Namespace, models: DataFrame | No
     asked = evaluate.model_prompts(models, prompts)
     done = S.stored(S.read_lines(spark, a.out, S.INFERENCE, "resume").select(*evaluate.KEY).distinct(), "done")
     todo = asked.join(done, evaluate.KEY, "left_anti")
-    S.write_lines(providers.infer(todo, providers.EchoGenerator, partitions=a.partitions, per_minute=a.per_minute), a.out, "append")
+    wanted = {r.model_id for r in models.select("model_id").collect()}
+    make = endpoints([m for m in _registry(a.models) if m["model_id"] in wanted], a.url, a.key_env, dict(os.environ))
+    n = providers.infer_into(todo, make, a.out, evaluate.KEY, a.partitions, a.calls, a.per_minute, by="model_id", concurrency=a.concurrency, retries=a.retries)
+    get_logger().info("%d prompts asked", n)
 
 
 def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -117,10 +160,12 @@ def run_demo(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_probe(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Ask each model of the registry once, with the offline generator, and write who answers; 1 if one does not."""
-    listed = [(m["name"], m["model_id"], m.get("api_format")) for m in _registry(a.models)]
+    """Ask each model of the registry once, by its kind of endpoint, else by chat, and write who answers; 1 if one does not."""
+    registry = _registry(a.models)
+    listed = [(m["name"], m["model_id"], m.get("api_format")) for m in registry]
     rows = spark.createDataFrame(listed, "name string, model_id string, api_format string").repartition(a.partitions)
-    found = S.stored(providers.probe(rows, lambda model: providers.EchoGenerator()), "probe")
+    of_kind = lambda kind: endpoints(registry, a.url, a.key_env, dict(os.environ), kind)
+    found = S.stored(providers.probe(rows, of_kind("chat"), others={k: of_kind(k) for k in calls.ENDPOINTS if k != "chat"}), "probe")
     S.write_report(found, a.out)
     return int(not found.filter("NOT ok").isEmpty())
 
@@ -169,8 +214,10 @@ def run_all(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
-_MODELS = {"--include": {"nargs": "*"}, "--exclude": {"nargs": "*"}, "--add": {"nargs": "*"}, "--limit": {"type": int}, "--partitions": {"type": int, "default": 8}, "--per-minute": {"type": float}}
-_BUILD = {"--samples": {"type": int, "default": 750}, "--seed": {"type": int, "default": 42}, "--prefix": {"default": "item_"}, "--prompts": {}, "--max-rounds": {"type": int, "default": build.MAX_ROUNDS}}
+_ENDPOINT = {"--url": {}, "--key-env": {"default": "MIXLENS_API_KEY"}}
+_LIMITS = {"--partitions": {"type": int, "default": 8}, "--per-minute": {"type": float}, "--concurrency": {"type": int, "default": calls.CONCURRENCY}}
+_MODELS = {"--include": {"nargs": "*"}, "--exclude": {"nargs": "*"}, "--add": {"nargs": "*"}, "--limit": {"type": int}, "--calls": {"type": int, "default": 2 * calls.CONCURRENCY}, "--retries": {"type": int, "default": 6}, **_LIMITS, **_ENDPOINT}
+_BUILD = {"--samples": {"type": int, "default": 750}, "--seed": {"type": int, "default": 42}, "--prefix": {"default": "item_"}, "--prompts": {}, "--max-rounds": {"type": int, "default": build.MAX_ROUNDS}, "--writer": {}, **_LIMITS, **_ENDPOINT}
 COMMANDS = {
     "build": (run_build, {"source": {}, "out": {}, "--done": {}, **_BUILD}),
     "infer": (run_infer, {"dataset": {}, "models": {}, "out": {}, **_MODELS}),
@@ -179,7 +226,7 @@ COMMANDS = {
     "validate": (run_validate, {"dataset": {}, "out": {}, "--prefix": {"default": "item_"}, "--samples": {"type": int, "default": 750}}),
     "report": (run_report, {"dataset": {}, "out": {}}),
     "export": (run_export, {"dataset": {}, "out": {}}),
-    "probe": (run_probe, {"models": {}, "out": {}, "--partitions": {"type": int, "default": 8}}),
+    "probe": (run_probe, {"models": {}, "out": {}, "--partitions": {"type": int, "default": 8}, **_ENDPOINT}),
     "demo": (run_demo, {"out": {}, "--samples": {"type": int, "default": 100}, "--seed": {"type": int, "default": 42}}),
     "all": (run_all, {"models": {}, "out": {}, "--dataset": {}, "--source": {}, "--smoke": {"action": "store_true"}, "--yes": {"action": "store_true"}, **_MODELS, **_BUILD}),
 }

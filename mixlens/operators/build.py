@@ -61,7 +61,7 @@ def processed(rows: DataFrame, seed: int = 42, make: Callable[[], providers.Rewr
     asked = derived.withColumn("_text", constraints.embed(F.col("instruction"), needs))
     rewritten = providers.rewrite_levels(asked, "_text", "instruction", seed, make, templates, **limits)
     if gold is not None:
-        answered = providers.gold_with(rewritten.withColumnsRenamed({"error": "_error", "error_type": "_type"}), gold, "_text", "_gold")
+        answered = providers.gold_with(rewritten.withColumnsRenamed({"error": "_error", "error_type": "_type"}), gold, "_text", "_gold", **limits)
         rewritten = answered.withColumns({"output": F.when(F.col("output") != "", F.col("output")).otherwise(F.col("_gold")), "error": F.coalesce("_error", F.when(F.col("output") == "", F.col("error"))), "error_type": F.coalesce("_type", F.when(F.col("output") == "", F.col("error_type")))}).drop("_error", "_type", "_gold")
     return rewritten.withColumns({level: rewrite.enforce_lines(F.col(level), needs) for level in V.LEVELS}).drop("_text")
 

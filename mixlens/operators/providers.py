@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixlens.functions import vocabulary as V
+from mixlens.operators.calls import CONCURRENCY, INFERENCE, WRITING, Lane, Pace, Waits, error_kind, jitter_of, lanes
 from mixlens.shipping import ship
 
 RESULT = "response string, success boolean, tokens_used int, latency_ms long, error string, error_type string"
@@ -68,31 +69,13 @@ def greedy_f1(reference: np.ndarray, candidate: np.ndarray) -> float:
     return float(max(0.0, 2 * precision * recall / (precision + recall))) if precision + recall > 0 else 0.0
 
 
-def error_kind(message: str) -> str:
-    low = message.lower()
-    if "timed out" in low:
-        return "timeout"
-    if "empty completion" in low:
-        return "empty_completion"
-    return "rate_limit" if "429" in message or "rate_limit" in low else "api_error"
-
-
-def wait_seconds(kind: str, attempt: int, jitter: float = 0.0) -> float:
-    """Seconds before the next attempt; jitter, from 0 to 1, spreads calls that failed together."""
-    wait = {"timeout": 10.0 * attempt, "rate_limit": 5.0 * 2 ** (attempt - 1), "empty_completion": 2.0}.get(kind, 2.0 * attempt)
-    return wait + jitter * {"timeout": 3.0, "empty_completion": 0.0}.get(kind, 2.0)
-
-
-def jitter_of(prompt: str, attempt: int) -> float:
-    """A number from 0 to 1 that hangs on the prompt and the attempt, so that a rerun waits alike."""
-    return int.from_bytes(hashlib.sha256(f"{attempt}:{prompt}".encode("utf-8", "surrogatepass")).digest()[:4], "little") / 2**32
-
-
-def call(generator: Generator, prompt: str, retries: int = 3, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[str, int], float] | None = None) -> tuple:
+def call(generator: Generator, prompt: str, retries: int = 3, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[str, int], float] | None = None, pace: Pace | None = None, waits: Waits = INFERENCE) -> tuple:
     """One result row; failures become typed rows, never exceptions. jitter gives a number from 0 to 1 to a prompt and an attempt."""
     began, last = time.perf_counter(), ""
     for attempt in range(1, retries + 1):
         try:
+            if pace is not None:
+                pace.wait()
             text, tokens = generator.generate(prompt)
             if text.strip():
                 return text, True, tokens, round((time.perf_counter() - began) * 1000), None, None
@@ -100,31 +83,55 @@ def call(generator: Generator, prompt: str, retries: int = 3, sleep: Callable[[f
         except Exception as e:  # noqa: BLE001  whatever a provider raises is a failed call
             last = str(e)
         if attempt < retries:
-            sleep(wait_seconds(error_kind(last), attempt, jitter(prompt, attempt) if jitter else 0.0))
+            sleep(waits.seconds(error_kind(last), attempt, jitter(prompt, attempt) if jitter else 0.0))
     return "", False, 0, round((time.perf_counter() - began) * 1000), last, error_kind(last)
 
 
-def infer(prompts: DataFrame, make: Callable[[], Generator], column: str = "prompt", partitions: int | None = None, per_minute: float | None = None, retries: int = 3) -> DataFrame:
-    """Add the result columns. The rate limit is shared out over a fixed number of partitions."""
+def infer(prompts: DataFrame, make: Callable[..., Generator], column: str = "prompt", partitions: int | None = None, per_minute: float | None = None, retries: int = 3, concurrency: int = CONCURRENCY, by: str | None = None) -> DataFrame:
+    """Add the result columns.
+
+    Each partition has so many calls under way at once, and its share of the rate limit holds for all of them, attempts
+    again included. by names a column of models: make is then given its value.
+    """
     ship(prompts.sparkSession)
-    dealt = prompts.repartition(partitions) if partitions else prompts
-    gap = 60.0 / per_minute * (partitions or 1) if per_minute else 0.0
+    dealt, share = lanes(prompts, partitions, per_minute)
     names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generator = make()
+        lane = Lane(make, concurrency, share)
+        one = lambda prompt, *key: call(lane.connector(*key), prompt, retries, jitter=jitter_of, pace=lane.pace)
         for frame in frames:
-            rows = []
-            for prompt in frame[column]:
-                began = time.perf_counter()
-                rows.append(call(generator, prompt, retries, jitter=jitter_of))
-                time.sleep(max(0.0, gap - (time.perf_counter() - began)) if gap else 0.0)
+            rows = list(lane.run(one, zip(frame[column], *([frame[by]] if by else []), strict=True)))
             yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype=object)], axis=1)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", " + RESULT
     return dealt.mapInPandas(run, schema)
 
 
+def infer_into(prompts: DataFrame, make: Callable[..., Generator], path: str, key: list[str], partitions: int = 8, calls_per_task: int = 2 * CONCURRENCY, per_minute: float | None = None, **options: object) -> int:
+    """Ask every prompt and append the answers to JSON lines at path, task by task; returns how many prompts there were.
+
+    A task asks calls_per_task prompts, and its answers are in place as soon as it ends: a crash of executors or driver
+    loses what the tasks under way have asked, never more, and a run over the prompts without a record asks the rest.
+    Without a rate limit all tasks are one job. With one, rounds of as many tasks as share the rate follow each other, so
+    that no cluster, however large, runs more of them at once.
+    """
+    from mixlens.sources.tables import append_lines, drop_stored, stored
+
+    kept = stored(prompts, "prompts")
+    total = kept.count()
+    tasks = max(1, -(-total // calls_per_task))
+    rounds = max(1, -(-tasks // partitions)) if per_minute else 1
+    dealt = stored(kept.withColumn("_round", F.pmod(F.xxhash64(*key), F.lit(rounds))), "rounds", by="_round") if rounds > 1 else kept
+    for k in range(rounds if total else 0):
+        part = dealt.filter(F.col("_round") == k).drop("_round") if rounds > 1 else dealt
+        append_lines(infer(part, make, partitions=partitions if per_minute else tasks, per_minute=per_minute, **options), path)
+    drop_stored(kept)
+    if rounds > 1:
+        drop_stored(dealt)
+    return total
+
+
 def embedding_f1(pairs: DataFrame, make: Callable[[], Embedder], reference: str, response: str, name: str = "bert_f1") -> DataFrame:
     """Add the greedy match F1 of two text columns; each distinct reference of a batch is embedded once."""
     ship(pairs.sparkSession)
@@ -155,11 +162,13 @@ def vectors_f1(pairs: DataFrame, reference: str, response: str, name: str = "f1"
     return pairs.mapInPandas(run, schema)
 
 
-def attempt(ask: Callable[[], str], label: str, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> str:
+def attempt(ask: Callable[[], str], label: str, retries: int = 3, sleep: Callable[[float], None] = time.sleep, pace: Pace | None = None, waits: Waits = WRITING) -> str:
     """The stripped and unquoted text of the first call that gives one; RuntimeError when all have failed."""
     last = ""
     for k in range(1, retries + 1):
         try:
+            if pace is not None:
+                pace.wait()
             text = ask().strip()
             if len(text) >= 2 and text[0] == text[-1] and text[0] in "\"'":
                 text = text[1:-1].strip()
@@ -169,7 +178,7 @@ def attempt(ask: Callable[[], str], label: str, retries: int = 3, sleep: Callabl
         except Exception as e:  # noqa: BLE001  whatever a provider raises is a failed call
             last = str(e)
         if k < retries:
-            sleep(wait_seconds(error_kind(last), k, jitter_of(label, k)))
+            sleep(waits.seconds(error_kind(last), k, jitter_of(label, k)))
     raise RuntimeError(f"{label} failed after {retries} attempts: {last}")
 
 
@@ -240,56 +249,77 @@ class KeywordGold:
         return " ".join((body * (least // len(body) + 1))[: max(least, len(terms))])
 
 
-def rewrite_with(rows: DataFrame, make: Callable[[], Rewriter], text: str, templates: dict | None = None, retries: int = 3, partitions: int | None = None, per_minute: float | None = None) -> DataFrame:
-    """Add the four levels, error and error_type. Level 0 falls back to the input; another level that fails leaves the row failed."""
+class EndpointRewriter:
+    """A model behind an endpoint; the prompt holds the level's template."""
+
+    def __init__(self, endpoint: Generator) -> None:
+        self.endpoint = endpoint
+
+    def rewrite(self, level: int, instruction: str, prompt: str) -> str:
+        return self.endpoint.generate(prompt)[0]
+
+
+class EndpointGold:
+    """Answers of a model behind an endpoint, which is to be asked at temperature 0."""
+
+    def __init__(self, endpoint: Generator) -> None:
+        self.endpoint = endpoint
+
+    def answer(self, instruction: str) -> str:
+        return self.endpoint.generate(instruction.strip())[0]
+
+
+def rewrite_with(rows: DataFrame, make: Callable[[], Rewriter], text: str, templates: dict | None = None, retries: int = 3, partitions: int | None = None, per_minute: float | None = None, concurrency: int = CONCURRENCY) -> DataFrame:
+    """Add the four levels, error and error_type, several rows of a partition at once.
+
+    Levels 1 to 3 are written from level 0, which falls back to the input. Another level that fails leaves the row failed.
+    """
     ship(rows.sparkSession)
-    dealt = rows.repartition(partitions) if partitions else rows
-    gap = 60.0 / per_minute * (partitions or 1) if per_minute else 0.0
+    dealt, share = lanes(rows, partitions, per_minute)
 
-    def one(rewriter: Rewriter, given: str) -> list[str | None]:
+    def one(lane: Lane, given: str) -> list[str | None]:
         levels: list[str | None] = []
+        asked = lambda level, text: attempt(lambda: lane.connector().rewrite(level, text, filled(templates, level, text)), f"level {level}", retries, pace=lane.pace)
+        try:
+            levels.append(asked(0, given))
+        except RuntimeError:
+            levels.append(given.strip())
         try:
-            for level in range(len(V.LEVELS)):
-                began = time.perf_counter()
-                try:
-                    levels.append(attempt(lambda level=level: rewriter.rewrite(level, given, filled(templates, level, given)), f"level {level}", retries))
-                except RuntimeError:
-                    if level:
-                        raise
-                    levels.append(given.strip())
-                time.sleep(max(0.0, gap - (time.perf_counter() - began)) if gap else 0.0)
+            for level in range(1, len(V.LEVELS)):
+                levels.append(asked(level, levels[0]))
         except RuntimeError as e:
             return [*levels, *[None] * (len(V.LEVELS) - len(levels)), str(e), error_kind(str(e))]
         return [*levels, None, None]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rewriter = make()
+        lane = Lane(make, concurrency, share)
         for frame in frames:
-            made = pd.DataFrame([one(rewriter, t or "") for t in frame[text]], columns=[*V.LEVELS, "error", "error_type"], dtype=object)
+            made = pd.DataFrame(list(lane.run(one, ((lane, t or "") for t in frame[text]))), columns=[*V.LEVELS, "error", "error_type"], dtype=object)
             yield pd.concat([frame.reset_index(drop=True), made], axis=1)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", " + ", ".join(f"{c} string" for c in [*V.LEVELS, "error", "error_type"])
     return dealt.mapInPandas(run, schema)
 
 
-def gold_with(rows: DataFrame, make: Callable[[], GoldWriter], text: str, name: str = "gold_response", retries: int = 3) -> DataFrame:
+def gold_with(rows: DataFrame, make: Callable[[], GoldWriter], text: str, name: str = "gold_response", retries: int = 3, partitions: int | None = None, per_minute: float | None = None, concurrency: int = CONCURRENCY) -> DataFrame:
     """Add an answer to each constrained instruction, with error and error_type, null where it succeeded."""
     ship(rows.sparkSession)
+    dealt, share = lanes(rows, partitions, per_minute)
 
-    def one(writer: GoldWriter, given: str) -> list[str | None]:
+    def one(lane: Lane, given: str) -> list[str | None]:
         try:
-            return [attempt(lambda: writer.answer(given), "gold answer", retries), None, None]
+            return [attempt(lambda: lane.connector().answer(given), "gold answer", retries, pace=lane.pace), None, None]
         except RuntimeError as e:
             return [None, str(e), error_kind(str(e))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        writer = make()
+        lane = Lane(make, concurrency, share)
         for frame in frames:
-            made = pd.DataFrame([one(writer, t or "") for t in frame[text]], columns=[name, "error", "error_type"], dtype=object)
+            made = pd.DataFrame(list(lane.run(one, ((lane, t or "") for t in frame[text]))), columns=[name, "error", "error_type"], dtype=object)
             yield pd.concat([frame.reset_index(drop=True), made], axis=1)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {name} string, error string, error_type string"
-    return rows.mapInPandas(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + f", {name} string, error string, error_type string"
+    return dealt.mapInPandas(run, schema)
 
 
 def rewrite_levels(rows: DataFrame, text: str, key: str, seed: int = 42, make: Callable[[], Rewriter] = RuleRewriter, templates: dict | None = None, **limits: float) -> DataFrame:
@@ -303,18 +333,29 @@ def rewrite_levels(rows: DataFrame, text: str, key: str, seed: int = 42, make: C
 def probe(models: DataFrame, make: Callable[[str], Generator], prompt: str = "ping", others: dict[str, Callable[[str], Generator]] | None = None) -> DataFrame:
     """name, model_id, api_format, ok, latency_ms and detail of one call to each model of a registry.
 
-    A model whose api_format is in others is asked through that kind of endpoint, and through the first if that fails.
+    A model whose api_format is in others is asked through that kind of endpoint, and through the first if that fails. An
+    endpoint that answers is ok, also with an empty text; detail is the start of the text or of the error.
     """
     ship(models.sparkSession)
     kinds = dict(others or {})
 
+    def asked(maker: Callable[[str], Generator], model: str) -> tuple[bool, int, str]:
+        began = time.perf_counter()
+        try:
+            ok, said = True, maker(model).generate(prompt)[0]
+        except Exception as e:  # noqa: BLE001  whatever a provider raises is a failed call
+            ok, said = False, str(e)
+        return ok, round((time.perf_counter() - began) * 1000), said.strip()[: 80 if ok else 120]
+
+    def one(model: str, kind: str) -> tuple[bool, int, str]:
+        found = asked(kinds[kind], model) if kind in kinds else None
+        return found if found and found[0] else asked(make, model)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lane = Lane(make)
         for frame in frames:
-            rows = []
-            for model, kind in zip(frame["model_id"], frame["api_format"], strict=True):
-                found = call(kinds[kind](model), prompt, retries=1) if kind in kinds else None
-                rows.append(found if found and found[1] else call(make(model), prompt, retries=1))
-            yield frame.assign(ok=[r[1] for r in rows], latency_ms=[r[3] for r in rows], detail=[r[4] for r in rows])
+            rows = list(lane.run(one, zip(frame["model_id"], frame["api_format"], strict=True)))
+            yield frame.assign(ok=[r[0] for r in rows], latency_ms=[r[1] for r in rows], detail=[r[2] for r in rows])
 
     kind = F.col("api_format") if "api_format" in models.columns else F.lit("chat")
     return models.select("name", "model_id", F.coalesce(kind, F.lit("chat")).alias("api_format")).mapInPandas(run, "name string, model_id string, api_format string, ok boolean, latency_ms long, detail string")

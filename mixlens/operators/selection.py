@@ -126,6 +126,12 @@ def is_local_url(url: Column) -> Column:
     return F.coalesce(url_host(url).isin(*V.LOCAL_HOSTS), F.lit(False))
 
 
+def is_local(url: str) -> bool:
+    from urllib.parse import urlsplit
+
+    return (urlsplit(url).hostname or "").lower() in V.LOCAL_HOSTS
+
+
 def credential_source(base_url: Column, key_name: Column, key: Column, default_url: str) -> Column:
     """Where a model's key comes from: env, local, default; refused if the default key would go to another host."""
     url = F.coalesce(F.when(base_url != "", base_url), F.lit(default_url))
@@ -138,10 +144,8 @@ def credential_source(base_url: Column, key_name: Column, key: Column, default_u
 
 def resolve_credentials(model: dict, default_url: str, default_key: str, environment: dict[str, str]) -> tuple[str, str, str]:
     """Endpoint, key and where the key is from, for one model. The default key goes to the default endpoint alone."""
-    from urllib.parse import urlsplit
-
     url, name = model.get("base_url") or default_url, model.get("api_key_env")
-    local = (urlsplit(url).hostname or "").lower() in V.LOCAL_HOSTS
+    local = is_local(url)
     if name:
         key = environment.get(name, "")
         return (url, PLACEHOLDER_KEY, f"{name} (unset)") if local and not key else (url, key, name)

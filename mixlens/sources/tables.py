@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import json
+import re
 import shutil
 import tempfile
 import uuid
@@ -47,14 +48,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/mixlens/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back; by names a column with a folder for each value.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not what came before.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.repartition(by).write.partitionBy(by) if by else df.write).parquet(path)
     # shuffle files of finished stages go when the driver's JVM finds them unreachable, which else may take half an hour
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -65,7 +66,7 @@ def drop_stored(*tables: DataFrame) -> None:
     """Delete tables of stored() that no later step reads, through the file system that holds them."""
     for df in tables:
         context = df.sparkSession.sparkContext
-        for part in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for part in {re.sub(r"(/[^/=]+=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()}:
             path = context._jvm.org.apache.hadoop.fs.Path(part)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -149,6 +150,15 @@ def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def append_lines(df: DataFrame, path: str) -> None:
+    """Append JSON lines of which each task's are in place as soon as the task ends, whatever becomes of the job.
+
+    The committer of the second kind moves a task's file when the task commits. A task run again replaces its own file, so
+    no line comes twice. This holds where a rename is atomic, as on HDFS or a local disk.
+    """
+    df.write.mode("append").option("ignoreNullFields", "false").option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(path)
+
+
 def rewrite(df: DataFrame, path: str, kind: str = "json") -> None:
     """Replace path as a whole: write beside it, move the old one away, move the new one in, then delete the old one.
 

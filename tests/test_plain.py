@@ -161,7 +161,7 @@ def test_connectors(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="after 2 attempts"):
         providers.attempt(lambda: " ", "x", retries=2)
     assert providers.attempt(lambda: " 'a b' ", "x") == "a b"
-    assert 0 <= providers.jitter_of("p", 1) < 1 and providers.wait_seconds("rate_limit", 3, 0.5) == 21.0
+    assert 0 <= providers.jitter_of("p", 1) < 1 and providers.INFERENCE.seconds("rate_limit", 3, 0.5) == 21.0
     endpoints = spark.createDataFrame([("a", "m/a", "other"), ("b", "m/b", None)], "name string, model_id string, api_format string")
     assert [r.ok for r in providers.probe(endpoints, lambda m: providers.EchoGenerator(), others={"other": lambda m: None}).collect()] == [True, True]
 
