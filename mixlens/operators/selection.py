@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from mixlens.functions import text as T
 from mixlens.functions import vocabulary as V
@@ -17,35 +18,90 @@ def long_enough(text: Column, least: int = 20) -> Column:
     return F.coalesce(F.length(T.strip(text)) >= least, F.lit(False))
 
 
-def _of_category(numbers: dict[str, int]) -> Column:
-    """The number of a row's category; 0 for other categories. A join would work out the category twice."""
-    found = F.lit(0)
+#: Cells that a category's first order column is counted in, to find where its quota surely ends.
+CELLS = 1024
+
+
+def _of_category(numbers: dict[str, float], otherwise: float = 0) -> Column:
+    """The number of a row's category. A join would work out the category twice."""
+    found = F.lit(otherwise)
     for name, n in numbers.items():
-        found = F.when(F.col("category") == name, n).otherwise(found)
+        found = F.when(F.col("category").eqNullSafe(name), n).otherwise(found)
     return found
 
 
 def with_place(rows: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
-    """Add the place of a row in its category, from 1."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy("category").orderBy(*order)))
+    """Add the place of a row in its category, from 1, without a task that holds a category.
+
+    Rows are dealt to ranges of category and order, written down, and counted by range and category; a category's places
+    go on in a range where the ranges before it end.
+    """
+    from mixlens.sources.tables import stored
+
+    spark = rows.sparkSession
+    columns = {f"_o{k}": F.col(c) if isinstance(c, str) else c for k, c in enumerate(order)}
+    part = F.spark_partition_id()
+    at = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
+    dealt = rows.withColumns(columns).repartitionByRange("category", *columns).sortWithinPartitions("category", *columns).withColumns({"_part": part, "_at": at})
+    kept = stored(dealt.drop(*columns), "places")
+    runs = kept.groupBy("_part", "category").agg(F.min("_at").alias("first"), F.count("*").alias("n")).orderBy("_part").collect()  # no more than ranges and categories
+    seen: dict[str, int] = {}
+    shifts = []
+    for r in runs:
+        shifts.append((r._part, r.category, seen.get(r.category, 0) + 1 - r["first"]))
+        seen[r.category] = seen.get(r.category, 0) + r.n
+    found = spark.createDataFrame(shifts, f"_p int, _c {rows.schema['category'].dataType.simpleString()}, _shift long")
+    both = kept.join(found, (F.col("_part") == F.col("_p")) & F.col("category").eqNullSafe(F.col("_c")), "left")
+    return both.withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_p", "_c", "_shift")
+
+
+def first_of_each(rows: DataFrame, most: dict[str, int] | int, order: list[Column | str], name: str = "place") -> DataFrame:
+    """The first rows of each category with their place: so many of all, or of those named.
+
+    Where the order starts with a number, its values are counted in cells for each category, and what lies behind the cell
+    in which the last wanted row falls goes before anything is sorted; so a sort has little more than the rows wanted.
+    """
+    from mixlens.sources.tables import stored
+
+    lead = F.col(order[0]) if isinstance(order[0], str) else order[0]
+    kept = stored(rows.withColumn("_lead", lead).filter(F.col("category").isin(*most)) if isinstance(most, dict) and most else rows.withColumn("_lead", lead), "quota-rows")
+    order = ["_lead", *order[1:]]
+    if isinstance(kept.schema["_lead"].dataType, NumericType):
+        number = F.col("_lead").cast("double")
+        ends = {r.category: r for r in kept.filter(number.isNotNull() & ~F.isnan(number)).groupBy("category").agg(F.min(number).alias("low"), F.max(number).alias("high")).collect()}
+        low, high = _of_category({c: r.low for c, r in ends.items()}, 0.0), _of_category({c: r.high for c, r in ends.items()}, 0.0)
+        share = F.when(high > low, (number - low) / F.when(high > low, high - low)).otherwise(0.0)
+        # null stands first and what is no number last, as Spark sorts them
+        cell = F.when(number.isNull(), -1).when(F.isnan(number), CELLS).otherwise(F.least(F.floor(share * CELLS).cast("int"), F.lit(CELLS - 1)))
+        wanted: dict[str, int] = {}
+        seen: dict[str, int] = {}
+        for r in kept.groupBy("category", cell.alias("cell")).agg(F.count("*").alias("n")).orderBy("category", "cell").collect():  # CELLS rows a category
+            need = most.get(r.category, 0) if isinstance(most, dict) else most
+            if seen.get(r.category, 0) < need:
+                wanted[r.category] = r.cell
+                seen[r.category] = seen.get(r.category, 0) + r.n
+        kept = kept.filter(cell <= _of_category(wanted, -2))
+    placed = with_place(kept, order, name).drop("_lead")
+    return placed.filter(F.col(name) <= (_of_category(most) if isinstance(most, dict) else most))
 
 
 def quota_sample(rows: DataFrame, targets: DataFrame, order: list[Column | str]) -> DataFrame:
     """The first rows of each category up to its target; other categories go. targets has a row for each category."""
-    listed = {r.category: r.target for r in targets.select("category", "target").collect()}
-    return with_place(rows, order).filter(F.col("place") <= _of_category(listed))
+    return first_of_each(rows, {r.category: r.target for r in targets.select("category", "target").collect()}, order)
 
 
 def round_slice(rows: DataFrame, order: list[Column | str], needed: int, cursor: int = 0, first: bool = True) -> DataFrame:
     """The next candidates of each category: a quarter more than needed in the first round, exact afterwards."""
     take = int(needed * 1.25) if first else needed
-    placed = with_place(rows, order)
-    return placed.filter((F.col("place") > cursor) & (F.col("place") <= cursor + take))
+    return first_of_each(rows, cursor + take, order).filter(F.col("place") > cursor)
 
 
 def between_places(placed: DataFrame, low: dict[str, int], high: dict[str, int]) -> DataFrame:
-    """Rows with a place above low and up to high of their category."""
-    return placed.filter((F.col("place") > _of_category(low)) & (F.col("place") <= _of_category(high)))
+    """Rows with a place above low and up to high of their category; the bounds reach the scan of a stored table."""
+    wanted = F.lit(False)
+    for name, upto in high.items():
+        wanted = wanted | ((F.col("category") == name) & (F.col("place") > low.get(name, 0)) & (F.col("place") <= upto))
+    return placed.filter(wanted)
 
 
 def sample_rows(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
