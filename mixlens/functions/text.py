@@ -77,6 +77,13 @@ def is_json(text: Column) -> Column:
     return text.rlike(r"\{[\s\S]*\}|\[[\s\S]*\]") | body.rlike(_JSON_SCALAR)
 
 
+def parses_as_json(text: Column) -> Column:
+    """Whether json.loads takes the text, or what stands in its first fence. An object that names a key twice does not pass."""
+    trimmed = strip(text)
+    body = F.when(trimmed.rlike(_FENCE), strip(F.regexp_extract(trimmed, _FENCE, 1))).otherwise(trimmed)
+    return F.try_parse_json(body).isNotNull() | body.rlike(_JSON_SCALAR)
+
+
 def without_quotes(text: Column) -> Column:
     """Drop one pair of equal outer quotes, then strip."""
     trimmed = strip(text)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixlens.functions import vocabulary as V
+from mixlens.functions.numbers import rounded
 
 LEVELS = (0, 1, 2, 3)
 
@@ -20,7 +21,7 @@ def level_scores(rows: DataFrame) -> DataFrame:
 
 
 def drop_rate(base: Column, score: Column) -> Column:
-    return F.when(base == 0, 0.0).otherwise(F.round((base - score) / F.when(base != 0, base) * 100, 2))
+    return F.when(base == 0, 0.0).otherwise(rounded((base - score) / F.when(base != 0, base) * 100, 2))
 
 
 def pdr_details(levels: DataFrame, baseline: int = 0, metric: str | None = None) -> DataFrame:
@@ -46,7 +47,7 @@ def robustness(levels: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def worst_and_mean(levels: DataFrame, metric: str = "combined_score") -> DataFrame:
-    return levels.groupBy("model").agg(F.round(F.min(metric), 4).alias("worst_level_robustness"), F.round(F.avg(metric), 4).alias("mean_level_score"))
+    return levels.groupBy("model").agg(rounded(F.min(metric), 4).alias("worst_level_robustness"), rounded(F.avg(metric), 4).alias("mean_level_score"))
 
 
 def first_seen(rows: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def compliance_by_level(rows: DataFrame, types: tuple[str, ...] = V.CONSTRAINT_T
 
 def compliance_overall(by_level: DataFrame) -> DataFrame:
     """The unweighted mean over levels, to 4 places."""
-    return by_level.groupBy("model", "type").agg(F.round(F.avg("compliance"), 4).alias("compliance"))
+    return by_level.groupBy("model", "type").agg(rounded(F.avg("compliance"), 4).alias("compliance"))
 
 
 def _profile(rows: DataFrame, column: str, domain: tuple, value: str) -> DataFrame:

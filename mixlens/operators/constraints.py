@@ -123,31 +123,46 @@ def check_length(response: Column, least: Column, most: Column) -> Column:
     return T.word_count(response).between(least, most)
 
 
-def check_format(response: Column, format_id: Column, other_regex: Column | None = None) -> Column:
-    """Lists are looked for at the start of each line; an unknown format is checked by its regex if it has one."""
-    line_start = {k: "(?mdU)" + V.FORMATS[k][1] for k in ("numbered_list", "bullet_list")}
-    found = F.coalesce(F.rlike(response, F.concat(F.lit("(?dU)"), other_regex)), F.lit(False)) if other_regex is not None else F.lit(False)
-    found = F.when(format_id == "table", response.rlike("(?dU)" + V.FORMATS["table"][1])).otherwise(found)
-    for name, pattern in line_start.items():
-        found = F.when(format_id == name, response.rlike(pattern)).otherwise(found)
-    return F.when(format_id == "json", T.is_json(response)).otherwise(found)
+def check_format(response: Column, format_id: Column, own_regex: Column | None = None) -> Column:
+    """By the constraint's own pattern where it has one, else by the format's; an unknown format without a pattern fails.
+
+    Lists are looked for at the start of each line; a JSON text passes whatever its own pattern.
+    """
+    flags = {"json": "(?sdU)", "numbered_list": "(?mdU)", "bullet_list": "(?mdU)"}
+    given = F.coalesce(own_regex, F.lit("")) if own_regex is not None else F.lit("")
+    searched = lambda kind: F.rlike(response, F.concat(F.lit(flags.get(kind, "(?dU)")), given))
+    passed = F.when(given != "", searched("")).otherwise(False)
+    for name, (_, pattern) in V.FORMATS.items():
+        # the format's own pattern stays a literal, which is compiled once
+        fixed = T.is_json(response) if name == "json" else response.rlike(flags.get(name, "(?dU)") + pattern)
+        if own_regex is not None:
+            by_own = searched(name) | T.parses_as_json(response) if name == "json" else searched(name)
+            fixed = F.when(given.isin("", pattern), fixed).otherwise(by_own)
+        passed = F.when(format_id == name, fixed).otherwise(passed)
+    return passed
 
 
 def check(response: Column, constraint: Column) -> Column:
     """type, passed and details of one constraint; an unknown type fails."""
     kind = constraint["constraint_type"]
-    n = T.word_count(response)
     terms = F.coalesce(constraint["keywords"], F.array().cast("array<string>"))
-    worded = check_keyword(response, constraint["keywords"], constraint["verification_regex"])
-    known = {
-        "keyword": (worded, F.when(worded, "All keywords found").otherwise(F.concat(F.lit("Missing: "), F.array_join(F.array_except(terms, keywords_found(response, terms)), ", ")))),
-        "length": (n.between(constraint["min_words"], constraint["max_words"]), F.format_string("%d words (range %d-%d)", n, constraint["min_words"], constraint["max_words"])),
-        "format": (check_format(response, constraint["format_id"], constraint["verification_regex"]), F.concat(F.lit("Format '"), constraint["format_id"], F.lit("': "), F.when(check_format(response, constraint["format_id"], constraint["verification_regex"]), "pass").otherwise("fail"))),
-    }
-    passed, details = F.lit(False), F.concat(F.lit("Unknown type: "), kind)
-    for name, (ok, said) in known.items():
-        passed, details = F.when(kind == name, ok).otherwise(passed), F.when(kind == name, said).otherwise(details)
-    return F.struct(kind.alias("type"), F.coalesce(passed, F.lit(False)).alias("passed"), details.alias("details"))
+    of = lambda name, value: F.when(kind == name, value)
+
+    def told(n_words: Column) -> Column:
+        passed = of("keyword", check_keyword(response, constraint["keywords"], constraint["verification_regex"]))
+        passed = F.coalesce(passed, of("length", n_words.between(constraint["min_words"], constraint["max_words"])))
+        passed = F.coalesce(passed, of("format", check_format(response, constraint["format_id"], constraint["verification_regex"])), F.lit(False))
+        return T.let(passed, lambda ok: F.struct(kind.alias("type"), ok.alias("passed"), details(n_words, ok).alias("details")))
+
+    def details(n_words: Column, ok: Column) -> Column:
+        low = F.lower(response)
+        missing = F.transform(F.filter(terms, lambda w: ~F.contains(low, F.lower(w))), lambda w: F.concat(F.lit("'"), w, F.lit("'")))
+        worded = F.when(ok, "All keywords found").otherwise(F.concat(F.lit("Missing: ["), F.array_join(missing, ", "), F.lit("]")))
+        sized = F.format_string("%d words (range %d-%d)", n_words, constraint["min_words"], constraint["max_words"])
+        shaped = F.concat(F.lit("Format '"), constraint["format_id"], F.lit("': "), F.when(ok, "pass").otherwise("fail"))
+        return F.coalesce(of("keyword", worded), of("length", sized), of("format", shaped), F.concat(F.lit("Unknown type: "), kind))
+
+    return T.let(of("length", T.word_count(response)), told)
 
 
 def check_all(response: Column, constraints: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mixlens.functions.numbers import rounded
 from mixlens.functions.rouge import rouge_l
 from mixlens.operators import constraints as C
 from mixlens.operators.providers import Embedder, embedding_f1
@@ -57,8 +58,8 @@ def evaluate(records: DataFrame, dataset: DataFrame, done: DataFrame | None = No
     bert = F.lit(0.0) if bert_f1 is None else bert_f1
     cpr, semantic = C.pass_rate(F.col("constraint_results")), (F.col("_r") + bert) / 2
     return scored.select(
-        *KEY, "category", F.round(cpr, 4).alias("cpr"), "constraint_results", F.round("_r", 4).alias("rouge_l"), F.round(bert, 4).alias("bert_f1"),
-        F.round(semantic, 4).alias("semantic"), F.round(composite(cpr, semantic), 4).alias("composite"),
+        *KEY, "category", rounded(cpr, 4).alias("cpr"), "constraint_results", rounded("_r", 4).alias("rouge_l"), rounded(bert, 4).alias("bert_f1"),
+        rounded(semantic, 4).alias("semantic"), rounded(composite(cpr, semantic), 4).alias("composite"),
     )
 
 

@@ -18,11 +18,16 @@ LANGUAGE_CATEGORIES = {
 BY_LANGUAGE = {"en": "logical_reasoning", "fr": "mathematical_reasoning", "de": "creative_writing", "es": "information_extraction"}
 
 
-def rounded(expression: str, places: int) -> str:
-    """SQL that rounds half up on the decimal value, as Spark does."""
+def half_up(expression: str, places: int) -> str:
+    """SQL that rounds half up on the decimal value, as Spark does: for the figures that the queries start from."""
     return f"round(({expression})::DECIMAL(28, 12), {places})::DOUBLE"
 
 
+def rounded(expression: str, places: int) -> str:
+    """SQL that rounds by the exact binary value, ties to the even digit."""
+    return f"printf('%.{places}f', ({expression})::DOUBLE)::DOUBLE"
+
+
 def numeric_rows(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation rows from events."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -34,9 +39,9 @@ def numeric_rows(spark: SparkSession, d: str) -> DataFrame:
 
 NUMERIC = f"""n0 AS (
   SELECT 'm' || (user_id % 7) AS model, (event_id % 4)::INT AS level, event_type AS category, event_id AS ord,
-    json_extract_string(props, '$.k')::INT AS k, {rounded("abs(value) - floor(abs(value))", 2)} AS semantic FROM events
-), n1 AS (SELECT *, {rounded("(k % 4) / 3.0::DOUBLE", 4)} AS cpr FROM n0
-), n AS (SELECT *, {rounded("0.6::DOUBLE * cpr + 0.4::DOUBLE * semantic", 4)} AS composite FROM n1
+    json_extract_string(props, '$.k')::INT AS k, {half_up("abs(value) - floor(abs(value))", 2)} AS semantic FROM events
+), n1 AS (SELECT *, {half_up("(k % 4) / 3.0::DOUBLE", 4)} AS cpr FROM n0
+), n AS (SELECT *, {half_up("0.6::DOUBLE * cpr + 0.4::DOUBLE * semantic", 4)} AS composite FROM n1
 ), lv AS (SELECT model, level, avg(cpr) AS constraint_pass_rate, avg(semantic) AS semantic_score, avg(composite) AS combined_score FROM n GROUP BY ALL
 ), x AS (
   SELECT model, level, ord, 'keyword' AS type, k % 2 = 0 AS passed FROM n UNION ALL SELECT model, level, ord, 'length', k % 3 <> 0 FROM n
@@ -63,8 +68,8 @@ def scale_rows(spark: SparkSession, d: str) -> DataFrame:
 
 SCALE = f"""n0 AS (
   SELECT l_returnflag || l_linestatus AS model, (l_linenumber % 4)::INT AS level, l_orderkey * 8 + l_linenumber AS ord,
-    {rounded("l_discount * 10", 4)} AS cpr, {rounded("l_tax * 10", 4)} AS semantic FROM lineitem
-), n AS (SELECT *, {rounded("0.6::DOUBLE * cpr + 0.4::DOUBLE * semantic", 4)} AS composite FROM n0
+    {half_up("l_discount * 10", 4)} AS cpr, {half_up("l_tax * 10", 4)} AS semantic FROM lineitem
+), n AS (SELECT *, {half_up("0.6::DOUBLE * cpr + 0.4::DOUBLE * semantic", 4)} AS composite FROM n0
 ), lv AS (SELECT model, level, avg(composite) AS combined_score FROM n GROUP BY ALL
 ), first AS (SELECT model, min(ord) AS first_ord FROM n GROUP BY model)"""
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixlens.functions import numbers as N
 from mixlens.functions import text as T
 from mixlens.functions import vocabulary as V
 from mixlens.functions.rouge import rouge_l
@@ -33,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r6(c: str | Column) -> Column:
-    return F.round(c, 6)
+    return N.rounded(c, 6)
 
 
 s6 = lambda e: P.rounded(e, 6)
@@ -103,7 +104,7 @@ def cpr_by_type_overall(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {P.NUMERIC}, c AS (SELECT model, level, type, avg(passed::INT) AS v FROM x GROUP BY ALL) SELECT model, type, {P.rounded('avg(v) * 100', 2)} AS percent FROM c GROUP BY ALL")
 def constraint_breakdown(spark: SparkSession, d: str) -> DataFrame:
     by_type = A.compliance_by_level(P.numeric_rows(spark, d)).groupBy("model", "type").agg(F.avg("compliance").alias("v"))
-    return by_type.select("model", "type", F.round(F.col("v") * 100, 2).alias("percent"))
+    return by_type.select("model", "type", N.rounded(F.col("v") * 100, 2).alias("percent"))
 
 
 @query(f"""WITH {P.NUMERIC}, w AS (SELECT model, {s4("min(combined_score)")} AS worst_level_robustness, {s4("avg(combined_score)")} AS mean_level_score FROM lv GROUP BY model),
@@ -113,7 +114,7 @@ SELECT rank, model, worst_level_robustness, mean_level_score, string_agg(level |
 def robustness_chart(spark: SparkSession, d: str) -> DataFrame:
     rows = P.numeric_rows(spark, d)
     found = A.robustness_chart(A.wlr_ranking(rows), A.pdr_by_level(A.pdr_details(A.level_scores(rows))))
-    told = F.transform("drops", lambda x: F.concat(x["level"].cast("string"), F.lit(":"), F.format_string("%.4f", F.round(x["pdr"], 4))))
+    told = F.transform("drops", lambda x: F.concat(x["level"].cast("string"), F.lit(":"), F.format_string("%.4f", N.rounded(x["pdr"], 4))))
     return found.withColumn("drops", F.array_join(told, ","))
 
 
@@ -141,7 +142,7 @@ def skill_profile_level(spark: SparkSession, d: str) -> DataFrame:
 SELECT model, '{",".join(_EVENT_TYPES)}' AS labels, string_agg(score, ',' ORDER BY category) AS scores FROM s GROUP BY model""")
 def radar_arrays(spark: SparkSession, d: str) -> DataFrame:
     found = A.radar(A.category_profile(P.numeric_rows(spark, d), _EVENT_TYPES), _EVENT_TYPES)
-    shown = F.transform("values", lambda v: F.format_string("%.4f", F.round(v, 4)))
+    shown = F.transform("values", lambda v: F.format_string("%.4f", N.rounded(v, 4)))
     return found.select("model", F.array_join("labels", ",").alias("labels"), F.array_join(shown, ",").alias("scores"))
 
 
@@ -153,12 +154,12 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {P.NUMERIC} SELECT model, " + ", ".join(f"{s4(f'coalesce(max(constraint_pass_rate) FILTER (level = {k}), 0) * 100')} AS level_{k}" for k in range(4)) + " FROM lv GROUP BY model")
 def heatmap_pivot(spark: SparkSession, d: str) -> DataFrame:
     found = A.heatmap(A.level_scores(P.numeric_rows(spark, d)))
-    return found.select("model", *(F.round(f"level_{k}", 4).alias(f"level_{k}") for k in range(4)))
+    return found.select("model", *(N.rounded(f"level_{k}", 4).alias(f"level_{k}") for k in range(4)))
 
 
 @query(f"WITH {P.NUMERIC} SELECT model, level, {s4('combined_score * 100')} AS score FROM lv")
 def trend_series(spark: SparkSession, d: str) -> DataFrame:
-    return A.trend(A.level_scores(P.numeric_rows(spark, d))).withColumn("score", F.round("score", 4))
+    return A.trend(A.level_scores(P.numeric_rows(spark, d))).withColumn("score", N.rounded("score", 4))
 
 
 # ---------------------------------------------------------------- checking and scoring
@@ -203,6 +204,18 @@ def format_check(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", kind.alias("format_id"), C.check_format(F.col("t"), kind).alias("passed"))
 
 
+@query(f"""WITH {P.TEXT}, f AS (SELECT doc_id, {P.SQL_FORMATTED} AS t, (doc_id // 5) % 5 AS k FROM e)
+SELECT doc_id, CASE k WHEN 0 THEN 'json' WHEN 1 THEN 'numbered_list' WHEN 2 THEN 'bullet_list' WHEN 3 THEN 'table' ELSE 'other' END AS format_id,
+  CASE k WHEN 0 THEN regexp_matches(t, '(?s)de.*la') OR json_valid(t) WHEN 1 THEN regexp_matches(t, '(?m)^- ') WHEN 2 THEN regexp_matches(t, '(?m)^[{P.SQL_SPACE}]*1\\.')
+    WHEN 3 THEN regexp_matches(t, '\\|[^\\n]+\\|') ELSE regexp_matches(t, '\\p{{Nd}}+\\.') END AS passed FROM f""")
+def format_regex_check(spark: SparkSession, d: str) -> DataFrame:
+    """Format constraints with a pattern of their own, which decides in place of the format's; a table without one."""
+    rows = P.text_rows(spark, d).withColumn("t", P.formatted_response(F.col("response"), F.col("doc_id")))
+    kinds = {"json": "de.*la", "numbered_list": "^- ", "bullet_list": r"^\s*1\.", "table": "", "other": r"\d+\."}
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.expr("doc_id div 5") % 5 + 1).cast("int"))
+    return rows.select("doc_id", pick(kinds).alias("format_id"), C.check_format(F.col("t"), pick(kinds), pick(kinds.values())).alias("passed"))
+
+
 _BASIC = f"{P.TEXT}, t0 AS (SELECT *, {_TERMS} AS terms, {P.sql_word_count('gold')} AS g, {P.sql_word_count('response')} AS n_words FROM e)"
 _PASSED = f"(len(list_filter(terms, lambda w: contains(lower(response), w))) = len(terms))::INT + (n_words BETWEEN {_sql_range('g')[0]} AND {_sql_range('g')[1]})::INT + regexp_matches(response, '\\|[^\\n]+\\|')::INT"
 
@@ -219,7 +232,20 @@ def _checked(rows: DataFrame) -> DataFrame:
 
 @query(f"WITH {_BASIC} SELECT doc_id, {s4(f'({_PASSED}) / 3.0::DOUBLE')} AS cpr FROM t0")
 def cpr_per_response(spark: SparkSession, d: str) -> DataFrame:
-    return _checked(P.text_rows(spark, d)).select("doc_id", F.round(C.pass_rate(F.col("constraint_results")), 4).alias("cpr"))
+    return _checked(P.text_rows(spark, d)).select("doc_id", N.rounded(C.pass_rate(F.col("constraint_results")), 4).alias("cpr"))
+
+
+_HELD = "lambda w: contains(lower(response), w)"
+
+
+@query(f"""WITH {_BASIC}, b AS (SELECT doc_id, response, terms, n_words, {_sql_range("g")[0]} AS least, {_sql_range("g")[1]} AS most FROM t0)
+SELECT doc_id, CASE WHEN len(list_filter(terms, {_HELD})) = len(terms) THEN 'All keywords found'
+    ELSE 'Missing: [' || array_to_string(list_transform(list_filter(terms, lambda w: NOT contains(lower(response), w)), lambda w: chr(39) || w || chr(39)), ', ') || ']' END AS keyword,
+  n_words || ' words (range ' || least || '-' || most || ')' AS length, 'Format ''table'': ' || CASE WHEN regexp_matches(response, '\\|[^\\n]+\\|') THEN 'pass' ELSE 'fail' END AS format FROM b""")
+def constraint_details(spark: SparkSession, d: str) -> DataFrame:
+    """What each check says of a response."""
+    rows = _checked(P.text_rows(spark, d))
+    return rows.select("doc_id", *(F.col("constraint_results")[k]["details"].alias(c) for k, c in enumerate(V.CONSTRAINT_TYPES)))
 
 
 @query(f"""WITH {P.TEXT}, j AS (SELECT doc_id, model, level, coalesce(gold, '') AS gold, response FROM e)
@@ -256,14 +282,14 @@ def keyword_regex_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rouge_l_full(spark: SparkSession, d: str) -> DataFrame:
-    return P.text_rows(spark, d).select("doc_id", F.round(rouge_l(F.col("gold"), F.col("response")), 4).alias("rouge_l"))
+    return P.text_rows(spark, d).select("doc_id", N.rounded(rouge_l(F.col("gold"), F.col("response")), 4).alias("rouge_l"))
 
 
 @query()
 def composite_score(spark: SparkSession, d: str) -> DataFrame:
     rows = _checked(P.text_rows(spark, d)).withColumn("_r", rouge_l(F.col("gold"), F.col("response")))
     cpr, semantic = C.pass_rate(F.col("constraint_results")), F.col("_r") / 2
-    return rows.select("doc_id", F.round(cpr, 4).alias("cpr"), F.round("_r", 4).alias("rouge_l"), F.round(E.composite(cpr, semantic), 4).alias("composite"))
+    return rows.select("doc_id", N.rounded(cpr, 4).alias("cpr"), N.rounded("_r", 4).alias("rouge_l"), N.rounded(E.composite(cpr, semantic), 4).alias("composite"))
 
 
 @query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), w AS (SELECT a.vec_id, a.e AS a, b.e AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
@@ -273,7 +299,7 @@ def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
     both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
-    return both.select("vec_id", F.round(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")), 4).alias("cosine"))
+    return both.select("vec_id", N.rounded(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")), 4).alias("cosine"))
 
 
 @query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), w AS (SELECT a.vec_id, a.e AS a, b.e AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
@@ -282,7 +308,7 @@ def greedy_f1_single(spark: SparkSession, d: str) -> DataFrame:
     """Greedy match of texts of one token each, with the table's embeddings: their cosine, if positive."""
     v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
-    return providers.vectors_f1(both, "a", "b").select("vec_id", F.round("f1", 4).alias("f1"))
+    return providers.vectors_f1(both, "a", "b").select("vec_id", N.rounded("f1", 4).alias("f1"))
 
 
 @query()
@@ -290,7 +316,7 @@ def greedy_f1_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """Greedy token match of benchmark texts with hash embeddings against the next item."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("reference"))
     pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("reference").alias("response")), "item_id")
-    return providers.embedding_f1(pairs, providers.HashEmbedder, "reference", "response").select("item_id", F.round("bert_f1", 4).alias("bert_f1"))
+    return providers.embedding_f1(pairs, providers.HashEmbedder, "reference", "response").select("item_id", N.rounded("bert_f1", 4).alias("bert_f1"))
 
 
 # ---------------------------------------------------------------- inference
@@ -608,7 +634,7 @@ def id_contiguity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {P.LEVELS_SQL} SELECT count(*) FILTER (l0 = l1) AS same, count(*) AS n, {s4('count(*) FILTER (l0 = l1) * 100.0::DOUBLE / count(*)')} AS percent FROM p")
 def identity_rate(spark: SparkSession, d: str) -> DataFrame:
-    return validation.identity_rate(P.level_rows(spark, d), V.LEVELS[0], V.LEVELS[1]).withColumn("percent", F.round("percent", 4))
+    return validation.identity_rate(P.level_rows(spark, d), V.LEVELS[0], V.LEVELS[1]).withColumn("percent", N.rounded("percent", 4))
 
 
 def _sql_listed(text: str, words: list[str]) -> str:
@@ -629,7 +655,7 @@ def marker_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {P.LEVELS_SQL} SELECT " + ", ".join(f"{s4(f'avg({P.sql_word_count(short)})')} AS {level}" for level, short in zip(V.LEVELS, ("l0", "l1", "l2", "l3"), strict=True)) + " FROM p")
 def avg_words_by_level(spark: SparkSession, d: str) -> DataFrame:
     found = validation.average_words(P.level_rows(spark, d))
-    return found.select(*(F.round(c, 4).alias(c) for c in V.LEVELS))
+    return found.select(*(N.rounded(c, 4).alias(c) for c in V.LEVELS))
 
 
 @query("SELECT type, count(*) AS n FROM (SELECT unnest(['keyword', 'length', 'format']) AS type FROM documents) GROUP BY type")
