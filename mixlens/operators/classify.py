@@ -62,3 +62,13 @@ def targets(total: int, categories: Categories | None = None) -> dict[str, int]:
 
 def targets_table(spark: SparkSession, total: int, categories: Categories | None = None) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in targets(total, categories).items()], "category string, target long")
+
+
+def targets_of(totals: DataFrame, total: str, categories: Categories | None = None) -> DataFrame:
+    """Rows of totals with category and target: the quotas of each row's number, as targets() has them."""
+    listed = categories or V.CATEGORIES
+    base = F.array(*(F.struct(F.lit(name).alias("category"), F.greatest(F.lit(1), F.floor(F.col(total) * F.lit(float(weight)))).cast("long").alias("n")) for name, (weight, _) in listed.items()))
+    largest = lambda b: F.array_position(F.transform(b, lambda x: x["n"]), F.array_max(F.transform(b, lambda x: x["n"])))  # noqa: E731  the first of equal ones
+    given = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    found = T.let(base, lambda b: F.transform(b, lambda x, k: F.struct(x["category"].alias("category"), (x["n"] + F.when(k + 1 == largest(b), F.col(total) - given(b)).otherwise(0)).alias("target"))))
+    return totals.withColumn("_t", F.explode(found)).select(*totals.columns, "_t.category", "_t.target")

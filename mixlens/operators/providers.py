@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import time
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -17,6 +18,9 @@ from mixlens.functions import vocabulary as V
 from mixlens.operators.calls import CONCURRENCY, INFERENCE, WRITING, Lane, Pace, Waits, error_kind, jitter_of, lanes
 from mixlens.shipping import ship
 
+#: Texts that an embedder gets at once, and numbers that a partition keeps of references.
+EMBED_BATCH = 64
+EMBED_NUMBERS = 20_000_000
 RESULT = "response string, success boolean, tokens_used int, latency_ms long, error string, error_type string"
 
 
@@ -26,8 +30,8 @@ class Generator(Protocol):
 
 
 class Embedder(Protocol):
-    def embed(self, text: str) -> np.ndarray:
-        """One row of unit length for each token, special tokens included."""
+    def embed_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text a row of unit length for each token, special tokens included."""
 
 
 class Rewriter(Protocol):
@@ -58,6 +62,51 @@ class HashEmbedder:
         rows = np.stack([np.frombuffer(hashlib.sha256(t.encode()).digest()[: self.size], np.uint8).astype(float) - 127.5 for t in tokens])
         return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
+    def embed_batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.embed(t) for t in texts]
+
+
+class Embeddings:
+    """Vectors of texts from an embedder that is asked for batches of texts of like length.
+
+    Those of references stay for later frames, as a sample's answer comes with every model and level; the ones that were
+    asked for the longest ago go when there are more numbers than bound.
+    """
+
+    def __init__(self, embedder: Embedder, batch: int = EMBED_BATCH, bound: int = EMBED_NUMBERS) -> None:
+        self.embedder, self.batch, self.bound = embedder, batch, bound
+        self.known: OrderedDict[str, np.ndarray] = OrderedDict()
+        self.numbers = 0
+
+    def scores(self, references: list[str], others: list[str]) -> list[float]:
+        """The greedy match of each pair. The others' vectors live as long as their batch."""
+        wanted = dict.fromkeys(references)
+        for text, found in self._embedded([t for t in wanted if t not in self.known]):
+            self.known[text] = found
+            self.numbers += found.size
+        pairs: dict[str, list[int]] = {}
+        for k, t in enumerate(others):
+            pairs.setdefault(t, []).append(k)
+        out = [0.0] * len(others)
+        for text, found in self._embedded([t for t in pairs if t not in self.known]):
+            for k in pairs[text]:
+                out[k] = greedy_f1(self.known[references[k]], found)
+        for text in pairs.keys() & self.known.keys():
+            for k in pairs[text]:
+                out[k] = greedy_f1(self.known[references[k]], self.known[text])
+        for text in wanted:
+            self.known.move_to_end(text)
+        while self.numbers > self.bound and self.known:
+            self.numbers -= self.known.popitem(last=False)[1].size
+        return out
+
+    def _embedded(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+        """Each text with its vectors; a batch has texts of like length, so a model fills up little."""
+        texts = sorted(texts, key=len)
+        for low in range(0, len(texts), self.batch):
+            part = texts[low : low + self.batch]
+            yield from zip(part, self.embedder.embed_batch(part), strict=True)
+
 
 def greedy_f1(reference: np.ndarray, candidate: np.ndarray) -> float:
     """F1 of best matches both ways; the first and last token do not count unless a text has no others."""
@@ -132,15 +181,14 @@ def infer_into(prompts: DataFrame, make: Callable[..., Generator], path: str, ke
     return total
 
 
-def embedding_f1(pairs: DataFrame, make: Callable[[], Embedder], reference: str, response: str, name: str = "bert_f1") -> DataFrame:
-    """Add the greedy match F1 of two text columns; each distinct reference of a batch is embedded once."""
+def embedding_f1(pairs: DataFrame, make: Callable[[], Embedder], reference: str, response: str, name: str = "bert_f1", batch: int = EMBED_BATCH) -> DataFrame:
+    """Add the greedy match F1 of two text columns, null being empty; texts go to the embedder in batches by length."""
     ship(pairs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        embedder = make()
+        embeddings = Embeddings(make(), batch)
         for frame in frames:
-            known = {t: embedder.embed(t) for t in frame[reference].unique()}
-            yield frame.assign(**{name: [greedy_f1(known[a], embedder.embed(b)) for a, b in zip(frame[reference], frame[response], strict=True)]})
+            yield frame.assign(**{name: embeddings.scores(frame[reference].fillna("").tolist(), frame[response].fillna("").tolist())})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + f", {name} double"
     return pairs.mapInPandas(run, schema)

@@ -5,6 +5,7 @@ Draws are columns given by the caller or uniform numbers of the key, never a run
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -14,9 +15,56 @@ from mixlens.functions import text as T
 from mixlens.functions import vocabulary as V
 
 
+#: Characters that meet an ASCII letter when case is ignored, and these letters.
+_FOLDS = ("\u017f\u212a\u0130\u0131", "skii")
+_BETWEEN = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)"
+
+
 def lexicon_rewrite(text: Column, accepted: Sequence[Column | bool] | None = None, lexicon: Sequence[tuple[str, str]] | None = None) -> Column:
-    """Replace each accepted entry's word wherever it stands, in order: later entries see what earlier ones wrote."""
+    """Replace each accepted entry's word wherever it stands, in order: later entries see what earlier ones wrote.
+
+    Where every entry is one word for another, the text is cut into words once, and each word that an entry names goes
+    through the entries that it can meet, which are worked out beforehand. Other lexicons take a pass for each entry.
+    """
     lexicon = V.LEXICON if lexicon is None else lexicon
+    if not lexicon:
+        return text
+    if not all(re.fullmatch("[a-z0-9_]+", a) and re.fullmatch(r"\w+", b, re.ASCII) for a, b in lexicon):
+        return cascade(text, accepted, lexicon)
+    named = sorted({a for a, _ in lexicon})
+    if accepted is None or all(isinstance(x, bool) for x in accepted):
+        return _one_pass(text, lexicon, named, [True] * len(lexicon) if accepted is None else list(accepted))
+    taken = F.array(*(F.lit(x) if isinstance(x, bool) else x for x in accepted))
+    return T.let(taken, lambda t: _one_pass(text, lexicon, named, [F.element_at(t, k + 1) for k in range(len(lexicon))]))
+
+
+def _one_pass(text: Column, lexicon: Sequence[tuple[str, str]], named: list[str], taken: list[Column | bool]) -> Column:
+    def outcome(word: str, low: int, otherwise: Column) -> Column:
+        """What becomes of a word from entry low on: that word itself, or what the next entry for it makes of it."""
+        at = next((k for k in range(low, len(lexicon)) if lexicon[k][0] == word.lower()), None)
+        if at is None:
+            return otherwise
+        after = outcome(lexicon[at][1], at + 1, F.lit(lexicon[at][1]))
+        if isinstance(taken[at], bool):
+            return after if taken[at] else outcome(word, at + 1, otherwise)
+        return F.when(taken[at], after).otherwise(outcome(word, at + 1, otherwise))
+
+    def replaced(token: Column) -> Column:
+        key = F.lower(F.translate(token, *_FOLDS))
+
+        def chosen(k: Column) -> Column:
+            found = token
+            for word in named:
+                found = F.when(k == word, outcome(word, 0, token)).otherwise(found)
+            return found
+
+        return F.when(key.isin(*named), T.let(key, chosen)).otherwise(token)
+
+    return F.array_join(F.transform(F.split(text, _BETWEEN), replaced), "")
+
+
+def cascade(text: Column, accepted: Sequence[Column | bool] | None, lexicon: Sequence[tuple[str, str]]) -> Column:
+    """The same for any lexicon, whose words may be patterns: a pass over the text for each entry."""
     for k, (formal, colloquial) in enumerate(lexicon):
         pattern = F.lit(rf"(?iuU)\b{formal}\b")
         take = True if accepted is None else accepted[k]

@@ -161,10 +161,11 @@ def select_models(models: DataFrame, include: Sequence[str] | None = None, exclu
         found = found.unionByName(rows.select(name.alias("name"), model.alias("model_id")), allowMissingColumns=True)
     for tokens, keep in ((include, True), (exclude, False)):
         if tokens:
-            known = {x for r in found.select("name", "model_id").collect() for x in r}
+            hit = F.col("name").isin(*tokens) | F.col("model_id").isin(*tokens)
+            met = F.explode(F.array_intersect(F.array("name", "model_id"), F.array(*map(F.lit, tokens))))
+            known = {r.token for r in found.filter(hit).select(met.alias("token")).distinct().collect()}  # no more than tokens
             if missing := [t for t in tokens if t not in known]:
                 raise ValueError(f"no model matches {missing}")
-            hit = F.col("name").isin(*tokens) | F.col("model_id").isin(*tokens)
             found = found.filter(hit if keep else ~hit)
     if found.isEmpty():
         raise ValueError("no models are left")

@@ -358,10 +358,24 @@ def models_x_prompts(spark: SparkSession, d: str) -> DataFrame:
     return found.select("model_name", "model_id", "item_id", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("SELECT * FROM (VALUES ('large', 'org/large-2'), ('extra', 'org/extra-9')) t(name, model_id)")
+_REGISTRY = "SELECT name, model_id FROM (SELECT s_name AS name, 'org/' || s_nationkey || '-' || s_suppkey AS model_id FROM supplier UNION ALL SELECT * FROM (VALUES ('extra', 'org/extra-9'), ('other', 'other')) t(name, model_id))"
+
+
+@query(f"SELECT name, model_id FROM ({_REGISTRY}) WHERE name NOT IN ('Supplier#000000002', 'extra') AND model_id <> 'other'")
 def model_selection(spark: SparkSession, d: str) -> DataFrame:
-    models = spark.createDataFrame(_MODELS, "name string, model_id string")
-    return selection.select_models(models, include=["large", "org/extra-9", "local"], exclude=["local-3"], add=["extra=org/extra-9", "other"])
+    """Suppliers as a registry, with two models added and three excluded by name or id."""
+    models = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("org/"), F.col("s_nationkey").cast("string"), F.lit("-"), F.col("s_suppkey").cast("string")).alias("model_id"))
+    return selection.select_models(models, exclude=["Supplier#000000002", "org/extra-9", "other"], add=[" extra=org/extra-9", "other"])
+
+
+@query(f"""WITH m AS ({_REGISTRY}), chosen AS (SELECT * FROM m WHERE name IN ('Supplier#000000001', 'Supplier#000000003', 'extra') OR model_id = 'other')
+SELECT c.name, c.model_id, e.event_id % 10 AS kind, count(*) AS n FROM chosen c CROSS JOIN events e GROUP BY ALL""")
+def included_models(spark: SparkSession, d: str) -> DataFrame:
+    """Models kept by name or id, each with every event as a prompt, counted."""
+    models = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("org/"), F.col("s_nationkey").cast("string"), F.lit("-"), F.col("s_suppkey").cast("string")).alias("model_id"))
+    chosen = selection.select_models(models, include=["Supplier#000000001", "Supplier#000000003", "org/extra-9", "other"], add=["extra=org/extra-9", "other"])
+    prompts = table(spark, d, "events").select((F.col("event_id") % 10).alias("kind"))
+    return E.model_prompts(chosen, prompts).groupBy(F.col("model_name").alias("name"), "model_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -412,9 +426,15 @@ def classify_heuristics(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", classify.by_pattern(text).alias("category"))
 
 
-@query("SELECT * FROM (VALUES ('logical_reasoning', 188::BIGINT), ('mathematical_reasoning', 150), ('creative_writing', 150), ('information_extraction', 150), ('coding', 112)) t(category, target)")
+_WEIGHTS = "(VALUES " + ", ".join(f"({k}, '{name}', {weight}::DOUBLE)" for k, (name, (weight, _)) in enumerate(V.CATEGORIES.items())) + ") w(place, category, weight)"
+
+
+@query(f"""WITH n AS (SELECT source, count(*) AS total FROM documents GROUP BY source), f AS (SELECT source, total, place, category, greatest(1, trunc(total * weight))::BIGINT AS base FROM n, {_WEIGHTS}),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY base DESC, place) AS nth, sum(base) OVER (PARTITION BY source) AS given FROM f)
+SELECT source, category, (base + CASE WHEN nth = 1 THEN total - given ELSE 0 END)::BIGINT AS target FROM o""")
 def category_targets(spark: SparkSession, d: str) -> DataFrame:
-    return classify.targets_table(spark, 750)
+    """The quotas of a data set as large as each source."""
+    return classify.targets_of(table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("total")), "total").select("source", "category", "target")
 
 
 _QUOTA = classify.targets(200, P.LANGUAGE_CATEGORIES)
@@ -445,7 +465,12 @@ def category_distribution(spark: SparkSession, d: str) -> DataFrame:
     return validation.category_distribution(_classified(spark, d), classify.targets_table(spark, 200, P.LANGUAGE_CATEGORIES))
 
 
-@query(f"SELECT doc_id, array_to_string({P.sql_candidates('text')}, ',') AS candidates FROM documents")
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS i FROM documents),
+f AS (SELECT doc_id, w, min(i) AS i FROM w WHERE regexp_full_match(w, '[a-z]{{4,}}') AND w NOT IN ({", ".join(f"'{x}'" for x in V.STOP_WORDS)}) GROUP BY doc_id, w),
+l AS (SELECT doc_id, string_agg(w, ',' ORDER BY i) AS candidates FROM f GROUP BY doc_id) SELECT doc_id, coalesce(candidates, '') AS candidates FROM documents LEFT JOIN l USING (doc_id)""")
 def keyword_candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(C.keyword_candidates(F.col("text")), ",").alias("candidates"))
 
@@ -674,13 +699,19 @@ def local_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", url.alias("url"), selection.is_local_url(url).alias("local"))
 
 
-_ENDPOINTS = [("a", "", "", "", "default"), ("b", "", "KEY_B", "k", "env"), ("c", "http://localhost:1/v1", "", "", "local"), ("d", "http://[::1]:9/v1", "KEY_D", "", "local_unset"), ("e", "https://other.example.org/v1", "", "", "refused"), ("f", "https://other.example.org/v1", "KEY_F", "", "env_unset"), ("g", "https://api.example.com/v1", "", "", "default")]
+_DEFAULT_URL = "https://api.example.com/v1/"
+_OWN_URL = "CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'http://localhost:1/v1' WHEN 2 THEN 'http://[::1]:9/v1' WHEN 3 THEN 'https://api.example.com/v1' ELSE url END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[4]}')" for r in _ENDPOINTS) + ") t(name, source)")
+@query(f"""WITH e AS (SELECT page_id, {_OWN_URL} AS base_url, CASE page_id % 3 WHEN 0 THEN 'KEY_' || page_id ELSE '' END AS key_name, CASE WHEN page_id % 2 = 0 THEN 'k' ELSE '' END AS key FROM pages),
+l AS (SELECT *, page_id % 7 IN (1, 2) AS local, page_id % 7 IN (0, 3) OR rtrim(base_url, '/') = '{_DEFAULT_URL.rstrip("/")}' AS same FROM e)
+SELECT page_id, CASE WHEN key_name <> '' THEN CASE WHEN key <> '' THEN 'env' WHEN local THEN 'local_unset' ELSE 'env_unset' END WHEN local THEN 'local' WHEN same THEN 'default' ELSE 'refused' END AS source FROM l""")
 def credential_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:4] for r in _ENDPOINTS], "name string, base_url string, key_name string, key string")
-    return rows.select("name", selection.credential_source(F.col("base_url"), F.col("key_name"), F.col("key"), "https://api.example.com/v1/").alias("source"))
+    """Where the key of each endpoint comes from, with the urls of pages as endpoints."""
+    k = F.col("page_id")
+    url = F.when(k % 7 == 0, "").when(k % 7 == 1, "http://localhost:1/v1").when(k % 7 == 2, "http://[::1]:9/v1").when(k % 7 == 3, "https://api.example.com/v1").otherwise(F.col("url"))
+    name = F.when(k % 3 == 0, F.concat(F.lit("KEY_"), k.cast("string"))).otherwise("")
+    return table(spark, d, "pages").select("page_id", selection.credential_source(url, name, F.when(k % 2 == 0, "k").otherwise(""), _DEFAULT_URL).alias("source"))
 
 
 @query(f"""WITH f AS (SELECT doc_id, {P.sql_strip(f"regexp_replace(CASE WHEN text = '' THEN 'N/A' ELSE text END, '[{P.SQL_SPACE}]+', ' ', 'g')")} AS t FROM documents)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mixlens.sources import versions
+
 SOURCE = "instruction string, input string, output string"
 INFERENCE = (
     "model_name string, model_id string, sample_id string, level int, category string, prompt string, response string, "
@@ -75,9 +77,9 @@ def read_lines(spark: SparkSession, path: str, schema: str, mode: str = "strict"
     """JSON lines. strict raises at a bad line; resume does, too, but takes a missing path for empty; lenient drops bad
     lines; marked keeps them in _corrupt_record.
 
-    A missing path is an empty relation, but for the strict mode.
+    A missing path is an empty relation, but for the strict mode. Of a path that was replaced the last version is read.
     """
-    wanted = StructType.fromDDL(schema)
+    wanted, path = StructType.fromDDL(schema), versions.current(spark, path)
     if mode != "strict" and not exists(spark, path):
         return spark.createDataFrame([], wanted)
     if mode in ("strict", "resume"):
@@ -89,14 +91,19 @@ def read_lines(spark: SparkSession, path: str, schema: str, mode: str = "strict"
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """file and line, from 1, of each line that is no record of the schema; blank lines are skipped."""
-    text = spark.read.text(path).withColumns({"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "id": F.monotonically_increasing_id()})
+    """file and line, from 1, of each line that is no record of the schema; blank lines are skipped, but count.
+
+    Every split of a file counts its lines, and the lines of the splits before are added; no task reads a whole file.
+    """
+    text = spark.read.text(versions.current(spark, path)).withColumns({"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "id": F.monotonically_increasing_id()})
     parsed = F.from_json("value", StructType.fromDDL(schema).add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     told = text.withColumn("bad", (F.trim("value") != "") & (parsed.isNull() | parsed["_bad"].isNotNull() | F.get_json_object("value", "$").isNull()))
-    # lines of a file are numbered in one window, for files that have a bad line alone
-    wrong = told.filter("bad").select("file").distinct()
-    place = F.row_number().over(Window.partitionBy("file").orderBy("block", "id"))
-    return told.join(wrong, "file", "left_semi").withColumn("line", place).filter("bad").select("file", "line")
+    wrong = told.filter("bad").select("file", "block", "id")
+    # the lines of a split have numbers that follow each other, in a split's task; a row for each split
+    splits = text.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return wrong.join(starts, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line"))
 
 
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -124,6 +131,7 @@ def with_position(df: DataFrame, name: str = "position") -> DataFrame:
 
 def load_split(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
     """One split of a data set exported to a folder: parquet below path/split, else JSON lines, else the whole path as parquet."""
+    path = versions.current(spark, path)
     for at, kind in ((f"{path}/{split}", "parquet"), (f"{path}/{split}.parquet", "parquet"), (f"{path}/{split}.jsonl", "json"), (path, "parquet")):
         if exists(spark, at):
             return spark.read.format(kind).load(at)
@@ -143,9 +151,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines, raw UTF-8. A rewrite goes through rewrite(); other modes write in place."""
+    """JSON lines, raw UTF-8. An overwrite is a new version of the path, which read_lines finds; other modes write in place."""
     if mode == "overwrite":
-        rewrite(df, path)
+        versions.replace(df, path)
     else:
         df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
@@ -159,26 +167,6 @@ def append_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", "false").option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(path)
 
 
-def rewrite(df: DataFrame, path: str, kind: str = "json") -> None:
-    """Replace path as a whole: write beside it, move the old one away, move the new one in, then delete the old one.
-
-    A crash leaves the old or the new data, under path or under a name beside it, never a part.
-    """
-    spark = df.sparkSession
-    aside, old = (f"{path.rstrip('/')}.{word}-{uuid.uuid4().hex}" for word in ("new", "old"))
-    writer = df.write.option("ignoreNullFields", "false") if kind == "json" else df.write
-    writer.format(kind).save(aside)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = files.exists(place(path))
-    if had and not files.rename(place(path), place(old)):
-        raise OSError(f"{path} cannot be moved")
-    if not files.rename(place(aside), place(path)):
-        raise OSError(f"{aside} cannot be moved to {path}")
-    if had:
-        files.delete(place(old), True)
-
-
 def write_failures(failures: DataFrame, path: str) -> dict[str, int]:
     """Failed rows as JSON lines; returns how many there are of each error_type. No failures leave no file."""
     counts = {r.error_type or "unknown": r["count"] for r in failures.groupBy("error_type").count().collect()}

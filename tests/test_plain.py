@@ -223,8 +223,8 @@ def test_strict_lenient_and_atomic_files(spark, tmp_path):
     assert S.read_lines(spark, at + ".none", "a string", "resume").count() == 0
     out = str(tmp_path / "out")
     S.write_lines(spark.createDataFrame([(1,)], "k int"), out)
-    S.write_lines(spark.read.json(out).withColumn("k", F.col("k") + 1), out)  # reads what it replaces
-    assert [r.k for r in spark.read.json(out).collect()] == [2] and [p.name for p in tmp_path.glob("out*")] == ["out"]
+    S.write_lines(S.read_lines(spark, out, "k int").withColumn("k", F.col("k") + 1), out)  # reads what it replaces
+    assert [r.k for r in S.read_lines(spark, out, "k int").collect()] == [2] and [p.name for p in tmp_path.glob("out*")] == ["out"]
     assert S.write_failures(spark.createDataFrame([("a", "timeout"), ("b", None)], "x string, error_type string"), out + "_f") == {"timeout": 1, "unknown": 1}
     S.write_stats(spark, {"n": 1}, out + "_s")
     assert json.loads(spark.read.text(out + "_s").first().value) == {"n": 1}
