@@ -195,16 +195,17 @@ def embedding_f1(pairs: DataFrame, make: Callable[[], Embedder], reference: str,
 
 
 def vectors_f1(pairs: DataFrame, reference: str, response: str, name: str = "f1") -> DataFrame:
-    """Add the greedy match F1 of two columns of one token's vector each, whatever their length."""
+    """Add the greedy match F1 of two columns of vectors, whatever their length: one for each token, or one alone."""
     ship(pairs.sparkSession)
 
     def unit(x: np.ndarray) -> np.ndarray:
-        size = np.linalg.norm(x)
-        return (x / size if size else x)[None, :]
+        rows = np.array([np.asarray(v, float) for v in x]) if len(x) and not np.isscalar(x[0]) else np.atleast_2d(np.asarray(x, float))
+        size = np.linalg.norm(rows, axis=1, keepdims=True)
+        return rows / np.where(size > 0, size, 1.0)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(**{name: [greedy_f1(unit(np.asarray(a, float)), unit(np.asarray(b, float))) for a, b in zip(frame[reference], frame[response], strict=True)]})
+            yield frame.assign(**{name: [greedy_f1(unit(a), unit(b)) for a, b in zip(frame[reference], frame[response], strict=True)]})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + f", {name} double"
     return pairs.mapInPandas(run, schema)

@@ -295,7 +295,7 @@ def composite_score(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), w AS (SELECT a.vec_id, a.e AS a, b.e AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, {s4("list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b))")} AS cosine FROM w""")
 def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of each embedding with the next one, as the greedy match of one-token texts."""
+    """Cosine of each embedding with the next one, without a greedy match: what greedy_f1_single is where it is positive."""
     v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
     both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
@@ -311,6 +311,19 @@ def greedy_f1_single(spark: SparkSession, d: str) -> DataFrame:
     return providers.vectors_f1(both, "a", "b").select("vec_id", N.rounded("f1", 4).alias("f1"))
 
 
+@query(f"""WITH v AS (SELECT vec_id, vec_id // 6 AS t, vec_id % 6 AS k, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT t, max(k) AS top FROM v GROUP BY t),
+u AS (SELECT t, k, e FROM v JOIN n USING (t) WHERE top < 2 OR (k > 0 AND k < top)),
+s AS (SELECT a.t, a.k AS i, b.k AS j, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS c FROM u a JOIN u b ON b.t = a.t + 1),
+r AS (SELECT t, avg(m) AS recall FROM (SELECT t, i, max(c) AS m FROM s GROUP BY ALL) GROUP BY t), p AS (SELECT t, avg(m) AS precision FROM (SELECT t, j, max(c) AS m FROM s GROUP BY ALL) GROUP BY t)
+SELECT t AS text_id, {s4("CASE WHEN precision + recall > 0 THEN greatest(0, 2 * precision * recall / (precision + recall)) ELSE 0 END")} AS f1 FROM r JOIN p USING (t)""")
+def greedy_f1_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy match of texts of six tokens with the table's embeddings; the first and last of a text do not count."""
+    v = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 6).alias("text_id"), F.struct("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).alias("v"))
+    texts = v.groupBy("text_id").agg(F.transform(F.sort_array(F.collect_list("v")), lambda x: x["e"]).alias("a"))  # six vectors each
+    both = texts.join(texts.select((F.col("text_id") - 1).alias("text_id"), F.col("a").alias("b")), "text_id")
+    return providers.vectors_f1(both, "a", "b").select("text_id", N.rounded("f1", 4).alias("f1"))
+
+
 @query()
 def greedy_f1_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """Greedy token match of benchmark texts with hash embeddings against the next item."""
