@@ -320,35 +320,84 @@ def test_automaton_reads_substrings():
     assert language.phrases(moves, "abraxcada") == 3
 
 
-def plain_language(learn, text):
-    """Best language and score by phrases counted one after another."""
+def plain_phrases(known, flat):
+    """Longest matches of the whole text, one after another."""
+    n = at = 0
+    while at < len(flat):
+        size = 1
+        while at + size < len(flat) and flat[at : at + size + 1] in known:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
+def flattened(text):
     flat = "".join(c if c.isalpha() else " " for c in (text or "").lower())
-    flat = f" {' '.join(flat.split())} "
+    return f" {' '.join(flat.split())} "
+
+
+def plain_language(learn, text):
+    """Best language and score by phrases counted one after another, without any cut."""
+    flat = flattened(text)
     if not flat.strip():
         return "und", 0.0
-    pieces = [flat[k : k + language.PIECE] for k in range(0, len(flat), language.PIECE)]
-    cost = {}
-    for name, known in learn.items():
-        n = 0
-        for piece in pieces:
-            at = 0
-            while at < len(piece):
-                size = 1
-                while at + size < len(piece) and piece[at : at + size + 1] in known:
-                    size += 1
-                n, at = n + 1, at + size
-        cost[name] = n * math.log2(len(known) + 1)
+    cost = {name: plain_phrases(known, flat) * math.log2(len(known) + 1) for name, known in learn.items()}
     low = sorted(cost.values())
     return min(sorted(cost), key=cost.get), 1 - low[0] / low[1] if len(low) > 1 else 1.0
 
 
-def test_predictions(texts):
+def test_predictions(spark, texts, monkeypatch):
     learn = {n: " " + "".join(f"{w} " for t in texts.values() for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if hash_of(w) % 3 == k)[:4000] for k, n in enumerate(["x", "y", "z"])}
-    judge = language.Identifier(learn)
-    asked = [*list(texts.values())[:40], None, "", "12 !", "\u00e9\u4e2d \U0001d49c z", "a" * 5000, "ab " * 900]
-    for text, name, score in zip(asked, *judge(asked), strict=True):
-        best, near = plain_language(learn, text)
-        assert name == best and score == pytest.approx(near)
+    asked = [*list(texts.values())[:40], None, "", "12 !", "\u00e9\u4e2d \U0001d49c z", "a" * 5000, "ab " * 900, learn["y"].strip(), learn["x"] * 3]
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    for at_once in (language.AT_ONCE, 2):  # all tables at once, or two languages and then one
+        monkeypatch.setattr(language, "AT_ONCE", at_once)
+        for r in language.identify(docs, learn).collect():
+            best, near = plain_language(learn, r.text)
+            assert r.lang_pred == best and r.score == pytest.approx(near)
+
+
+@pytest.mark.parametrize(("piece", "kinds", "few"), [(3, 1, 0), (7, 5, 24), (64, 2, 3), (1024, 96, 24), (1024, 1, 0)])
+def test_phrases_of_whole_texts(monkeypatch, piece, kinds, few):
+    """Pieces of any length give the phrases of the whole text, also where letters have two symbols or a text is one phrase."""
+    monkeypatch.setattr(language, "PIECE", piece)
+    monkeypatch.setattr(language, "KINDS", kinds)
+    monkeypatch.setattr(language, "FEW", few)
+    rng = random.Random(piece + kinds)
+    for letters in (3, 40, 300):
+        alphabet = [chr(0x4E00 + k) for k in range(letters)] + list("abc")
+        made = lambda n: "".join(rng.choice(alphabet) if rng.random() < 0.8 else " " for _ in range(n))  # noqa: E731, B023
+        learn = {k: f" {' '.join(made(rng.choice([50, 600])).split())} " for k in "xyz"}
+        asked = [made(rng.choice([0, 1, 10, 200, 900])) + rng.choice(["", "\u00e9", "q z"]) for _ in range(20)] + [learn["x"] * 2, learn["y"].strip(), None, "q" * 50, "qa" * 30, "\U0001d49c" * 5, alphabet[0] * 400]
+        judge = language.Identifier(learn)
+        for text, n, figures in zip(asked, *judge(asked), strict=True):
+            assert n == sum(map(str.isalpha, (text or "").lower()))
+            if n:
+                assert figures == pytest.approx([plain_phrases(v, flattened(text)) * math.log2(len(v) + 1) for v in learn.values()])
+
+
+def test_a_text_that_is_one_phrase_and_a_script_of_many_letters():
+    rng = random.Random(7)
+    known = flattened(" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6500)))
+    script = flattened(" ".join("".join(chr(0x4E00 + rng.randrange(1500)) for _ in range(4)) for _ in range(4000)))
+    asked = [known.strip(), "".join(chr(0x4E00 + rng.randrange(1500)) for _ in range(6000))]
+    judge = language.Identifier({"a": known, "b": script})
+    _, figures = judge(asked)
+    assert figures[0][0] == pytest.approx(math.log2(len(known) + 1))
+    assert figures[1][1] == pytest.approx(plain_phrases(script, flattened(asked[1])) * math.log2(len(script) + 1))
+
+
+def test_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "abc abc"), (2, "zzz")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, {"y": " abc ", "x": " abc ", "w": " q "}).collect()}
+    assert got == {1: ("x", 0.0), 2: ("w", pytest.approx(1 - 2 / math.log2(6)))}
+
+
+def test_samples_rank_keys_first(spark):
+    rows = [(k, f"mark{chr(97 + k % 26)}{chr(97 + k // 26)} word", "en", "s", 0) for k in range(120)]
+    docs = spark.createDataFrame(rows + rows[:40], DOCS)  # some rows twice
+    got = language.samples(docs)["en"]
+    assert len(got.split()) == 2 * language.DOCUMENTS  # repeated rows take no place of others
 
 
 def hash_of(w):
