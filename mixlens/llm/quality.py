@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import WORD, drop_stored, ship, small, stored, with_python
+from mixlens.llm.common import WORD, drop_stored, held, ship, small, stored, with_python
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -68,7 +68,7 @@ class Measure:
     """Base figures and histograms of texts."""
 
     def __init__(self) -> None:
-        self.classes = np.array([_class_of(chr(c)) for c in range(1 << 16)], np.int64)
+        self.classes = np.fromiter(map(_class_of, map(chr, range(0x110000))), np.int8, 0x110000)
 
     def one(self, text: str) -> tuple:
         words = WORD.findall(text)
@@ -87,7 +87,7 @@ class Measure:
             if WORD.search(line):
                 doubled += line in lines
                 lines.add(line)
-        codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 0xFFFF)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         chars = np.bincount(self.classes[codes], minlength=len(CLASSES))
         spoken = Counter(_LETTERS.findall(text.lower()))
         common = [0] * N_WORDS
@@ -103,7 +103,7 @@ class Measure:
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Add the base figures, base_failed and the two histograms, from one pass over the texts."""
     figures = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, words array<int>"
-    measured = with_python(docs, ["text"], keep, figures, Measure)
+    measured = with_python(docs, ["text"], keep, figures, lambda: held("quality", Measure))
     return measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
