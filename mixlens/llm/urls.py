@@ -5,7 +5,8 @@ repeated slashes as one, and without a default file name and closing slashes; sc
 listed entry is a URL in any form, with or without a scheme: one with a path blocks that page, one without blocks its host
 and all hosts below it. Each URL is looked up under its own canonical form and under each domain it lies in, as far as
 the list's hosts have labels. The Bloom filter has KEY_BITS for each entry, in 64-bit blocks, up to MOST_BLOCKS: one block
-per key, four bits in it. Keys that it passes meet the list in an exact hash join, so false positives go.
+per key, four bits in it. A small filter is a constant of the plan; a larger one is a table of its blocks, which the pairs of
+host and path meet by block. Keys that it passes meet the list in an exact hash join, so false positives go.
 
 Only DataFrame functions run here. A null url, and one without ``://``, has an empty host and path, no rule, and is
 allowed. Repeated rows each get their verdict. Null and empty entries list nothing. No pages give no rows.
@@ -20,18 +21,17 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path): fixed values of the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Listed URLs by default: hosts that serve spam, and pages that were copied from elsewhere.
+#: Listed URLs by default, made by a rule: hosts that serve spam, and doorway pages.
+_KINDS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 LISTED = (
-    *(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")),
-    "blog.tionsh.example.com/en/4476",
-    "https://www.ththst.example.com/en/1837/",
-    "https://m.therou.example.org/en/5718?page=2",
-    "ththan.example.com/es/5795.html",
-    "http://www.thering.example.org/en/5404#top",
+    *(f"{name}.example.{top}" for name in _KINDS for top in ("com", "net", "org")),
+    *(f"https://www.{name}.test/doorway/{k}/?ref={k}" for name in _KINDS for k in range(3)),
 )
-#: Bits of the filter for each entry, and bounds of its number of 64-bit blocks: 1 MB at most.
+#: Bits of the filter for each entry, and bounds of its number of 64-bit blocks: 32 MB at most, for 16 million entries.
 KEY_BITS = 16
-LEAST_BLOCKS, MOST_BLOCKS = 64, 1 << 17
+LEAST_BLOCKS, MOST_BLOCKS = 64, 1 << 22
+#: Blocks of a filter that is a constant of the plan, 1 MB; a larger one is a table.
+PLAN_BLOCKS = 1 << 17
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,6 +103,11 @@ def bloom_filter(listed: DataFrame, blocks: int) -> Column:
     return F.split(F.lit(",".join(map(str, words.values()))), ",").cast("array<bigint>")
 
 
+def block_table(listed: DataFrame, blocks: int) -> DataFrame:
+    """The filter as rows of block and word, at most MOST_BLOCKS of two numbers, 64 MB, and broadcast for that bound."""
+    return F.broadcast(listed.groupBy(_block(F.col("entry"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("entry"))).alias("word")))
+
+
 def maybe_listed(key: Column, words: Column, blocks: int) -> Column:
     mask = _mask(key)
     return F.element_at(words, (_block(key, blocks) + 1).cast("int")).bitwiseAND(mask) == mask
@@ -116,18 +121,25 @@ def filter_urls(pages: DataFrame, listed: DataFrame | Sequence[str] = LISTED, ru
     listed = canonical_list(listed)
     size = listed.agg(F.count("*").alias("n"), F.coalesce(F.max("labels"), F.lit(0)).alias("labels")).first()
     blocks = blocks or filter_blocks(size.n)
-    words = bloom_filter(listed, blocks)
+    words = bloom_filter(listed, blocks) if blocks <= PLAN_BLOCKS else None
+    table = block_table(listed, blocks) if words is None else None
     listed = listed.select("entry")
     host, path = host_and_path(F.col("url"))
     name, verdict = by_rule(F.col("host"), F.col("path"), rules)
     seen = pages.select("page_id", host.alias("host"), path.alias("path")).fillna("", ["host", "path"]).withColumns({"rule": name, "verdict": verdict})
-    keyed = seen.withColumn("keys", F.when(F.col("rule").isNull(), F.filter(lookup_keys(F.col("host"), F.col("path"), size.labels), lambda k: maybe_listed(k, words, blocks))))
-    passed = F.size(F.coalesce("keys", F.array().cast("array<string>"))) > 0
+    keys = lookup_keys(F.col("host"), F.col("path"), size.labels)
+    passing = keys if words is None else F.filter(keys, lambda k: maybe_listed(k, words, blocks))
+    keyed = seen.withColumn("keys", F.when(F.col("rule").isNull(), passing))
+    asked = F.size(F.coalesce("keys", F.array().cast("array<string>"))) > 0
     columns = ["page_id", "host", "path", "rule", "verdict"]
-    clear = keyed.filter(~passed).select(*columns)
+    clear = keyed.filter(~asked).select(*columns)
     # the verdict hangs on host and path alone: hits are found once for each pair, then joined to the rows
-    possible = keyed.filter(passed)
-    hits = possible.select("host", "path", "keys").distinct().withColumn("entry", F.explode("keys")).join(listed, "entry").select("host", "path", F.lit(True).alias("hit")).distinct()
+    possible = keyed.filter(asked)
+    pairs = possible.select("host", "path", "keys").distinct().withColumn("entry", F.explode("keys")).drop("keys")
+    if table is not None:
+        met = pairs.withColumn("block", _block(F.col("entry"), blocks)).join(table, "block")
+        pairs = met.filter(F.col("word").bitwiseAND(_mask(F.col("entry"))) == _mask(F.col("entry"))).select("host", "path", "entry")
+    hits = pairs.join(listed, "entry").select("host", "path", F.lit(True).alias("hit")).distinct()
     judged = possible.join(hits, ["host", "path"], "left").withColumn("verdict", F.when(F.col("hit"), "block")).select(*columns)
     return clear.unionByName(judged).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
 
