@@ -2,12 +2,12 @@
 
 Words are stripped of outer punctuation and lower-cased; a number becomes a typed placeholder, one with a unit behind or
 attached another, and a capitalised word inside a sentence a third. Windows of WIDTH template words are hashed. A bitmap
-of fixed size over the benchmark's windows passes possible hits; those meet the benchmark in a hash join.
+of 8 bits for each of the benchmark's windows, 8 MB at most, passes possible hits; those meet the benchmark in a hash join.
 
 A text can leak an item only if hits cover at least COVERAGE of the item's windows, so it hits one of the item's rarest
 windows, that share and one more: texts and items meet on these alone, and only then on all windows. Hits lie on
-diagonals (position in the text less position in the item). Diagonals near each other are put together as long as the
-slots agree: each value of the item has one value in the text, and each name or unit of the text stands for one of the
+diagonals (position in the text less position in the item). Diagonals near each other, and at any distance those with a run
+of FAR_RUN windows, as what stands before and after a long insertion, are put together as long as the slots agree: each value of the item has one value in the text, and each name or unit of the text stands for one of the
 item. What most windows agree on counts; diagonals that contradict it do not.
 
 Windows of more than MAX_SLOTS placeholders say too little about a text. So windows of the literal words, in lower case
@@ -41,10 +41,12 @@ from mixlens.llm.hashing import BASE, batches_of, hashed_words, mixed, window_ha
 WIDTH = 5
 MAX_SLOTS = 2
 COVERAGE = 0.6
-#: How far apart diagonals that are put together may lie, in words.
+#: How far apart diagonals of few windows that are put together may lie, in words, and the run of windows that one further
+#: off must have: ten words in a row.
 SHIFT = 64
-#: Bits of the bitmap: 512 KB.
-BITS = 22
+FAR_RUN = 6
+#: Bounds of the binary logarithm of the bitmap's bits: 512 KB to 8 MB.
+BITS = (22, 26)
 
 #: Units that may follow a number.
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches l ml h hr hrs hour hours min minute minutes s sec second seconds day days week weeks month months year years percent pct usd eur dollar dollars euro euros cent cents kmh mph kw w v hz gb mb kb".split()
@@ -160,7 +162,7 @@ class Templates:
 
         def passed(stream: int, found: np.ndarray, at: np.ndarray, slots: np.ndarray | None = None) -> list:
             if self.bitmap is not None:
-                bits = found & np.uint64((1 << BITS) - 1)
+                bits = found & np.uint64(64 * len(self.bitmap) - 1)
                 ok = (self.bitmap[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
                 at, found = at[ok], found[ok]
             texts_of = owner[at]
@@ -265,13 +267,13 @@ def probes(items: DataFrame, coverage: float) -> DataFrame:
 
 
 def bitmap(windows: DataFrame) -> np.ndarray:
-    """Bits of all windows; at most 2**BITS / 64 rows come to the driver, however long the benchmark is."""
-    bit = F.col("window").bitwiseAND(F.lit((1 << BITS) - 1))
+    """Bits of all windows; at most 2**26 / 64 rows of two numbers come to the driver, however long the benchmark is."""
+    size = min(BITS[1], max(BITS[0], windows.count().bit_length() + 3))
+    bit = F.col("window").bitwiseAND(F.lit((1 << size) - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    rows = windows.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
-    words = np.zeros((1 << BITS) // 64, np.int64)
-    for row in rows:
-        words[row.word] = row.bits
+    rows = windows.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    words = np.zeros((1 << size) // 64, np.int64)
+    words[rows["word"]] = rows["bits"]
     return words.view(np.uint64)
 
 
@@ -279,18 +281,34 @@ def _maker(shared, short: list[int]) -> Callable[[], Templates]:  # noqa: ANN001
     return lambda: Templates(shared.value, short=short)
 
 
+def longest_run(ats: Iterable[int]) -> int:
+    """Most positions in a row."""
+    known = set(ats)
+    best = 0
+    for at in known:
+        if at - 1 not in known:
+            end = at
+            while end + 1 in known:
+                end += 1
+            best = max(best, end - at + 1)
+    return best
+
+
 def agreeing(lines: list[dict]) -> int:
-    """Most positions of an item that diagonals near each other cover while their slots agree.
+    """Most positions of an item that diagonals cover together while their slots agree.
 
     lines has diagonal, ats (positions in the item) and pairs (item, text) of slot values. Each diagonal is tried as the
-    first; those around it join it, the nearest first, unless they contradict what is agreed.
+    first; those around it, and those with a long run wherever they lie, join it, the nearest first, unless they contradict
+    what is agreed.
     """
     lines = sorted(lines, key=lambda x: x["diagonal"])
     diagonals = [x["diagonal"] for x in lines]
+    far = [k for k, x in enumerate(lines) if len(x["ats"]) >= FAR_RUN and longest_run(x["ats"]) >= FAR_RUN]
     best = 0
     for k in sorted(range(len(lines)), key=lambda k: -len(lines[k]["ats"])):
         here = diagonals[k]
-        near = range(bisect_left(diagonals, here - SHIFT), bisect_right(diagonals, here + SHIFT))
+        low, high = bisect_left(diagonals, here - SHIFT), bisect_right(diagonals, here + SHIFT)
+        near = [*range(low, high), *(j for j in far if not low <= j < high)]
         if len(set().union(*(lines[j]["ats"] for j in near))) <= best:
             continue
         there: dict[str, str] = {}

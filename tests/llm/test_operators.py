@@ -147,6 +147,11 @@ def test_distance():
     assert quality.distances(rows, refs)[:2] == pytest.approx([1.0, 0.0]) and np.isnan(quality.distances(rows, refs)[2])
 
 
+def test_characters_beyond_the_first_plane():
+    found = quality.Measure().one("\U00020000\U0001f600\U0001d7ce\U0001d400 \U000e0100")
+    assert dict(zip(quality.CLASSES, found[5], strict=True)) == {"lower": 1, "upper": 1, "digit": 1, "space": 1, "point": 0, "symbol": 1, "mark": 1, "other": 0}
+
+
 def test_quality_odd(odd, none):
     assert quality.judge(clashing(odd)).count() == len(odd_rows())
     assert {r.doc_id for r in quality.judge(odd).filter("base_failed").collect()} >= {4, 5, 6, 9, 10, 11}
@@ -286,6 +291,27 @@ def test_urls_list_with_paths_and_a_tiny_filter(spark):
     assert got == {k: "block" if k % 7 == 0 or k == 5 else "allow" for k in range(300)}
 
 
+def test_urls_with_the_filter_as_a_table(spark, monkeypatch):
+    rows = [(k, f"https://a.h{k % 200}.example.com/p/{k % 50}/") for k in range(400)] + [(400, None), (401, "x://h7.example.com")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    listed = [f"a.h{k}.example.com/p/{k % 50}" for k in range(0, 200, 7)] + ["h5.example.com", "h7.example.com"]
+    one = sorted(map(tuple, urls.filter_urls(pages, listed).collect()))
+    assert {r[4] for r in one} == {"allow", "block"}
+    monkeypatch.setattr(urls, "PLAN_BLOCKS", 0)
+    for blocks in (None, 1):
+        assert sorted(map(tuple, urls.filter_urls(pages, listed, blocks=blocks).collect())) == one
+
+
+def test_few_false_positives_at_five_million_entries(spark):
+    n = 5_000_000
+    entries = spark.range(n).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example.com")).alias("entry"))
+    blocks = urls.filter_blocks(n)
+    assert urls.PLAN_BLOCKS < blocks < urls.MOST_BLOCKS
+    asked = spark.range(200_000).select(F.concat(F.lit("other"), F.col("id").cast("string"), F.lit(".example.org")).alias("key"))
+    met = asked.withColumn("block", urls._block(F.col("key"), blocks)).join(urls.block_table(entries, blocks), "block")
+    assert met.filter(F.col("word").bitwiseAND(urls._mask(F.col("key"))) == urls._mask(F.col("key"))).count() < 0.01 * 200_000
+
+
 def test_urls_canonical_and_long(spark):
     listed = ["http://user@WWW.Bad.example.com.:8080/a//b%20c/index.html?q#f", "evil.example.org", None, "", "deep.evil.example.com/"]
     rows = [
@@ -610,6 +636,35 @@ def test_units_are_slots():
     assert {tuple(s) for s in one.values()} == {("n5", "ukm")} and {tuple(s) for s in two.values()} == {("n7", "umiles")}
 
 
+def test_halves_at_any_distance(spark):
+    """An item with a long insertion is found however long that is; short runs far apart are no item."""
+    rng = random.Random(8)
+    item = "A baker sold blue loaves on a quiet market day and kept nine warm rolls for the old miller who came late with his small grey horse"
+    words_ = item.split()
+    filler = lambda n: " ".join(f"filler{rng.randrange(10**6)}" for _ in range(n))
+    half = len(words_) // 2
+    docs = [(n, f"{filler(20)} {' '.join(words_[:half])} {filler(n)} {' '.join(words_[half:])} {filler(5)}") for n in (1, 60, 65, 500, 5000)]
+    scattered = " ".join(f"{' '.join(words_[k : k + 6])} {filler(100)}" for k in range(0, len(words_) - 6, 2))
+    docs.append((9999, scattered))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.n_found for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 60, 65, 500, 5000} and len({got[n] for n in (60, 65, 500, 5000)}) == 1
+
+
+def test_longest_run():
+    assert [decontaminate.longest_run(x) for x in ([], [3], [1, 2, 5, 6, 7], [9, 8, 1])] == [0, 1, 3, 2]
+
+
+def test_bits_follow_the_benchmark_and_change_nothing(spark, data, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BITS", (6, 7))
+    assert whole and sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == whole
+    monkeypatch.setattr(decontaminate, "BITS", (6, 26))
+    windows = spark.range(1000).selectExpr("xxhash64(id) as window")
+    assert 8 * 1000 <= 64 * len(decontaminate.bitmap(windows)) <= 16 * 1000 * 2
+
+
 def test_agreement():
     line = lambda d, ats, *pairs: {"diagonal": d, "ats": ats, "pairs": [{"item": i, "text": t} for i, t in pairs]}
     assert decontaminate.agreeing([line(0, [0, 1], ("cTom", "cAnna")), line(1, [5, 6], ("cTom", "cAnna"))]) == 4
