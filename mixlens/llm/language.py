@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import drop_stored, held, stored, unused, with_python
+from mixlens.llm.common import drop_stored, held, small, stored, unused, with_python
 
 #: Bound of the sample: documents and characters for each language.
 DOCUMENTS = 48
@@ -120,11 +120,12 @@ def samples(docs: DataFrame, documents: int = DOCUMENTS, letters: int = LETTERS)
     key = ["lang", "_h", "doc_id", "_t"]
     order = Window.partitionBy("lang").orderBy("_h", "doc_id", "_t")
     # rank() gives repeated rows one place, so they are not more than one document
-    ranked = learn.select(*key).withColumn("_k", F.dense_rank().over(order)).filter(F.col("_k") <= documents).distinct()
+    ranked = stored(learn.select(*key).withColumn("_k", F.dense_rank().over(order)).filter(F.col("_k") <= documents).distinct(), "sample-keys")
     plain = F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " "))
     matches = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
-    chosen = learn.alias("a").join(ranked.alias("b"), matches).groupBy("b.lang", "b._k").agg(F.min(F.substring(plain, 1, letters)).alias("text"))
+    chosen = learn.alias("a").join(small(ranked, ranked.count()).alias("b"), matches).groupBy("b.lang", "b._k").agg(F.min(F.substring(plain, 1, letters)).alias("text"))
     kept = stored(chosen, "language-sample")
+    drop_stored(ranked)
     sizes: dict[str, list[int]] = {}
     for row in kept.select("lang", F.length("text").alias("n")).collect():  # a number for each document of the sample
         sizes.setdefault(row.lang, []).append(row.n)
