@@ -391,7 +391,7 @@ def included_models(spark: SparkSession, d: str) -> DataFrame:
     return E.model_prompts(chosen, prompts).groupBy(F.col("model_name").alias("name"), "model_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH t AS (SELECT conv_id, turn, {P.sql_word_count('text')} AS n FROM conversations WHERE role = 'user') SELECT conv_id, turn, n > 0 AS success, n::INT AS tokens_used, CASE WHEN n = 0 THEN 'empty_completion' END AS error_type FROM t")
 def infer_echo(spark: SparkSession, d: str) -> DataFrame:
     """Every user turn through the offline generator."""
     prompts = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
