@@ -90,3 +90,10 @@ def test_shown_violations(spark):
     assert "WindowGroupLimit" in shown._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.severity, r.id) for r in shown.collect())
     assert got == [(s, f"i{k:04}") for s, n in (("error", 60), ("info", 40), ("warning", 40)) for k in range(n)]
+
+
+def test_seeded_shuffle(spark):
+    """The same order for a seed however the rows are dealt, another one for another seed, and every row once."""
+    order = lambda seed, n: [r.id for r in selection.shuffled(spark.range(200).repartition(n), "id", seed).collect()]
+    assert order(1, 2) == order(1, 7) != order(2, 2)
+    assert sorted(order(1, 2)) == list(range(200)) != order(1, 2)
