@@ -9,8 +9,13 @@ A data set is a folder of parts, in ascending doc_id order over all parts:
 The base of a part is the prefix sum of the parts before it. The manifest holds a row per part; only parts of task
 attempts that were committed are in it, so a repeated attempt leaves at most a file that nothing refers to.
 
-Null text is the empty text: its document has the end id alone. A null doc_id sorts first. Rows with the same doc_id
-each get a document, by text. No documents give no parts. Further columns are not stored.
+There are as many parts as the bytes and the number of documents ask for, at least one for each core, and no part is cut
+within a document. A document of more bytes than a part is meant to have makes a larger part; files are written batch by
+batch and read in blocks, so memory holds a document's ids only while it is encoded.
+
+Null text is the empty text: its document has the end id alone. doc_id must be a number or cast to one; another raises
+under ANSI rules. A null doc_id sorts first. Rows with the same doc_id each get a document, by text; many of them are
+spread over parts by the first letters of their texts. No documents give no parts. Further columns are not stored.
 """
 
 from __future__ import annotations
@@ -37,6 +42,14 @@ CACHE_UNITS = 400_000
 #: Bounds of what is encoded at once, in documents and bytes; one document may have more bytes.
 BATCH_DOCS = 1024
 BATCH_BYTES = 4_000_000
+#: What a part is meant to hold, in bytes of text and documents; a document takes 17 bytes of a reader's memory.
+PART_BYTES = 128_000_000
+PART_DOCS = 1_000_000
+#: Letters of a text that tell ranges of one doc_id apart; the driver gets a sample of them.
+HEAD = 16
+#: Bounds of a block of the reader, in documents and ids; a document of more ids is read in several blocks.
+BLOCK_DOCS = 4096
+BLOCK_IDS = 2_000_000
 #: Units in one text for the tokenizer.
 LEARN_UNITS = 256
 #: Marks that a byte-level word splitter always cuts off behind a letter or digit, as one piece.
@@ -247,12 +260,21 @@ def _writer(folder: str, tokenizer: str):
     return write
 
 
+def part_count(docs: DataFrame) -> int:
+    """Number of parts for doc_id and text of docs, from all bytes and documents."""
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES), -(-n // PART_DOCS))
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
     """Write doc_id and text of docs as token files below folder; return the manifest, with each part's base."""
     spark = docs.sparkSession
     ship(spark)
     folder = folder or scratch(spark, "tokens")
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    first = F.col("doc_id").asc_nulls_first()
+    ranges = rows.repartitionByRange(part_count(rows), first, F.substring("text", 1, HEAD).asc_nulls_first())
+    ordered = ranges.sortWithinPartitions(first, F.col("text").asc_nulls_first())
     manifest = stored(ordered.mapInArrow(_writer(folder, tokenizer), MANIFEST), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per part: the window has as many rows as there are files
@@ -276,27 +298,45 @@ class Part:
         self.file = None if self.local else files.open_input_file(f"{root}.ids")
         self.map = np.memmap(f"{root}.ids", self.kind, "r") if self.local else None
 
-    def ids(self, k: int) -> np.ndarray:
-        first, last = int(self.offsets[k]), int(self.offsets[k + 1])
+    def ids(self, first: int, last: int) -> np.ndarray:
+        """The ids from one place of the part to another, in one read."""
         if self.local:
             return self.map[first:last]
         return np.frombuffer(self.file.read_at((last - first) * self.kind.itemsize, first * self.kind.itemsize), self.kind)
 
+    def blocks(self) -> Iterator[tuple[int, int]]:
+        """Ranges of documents within the bounds of a block, but for a document that is alone."""
+        low, n = 0, len(self.docs)
+        while low < n:
+            fit = int(np.searchsorted(self.offsets, self.offsets[low] + BLOCK_IDS, "right")) - 1
+            high = min(low + BLOCK_DOCS, max(fit, low + 1), n)
+            yield low, high
+            low = high
+
+    def checksums(self, low: int, high: int) -> list[int]:
+        """The checksum of the ids of each of these documents as 32-bit integers."""
+        first, last = int(self.offsets[low]), int(self.offsets[high])
+        if high == low + 1:
+            check = 0
+            for k in range(first, last, BLOCK_IDS):
+                check = zlib.crc32(self.ids(k, min(k + BLOCK_IDS, last)).astype("<u4"), check)
+            return [check]
+        wide = memoryview(self.ids(first, last).astype("<u4")).cast("B")
+        cuts = (4 * (self.offsets[low : high + 1] - first)).tolist()
+        return [zlib.crc32(wide[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, width, base in zip(*(batch.column(k).to_pylist() for k in ("path", "width", "base")), strict=True):
             part = Part(path, width)
-            for low in range(0, len(part.docs), 4096):
-                rows = range(low, min(low + 4096, len(part.docs)))
-                here = slice(rows.start, rows.stop)
-                sums = [zlib.crc32(part.ids(k).astype("<u4").tobytes()) for k in rows]
+            for low, high in part.blocks():
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(part.docs[here], mask=part.nulls[here]),
-                        pa.array(part.offsets[here] + base),
-                        pa.array(np.diff(part.offsets[rows.start : rows.stop + 1])),
-                        pa.array(sums, pa.int64()),
+                        pa.array(part.docs[low:high], mask=part.nulls[low:high]),
+                        pa.array(part.offsets[low:high] + base),
+                        pa.array(np.diff(part.offsets[low : high + 1])),
+                        pa.array(part.checksums(low, high), pa.int64()),
                     ],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )

@@ -488,6 +488,35 @@ def test_token_files_odd(spark, odd, none):
     assert token_files.read_digests(token_files.write_tokens(none, path)).count() == 0
 
 
+def test_parts_follow_bytes_and_documents(spark, monkeypatch):
+    """Any bounds of parts and blocks give the same rows, also where one doc_id, or null, has most of them."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(k, f"text {k} " * (k % 7)) for k in range(60)] + [(None, f"{k} null") for k in range(60)] + [(7, f"{k % 50} same") for k in range(100)] + [(61, LONG), (62, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    assert token_files.part_count(docs) == spark.sparkContext.defaultParallelism
+    for part_bytes, part_docs, block_docs, block_ids in ((size // 20, 1 << 30, 3, 100), (1 << 30, 9, 4096, 1), (1 << 30, 1 << 30, 1, 7)):
+        for name, value in (("PART_BYTES", part_bytes), ("PART_DOCS", part_docs)):
+            monkeypatch.setattr(token_files, name, value)
+        manifest = token_files.write_tokens(docs, path)
+        told = manifest.orderBy("part").collect()
+        assert sum(r.n_docs for r in told) == len(rows) and max(r.n_docs for r in told) < 60
+        assert [r.base for r in told] == [sum(x.n_ids for x in told[:k]) for k in range(len(told))]
+        assert [tuple(x) for x in token_files.read_digests(manifest).orderBy("start").collect()] == plain_tokens(rows)
+        # blocks of any size, in this process
+        monkeypatch.setattr(token_files, "BLOCK_DOCS", block_docs)
+        monkeypatch.setattr(token_files, "BLOCK_IDS", block_ids)
+        sums = []
+        for r in told:
+            part = token_files.Part(r.path, r.width)
+            for low, high in part.blocks():
+                assert high - low <= block_docs and (high == low + 1 or part.offsets[high] - part.offsets[low] <= block_ids)
+                sums += part.checksums(low, high)
+        assert sums == [x[3] for x in plain_tokens(rows)]
+
+
 # ------------------------------------------------------------------ op 7
 
 
