@@ -199,7 +199,7 @@ def parse(source: str | None) -> Page:
     return page
 
 
-N_FEATURES = 12 + 2 * len(TOKENS) + 2 * len(TAGS)
+N_FEATURES = 19 + 2 * len(TOKENS) + 2 * len(TAGS)
 _MARKS = re.compile(r"[.,;:!?]")
 
 
@@ -241,6 +241,13 @@ def features(page: Page) -> np.ndarray:
     for k in range(n - 1, 0, -1):
         sums[:, page.parents[k]] += sums[:, k]
     chars, linked, marks, words, blocks, tags = sums
+    # prose is text outside links in blocks of more than a few words; titles count in what holds them
+    prose, titles = np.zeros(n), np.zeros(n)
+    for (owner, text), link in zip(page.blocks, page.links, strict=True):
+        prose[owner] += (len(text) - link) * (text.count(" ") > 5 or not text.isascii())
+    for k in range(n - 1, 0, -1):
+        prose[page.parents[k]] += prose[k]
+        titles[page.parents[k]] += titles[k] + (page.tags[k] in ("h1", "h2"))
     siblings, place, mean = np.ones(n), np.zeros(n), chars.copy()
     for group in children:
         if group:
@@ -251,5 +258,6 @@ def features(page: Page) -> np.ndarray:
     base = np.stack([
         np.log1p(chars), linked / some, np.log1p(chars / tags), depth, np.log1p(siblings), place, chars / np.maximum(chars[parents], 1),
         chars / np.maximum(mean, 1), marks / some, words / np.maximum(blocks, 1), np.maximum(before, 0) / max(seen, 1), np.log1p(blocks),
+        chars / max(seen, 1), chars[parents] / max(seen, 1), (linked / some)[parents], prose / max(prose[0], 1), prose[parents] / max(prose[0], 1), np.minimum(titles, 3), np.minimum(titles[parents], 3),
     ], axis=1)
     return np.concatenate([base, own, above_tokens, kinds, above_kinds], axis=1)

@@ -20,7 +20,7 @@ from mixlens.llm.common import with_python
 from mixlens.llm.dom import Page, features, parse
 from mixlens.llm.sample_pages import Maker
 
-PAGES = 700
+PAGES = 1000
 SEED = 20240917
 MIXED = 1.5
 LIMIT = 4.0

@@ -62,17 +62,22 @@ class Maker:
         return self.r.choice([" ", " | ", ""]).join(items)
 
     def nav(self) -> str:
+        if self.r.random() < 0.25:
+            return f"<{(tag := self.r.choice(['div', 'p', 'center']))}{self.attributes('nav', 0.7) if tag == 'div' else ''}>{self.links()}</{tag}>"
         return self.element("nav nav div ul", "nav", self.links())
 
     def advert(self) -> str:
         return self.element("div div aside section p", "ad", _OTHER + (self.prose(1, 2) if self.r.random() < 0.7 else f'<a href="#">{self.words(2, 8)}</a>'))
 
     def header(self) -> str:
-        inner = f'<div>{_OTHER}{self.words(1, 4)}</div>' + (self.nav() if self.r.random() < 0.5 else f"<p>{_OTHER}{self.words(2, 8)}</p>")
+        tag = self.r.choice(["div", "div", "h1", "p"])
+        inner = f"<{tag}>{_OTHER}{self.words(1, 4)}</{tag}>" + (self.nav() if self.r.random() < 0.5 else f"<p>{_OTHER}{self.words(2, 8)}</p>")
         return self.element("header header div", "header", inner)
 
     def footer(self) -> str:
         parts = [f"<p>{_OTHER}&copy; {self.words(1, 3)} &middot; {self.prose(1, 2)}</p>", f"{_OTHER}&copy; {self.words(1, 3)} {self.prose(1, 2)}", self.links()]
+        if self.r.random() < 0.15:
+            return f"<{(tag := self.r.choice(['p', 'div', 'center']))}>{self.links(1, 4)}</{tag}>"
         return self.element("footer footer footer div", "footer", "".join(self.r.sample(parts, self.r.randint(1, 2))))
 
     def sidebar(self) -> str:
@@ -104,7 +109,8 @@ class Maker:
         return f"<p>{_CONTENT}{text}" + ("</p>" if self.r.random() < 0.85 else "")
 
     def article(self) -> str:
-        parts = [f"<h1>{_CONTENT}{self.words(2, 10)}</h1>"] if self.r.random() < 0.85 else []
+        tag = self.r.choice(["h1", "h1", "h1", "h2", "h3"])
+        parts = [f"<{tag}>{_CONTENT}{self.words(2, 10)}</{tag}>"] if self.r.random() < 0.8 else []
         if parts and self.r.random() < 0.2:
             parts = [f"<header>{parts[0]}<p>{_CONTENT}{self.words(2, 5)}</p></header>"]
         for _ in range(self.r.choice([0, 1, 1, 2, 3, 5, 8, 14])):
@@ -128,13 +134,19 @@ class Maker:
         for extra, odds in ((self.advert, 0.2), (self.share, 0.15), (self.sidebar, 0.06), (self.form, 0.06), (self.notice, 0.05)):
             if self.r.random() < odds:
                 parts.insert(self.r.randint(1, len(parts)), "</p>" + extra())
+        if self.r.random() < 0.1:
+            parts = [f"<div>{x}</div>" for x in parts]
         body = "".join(parts)
         roll = self.r.random()
-        if roll < 0.55:
+        if roll < 0.35:
             return f"<article>{body}</article>" if self.r.random() < 0.7 else self.element("article", "main", body, bare=0.0)
-        if roll < 0.7:
+        if roll < 0.45:
             return f"<main>{body}</main>"
-        return self.element("div div section td", "main", body)
+        if roll < 0.6:  # nothing but the text tells it from the rest
+            return body
+        if roll < 0.65:
+            return f"<table><tr><td>{self.links()}</td><td>{body}</td></tr></table>"
+        return "".join(["<div>" * (deep := self.r.choice([0, 0, 0, 1, 3])), f"<{(tag := self.r.choice(['div', 'div', 'section']))}{self.attributes('main', 0.6)}>{body}</{tag}>", "</div>" * deep])
 
     def page(self) -> str:
         top = [f() for f, odds in ((self.header, 0.4), (self.nav, 0.75), (self.notice, 0.3), (self.advert, 0.5), (self.form, 0.15)) if self.r.random() < odds]

@@ -1,12 +1,15 @@
 """The training-data operators against plain versions, and on odd rows."""
 
 import hashlib
+import html
+import importlib.util
 import math
 import random
 import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,10 @@ from pyspark.sql import functions as F
 
 from mixlens.llm import common, decontaminate, dom, extraction, hashing, jaccard, language, mixing, quality, queries, secrets, substrings, token_files, urls
 
+_place = importlib.util.spec_from_file_location("hand_pages", Path(__file__).with_name("hand_pages.py"))
+hand_pages = importlib.util.module_from_spec(_place)
+_place.loader.exec_module(hand_pages)
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k % 977}x{k}" for k in range(20_000))
@@ -597,6 +604,28 @@ def test_extraction_of_pages_by_hand():
     assert right >= 0.85 * wanted and right >= 0.85 * found
 
 
+def shares_of_characters(pages):
+    """Precision and recall of the characters of articles, over all pages."""
+    take = extraction.Extractor(extraction.model())
+    right = found = wanted = 0
+    for page in pages.values():
+        article = html.unescape(re.sub(r"<[^>]*>", " ", " ".join(re.findall(r"\[\[(.*?)\]\]", page, re.S))))
+        got = Counter("".join(take([page.replace("[[", "").replace("]]", "")])[0][0].split()))
+        good = Counter("".join(article.split()))
+        right, found, wanted = right + (got & good).total(), found + got.total(), wanted + good.total()
+    return right / found, right / wanted
+
+
+def test_extraction_of_other_habits():
+    precision, recall = shares_of_characters(hand_pages.PAGES)
+    assert len(hand_pages.PAGES) == 30 and precision > 0.95 and recall > 0.8
+
+
+def test_extraction_of_fresh_pages():
+    precision, recall = shares_of_characters(hand_pages.FRESH)
+    assert precision > 0.9 and recall > 0.75
+
+
 # ------------------------------------------------------------------ op 8
 
 
