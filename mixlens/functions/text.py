@@ -78,10 +78,15 @@ def is_json(text: Column) -> Column:
 
 
 def parses_as_json(text: Column) -> Column:
-    """Whether json.loads takes the text, or what stands in its first fence. An object that names a key twice does not pass."""
+    """Whether json.loads takes the text, or what stands in its first fence. An object that names a key twice does not pass.
+
+    The parser stops behind the first value, whatever follows it. Within a list only a comma and more values may follow,
+    within an object only a comma and a key with its value: what passes in both is one value and nothing else.
+    """
     trimmed = strip(text)
     body = F.when(trimmed.rlike(_FENCE), strip(F.regexp_extract(trimmed, _FENCE, 1))).otherwise(trimmed)
-    return F.try_parse_json(body).isNotNull() | body.rlike(_JSON_SCALAR)
+    within = [F.try_parse_json(F.concat(F.lit(head), body, F.lit(tail))).isNotNull() for head, tail in (("[", "]"), ('{"":', "}"))]
+    return (within[0] & within[1]) | body.rlike(_JSON_SCALAR)
 
 
 def without_quotes(text: Column) -> Column:

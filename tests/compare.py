@@ -1,6 +1,7 @@
 """Rows of a Spark query beside those of SQL in DuckDB, without regard to their order."""
 
 import math
+import os
 
 import duckdb
 
@@ -30,3 +31,12 @@ def of_sql(sql, data):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     found = con.sql(sql)
     return rows(found.columns, found.fetchall())
+
+
+def with_documents(data, folder, text="text", doc_id="doc_id"):
+    """A folder of the same tables, but for the text and doc_id of documents."""
+    for t in TABLES:
+        if t != "documents":
+            os.symlink(f"{data}/{t}.parquet", f"{folder}/{t}.parquet")
+    duckdb.connect().sql(f"COPY (SELECT * REPLACE ({text} AS text, {doc_id} AS doc_id) FROM '{data}/documents.parquet') TO '{folder}/documents.parquet' (FORMAT parquet)")
+    return str(folder)

@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from compare import of_spark, of_sql
+from compare import of_spark, of_sql, with_documents
 
 from mixlens.plans import catalog
 
@@ -27,3 +27,8 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 7
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
     assert set(catalog.ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
+def test_format_regex_check_of_values_before_text(spark, data, tmp_path):
+    folder = with_documents(data, tmp_path, text="CASE WHEN doc_id % 3 = 0 THEN '42 xx' WHEN doc_id % 3 = 1 THEN '\"a\": 1} {\"b\": 2' ELSE '42' END")
+    assert of_spark(catalog.QUERIES["format_regex_check"](spark, folder)) == of_sql(catalog.ORACLES["format_regex_check"], folder)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mixlens.functions import numbers, rouge
+from mixlens.functions import numbers, rouge, text
 from mixlens.functions import vocabulary as V
 from mixlens.operators import constraints, providers, rewrite
 
@@ -132,6 +132,24 @@ def test_own_pattern_decides(spark):
         assert r.passed == plain(r.t, r.k, r.p), r
 
 
+def test_json_with_more_behind_it(spark):
+    values = ["12", "-1.5e3", '"s"', "null", "[1, 2]", '{"a": [1]}', "[]", "{}", "01", "+1", "[1,]", '"a\nb"', ""]
+    behind = ["", " ", " Anouor onble", ", 1", ', "b": 2', " ]", "]", " }", "}", "] [", "} {", "], [1", '}, {"": 1', ",", ":", " 2", "\n{}", " //", '"']
+    texts = [v + b for v in values for b in behind] + [f"```json\n{v}{b}\n```" for v in values for b in behind]
+
+    def parses(t):
+        t = t.strip()
+        fence = re.search(r"```(?:json)?\s*([\s\S]*?)```", t)
+        try:
+            json.loads(fence.group(1).strip() if fence else t)
+            return True
+        except ValueError:
+            return False
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.parses_as_json(F.col("t")).alias("ok")).collect()
+    assert [(r.t, r.ok) for r in got] == [(t, parses(t)) for t in texts]
+
+
 # ------------------------------------------------------------------ embeddings
 
 
