@@ -69,7 +69,8 @@ def duplicates(rows: DataFrame, column: str) -> DataFrame:
 
 
 def id_format(value: Column, prefix: str = "item_") -> Column:
-    return value.rlike(rf"^{prefix}\d{{5}}$")
+    """Whether it is a number of five digits behind the prefix, or of more from 100000 on, as ids are made."""
+    return value.rlike(rf"^{prefix}(?:\d{{5}}|[1-9]\d{{5,}})$")
 
 
 def contiguous(rows: DataFrame, column: str, prefix: str) -> DataFrame:

@@ -32,3 +32,8 @@ def test_entry(spark):
 def test_format_regex_check_of_values_before_text(spark, data, tmp_path):
     folder = with_documents(data, tmp_path, text="CASE WHEN doc_id % 3 = 0 THEN '42 xx' WHEN doc_id % 3 = 1 THEN '\"a\": 1} {\"b\": 2' ELSE '42' END")
     assert of_spark(catalog.QUERIES["format_regex_check"](spark, folder)) == of_sql(catalog.ORACLES["format_regex_check"], folder)
+
+
+def test_validation_full_from_a_hundred_thousand_ids_on(spark, data, tmp_path):
+    folder = with_documents(data, tmp_path, doc_id="doc_id + 99990")
+    assert of_spark(catalog.QUERIES["validation_full"](spark, folder)) == of_sql(catalog.ORACLES["validation_full"], folder)

@@ -285,3 +285,9 @@ def test_lcs_by_rows():
             for k, x in enumerate(a, 1):
                 row[k], last = (last + 1 if x == y else max(row[k], row[k - 1])), row[k]
         assert rouge.lcs_length(a, b) == row[-1]
+
+
+def test_id_format(spark):
+    ids = {"item_00000": True, "item_99999": True, "item_100000": True, "item_1234567": True, "item_012345": False, "item_1234": False, "item_": False, "x_00000": False, "item_0000a": False, "item_1000000 ": False}
+    got = spark.createDataFrame([(k,) for k in ids], "id string").select("id", validation.id_format(F.col("id")).alias("ok")).collect()
+    assert {r.id: r.ok for r in got} == ids
