@@ -6,9 +6,10 @@ import ctypes
 import gc
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -16,7 +17,7 @@ from pyspark.sql.types import StructType
 from mixlens.shipping import ship
 from mixlens.sources.tables import drop_stored, scratch, stored, table
 
-__all__ = ["BROADCAST_ROWS", "Bitmap", "WORD", "WORD_BYTES", "WORD_PATTERN", "drop_stored", "held", "hot_join", "release", "scratch", "ship", "small", "stored", "table", "trim", "unused", "with_python", "word_count"]
+__all__ = ["BROADCAST_ROWS", "Bitmap", "WORD", "WORD_BYTES", "WORD_PATTERN", "batches_of", "drop_stored", "held", "hot_join", "release", "scratch", "ship", "small", "stored", "table", "trim", "unused", "with_python", "word_count"]
 
 #: A word is a run of characters other than the ASCII white space of the contracts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -138,6 +139,21 @@ def with_python(df: DataFrame, inputs: list[str], keep: list[str], added: str, f
     return source.mapInArrow(run, out)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """What runs meanwhile gives Python no more than about size bytes at once, or one row.
+
+    An executor holds a batch in its JVM, in buffers of up to twice its size, and in each worker that reads it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 _HELD: dict = {}
 
 

@@ -11,7 +11,8 @@ attempts that were committed are in it, so a repeated attempt leaves at most a f
 
 There are as many parts as the bytes and the number of documents ask for, at least one for each core, and no part is cut
 within a document. A document of more bytes than a part is meant to have makes a larger part; files are written batch by
-batch and read in blocks, so memory holds a document's ids only while it is encoded.
+batch and read in blocks, so memory holds a document's ids only while it is encoded. Workers get few texts at once and give
+freed memory back as they go, as an executor whose JVM has grown to its bound has little left for them.
 
 Null text is the empty text: its document has the end id alone. doc_id must be a number or cast to one; another raises
 under ANSI rules. A null doc_id sorts first. Rows with the same doc_id each get a document, by text; many of them are
@@ -34,14 +35,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixlens.llm.common import held, scratch, ship, stored, trim
+from mixlens.llm.common import batches_of, held, scratch, ship, stored, trim
 
 END_ID = 2
 #: Units of text whose ids a worker keeps: about 30 bytes each.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
 #: Bounds of what is encoded at once, in documents and bytes; one document may have more bytes.
 BATCH_DOCS = 1024
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
+#: Bytes of text that a worker is given at once, and after which it gives freed memory back.
+GIVEN_BYTES = 4_000_000
+TRIM_BYTES = 16_000_000
 #: What a part is meant to hold, in bytes of text and documents; a document takes 17 bytes of a reader's memory.
 PART_BYTES = 128_000_000
 PART_DOCS = 1_000_000
@@ -240,11 +244,16 @@ def _writer(folder: str, tokenizer: str):
                 stem = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
                 out = files.open_output_stream(f"{stem}.ids")
                 offsets, docs, nulls = array("q", [0]), array("q"), bytearray()
+                told = 0
             made = encode(batch.column(1))
             out.write(made.ids.tobytes())
             offsets.extend((np.cumsum(made.sizes) + offsets[-1]).tolist())
             docs.extend(batch.column(0).fill_null(0).to_pylist())
             nulls.extend(batch.column(0).is_null().to_pylist())
+            told += pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
+            if told > TRIM_BYTES:
+                told = 0
+                trim()
         if stem is None:
             return
         out.close()
@@ -275,7 +284,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
     first = F.col("doc_id").asc_nulls_first()
     ranges = rows.repartitionByRange(part_count(rows), first, F.substring("text", 1, HEAD).asc_nulls_first())
     ordered = ranges.sortWithinPartitions(first, F.col("text").asc_nulls_first())
-    manifest = stored(ordered.mapInArrow(_writer(folder, tokenizer), MANIFEST), "token-manifest")
+    with batches_of(spark, GIVEN_BYTES):
+        manifest = stored(ordered.mapInArrow(_writer(folder, tokenizer), MANIFEST), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per part: the window has as many rows as there are files
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))

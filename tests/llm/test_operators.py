@@ -1039,3 +1039,13 @@ def test_stages_on_odd_rows(spark, odd, none, data):
             docs = made
         last = corpus_pipeline.STAGES[-1][1](spark, docs, data)
         assert last.count() == docs.count()
+
+
+def test_batches_of(spark):
+    rows = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with common.batches_of(spark, 100_000):
+        assert max(r.n for r in sizes.select("n").collect()) < 200_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert max(r.n for r in sizes.select("n").collect()) > 2_000_000
